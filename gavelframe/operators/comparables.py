@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gavelframe.functions import constants as K
-from gavelframe.functions.values import as_date, contains_fold, has_number, has_text, lookup, number_or_null
+from gavelframe.functions.values import as_date, has_number, has_text, lookup, number_or_null
 from gavelframe.operators.topk import top_k_per_key
 
 PROBE = ["postal_code", "type_word", "probe_surface"]
@@ -37,11 +37,10 @@ def type_word(property_type, type_map=None, default=K.DEFAULT_LOCAL_TYPE):
 
 def with_type_words(transactions: DataFrame, words) -> DataFrame:
     """One row per type word a transaction's local type contains (normally one)."""
-    found = F.filter(
-        F.array(*[F.lit(w) for w in words]),
-        lambda w: contains_fold("local_type", w),
-    )
-    return transactions.withColumn("type_word", F.explode(found))
+    # explode + filter stays in generated code, an array filter would not
+    local = F.lower("local_type")
+    hits = F.array(*[F.when(local.contains(w.lower()), F.lit(w)) for w in words])
+    return transactions.withColumn("type_word", F.explode(hits)).filter(F.col("type_word").isNotNull())
 
 
 def _most_recent():
@@ -78,11 +77,22 @@ def probe_comparables(listings: DataFrame, transactions: DataFrame, as_of, *,
         F.when(has_number("surface_m2"), bucket(F.col("surface_m2"))).alias("cell"),
     )
     area = ["postal_code", "type_word"]
-    by_surface = top_k_per_key(recent, area + ["cell", "surface_m2"], _most_recent(), k, salts=salts).drop("rank")
-    by_cell = top_k_per_key(by_surface, area + ["cell"], _most_recent(), k).drop("rank")
-    heads = by_surface.filter(F.col("cell").isNotNull()).withColumn("grain", F.lit("surface")).unionByName(
-        by_cell.withColumn("grain", F.when(F.col("cell").isNull(), F.lit("none")).otherwise(F.lit("cell")))
-    ).withColumn("cell", F.coalesce("cell", F.lit(0)))
+    if salts:  # first round per slice of map tasks, see top_k_per_key
+        recent = top_k_per_key(recent.withColumn("_slice", F.pmod(F.spark_partition_id(), F.lit(salts))),
+                               area + ["cell", "surface_m2", "_slice"], _most_recent(), k).drop("rank", "_slice")
+    # hashing by bucket serves both rankings below with one shuffle
+    at_surface = Window.partitionBy(*area, "cell", "surface_m2").orderBy(*_most_recent())
+    in_cell = Window.partitionBy(*area, "cell").orderBy(*_most_recent())
+    heads = (
+        recent.repartition(*area, "cell")
+        .withColumn("_at_surface", F.row_number().over(at_surface)).filter(F.col("_at_surface") <= k)
+        .withColumn("_in_cell", F.row_number().over(in_cell))
+    )
+    no_surface = F.col("cell").isNull()
+    heads = heads.withColumn("grain", F.explode(F.array(
+        F.when(~no_surface, F.lit("surface")),
+        F.when(F.col("_in_cell") <= k, F.when(no_surface, F.lit("none")).otherwise(F.lit("cell"))),
+    ))).filter(F.col("grain").isNotNull()).withColumn("cell", F.coalesce("cell", F.lit(0))).drop("_at_surface", "_in_cell")
 
     probes = with_probe(listings, type_map=type_map, default_surface=default_surface).select(*PROBE).distinct()
     low = F.col("probe_surface") * F.lit(1 - tolerance)
