@@ -36,6 +36,10 @@ _COURT = (
     " WHEN 2 THEN 'Tribunal Judiciaire de Bobigny'"
     " ELSE 'Tribunal Judiciaire de Créteil' END"
 )
+_CITIES = ["Paris", "Nanterre", "Courbevoie", "Colombes", "Antony", "Clamart", "Montrouge", "Meudon", "Suresnes",
+           "Puteaux", "Clichy", "Malakoff", "Vanves", "Saint-Denis", "Montreuil", "Drancy", "Pantin", "Bondy", "Bobigny",
+           "Saint-Ouen", "Créteil", "Villejuif", "Vincennes", "Alfortville", "Saint-Mandé"]
+_CITY = "CASE {nation} " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_CITIES)) + " END"
 _LINE_KEY = (
     "CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING)"
     " || '-' || CAST(l_suppkey AS STRING) || '-' || CAST(CAST(l_shipdate AS DATE) AS STRING)"
@@ -147,7 +151,7 @@ TABLES: dict[str, dict] = {
             "sale_date": "CASE WHEN s_suppkey % 17 = 5 THEN NULL ELSE DATE '1998-01-01' + CAST(s_suppkey % 40 AS INT) END",
             "court": "CASE WHEN s_suppkey % 11 = 3 THEN NULL ELSE " + _COURT.format(nation="s_nationkey") + " END",
             "start_price": "CASE WHEN s_acctbal > 0 THEN s_acctbal * 20 ELSE NULL END",
-            "city": "CASE WHEN s_suppkey % 13 = 4 THEN NULL ELSE n_name END",
+            "city": "CASE WHEN s_suppkey % 13 = 4 THEN NULL ELSE " + _CITY.format(nation="s_nationkey") + " END",
             "property_type": "CASE s_suppkey % 3 WHEN 0 THEN 'appartement' WHEN 1 THEN 'maison' ELSE 'parking' END",
             "surface_m2": "CASE WHEN s_suppkey % 19 = 6 THEN NULL ELSE CAST(20 + s_suppkey % 60 AS DOUBLE) END",
             "postal_code": "CASE WHEN s_suppkey % 5 = 0 THEN NULL WHEN s_suppkey % 5 = 1 THEN '9' ELSE "
@@ -169,7 +173,7 @@ TABLES: dict[str, dict] = {
             "sale_date": "CASE WHEN c_custkey % 23 = 5 THEN NULL ELSE DATE '1998-01-01' + CAST(c_custkey % 40 AS INT) END",
             "court": "CASE WHEN c_custkey % 7 = 3 THEN NULL ELSE " + _COURT.format(nation="c_nationkey") + " END",
             "start_price": "CASE WHEN c_acctbal > 0 THEN c_acctbal * 20 ELSE NULL END",
-            "city": "CASE WHEN c_custkey % 9 = 4 THEN NULL ELSE lower(n_name) END",
+            "city": "CASE WHEN c_custkey % 9 = 4 THEN NULL ELSE lower(replace(" + _CITY.format(nation="c_nationkey") + ", '-', ' ')) END",
             "property_type": "CASE c_custkey % 3 WHEN 0 THEN 'appartement' WHEN 1 THEN 'maison' ELSE 'parking' END",
             "surface_m2": "CASE WHEN c_custkey % 29 = 6 THEN NULL ELSE CAST(20 + c_custkey % 60 AS DOUBLE) END",
             "postal_code": "CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE " + _POSTAL.format(nation="c_nationkey", key="c_custkey") + " END",

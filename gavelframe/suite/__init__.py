@@ -1,4 +1,4 @@
 """All registered queries; importing the modules fills the registry."""
 
-from gavelframe.suite import analysis, filters, statistics  # noqa: F401
+from gavelframe.suite import analysis, estimates, filters, linking, statistics  # noqa: F401
 from gavelframe.suite.registry import HEADLINE, QUERIES, SQL  # noqa: F401
