@@ -111,4 +111,4 @@ def plain_spaces(c) -> Column:
 def number_text(c, digits: int = 0) -> Column:
     """Python-like fixed-point text of a number, ties to even."""
     rounded = half_even(c, digits)
-    return F.format_string(f"%.{digits}f", rounded)
+    return F.when(rounded.isNotNull(), F.format_string(f"%.{digits}f", rounded))

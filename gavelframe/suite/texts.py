@@ -369,7 +369,7 @@ def report_summary(spark, sf_dir):
 
 
 @query("merge_document_list", PAGES + """
-SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 2 ELSE 2 END + CASE WHEN page_id % 2 = 1 THEN 0 ELSE 0 END AS n, CASE WHEN page_id % 2 = 0 THEN 'PV de description' ELSE 'Cahier des charges' END AS first_name FROM p""")
+SELECT page_id, 2 AS n, CASE WHEN page_id % 2 = 0 THEN 'PV de description' ELSE 'Cahier des charges' END AS first_name FROM p""")
 def merge_document_list(spark, sf_dir):
     d = built_pages(spark, sf_dir).withColumn("merged", FD.merge_document_list(FD.pdf_documents("html", "url"), F.lit("https://r.example/r.pdf")))
     return d.select("page_id", F.size("merged").alias("n"), F.col("merged")[0]["name"].alias("first_name"))
