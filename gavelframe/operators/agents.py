@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gavelframe.functions import constants as K
-from gavelframe.functions.values import has_items, has_number, has_text, text_or_null
+from gavelframe.functions.values import has_number, has_text, text_or_null
 
 
 def _city_pairs(notices: DataFrame, listings: DataFrame) -> DataFrame:
@@ -108,18 +108,20 @@ def match_agent_listings(notices: DataFrame, listings: DataFrame, *, order: str
 def enrich_from_agent_listings(listings: DataFrame, notices: DataFrame, matches: DataFrame) -> DataFrame:
     """Listings with a missing report url filled and unseen documents appended, in notice order."""
     found = matches.join(notices.select("notice_id", F.col("report_url").alias("_report"), F.col("documents").alias("_docs")), "notice_id")
-    given = found.groupBy("listing_key").agg(
-        F.min_by("_report", "notice_id", ).alias("_any"),
-        F.min_by(F.when(has_text("_report"), F.col("_report")), F.when(has_text("_report"), F.col("notice_id"))).alias("_report"),
-        F.array_sort(F.collect_set(F.struct("notice_id", "_docs"))).alias("_lists")).drop("_any")
-    more = F.flatten(F.transform("_lists", lambda x: F.coalesce(x["_docs"], F.array())))
+    reports = found.filter(has_text("_report")).groupBy("listing_key").agg(F.min_by("_report", "notice_id").alias("_report"))
+    # distinct documents first, so a listing met by very many notices gathers only its own list
+    place = F.struct("notice_id", "_pos")
+    docs = (found.select("listing_key", "notice_id", F.posexplode("_docs").alias("_pos", "_doc"))
+            .groupBy("listing_key", "_doc").agg(F.min(place).alias("_at"))
+            .groupBy("listing_key").agg(F.array_sort(F.collect_list(F.struct("_at", "_doc"))).alias("_more")))
     own = F.coalesce("documents", F.array())
-    return (listings.join(given, "listing_key", "left")
+    more = F.coalesce(F.transform("_more", lambda x: x["_doc"]), F.array())
+    return (listings.join(reports, "listing_key", "left").join(docs, "listing_key", "left")
             .withColumns({
                 "report_added": ~has_text("report_url") & has_text("_report"),
                 "report_url": F.coalesce(text_or_null("report_url"), F.col("_report")),
-                "documents": F.when(has_items("_lists"), F.concat(own, F.array_except(more, own))).otherwise(own)})
-            .drop("_report", "_lists"))
+                "documents": F.concat(own, F.array_except(more, own))})
+            .drop("_report", "_more"))
 
 
 def agent_match_counters(notices: DataFrame, matches: DataFrame, enriched: DataFrame) -> DataFrame:
@@ -130,19 +132,60 @@ def agent_match_counters(notices: DataFrame, matches: DataFrame, enriched: DataF
     return placed.join(added)  # one row each
 
 
+def _held_terms(documents: DataFrame, terms: DataFrame) -> DataFrame:
+    """(page_id, pos, kind, term): the asked terms each document's title or url contains.
+
+    ``terms``: page_id, kind, term; a "date" counts in the url only. A term is found by its
+    first three letters (fewer if shorter): every position of a text is one row, so the work
+    is linear in the texts, and the whole term is compared at that position.
+    """
+    texts = documents.select("page_id", "pos", F.explode(F.array(
+        F.struct(F.lit("title").alias("part"), F.lower(F.coalesce("title", F.lit(""))).alias("text")),
+        F.struct(F.lit("url").alias("part"), F.lower("url").alias("text")))).alias("t")).select("page_id", "pos", "t.*")
+    starts = texts.filter(F.length("text") > 0).withColumn("at", F.explode(F.sequence(F.lit(1), F.length("text"))))
+    grams = starts.withColumn("size", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).withColumn(
+        "gram", F.substring(F.col("text"), F.col("at"), F.col("size"))).filter(F.length("gram") == F.col("size"))
+    asked = terms.withColumn("size", F.least(F.length("term"), F.lit(3))).withColumn("gram", F.left("term", F.lit(3)))
+    met = grams.join(asked, ["page_id", "size", "gram"])
+    same = F.substring(F.col("text"), F.col("at"), F.length("term")) == F.col("term")
+    return met.filter(same & ((F.col("kind") == "word") | (F.col("part") == "url"))).select(
+        "page_id", "pos", "kind", "term").distinct()
+
+
 def match_documents(documents: DataFrame, targets: DataFrame) -> DataFrame:
     """First document of each target's firm page that holds two of its address words, or its date.
 
     ``documents``: page_id, pos, title, url; ``targets``: target_id, page_id, address, date_text.
     Words count once per occurrence in the address, as a word contained in title or url.
+
+    Only the first document counts, so documents are reduced to the lowest position of each
+    (page, word pair) and (page, date); a page with very many documents and targets never
+    pairs them.
     """
     words = F.filter(F.split(F.lower("address"), r"\s+"), lambda w: w != "")
-    d = documents.select("page_id", "pos", "url", F.lower(F.coalesce("title", F.lit(""))).alias("_title"), F.lower("url").alias("_url"))
-    met = targets.withColumn("_words", words).join(d, "page_id")
-    hits = F.size(F.filter("_words", lambda w: F.contains(F.col("_title"), w) | F.contains(F.col("_url"), w)))
-    dated = has_text("date_text") & F.contains(F.col("_url"), F.replace("date_text", F.lit("/"), F.lit("-")))
-    return met.filter((hits >= 2) | dated).groupBy("target_id").agg(F.min_by(F.struct("pos", "url"), "pos").alias("d")).select(
-        "target_id", "d.pos", "d.url")
+    t = targets.select("target_id", "page_id", F.array_sort(words).alias("_words"), F.replace("date_text", F.lit("/"), F.lit("-")).alias("_date"))
+    pair = F.transform(
+        F.sequence(F.lit(1), F.size("_words") - 1),
+        lambda i: F.transform(F.slice(F.col("_words"), i + 1, F.size("_words")), lambda b: F.struct(
+            F.element_at("_words", i).alias("first"), b.alias("second"))))
+    pairs = t.filter(F.size("_words") > 1).select("target_id", "page_id", F.explode(F.array_distinct(F.flatten(pair))).alias("p")).select(
+        "target_id", "page_id", "p.first", "p.second")
+    dates = t.filter(has_text("_date")).select("target_id", "page_id", F.col("_date").alias("term"))
+    terms = (t.select("page_id", F.lit("word").alias("kind"), F.explode("_words").alias("term"))
+             .unionByName(dates.select("page_id", F.lit("date").alias("kind"), "term")).distinct())
+    held = _held_terms(documents, terms)
+
+    asked = pairs.select("page_id", "first", "second").distinct()
+    h = held.filter(F.col("kind") == "word").select("page_id", "pos", "term")
+    # the words a document holds, paired with each other and kept where some target asks for the pair
+    together = h.withColumnRenamed("term", "first").join(h.withColumnRenamed("term", "second"), ["page_id", "pos"]).filter(
+        F.col("first") <= F.col("second"))
+    lowest = together.join(asked, ["page_id", "first", "second"]).groupBy("page_id", "first", "second").agg(F.min("pos").alias("pos"))
+    on_date = held.filter(F.col("kind") == "date").groupBy("page_id", "term").agg(F.min("pos").alias("pos"))
+    hits = pairs.join(lowest, ["page_id", "first", "second"]).select("target_id", "page_id", "pos").unionByName(
+        dates.join(on_date, ["page_id", "term"]).select("target_id", "page_id", "pos"))
+    best = hits.groupBy("target_id", "page_id").agg(F.min("pos").alias("pos"))
+    return best.join(documents.select("page_id", "pos", "url"), ["page_id", "pos"]).select("target_id", "pos", "url")
 
 
 def catalog_site(catalog: list[dict], name="agent_name", firm="agent_firm") -> Column:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from gavelframe.functions import constants as K
 from gavelframe.functions.values import as_date, has_number, has_text, lookup, number_or_null
-from gavelframe.operators.topk import top_k_per_key
+from gavelframe.operators.topk import slices_for, top_k_per_key
 
 PROBE = ["postal_code", "type_word", "probe_surface"]
 _CELLS_PER_WINDOW = 8
@@ -57,7 +57,7 @@ def with_probe(listings: DataFrame, *, type_map=None, default_surface: float = 5
 
 def probe_comparables(listings: DataFrame, transactions: DataFrame, as_of, *,
                       tolerance: float = 0.25, months: int = 24, k: int = 20,
-                      type_map=None, default_surface: float = 50.0, salts: int = 16) -> DataFrame:
+                      type_map=None, default_surface: float = 50.0, salts: int | None = None) -> DataFrame:
     """The ``k`` most recent comparable sales of each distinct probe, ranked."""
     type_map = type_map or K.MARKET_TYPE_MAP
     words = list(dict.fromkeys([*type_map.values(), K.DEFAULT_LOCAL_TYPE]))
@@ -77,6 +77,7 @@ def probe_comparables(listings: DataFrame, transactions: DataFrame, as_of, *,
         F.when(has_number("surface_m2"), bucket(F.col("surface_m2"))).alias("cell"),
     )
     area = ["postal_code", "type_word"]
+    salts = slices_for(recent) if salts is None else salts
     if salts:  # first round per slice of map tasks, see top_k_per_key
         recent = top_k_per_key(recent.withColumn("_slice", F.pmod(F.spark_partition_id(), F.lit(salts))),
                                area + ["cell", "surface_m2", "_slice"], _most_recent(), k).drop("rank", "_slice")

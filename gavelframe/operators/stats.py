@@ -121,15 +121,16 @@ def department_summary(transactions: DataFrame, *, year=None, types=("Appartemen
 
 def store_stats(listings: DataFrame, agents: DataFrame, as_of) -> DataFrame:
     """(metric, label, n) rows: total, by status, by source, upcoming, agents."""
-    def by(column):
-        return listings.groupBy(F.col(column).alias("label")).agg(F.count(F.lit(1)).alias("n")).select(
-            F.lit(f"by_{column}").alias("metric"), "label", "n")
-
     none = F.lit(None).cast("string")
-    whole = listings.agg(F.count(F.lit(1)).alias("total"), F.count_if(is_upcoming(as_of)).alias("upcoming"))
-    totals = whole.unpivot([], ["total", "upcoming"], "metric", "n").select("metric", none.alias("label"), "n")
+    counted = listings.groupingSets([["status"], ["source"], []], "status", "source").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(is_upcoming(as_of)).alias("upcoming"), F.grouping_id().alias("_set"))
+    # bits of the grouping id: 2 = status rolled up, 1 = source rolled up
+    rows = F.when(F.col("_set") == 1, F.array(F.struct(F.lit("by_status").alias("metric"), F.col("status").alias("label"), "n"))).when(
+        F.col("_set") == 2, F.array(F.struct(F.lit("by_source").alias("metric"), F.col("source").alias("label"), "n"))).otherwise(
+        F.array(F.struct(F.lit("total").alias("metric"), none.alias("label"), "n"),
+                F.struct(F.lit("upcoming").alias("metric"), none.alias("label"), F.col("upcoming").alias("n"))))
     people = agents.agg(F.count(F.lit(1)).alias("n")).select(F.lit("agents").alias("metric"), none.alias("label"), "n")
-    return totals.unionByName(by("status")).unionByName(by("source")).unionByName(people)
+    return counted.select(F.explode(rows).alias("r")).select("r.*").unionByName(people)
 
 
 def adjudication_stats(adjudications: DataFrame, prefixes: list[str] | None = None, property_type=None) -> DataFrame:
