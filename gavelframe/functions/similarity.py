@@ -78,22 +78,29 @@ def _second_keys(text: str, t: float) -> list[str]:
     return sorted(keys)
 
 
-def _keys(make, threshold: float):
+def _keys(make):
     @F.pandas_udf(T.ArrayType(T.StringType()))
-    def keys(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda s: make(s, threshold))
+    def keys(texts: pd.Series, thresholds: pd.Series) -> pd.Series:
+        return pd.Series([make(s, t) for s, t in zip(texts, thresholds)], dtype=object)
     return keys
 
 
-def similar_values(first: DataFrame, second: DataFrame, column: str, threshold: float) -> DataFrame:
-    """Distinct value pairs ``(value_1, value_2)`` whose ratio exceeds ``threshold``."""
-    def values(df, name):
-        v = df.select(F.col(column).alias(f"value_{name}")).distinct()
-        return v.withColumn(f"norm_{name}", normalize_text(f"value_{name}")).filter(F.col(f"norm_{name}") != "")
+def similar_values(first: DataFrame, second: DataFrame, thresholds: dict[str, float]) -> DataFrame:
+    """Distinct value pairs ``(field, value_1, value_2)`` whose ratio exceeds the field's threshold.
+
+    All fields go through one job; the work depends on distinct values, not on rows.
+    """
+    def values(df, n):
+        each = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias(f"value_{n}"), F.lit(t).alias("threshold"))
+                         for c, t in thresholds.items()])
+        v = df.select(F.explode(each).alias("v")).select("v.*").distinct()
+        return v.withColumn(f"norm_{n}", normalize_text(f"value_{n}")).filter(F.col(f"norm_{n}") != "")
 
     a, b = values(first, 1), values(second, 2)
-    norm_a = a.select("norm_1").distinct().withColumn("key", F.explode(_keys(_first_keys, threshold)("norm_1")))
-    norm_b = b.select("norm_2").distinct().withColumn("key", F.explode(_keys(_second_keys, threshold)("norm_2")))
-    pairs = norm_a.join(norm_b, "key").select("norm_1", "norm_2").distinct()
-    close = pairs.filter(text_ratio("norm_1", "norm_2") > threshold)
-    return a.join(close, "norm_1").join(b, "norm_2").select("value_1", "value_2")
+    by = ["field", "threshold"]
+    norm_a = a.select(*by, "norm_1").distinct().withColumn("key", F.explode(_keys(_first_keys)("norm_1", "threshold")))
+    norm_b = b.select(*by, "norm_2").distinct().withColumn("key", F.explode(_keys(_second_keys)("norm_2", "threshold")))
+    pairs = norm_a.join(norm_b, [*by, "key"]).select(*by, "norm_1", "norm_2").distinct()
+    close = pairs.filter(text_ratio("norm_1", "norm_2") > F.col("threshold")).drop("threshold")
+    return a.drop("threshold").join(close, ["field", "norm_1"]).join(b.drop("threshold"), ["field", "norm_2"]).select(
+        "field", "value_1", "value_2")

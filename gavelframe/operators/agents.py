@@ -79,7 +79,8 @@ def match_agent_listings(notices: DataFrame, listings: DataFrame, *, order: str
     n = notices.select(
         "notice_id", text_or_null("postal_code").alias("n_postal"), F.lower(text_or_null("city")).alias("n_city"),
         F.col("sale_date").alias("n_date"), priced.alias("n_price"))
-    asked = n.select(*facts).distinct()
+    # explicit width: every row is about to become dozens of probes
+    asked = n.select(*facts).distinct().repartition(int(notices.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     by_postal = asked.filter(F.col("n_postal").isNotNull()).withColumn("place", F.concat(F.lit("p:"), F.col("n_postal")))
     by_city = asked.join(pairs, F.col("n_city") == F.col("notice_city")).withColumn(
         "place", F.concat(F.lit("c:"), F.col("listing_city"))).select(*by_postal.columns)

@@ -8,13 +8,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def positions(df: DataFrame, keys: list[str], order: str, out: str, *, lead: list[str] = (), slice_rows: int = 1_000_000) -> DataFrame:
+SLICE_ROWS = 1_000_000
+
+
+def positions(df: DataFrame, keys: list[str], order: str, out: str, *, lead: list[str] = (), whole: bool = False,
+              slice_rows: int = SLICE_ROWS) -> DataFrame:
     """1-based position of every row in its group by ``(lead descending, order)``.
 
     ``order`` is a non-negative integer. Groups are cut into slices of the order's range;
     rows are ranked per slice and slices are offset by the running count, so a huge group
-    is ranked by many tasks.
+    is ranked by many tasks. ``whole`` ranks each group in one go, for callers that have
+    counted their rows.
     """
+    if whole:
+        w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in lead], F.col(order))
+        return df.withColumn(out, F.row_number().over(w))
     cut = df.withColumn("_cut", F.floor(F.col(order) / slice_rows))
     parts = [*keys, *lead, "_cut"]
     within = Window.partitionBy(*parts).orderBy(order)

@@ -24,7 +24,7 @@ from gavelframe.functions import constants as K
 from gavelframe.functions.similarity import similar_values
 from gavelframe.functions.values import has_items, has_number, has_text
 from gavelframe.operators.enrich import enrich_locations, known_city
-from gavelframe.operators.groups import ensure_checkpoint_dir, positions
+from gavelframe.operators.groups import SLICE_ROWS, ensure_checkpoint_dir, positions
 
 FIELDS = list(K.MATCH_WEIGHTS)  # date, court, price, city, type, surface
 COLUMNS = {"date": "sale_date", "court": "court", "price": "start_price", "city": "city",
@@ -110,14 +110,15 @@ def scored_classes(one: DataFrame, two: DataFrame) -> tuple[DataFrame, DataFrame
     Class rows carry the signature columns, so a signature finds its classes by equality.
     """
     s1, s2 = _signed(one), _signed(two)
-    masks1 = sorted(r[0] for r in s1.select("mask").distinct().collect())  # at most 64 integers
-    masks2 = sorted(r[0] for r in s2.select("mask").distinct().collect())
     spark = one.sparkSession
+    # the masks that occur: at most 64 integers per side
+    seen = s1.select(F.lit(1).alias("side"), "mask").unionByName(s2.select(F.lit(2).alias("side"), "mask")).distinct().collect()
+    masks1, masks2 = (sorted(r.mask for r in seen if r.side == n) for n in (1, 2))
 
-    courts = similar_values(s1, s2, "court", COURT_SIMILARITY).groupBy(F.col("value_2").alias("court_2")).agg(
-        F.collect_set("value_1").alias("court_like"))
-    cities = similar_values(s1, s2, "city", CITY_SIMILARITY).groupBy(F.col("value_2").alias("city_2")).agg(
-        F.collect_set("value_1").alias("city_like"))
+    like = similar_values(s1, s2, {"court": COURT_SIMILARITY, "city": CITY_SIMILARITY}).groupBy("field", "value_2").agg(
+        F.collect_set("value_1").alias("like"))
+    courts = like.filter("field = 'court'").select(F.col("value_2").alias("court_2"), F.col("like").alias("court_like"))
+    cities = like.filter("field = 'city'").select(F.col("value_2").alias("city_2"), F.col("like").alias("city_like"))
 
     sides1 = _classes(s1, "m1", "m2", masks2).withColumn("class_1", _class_id("m1", "m2"))
     sides2 = _classes(s2, "m2", "m1", masks1).withColumn("class_2", _class_id("m2", "m1"))
@@ -212,6 +213,10 @@ def one_to_one(one: DataFrame, two: DataFrame) -> DataFrame:
         c2.select("sig", "class_2").distinct(), "sig").select("class_2", "seq_2").join(
         edges.select("class_2").distinct(), "class_2", "left_semi").checkpoint()
 
+    # with few enough rows on both sides no group can exceed what one task ranks
+    sizes = free_rows.agg(F.count(F.lit(1)).alias("n")).unionByName(members.agg(F.countDistinct("seq_2").alias("n")))
+    few = sizes.agg(F.max("n")).first()[0] <= SLICE_ROWS
+
     held = spark.createDataFrame([], "seq_2 long, seq_1 long, score double, fresh boolean")
     while True:
         unplaced = free_rows.join(held.select("seq_1"), "seq_1", "left_anti")
@@ -220,10 +225,10 @@ def one_to_one(one: DataFrame, two: DataFrame) -> DataFrame:
         states = members.join(held.select("seq_2", F.col("seq_1").alias("holder")), "seq_2", "left")
         open_members = edges.join(waiting, "sig").join(states, "class_2").filter(
             F.col("holder").isNull() | (F.col("holder") > F.col("first")))
-        near = positions(open_members.select("sig", "class_2", "score", "seq_2", "n"), ["sig", "class_2"], "seq_2", "_at")
+        near = positions(open_members.select("sig", "class_2", "score", "seq_2", "n"), ["sig", "class_2"], "seq_2", "_at", whole=few)
         near = near.filter(F.col("_at") <= F.col("n")).groupBy("sig", "seq_2", "n").agg(F.max("score").alias("score"))
-        offered = positions(near, ["sig"], "seq_2", "place", lead=["score"]).filter(F.col("place") <= F.col("n"))
-        asking = positions(unplaced, ["sig"], "seq_1", "place")
+        offered = positions(near, ["sig"], "seq_2", "place", lead=["score"], whole=few).filter(F.col("place") <= F.col("n"))
+        asking = positions(unplaced, ["sig"], "seq_1", "place", whole=few)
         proposals = asking.join(offered.select("sig", "place", "seq_2", "score"), ["sig", "place"]).select(
             "seq_2", "seq_1", "score", F.lit(True).alias("fresh"))
         held = held.withColumn("fresh", F.lit(False)).unionByName(proposals).groupBy("seq_2").agg(

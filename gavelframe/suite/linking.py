@@ -135,7 +135,7 @@ SELECT DISTINCT a.city AS value_1, b.city AS value_2 FROM site_one a JOIN site_t
   ON (a.city, b.city) IN (SELECT (c1, c2) FROM ({sql_values(_like(_C1, _C2, L.CITY_SIMILARITY))}) v(c1, c2))""")
 def similar_cities(spark, sf_dir):
     one, two = feeds(spark, sf_dir)
-    return similar_values(one, two, "city", L.CITY_SIMILARITY)
+    return similar_values(one, two, {"city": L.CITY_SIMILARITY}).drop("field")
 
 
 @query("district_postal", T.cte("agents") + """

@@ -111,7 +111,7 @@ def test_similar_values_equals_brute_force(spark):
     for t in (0.7, 0.8):
         want = {(x, y) for x in a for y in b if ratio(x, y) > t}
         got = {tuple(x) for x in similar_values(spark.createDataFrame([(x,) for x in a], "c string"),
-                                                spark.createDataFrame([(x,) for x in b], "c string"), "c", t).collect()}
+                                                spark.createDataFrame([(x,) for x in b], "c string"), {"c": t}).drop("field").collect()}
         assert got == want
 
 
