@@ -127,10 +127,12 @@ def enrich_from_agent_listings(listings: DataFrame, notices: DataFrame, matches:
 
 def agent_match_counters(notices: DataFrame, matches: DataFrame, enriched: DataFrame) -> DataFrame:
     """matched, report urls added, new notices."""
+    none = F.lit(0).cast("long")
     placed = notices.join(matches, "notice_id", "left").agg(
-        F.count("listing_key").alias("matched"), F.count_if(F.col("listing_key").isNull()).alias("new"))
-    added = enriched.agg(F.count_if(F.coalesce("report_added", F.lit(False))).alias("report_added"))
-    return placed.join(added)  # one row each
+        F.count("listing_key").alias("matched"), F.count_if(F.col("listing_key").isNull()).alias("new"), F.max(none).alias("report_added"))
+    added = enriched.agg(F.max(none).alias("matched"), F.max(none).alias("new"),
+                         F.count_if(F.coalesce("report_added", F.lit(False))).alias("report_added"))
+    return placed.unionByName(added).agg(*[F.sum(c).alias(c) for c in ("matched", "new", "report_added")])
 
 
 def _held_terms(documents: DataFrame, terms: DataFrame) -> DataFrame:

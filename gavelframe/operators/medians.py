@@ -40,37 +40,39 @@ def grouped_stats(df: DataFrame, keys: list[str], value: str, *, sums: dict | No
         *[F.count(f"_s_{n}").alias(f"_c_{n}") for n in sums],
         *[F.min(f"_f_{n}").alias(f"_f_{n}") for n in firsts],
     )
-    totals = per_cell.groupBy(*keys).agg(
-        F.sum("_n").alias("n"), (F.sum("_sum") / F.sum("_n")).alias("mean"),
-        F.min("_low").alias("low"), F.max("_high").alias("high"),
-        *[F.try_divide(F.sum(f"_s_{n}"), F.sum(f"_c_{n}")).alias(n) for n in sums],
-        *[F.min(f"_f_{n}").alias(n) for n in firsts],
-    )
-
-    # cells that hold the two middle ranks (0-based), with the rank inside the cell
+    # Running and whole sums over a group's cells (their number is bounded by the value range).
+    # The group's figures ride along as one struct on its middle cells, so the aggregate
+    # above is computed once.
     run = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(*keys)
-    running = per_cell.select(*keys, "_cell", "_n").withColumns({
-        "_upto": F.sum("_n").over(run), "_total": F.sum("_n").over(whole),
-    }).withColumns({
+
+    def total(c):
+        return F.sum(c).over(whole)
+
+    figures = F.struct(
+        total("_n").alias("n"), (total("_sum") / total("_n")).alias("mean"),
+        F.min("_low").over(whole).alias("low"), F.max("_high").over(whole).alias("high"),
+        *[F.try_divide(total(f"_s_{n}"), total(f"_c_{n}")).alias(n) for n in sums],
+        *[F.min(f"_f_{n}").over(whole).alias(n) for n in firsts])
+    running = per_cell.select(*keys, "_cell", "_n", F.sum("_n").over(run).alias("_upto"), figures.alias("_all")).withColumns({
         "_before": F.col("_upto") - F.col("_n"),
-        "_lower": F.floor((F.col("_total") - 1) / 2), "_upper": F.floor(F.col("_total") / 2),
+        "_lower": F.floor((F.col("_all.n") - 1) / 2), "_upper": F.floor(F.col("_all.n") / 2),
     })
 
     def inside(rank):
         return (F.col(rank) >= F.col("_before")) & (F.col(rank) < F.col("_upto"))
 
+    # cells that hold the two middle ranks (0-based), with the rank inside the cell
     side = {k: f"_m_{k}" for k in (*keys, "_cell")}
+    carried = ["_before", "_lower", "_upper", "_all"]
     middle = running.filter(inside("_lower") | inside("_upper")).select(
-        *[F.col(k).alias(n) for k, n in side.items()], "_before", "_lower", "_upper")
+        *[F.col(k).alias(n) for k, n in side.items()], *carried)
     near = rows.select(*keys, "_cell", "_v").join(
         middle, [F.col(k).eqNullSafe(F.col(n)) for k, n in side.items()]
-    ).groupBy(*keys, "_cell", "_v", "_before", "_lower", "_upper").agg(F.count(F.lit(1)).alias("_n"))
+    ).groupBy(*keys, "_cell", "_v").agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in carried])
     by_value = Window.partitionBy(*keys, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = near.withColumn("_upto", F.col("_before") + F.sum("_n").over(by_value)).withColumn(
         "_before", F.col("_upto") - F.col("_n"))
-    medians = ranked.filter(inside("_lower") | inside("_upper")).groupBy(*keys).agg(
-        ((F.min("_v") + F.max("_v")) / 2).alias("median"))
-    medians = medians.select(*[F.col(k).alias(f"_m_{k}") for k in keys], "median")
-    return totals.join(medians, [F.col(k).eqNullSafe(F.col(f"_m_{k}")) for k in keys]).select(
-        *keys, "n", "mean", "median", "low", "high", *sums, *firsts)
+    return ranked.filter(inside("_lower") | inside("_upper")).groupBy(*keys).agg(
+        ((F.min("_v") + F.max("_v")) / 2).alias("median"), F.first("_all").alias("_all")
+    ).select(*keys, "_all.n", "_all.mean", "median", "_all.low", "_all.high", *[f"_all.{n}" for n in (*sums, *firsts)])
