@@ -6,10 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gavelframe.functions import constants as K
-from gavelframe.functions.values import as_date, col, contains_any, contains_fold, has_number, has_text
-
-BY_SALE_DATE = ["sale_date", "listing_key"]
-
+from gavelframe.functions.values import as_date, col, contains_any, contains_fold, has_number
 
 def _by_sale_date():
     return [F.col("sale_date").asc_nulls_first(), F.col("listing_key")]
@@ -160,7 +157,3 @@ def listing_table(listings: DataFrame) -> DataFrame:
     return listings.select(
         *[c for c in wanted if c in listings.columns], own.alias("own_price_m2"),
         *[c for c in tail if c in listings.columns])
-
-
-def with_agent(listings: DataFrame) -> Column:
-    return has_text("agent_name")

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from gavelframe.operators.ranking import week_start
 from gavelframe.sinks.tables import upsert_table, write_next
 
 
@@ -72,7 +71,3 @@ def latest_fresh(values: DataFrame, now, hours: int, *, key: str = "cache_key",
     others = [c for c in values.columns if c != key]
     newest = values.groupBy(key).agg(F.max_by(F.struct(*others), time).alias("v")).select(key, "v.*")
     return newest.filter(is_fresh(time, now, hours))
-
-
-def batch_weeks(visits: DataFrame) -> DataFrame:
-    return visits.groupBy(week_start("visit_at").alias("week")).agg(F.count(F.lit(1)).alias("n_visits"))
