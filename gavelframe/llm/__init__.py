@@ -3,6 +3,7 @@
 from gavelframe.llm.decontam import op6_decontamination
 from gavelframe.llm.html_text import op5_html_text
 from gavelframe.llm.langid import op7_language_id
+from gavelframe.llm.line_dedup import OP9_SQL, op9_line_dedup
 from gavelframe.llm.mixing import OP2_SQL, op2_mixing
 from gavelframe.llm.ngram_join import OP4_SQL, op4_ngram_join
 from gavelframe.llm.pii import op3_pii
@@ -19,6 +20,8 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_language_id": op7_language_id,
     "op8_warc": op8_warc,
+    "op9_line_dedup": op9_line_dedup,
     "op10_quality": op10_quality,
 }
-SQL = {"op1_sharding": OP1_SQL, "op2_mixing": OP2_SQL, "op4_ngram_join": OP4_SQL, "op10_quality": OP10_SQL}
+SQL = {"op1_sharding": OP1_SQL, "op2_mixing": OP2_SQL, "op4_ngram_join": OP4_SQL, "op9_line_dedup": OP9_SQL,
+       "op10_quality": OP10_SQL}

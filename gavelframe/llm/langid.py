@@ -94,34 +94,53 @@ def train(labelled: DataFrame, label: str = "lang", text: str = "text", alpha: f
     return langs, np.log(counts / counts.sum(0)).astype(np.float32)
 
 
+def _scorer(langs: list[str], shared):
+    """texts -> (predicted languages, scores); the matrix is a broadcast variable."""
+    size = max(1024, PIECE * 4 // max(4, len(langs)))
+
+    def score(texts: list[str]) -> tuple[list[str], np.ndarray]:
+        known = np.array([bool(langs) and _LETTER.search(t) is not None for t in texts], bool)
+        sums = np.zeros((len(texts), max(1, len(langs))))
+        if langs:
+            matrix = shared.value
+            for grams, heads, rows in _pieces(texts, size):
+                got = matrix[grams[0]]
+                got += matrix[grams[1]]
+                got += matrix[grams[2]]
+                np.add.at(sums, rows, np.add.reduceat(got, heads, axis=0, dtype=np.float64))
+        best = sums.argmax(1)
+        odds = np.exp(sums - sums[np.arange(len(texts)), best][:, None]).sum(1)
+        return [langs[b] if k else UNKNOWN for b, k in zip(best, known)], np.where(known, 1 / odds, 0.0)
+
+    return score
+
+
 def predict(docs: DataFrame, langs: list[str], weights: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`key`, `lang_pred`, `score` of each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
-    size = max(1024, PIECE * 4 // max(4, len(langs)))
+    score = _scorer(langs, docs.sparkSession.sparkContext.broadcast(weights))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matrix = shared.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            known = np.array([bool(langs) and _LETTER.search(t) is not None for t in texts], bool)
-            sums = np.zeros((len(texts), max(1, len(langs))))
-            if langs:
-                for grams, heads, rows in _pieces(texts, size):
-                    got = matrix[grams[0]]
-                    got += matrix[grams[1]]
-                    got += matrix[grams[2]]
-                    np.add.at(sums, rows, np.add.reduceat(got, heads, axis=0, dtype=np.float64))
-            best = sums.argmax(1)
-            top = sums[np.arange(len(texts)), best]
-            odds = np.exp(sums - top[:, None]).sum(1)
-            names = [langs[b] if k else UNKNOWN for b, k in zip(best, known)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names, pa.string()), pa.array(np.where(known, 1 / odds, 0.0))],
-                [key, "lang_pred", "score"])
+            names, scores = score([t or "" for t in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores)], [key, "lang_pred", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(score, f"`{key}` {kind}, lang_pred string, score double")
+    return rows.mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double")
+
+
+def identified(docs: DataFrame, least: float = 0.4, text: str = "text") -> DataFrame:
+    """`docs` without those that have no language or whose best language scores below `least`."""
+    langs, weights = train(sample(docs))
+    score = _scorer(langs, docs.sparkSession.sparkContext.broadcast(weights))
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, scores = score([t or "" for t in batch.column(place).to_pylist()])
+            yield batch.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, key: str = "doc_id", label: str = "lang") -> DataFrame:

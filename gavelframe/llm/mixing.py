@@ -10,8 +10,9 @@ the fixed point of resharing the excess until no source is above.
 
 Nulls: a null text has size 0, a null source is a source of its own that comes last, a null id counts
 as -1. Copies of a row decide alike. A source of size 0 has target 0 and takes nothing. Empty input
-gives no rows. The table of sources has one row each and is joined by salted keys, so that a source
-with a third of all rows is spread over `salts` keys.
+gives no rows. The table of sources has one row each. Where it is counted to hold at most `BROADCAST_BYTES`
+of names it is broadcast; beyond that it is joined by salted keys, so that a source with a third of all
+rows is spread over `SALTS` keys.
 """
 
 from __future__ import annotations
@@ -19,11 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gavelframe.llm.base import WORD, folded, mixed, table, word_count
+from gavelframe.llm.base import WORD, folded, mixed, table, word_count, written
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
 SALTS = 32
+BROADCAST_BYTES = 4 << 20
 SEED = 20261
 
 
@@ -55,17 +57,21 @@ def copies(rate: Column, key: str, seed: int = SEED) -> Column:
 
 
 def with_copies(docs: DataFrame, size: Column, source: str = "source", key: str = "doc_id",
-                weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
+                weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED,
+                broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Struct `row` of the input's columns, its `size`, `source_size`, `target` and the `copies` to take."""
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), size.alias("size"),
         F.col(f"`{source}`").alias("source"), F.expr(f"pmod(xxhash64(`{key}`), {SALTS})").alias("salt"),
     )
-    spread = targets(rows.select("source", "size"), weights, most).select(
-        F.col("source").alias("of"), "source_size", "target",
-        F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")).alias("salt_of"),
-    )
-    joined = rows.join(spread, F.col("source").eqNullSafe(F.col("of")) & (F.col("salt") == F.col("salt_of")))
+    aims = written(targets(rows.select("source", "size"), weights, most).withColumnRenamed("source", "of"), "targets")
+    held = aims.agg(F.sum(F.coalesce(F.octet_length("of"), F.lit(0)) + 32)).first()[0] or 0
+    same = F.col("source").eqNullSafe(F.col("of"))
+    if held <= broadcast_bytes:
+        joined = rows.join(F.broadcast(aims), same)
+    else:
+        spread = aims.withColumn("salt_of", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
+        joined = rows.join(spread, same & (F.col("salt") == F.col("salt_of")))
     rate = F.coalesce(F.col("target") / F.expr("nullif(source_size, 0)"), F.lit(0.0))
     return joined.select("row", "size", "source_size", "target", rate.alias("rate")).withColumn(
         "copies", copies(F.col("rate"), f"row`.`{key}", seed))

@@ -441,6 +441,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ch
         F.nullif(F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")), null).alias("component_id"))
 
 
+def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """`docs` with one document of each component: that with the smallest key.
+
+    Where keys are missing or repeat, rows are numbered and the first row of each component stays.
+    """
+    columns = docs.columns
+    unsure = docs.groupBy(key).count().where(f"count > 1 or `{key}` is null")
+    own = key
+    if not unsure.isEmpty():
+        own = "_" + "_".join(columns)  # no column is called so
+        docs = written(docs.withColumn(own, F.monotonically_increasing_id()), "numbered")
+    gone = near_duplicates(docs, own, text).where(F.col(f"`{own}`") != F.col("component_id")).select(F.col(f"`{own}`").alias("gone"))
+    return docs.join(written(gone, "gone"), F.col(f"`{own}`") == F.col("gone"), "left_anti").select(*[F.col(f"`{c}`") for c in columns])
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 

@@ -201,7 +201,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) ->
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    counts = [F.expr(f"size(filter(base, s -> s.kind = {k}))").cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select(
         "doc_id", *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"),
         _listed(F.sort_array(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_added"))
