@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gavelframe.llm.base import table
-from gavelframe.llm.packs import hash_words, runs, splitmix
+from gavelframe.llm.packs import hash_words, runs, slices, splitmix
 
 ITEMS, BYTES = 20_000, 16 << 20
 BLOCK = 16
@@ -179,7 +179,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (part for whole in batches for part in slices(whole, 1)):
                 found = shared.value.search(*hash_words(batch.column(1)))
                 if found:
                     r, i, s, q, a = zip(*found)
@@ -199,7 +199,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (part for whole in batches for part in slices(whole, place)):
                 keep = np.ones(batch.num_rows, bool)
                 keep[[x[0] for x in shared.value.search(*hash_words(batch.column(place)))]] = False
                 yield batch.filter(pa.array(keep))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gavelframe.llm.base import table, written
-from gavelframe.llm.packs import find_words, hash_ranges, splitmix, text_bytes
+from gavelframe.llm.packs import find_words, hash_ranges, slices, splitmix, text_bytes
 
 MIN_WORDS = 8
 NO_ID = np.iinfo(np.int64).max
@@ -84,7 +84,7 @@ def _halves(sums, back, a, b) -> np.ndarray:
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, line_no, n, line, halves) of every line with a word."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             ids = np.asarray(batch.column(0).fill_null(NO_ID))
             words, at, row, number = lines_of(batch.column(1))
             if not len(row):
@@ -106,7 +106,7 @@ def lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: i
 def variants(docs: DataFrame) -> DataFrame:
     """Of (numbers, text): (line, place, variant) with one word left out; place -1 is the line itself."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             words, at, row, number = lines_of(batch.column(1))
             if not len(row):
                 continue

@@ -38,11 +38,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gavelframe.llm.base import partitions, table, written
-from gavelframe.llm.packs import hash_words, runs, splitmix
+from gavelframe.llm.packs import hash_words, runs, slices, splitmix
 
 SHINGLE = 5
 MANY = 0xFFFF
-SLICE_DOCS = 10_000
+SLICE_DOCS, SLICE_BYTES = 10_000, 8 << 20
 CHUNK_TOKENS = 400_000
 NO_ID = np.iinfo(np.int64).max
 _K = np.random.default_rng(5).integers(1, 1 << 63, 2 * SHINGLE, dtype=np.uint64) | np.uint64(1)
@@ -206,8 +206,8 @@ def _share(rows: DataFrame, read, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
         for whole in batches:
-            for at in range(0, whole.num_rows, SLICE_DOCS):
-                yield from post(number, *read(whole.slice(at, SLICE_DOCS)), buckets, width)
+            for part in slices(whole, whole.num_columns - 1, SLICE_BYTES, SLICE_DOCS):
+                yield from post(number, *read(part), buckets, width)
                 number += 1
 
     return (rows.mapInArrow(run, POSTED).groupBy("grp").applyInArrow(_tell(width, buckets), SHARED)

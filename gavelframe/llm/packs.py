@@ -33,6 +33,17 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0]: off[-1]], off - off[0]
 
 
+def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 6 << 20, most_rows: int = 10_000):
+    """The batch in parts of bounded text, one row at least, so that arrays made of a part stay small."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
+    upto, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        before = int(upto[at - 1]) if at else 0
+        end = min(max(at + 1, int(np.searchsorted(upto, before + most_bytes, "right"))), at + most_rows)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def find_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte ranges of all words; a row's end ends a word."""
     if not len(data):
