@@ -162,7 +162,8 @@ def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", mi
     # the lines of a document are gathered: as many as it has, not as many as the corpus
     numbers = live.groupBy("first.doc_id").agg(F.collect_list("first.line_no").alias("numbers"))
     texts = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(int(NO_ID))).alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    again = written(texts.join(numbers, "doc_id"), "live-texts")
+    # merged at every size: which documents are live is not a bounded table
+    again = written(texts.join(numbers.hint("merge"), "doc_id"), "live-texts")
     emitted = written(variants(again).join(live, "line").distinct(), "variants")
 
     cut, own = emitted.where("place >= 0"), emitted.where("place < 0").select("variant", F.col("line").alias("short"), F.col("first").alias("short_first"))
