@@ -23,7 +23,7 @@ def title_case(text) -> Column:
     """Capital after every space and hyphen, as ``Boulogne-Billancourt``."""
     spaced = F.initcap(col(text))
     parts = F.split(spaced, "-")
-    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.left(p, F.lit(1))), F.substring(p, 2, 10000))), "-")
+    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.left(p, F.lit(1))), F.substr(p, F.lit(2)))), "-")
 
 
 def department_of(postal) -> Column:

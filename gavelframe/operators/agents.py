@@ -225,9 +225,10 @@ def is_agent_site(url="url", name="agent_name") -> Column:
     return ~holds(K.SOCIAL_DOMAINS) & (holds(K.AGENT_DIRECTORIES) | holds(K.AGENT_URL_WORDS) | F.coalesce(named, F.lit(False)))
 
 
-def rank_agent_sites(candidates: DataFrame, first: int = 10) -> DataFrame:
-    """First plausible link among each search's first ten: ``agent_name, city -> site``."""
-    ok = candidates.filter((F.col("pos") < first) & has_text("url") & ~F.col("url").contains("ad_domain") & is_agent_site())
+def rank_agent_sites(candidates: DataFrame, first: int | None = None) -> DataFrame:
+    """First plausible link of each search, or among its ``first`` results: ``agent_name, city -> site``."""
+    asked = F.lit(True) if first is None else F.col("pos") < first
+    ok = candidates.filter(asked & has_text("url") & ~F.col("url").contains("ad_domain") & is_agent_site())
     return ok.groupBy("agent_name", "city").agg(F.min_by("url", "pos").alias("site"))
 
 

@@ -71,6 +71,8 @@ def probe_comparables(listings: DataFrame, transactions: DataFrame, as_of, *,
         F.col("tx_date").isNull()
         | F.col("tx_date").between(F.date_sub(today, months * K.DAYS_PER_MONTH), today)
     ).filter(has_text("postal_code"))
+    # no surface (NULL or 0) passes every window, a negative one is a fault of the record
+    recent = recent.filter(F.col("surface_m2").isNull() | (F.col("surface_m2") >= 0))
     recent = with_type_words(recent, words).select(
         "postal_code", "type_word", "tx_key", "tx_date", "surface_m2", "price_m2", "price",
         "address", "commune",

@@ -36,11 +36,12 @@ def search_listings(listings: DataFrame, *, postal_code=None, city=None, propert
     return listings.orderBy(*_by_sale_date()) if ordered else listings
 
 
-def list_listings(listings: DataFrame, status: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
+def list_listings(listings: DataFrame, status: str | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
     """One page of listings in sale-date order."""
     if status:
         listings = listings.filter(F.col("status") == status)
-    return listings.orderBy(*_by_sale_date()).offset(offset).limit(limit)
+    page = listings.orderBy(*_by_sale_date()).offset(offset)
+    return page if limit is None else page.limit(limit)
 
 
 def is_upcoming(as_of, days: int | None = None) -> Column:
@@ -110,13 +111,14 @@ def in_price_band(price_m2="price_m2", low: float = K.MIN_PRICE_M2, high: float
 
 
 def list_adjudications(adjudications: DataFrame, postal_prefix: str | None = None,
-                       property_type: str | None = None, limit: int = 100) -> DataFrame:
+                       property_type: str | None = None, limit: int | None = None) -> DataFrame:
     a = adjudications
     if postal_prefix:
         a = a.filter(F.col("postal_code").startswith(postal_prefix))
     if property_type:
         a = a.filter(F.col("property_type") == property_type)
-    return a.orderBy(F.col("sale_date").desc_nulls_last(), "source", "postal_code", "hammer_price").limit(limit)
+    page = a.orderBy(F.col("sale_date").desc_nulls_last(), "source", "postal_code", "hammer_price")
+    return page if limit is None else page.limit(limit)
 
 
 def in_target_area(listings: DataFrame, postal_codes=None) -> DataFrame:

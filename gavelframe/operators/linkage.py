@@ -61,7 +61,8 @@ def _signed(rows: DataFrame) -> DataFrame:
 
 def _bucket(c: Column, tolerance: float) -> Column:
     half = tolerance / 2
-    return F.floor(F.log(c) / F.lit(math.log((1 + half) / (1 - half)))).cast("long")
+    steps = F.floor(F.log(F.abs(c)) / F.lit(math.log((1 + half) / (1 - half)))).cast("long")
+    return F.when(c < 0, -steps - (1 << 40)).otherwise(steps)
 
 
 def _classes(signed: DataFrame, own: str, other: str, other_masks: list[int]) -> DataFrame:

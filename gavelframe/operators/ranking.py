@@ -58,7 +58,7 @@ def latest_year(indicators: DataFrame, key: str = "insee") -> DataFrame:
     ).select(key, "newest.*", "recent")
 
 
-def first_distinct(items, cap: int | None = 20) -> Column:
+def first_distinct(items, cap: int | None = None) -> Column:
     """Array without repeats, first occurrence kept, at most ``cap`` items."""
     out = F.array_distinct(F.filter(col(items), lambda x: x.isNotNull() & (x != "")))
     return out if cap is None else F.slice(out, 1, cap)

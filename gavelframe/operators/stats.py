@@ -199,9 +199,9 @@ def weekly_visits(visits: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_visits"), F.avg("amount").alias("mean_amount"))
 
 
-def distinct_contents(items: DataFrame, group: list[str], content: str, min_size: int = 1000,
+def distinct_contents(items: DataFrame, group: list[str], content: str, min_size: int = 0,
                       tie: str = "item_key") -> DataFrame:
-    """One row per (group, content hash), tiny contents dropped.
+    """One row per (group, content hash), contents under ``min_size`` bytes dropped.
 
     Only the hash and the tie key are shuffled, never the contents.
     """

@@ -17,7 +17,7 @@ COLUMNS = [
 ESSENTIAL = COLUMNS[:15]
 
 
-def export_rows(listings: DataFrame, all_columns: bool = True) -> DataFrame:
+def export_rows(listings: DataFrame, all_columns: bool = True, chars: int | None = None) -> DataFrame:
     """The formatted export columns; missing values are empty."""
     def own(name: str) -> Column:
         return F.col(name) if name in listings.columns else F.lit(None).cast("string")
@@ -41,7 +41,7 @@ def export_rows(listings: DataFrame, all_columns: bool = True) -> DataFrame:
         "prix_marche_estime": number("market_value"), "prix_m2_marche": number("market_price_m2"),
         "decote_pourcent": number("discount_pct", 1), "score_opportunite": number("opportunity_score"),
         "recommandation": export_recommendation(own("discount_pct").cast("double")),
-        "description": F.left(text("description"), F.lit(500)),
+        "description": text("description") if chars is None else F.left(text("description"), F.lit(chars)),
     }
     return listings.select(*[made[c].alias(c) for c in (COLUMNS if all_columns else ESSENTIAL)])
 

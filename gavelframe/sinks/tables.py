@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gavelframe.functions.values import half_even
@@ -56,9 +56,18 @@ def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str], *, order: lis
 
 
 def insert_agents(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Agents unique by (name, firm), ids derived from them; id-less duplicates without firm stay apart."""
-    keyed = new.withColumn("agent_id", F.xxhash64("name", F.coalesce("firm", F.lit("")), F.coalesce("email", F.lit(""))))
-    return insert_ignore(old, keyed, ["name", "firm"])
+    """Agents unique by (name, firm), each with an id of its own.
+
+    The id is a hash of every column, NULL told from empty text. Agents with a NULL in their key
+    never collide, so equal ones of a batch are told apart by their position among their equals.
+    """
+    known = [c for c in new.columns if c != "agent_id"]
+    marked = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in known]
+    told = new.withColumn("agent_id", F.xxhash64(*marked))
+    again = Window.partitionBy("agent_id").orderBy("name")
+    loose = told.filter(~_complete_key(["name", "firm"])).withColumn("_n", F.row_number().over(again)).withColumn(
+        "agent_id", F.xxhash64("agent_id", "_n")).drop("_n")
+    return insert_ignore(old, told.filter(_complete_key(["name", "firm"])).unionByName(loose), ["name", "firm"])
 
 
 def insert_adjudications(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -114,3 +123,11 @@ def upsert_table(new: DataFrame, base: str, keys: list[str], *, order: list[str]
     old = spark.read.parquet(f"{base}/version={versions[-1]}") if versions else None
     out = latest_by_key(new, keys, list(order)) if old is None else upsert(old, new, keys, order=order)
     return write_next(out, base, version)
+
+
+def merge_table(new: DataFrame, base: str, keys: list[str], *, order: list[str], version: int | None = None) -> int:
+    """As `upsert_table`, but the newest by ``order`` wins wherever it comes from, so late rows change nothing."""
+    spark = new.sparkSession
+    versions = [v for v in _versions(spark, base) if version is None or v < version]
+    both = new if not versions else spark.read.parquet(f"{base}/version={versions[-1]}").unionByName(new, allowMissingColumns=True)
+    return write_next(latest_by_key(both, keys, order), base, version)

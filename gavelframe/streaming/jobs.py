@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from gavelframe.sinks.tables import upsert_table, write_next
+from gavelframe.sinks.tables import merge_table, read_current, write_next
 
 
 def file_stream(spark: SparkSession, folder: str, schema, *, files_per_batch: int | None = None, name_filter: str | None = None) -> DataFrame:
@@ -20,19 +20,17 @@ def file_stream(spark: SparkSession, folder: str, schema, *, files_per_batch: in
 
 
 def stream_upsert(rows: DataFrame, base: str, checkpoint: str, *, key: str = "url", time: str = "updated_at",
-                  delay: str = "30 days", order: list[str] = ()) -> StreamingQuery:
+                  order: list[str] = ()) -> StreamingQuery:
     """Upsert a stream of listings into the table at ``base``, all data available now.
 
-    Exact repeats of a key and time are dropped inside the delay; rows that come later reach
-    the upsert, where the newest time wins anyway. Each batch writes the snapshot of its own
-    number, so a replayed batch is harmless.
+    Nothing is dropped before the upsert: late rows, rows of one time and repeats all reach it,
+    and the newest by (time, order) of table and batch together stays. Each batch writes the
+    snapshot of its own number, so a replayed batch is harmless.
     """
-    once = rows.withWatermark(time, delay).dropDuplicatesWithinWatermark([key, time])
-
     def merge(batch: DataFrame, batch_id: int) -> None:
-        upsert_table(batch, base, [key], order=[time, *order], version=batch_id)
+        merge_table(batch, base, [key], order=[time, *order], version=batch_id)
 
-    return (once.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    return (rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
@@ -53,14 +51,24 @@ def stream_weekly_stats(visits: DataFrame, base: str, checkpoint: str) -> Stream
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def ttl_latest(values: DataFrame, ttl: str, *, key: str = "cache_key", time: str = "cached_at") -> DataFrame:
-    """Newest value of each key over a stream, gone once ``ttl`` behind the watermark.
+def stream_values(values: DataFrame, base: str, checkpoint: str, *, key: str = "cache_key", time: str = "cached_at",
+                  order: list[str] = ()) -> StreamingQuery:
+    """Keep the newest value of each key as a table; `live_values` reads it."""
+    return stream_upsert(values, base, checkpoint, key=key, time=time, order=order)
+
+
+def live_values(spark: SparkSession, base: str, now, hours: int, *, key: str = "cache_key", time: str = "cached_at") -> DataFrame:
+    """The table's values that are younger than ``hours`` at ``now``; expired ones are hidden."""
+    return latest_fresh(read_current(spark, base), now, hours, key=key, time=time)
+
+
+def expired_values(values: DataFrame, ttl: str, delay: str, *, key: str = "cache_key", time: str = "cached_at") -> DataFrame:
+    """Values that have expired: the newest of each ttl-wide session of a key, once ``ttl`` behind the watermark.
 
-    Each key keeps its newest value per ttl-wide session of activity; a key that stays quiet
-    for ``ttl`` closes, its state is dropped, and the closed value is emitted (append mode).
+    ``delay`` is how far rows may come out of order across batches; later ones are dropped.
     """
     others = [c for c in values.columns if c not in (key, time)]
-    return (values.withWatermark(time, "0 seconds").groupBy(key, F.session_window(time, ttl).alias("s"))
+    return (values.withWatermark(time, delay).groupBy(key, F.session_window(time, ttl).alias("s"))
             .agg(F.max_by(F.struct(time, *others), time).alias("v"))
             .select(key, "v.*", F.col("s.end").alias("expires_at")))
 

@@ -114,4 +114,4 @@ def rank_agent_sites(spark, sf_dir):
     c = T.read(spark, sf_dir, "events").select(
         F.expr("'Me Dupont ' || user_id").alias("agent_name"), F.col("event_type").alias("city"),
         (F.row_number().over(w) - 1).alias("pos"), F.expr(_CANDIDATES).alias("url"))
-    return A.rank_agent_sites(c)
+    return A.rank_agent_sites(c, 10)

@@ -190,4 +190,4 @@ SELECT d.doc_id, coalesce(string_agg(w, ' ' ORDER BY p), '') AS words FROM docum
 def first_distinct(spark, sf_dir):
     """Order-preserving distinct of a list, first 20 kept."""
     d = T.read(spark, sf_dir, "documents")
-    return d.select("doc_id", F.array_join(R.first_distinct(F.split("text", " ")), " ").alias("words"))
+    return d.select("doc_id", F.array_join(R.first_distinct(F.split("text", " "), 20), " ").alias("words"))

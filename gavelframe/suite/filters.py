@@ -83,7 +83,7 @@ WHERE postal_code LIKE '93%' AND property_type = 'Maison'
 ORDER BY sale_date DESC NULLS LAST, source, postal_code, hammer_price LIMIT 100""")
 def list_adjudications(spark, sf_dir):
     rows = ST.with_own_price_m2(T.domain(spark, sf_dir, "adjudications"))
-    return FL.list_adjudications(rows, "93", "Maison").select("source", "sale_date", "postal_code", "hammer_price", "price_m2")
+    return FL.list_adjudications(rows, "93", "Maison", 100).select("source", "sale_date", "postal_code", "hammer_price", "price_m2")
 
 
 @query("in_target_area", T.cte("listings") + f"""

@@ -230,14 +230,14 @@ def newest(spark, sf_dir):
 
 @query("content_dedup", """
 SELECT source, lang, md5(text) AS content_hash, min(doc_id) AS doc_id, any_value(strlen(text)) AS size
-FROM documents WHERE strlen(text) >= 1000 GROUP BY source, lang, md5(text)""", headline=True)
+FROM documents WHERE text IS NOT NULL GROUP BY source, lang, md5(text)""", headline=True)
 def content_dedup(spark, sf_dir):
     return ST.distinct_contents(T.read(spark, sf_dir, "documents"), ["source", "lang"], "text", tie="doc_id")
 
 
 @query("content_totals", """
 SELECT count(*) AS total_items, count(DISTINCT source) AS owners, round_even(sum(size) / 1048576.0 * 100, 0) / 100 AS total_size_mb FROM (
-  SELECT source, any_value(strlen(text)) AS size FROM documents WHERE strlen(text) >= 1000 GROUP BY source, lang, md5(text))""")
+  SELECT source, any_value(strlen(text)) AS size FROM documents WHERE text IS NOT NULL GROUP BY source, lang, md5(text))""")
 def content_totals(spark, sf_dir):
     kept = ST.distinct_contents(T.read(spark, sf_dir, "documents"), ["source", "lang"], "text", tie="doc_id")
     return ST.content_totals(kept, "source")

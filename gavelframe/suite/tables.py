@@ -108,13 +108,15 @@ def upsert_batch(spark, sf_dir):
 
 
 @query("insert_ignore_agents", T.cte("agents") + """
-SELECT name, firm, phone FROM agents WHERE agent_id % 2 = 0
-UNION ALL SELECT name, firm, 'new ' || phone FROM agents WHERE agent_id % 2 = 1 OR firm IS NULL""")
+SELECT name, firm, phone, 1::BIGINT AS holders FROM agents WHERE agent_id % 2 = 0
+UNION ALL SELECT name, firm, 'new ' || phone, 1::BIGINT FROM agents WHERE agent_id % 2 = 1 OR firm IS NULL""")
 def insert_ignore_agents(spark, sf_dir):
     """Known (name, firm) stay as they are, agents without a firm never collide."""
     a = T.domain(spark, sf_dir, "agents")
     new = a.withColumn("phone", F.concat(F.lit("new "), F.col("phone")))
-    return TB.insert_agents(a.filter("agent_id % 2 = 0"), new).select("name", "firm", "phone")
+    out = TB.insert_agents(a.filter("agent_id % 2 = 0"), new)
+    ids = out.groupBy("agent_id").agg(F.count(F.lit(1)).alias("holders"))
+    return out.join(ids, "agent_id").select("name", "firm", "phone", "holders")
 
 
 @query("insert_ignore_adjudications", T.cte("adjudications") + """
@@ -195,7 +197,7 @@ def stream_weekly_stats(spark, sf_dir):
 
 
 @query("stream_upsert", """
-SELECT user_id, max(event_id) AS event_id, max_by(value, event_id) AS value FROM events GROUP BY user_id""", headline=True)
+SELECT user_id, max_by(event_id, (ts, event_id)) AS event_id, max_by(value, (ts, event_id)) AS value FROM events GROUP BY user_id""", headline=True)
 def stream_upsert(spark, sf_dir):
     """Events streamed into a table of each user's newest row."""
     folder = TB.shared_folder(spark, "stream")
@@ -212,17 +214,28 @@ def ttl_latest(spark, sf_dir):
     return J.latest_fresh(e, "2024-01-31 12:00:00", 24).select("cache_key", "value", "event_id")
 
 
-@query("stream_ttl_latest", """
+@query("stream_expired_values", """
 WITH g AS (SELECT user_id, event_id, ts, value, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS starts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM g)
 SELECT user_id AS cache_key, max_by(value, ts) AS value, strftime(max(ts) + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') AS expires_at FROM s
 GROUP BY user_id, session HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events)""")
-def stream_ttl_latest(spark, sf_dir):
+def stream_expired_values(spark, sf_dir):
     """Values that expired (6 quiet hours) while the stream ran."""
     folder = TB.shared_folder(spark, "ttl")
     values = _event_stream(spark, sf_dir).select(F.col("user_id").alias("cache_key"), "value", F.col("ts").alias("cached_at"))
-    q = (J.ttl_latest(values, "6 hours").writeStream.outputMode("append").format("parquet")
+    q = (J.expired_values(values, "6 hours", "0 seconds").writeStream.outputMode("append").format("parquet")
          .option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("cache_key", "value", F.date_format("expires_at", "yyyy-MM-dd HH:mm:ss").alias("expires_at"))
 
+
+
+@query("stream_ttl_latest", """
+SELECT user_id AS cache_key, max_by(value, (ts, event_id)) AS value, max_by(event_id, (ts, event_id)) AS event_id FROM events
+GROUP BY user_id HAVING TIMESTAMP '2024-01-31 12:00:00' - max(ts) < INTERVAL 24 HOUR""")
+def stream_ttl_latest(spark, sf_dir):
+    """Values streamed into a table; at a fixed time the live ones are read and the expired hidden."""
+    folder = TB.shared_folder(spark, "values")
+    values = _event_stream(spark, sf_dir).select(F.col("user_id").alias("cache_key"), "value", "event_id", F.col("ts").alias("cached_at"))
+    J.stream_values(values, f"{folder}/table", f"{folder}/state", order=["event_id"]).awaitTermination()
+    return J.live_values(spark, f"{folder}/table", "2024-01-31 12:00:00", 24).select("cache_key", "value", "event_id")

@@ -206,7 +206,7 @@ def _diag_sql(word: str) -> str:
 SELECT page_id, left(trim(coalesce({', '.join(rx(p, 'body') for p in P.DESCRIPTIONS)})), 500) AS description,
   concat_ws(', ', {', '.join(_diag_sql(w) for w in K.DIAGNOSTICS)}) AS diagnostics FROM n""")
 def parse_description_diagnostics(spark, sf_dir):
-    return notices(spark, sf_dir).select("page_id", FD.description("body").alias("description"),
+    return notices(spark, sf_dir).select("page_id", FD.description("body", 500).alias("description"),
                                          F.array_join(FD.diagnostics("body"), ", ").alias("diagnostics"))
 
 

@@ -165,7 +165,7 @@ def agent_email(text) -> Column:
 
 
 def agent_firm(text) -> Column:
-    return F.left(F.trim(matched(P.FIRM, text)), F.lit(100))
+    return F.trim(matched(P.FIRM, text))
 
 
 def court(text, courts: dict | None = None) -> Column:
@@ -185,7 +185,7 @@ def occupancy(text) -> Column:
         hit = t.rlike(pattern)
         if value is None:
             said = F.trim(F.regexp_extract(t, pattern, 1))
-            value = F.concat(F.upper(F.left(said, F.lit(1))), F.substring(said, 2, 10000))
+            value = F.concat(F.upper(F.left(said, F.lit(1))), F.substr(said, F.lit(2)))
         out = F.when(hit, value) if out is None else out.when(hit, value)
     return out
 
@@ -231,8 +231,10 @@ def finance(text) -> dict[str, Column]:
     }
 
 
-def description(text, chars: int = 500) -> Column:
-    return F.left(F.trim(first_of(P.DESCRIPTIONS, text)), F.lit(chars))
+def description(text, chars: int | None = None) -> Column:
+    """The description, whole or its first ``chars`` characters (500 on list pages, 2000 on detail pages)."""
+    whole = first_of(P.DESCRIPTIONS, text)
+    return F.trim(whole if chars is None else F.left(whole, F.lit(chars)))
 
 
 def diagnostics(text) -> Column:
@@ -312,7 +314,7 @@ def report_of(documents="documents") -> Column:
     return F.try_element_at(hits, F.lit(1))["url"]
 
 
-def photos(html, base=None, cap: int = 20) -> Column:
+def photos(html, base=None, cap: int | None = None) -> Column:
     """Photo urls: images (unwrapping resizer urls), then files named in scripts; no repeats."""
     h = col(html)
     origin = F.regexp_extract(col(base), r"^(https?://[^/?#]+)", 1) if base is not None else F.lit("")
@@ -324,10 +326,11 @@ def photos(html, base=None, cap: int = 20) -> Column:
 
     images = F.transform(F.filter(all_matches(P.IMAGE, h), lambda s: ~F.lower(s).contains("placeholder")), shown)
     static = F.transform(all_matches(P.STATIC_PHOTO, h), lambda p: F.concat(origin, p))
-    return F.slice(F.array_distinct(F.concat(images, static)), 1, cap)
+    found = F.array_distinct(F.concat(images, static))
+    return found if cap is None else F.slice(found, 1, cap)
 
 
-def merge_document_list(documents, report_url, cap: int = 8) -> Column:
+def merge_document_list(documents, report_url, cap: int | None = None) -> Column:
     """Documents with the report put first unless one already names it."""
     docs = F.coalesce(col(documents), F.array())
     named = F.exists(docs, lambda d: F.lower(F.coalesce(d["url"], F.lit(""))).contains("pv")
@@ -335,4 +338,4 @@ def merge_document_list(documents, report_url, cap: int = 8) -> Column:
     report = F.struct(F.lit("PV Descriptif").alias("name"), col(report_url).alias("url"),
                       F.lit("Procès-verbal de description").alias("type"))
     ahead = F.when(text_or_null(report_url).isNotNull() & ~named, F.concat(F.array(report), docs)).otherwise(docs)
-    return F.slice(ahead, 1, cap)
+    return ahead if cap is None else F.slice(ahead, 1, cap)

@@ -87,14 +87,14 @@ def read_pages(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInPandas(parse, PAGE_SCHEMA)
 
 
-def page_digest(parsed: DataFrame, max_chars: int | None = None) -> DataFrame:
+def page_digest(parsed: DataFrame, max_chars: int | None = None, images: int | None = None) -> DataFrame:
     """Title, text, image and document lines of a page as one text; whole unless ``max_chars`` is given."""
     shown = F.filter("images", lambda s: ~F.lower(s).rlike("|".join(K.DECORATIVE_IMAGE_WORDS)))
     docs = F.filter("links", lambda a: F.lower(a["url"]).contains(".pdf") | F.lower(a["title"]).rlike("cahier|pv|document|télécharger"))
     whole = F.concat_ws(
         "\n",
         F.when(F.col("title") != "", F.concat(F.lit("TITRE: "), F.col("title"))), F.col("text"),
-        F.when(F.size(shown) > 0, F.concat(F.lit("\nIMAGES: "), F.array_join(F.slice(shown, 1, 10), ", "))),
+        F.when(F.size(shown) > 0, F.concat(F.lit("\nIMAGES: "), F.array_join(shown if images is None else F.slice(shown, 1, images), ", "))),
         F.when(F.size(docs) > 0, F.concat(F.lit("\nDOCUMENTS: "), F.array_join(
             F.transform(docs, lambda d: F.concat(d["title"], F.lit(": "), d["url"])), ", "))))
     return parsed.withColumn("digest", F.left(whole, F.lit(max_chars)) if max_chars else whole)

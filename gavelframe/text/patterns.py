@@ -14,9 +14,9 @@ PRICES_LOW = [
     r"([\d\s,.]+)\s*(?:€|euros?)",
 ]
 SALE_DATES_LOW = [
-    r"(?:vente|adjudication|audience)\s+(?:le\s+)?(\d{1,2}/\d{1,2}/\d{4})",
     r"(?:vente|adjudication|audience)\s+(?:le\s+)?(\d{1,2}(?:er)?\s+[a-zà-ÿ]+\s+\d{4})",
     r"(\d{1,2}(?:er)?\s+[a-zà-ÿ]+\s+\d{4})\s+à\s+\d{1,2}h",
+    r"(?:vente|adjudication|audience)\s+(?:le\s+)?(\d{1,2}/\d{1,2}/\d{4})",
     r"le\s+(\d{1,2}/\d{1,2}/\d{4})",
 ]
 SALE_TIME = r"[àa]\s+(\d{1,2})\s*[hH:]\s*(\d{0,2})"
@@ -86,8 +86,8 @@ FEES_LOW = r"frais\s+(?:prévisionnels|estimés)\s*:?\s*([\d\s,.]+)\s*(?:€|eur
 DEBT_LOW = r"(?:créance|montant\s+dû)\s*:?\s*([\d\s,.]+)\s*(?:€|euros?)"
 CASE_NUMBER = r"(?:RG|n°)\s*(\d{2}/\d+)"
 DESCRIPTIONS = [
-    r"(?is)(?:description|d[ée]signation)\s*:?\s*(.{100,500})",
-    r"(?is)(?:le bien|l'immeuble)\s+(?:comprend|se compose)\s+(.{100,500})",
+    r"(?is)(?:description|d[ée]signation)\s*:?\s*(.{100,})",
+    r"(?is)(?:le bien|l'immeuble)\s+(?:comprend|se compose)\s+(.{100,})",
 ]
 
 SOURCE_IDS = {
