@@ -31,9 +31,9 @@ STOP_WORDS = (
 #: name, metric, least, most
 RULES = (
     ("mean_word_length", "mean_word_length", 1.5, 30.0),
-    ("symbol_ratio", "symbol_ratio", None, 0.25),
+    ("symbols_per_word", "symbols_per_word", None, 0.1),
     ("stop_words", "stop_words", 1.0, None),
-    ("dup_line_ratio", "dup_line_ratio", None, 0.30),
+    ("dup_line_ratio", "dup_line_ratio", None, 0.40),
 )
 
 
@@ -111,7 +111,7 @@ def judged(docs: DataFrame, rules=RULES, text: str = "text", key: str = "doc_id"
     return (
         metrics(docs, text, key)
         .withColumn("mean_word_length", F.col("word_chars") / n)
-        .withColumn("symbol_ratio", F.col("n_symbols") / F.expr("nullif(word_chars, 0)"))
+        .withColumn("symbols_per_word", F.col("n_symbols") / n)
         .withColumn("dup_line_ratio", F.col("n_dup_lines") / F.expr("nullif(n_lines, 0)"))
         .withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
         .withColumn("kept", ~F.col("base_failed") & good)
@@ -147,8 +147,8 @@ based AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed
   AND NOT coalesce(word_chars / nullif(n_words, 0) < 1.5 OR word_chars / nullif(n_words, 0) > 30.0, false)
-  AND NOT coalesce(n_symbols / nullif(word_chars, 0) > 0.25, false)
+  AND NOT coalesce(n_symbols / nullif(n_words, 0) > 0.1, false)
   AND NOT stop_words < 1.0
-  AND NOT coalesce(n_dup_lines / nullif(n_lines, 0) > 0.30, false) AS kept
+  AND NOT coalesce(n_dup_lines / nullif(n_lines, 0) > 0.40, false) AS kept
 FROM based
 """
