@@ -74,7 +74,7 @@ TABLES: dict[str, dict] = {
     },
     "listings": {
         "from": _LINES,
-        "where": "l_shipdate >= DATE '1997-12-02' AND l_shipdate <= DATE '1998-04-01'",
+        "where": None,
         "columns": {
             "listing_key": _LINE_KEY,
             "source": "CASE l_suppkey % 3 WHEN 0 THEN 'site_a' WHEN 1 THEN 'site_b' ELSE 'site_c' END",
@@ -103,7 +103,7 @@ TABLES: dict[str, dict] = {
     },
     "adjudications": {
         "from": ("orders", [("customer", "o_custkey", "c_custkey")]),
-        "where": "o_orderstatus = 'F'",
+        "where": None,
         "columns": {
             "source": "CASE o_orderkey % 2 WHEN 0 THEN 'site_a' ELSE 'site_b' END",
             "source_url": "'https://ventes.example/' || CAST(o_orderkey AS STRING)",

@@ -86,7 +86,7 @@ def decode_stored_rows(spark, sf_dir):
 
 
 @query("upsert_listings", T.cte("listings") + """
-SELECT url, max_by(listing_key, listing_key) AS listing_key, max_by(start_price, listing_key) AS start_price FROM listings GROUP BY url""", headline=True)
+SELECT url, max_by(listing_key, listing_key) AS listing_key, max_by({'p': start_price}, listing_key).p AS start_price FROM listings GROUP BY url""", headline=True)
 def upsert_listings(spark, sf_dir):
     """Low line numbers as the stored table, the others as the batch; a url keeps its newest row."""
     rows = T.listings(spark, sf_dir).select("url", "listing_key", "start_price")

@@ -92,4 +92,5 @@ def test_week_starts_on_monday(spark):
 def test_contents_equal_inside_group_only_once(spark):
     df = spark.createDataFrame([(1, "a", "x" * 1000), (2, "a", "x" * 1000), (3, "b", "x" * 1000), (4, "a", "x" * 999)],
                                "item_key int, g string, body string")
-    assert ST.distinct_contents(df, ["g"], "body").select("item_key").orderBy("item_key").collect() == [(1,), (3,)]
+    assert ST.distinct_contents(df, ["g"], "body", min_size=1000).select("item_key").orderBy("item_key").collect() == [(1,), (3,)]
+    assert ST.distinct_contents(df, ["g"], "body").select("item_key").orderBy("item_key").collect() == [(1,), (3,), (4,)]
