@@ -242,7 +242,7 @@ def test_html_text(spark):
 def test_decontamination(spark, odd, empty):
     words = (_texts()[13]).split(" ")
     items = [(1, " ".join(words[500:530])), (2, " ".join(words[900:950])), (3, " ".join(f"q{i}" for i in range(40))), (4, None), (5, ""), (6, " ".join(words[500:530]))]
-    bench = spark.createDataFrame(items, "item_id long, text string, score string")
+    bench = spark.createDataFrame([(*x, "clash") for x in items], "item_id long, text string, score string")
     assert sorted((r.doc_id, r.item_id) for r in decontam.matches(odd, bench).collect()) == [(13, 1), (13, 2), (13, 6)]
     kept = decontam.clean(odd, bench)
     assert kept.columns == odd.columns and kept.count() == odd.count() - 1
