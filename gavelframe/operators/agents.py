@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gavelframe.functions import constants as K
 from gavelframe.functions.values import has_number, has_text, text_or_null
+from gavelframe.text import patterns as P
 
 
 def _city_pairs(notices: DataFrame, listings: DataFrame) -> DataFrame:
@@ -226,13 +227,17 @@ def is_agent_site(url="url", name="agent_name") -> Column:
 
 
 def rank_agent_sites(candidates: DataFrame, first: int | None = None) -> DataFrame:
-    """First plausible link of each search, or among its ``first`` results: ``agent_name, city -> site``."""
+    """First plausible link (redirects unwrapped) of each search, or among its ``first`` results: ``agent_name, city -> site``."""
     asked = F.lit(True) if first is None else F.col("pos") < first
+    inner = F.regexp_extract("url", P.REDIRECT, 1)
+    candidates = candidates.withColumn("url", F.when(has_text("url") & ~F.col("url").contains("ad_domain") & (inner != ""),
+                                                     F.try_url_decode(inner)).otherwise(F.col("url")))
     ok = candidates.filter(asked & has_text("url") & ~F.col("url").contains("ad_domain") & is_agent_site())
     return ok.groupBy("agent_name", "city").agg(F.min_by("url", "pos").alias("site"))
 
 
 def fill_agent_sites(listings: DataFrame, sites: DataFrame) -> DataFrame:
-    s = sites.select("agent_name", "city", F.col("site").alias("_site"))
-    return listings.join(s, ["agent_name", "city"], "left").withColumn(
-        "agent_site", F.coalesce(text_or_null("agent_site"), F.col("_site"))).drop("_site")
+    s = sites.select(F.col("agent_name").alias("_name"), F.coalesce("city", F.lit("")).alias("_city"), F.col("site").alias("_site"))
+    same = (F.col("agent_name") == F.col("_name")) & (F.coalesce("city", F.lit("")) == F.col("_city"))
+    return listings.join(s, same, "left").withColumn(
+        "agent_site", F.coalesce(text_or_null("agent_site"), F.col("_site"))).drop("_name", "_city", "_site")

@@ -198,8 +198,9 @@ TABLES: dict[str, dict] = {
                     " WHEN 1 THEN 'Une maison avec jardin, surface habitable de ' || CAST(60 + s_suppkey % 90 AS STRING) || ' m2, 5 pièces, '"
                     " WHEN 2 THEN 'Un local commercial de ' || CAST(30 + s_suppkey % 50 AS STRING) || '.25 m², '"
                     " ELSE 'Un parking en sous-sol, lot n°' || CAST(s_suppkey % 200 AS STRING) || ', ' END"
-                    " || CAST(1 + s_suppkey % 150 AS STRING) || ', rue de la République, ' || "
-                    + _POSTAL.format(nation="s_nationkey", key="s_suppkey") + " || ' Ville-' || n_name || '\n'"
+                    " || CASE WHEN s_suppkey % 7 = 6 THEN 'situé quartier des Chartreux ' ELSE CAST(1 + s_suppkey % 150 AS STRING) || ', rue de la République, ' END"
+                    " || CASE s_suppkey % 7 WHEN 3 THEN 'à Marseille ' || CAST(1 + s_suppkey % 16 AS STRING) || 'ème' WHEN 5 THEN 'commune de La Seyne-sur-Mer' ELSE "
+                    + _POSTAL.format(nation="s_nationkey", key="s_suppkey") + " || ' Ville-' || n_name END || '\n'"
                     " || CASE s_suppkey % 3 WHEN 0 THEN 'Mise à prix : ' || CAST(10 + s_suppkey % 90 AS STRING) || ' 000 €'"
                     " WHEN 1 THEN 'mise a prix: ' || CAST(1 + s_suppkey % 9 AS STRING) || '.250.000,50 euros'"
                     " ELSE 'Prix : ' || CAST(100 + s_suppkey % 900 AS STRING) || ' 500 €' END || '\n'"
@@ -219,6 +220,7 @@ TABLES: dict[str, dict] = {
                     " || 'Section AB n° ' || CAST(s_suppkey AS STRING) || ' DPE : ' || CASE s_suppkey % 3 WHEN 0 THEN 'D' WHEN 1 THEN 'G' ELSE 'A' END || ', amiante : absence\n'"
                     " || 'Frais prévisionnels : 4 500,25 € ; créance : ' || CAST(100 + s_suppkey % 100 AS STRING) || ' 000 € ; RG 23/0' || CAST(s_suppkey AS STRING) || '\n'"
                     " || 'Maître Jeanne Dupont, SCP Martin et Associés, Tél : 01 40 20 30 ' || lpad(CAST(s_suppkey % 100 AS STRING), 2, '0') || ' contact@cabinet' || CAST(s_suppkey AS STRING) || '.example.fr\n'"
+                    " || CASE WHEN s_suppkey % 3 = 1 THEN CAST(1 + s_suppkey % 90 AS STRING) || ' rue du Palais - 75001 Paris\n' ELSE '' END"
                     " || 'Désignation : le bien comprend une entrée, un séjour, une cuisine, une salle de bains, des toilettes et une cave, le tout en bon état général et sans travaux urgents à prévoir.'",
         },
     },

@@ -95,7 +95,7 @@ def agent_catalog_lookup(spark, sf_dir):
 
 
 _CANDIDATES = ("CASE event_id % 5 WHEN 0 THEN 'https://www.linkedin.com/in/avocat' || event_id WHEN 1 THEN 'https://news.example/' || event_id"
-               " WHEN 2 THEN 'https://annuaire-avocat.fr/' || event_id WHEN 3 THEN 'https://dupont-' || event_id || '.example' ELSE 'https://ad_domain.example/cabinet' END")
+               " WHEN 2 THEN 'https://annuaire-avocat.fr/' || event_id WHEN 3 THEN 'https://search.example/l/?uddg=https%3A%2F%2Fdupont-' || event_id || '.example&rut=1' ELSE 'https://ad_domain.example/cabinet' END")
 
 
 def _any(words):
@@ -104,7 +104,8 @@ def _any(words):
 
 @query("rank_agent_sites", f"""
 WITH c AS (SELECT 'Me Dupont ' || user_id AS agent_name, event_type AS city, event_id,
-    row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1 AS pos, {_CANDIDATES} AS url FROM events)
+    row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1 AS pos,
+    CASE event_id % 5 WHEN 3 THEN 'https://dupont-' || event_id || '.example' ELSE {_CANDIDATES} END AS url FROM events)
 SELECT agent_name, city, min_by(url, pos) AS site FROM c
 WHERE pos < 10 AND NOT contains(url, 'ad_domain') AND NOT {_any(K.SOCIAL_DOMAINS)}
   AND ({_any(K.AGENT_DIRECTORIES + K.AGENT_URL_WORDS)} OR contains(lower(url), 'dupont')) GROUP BY agent_name, city""")
@@ -115,3 +116,16 @@ def rank_agent_sites(spark, sf_dir):
         F.expr("'Me Dupont ' || user_id").alias("agent_name"), F.col("event_type").alias("city"),
         (F.row_number().over(w) - 1).alias("pos"), F.expr(_CANDIDATES).alias("url"))
     return A.rank_agent_sites(c, 10)
+
+
+@query("fill_agent_sites", """
+WITH own AS (SELECT agent_id, name AS agent_name, CASE WHEN agent_id % 2 = 0 THEN NULL ELSE 'Paris' END AS city, site FROM ("""
+       + T.cte("agents") + """ SELECT * FROM agents))
+SELECT agent_id, coalesce(nullif(site, ''), CASE WHEN agent_id % 3 = 0 THEN 'https://cabinet.example/' || agent_id END) AS agent_site FROM own""")
+def fill_agent_sites(spark, sf_dir):
+    """Missing sites from those found, by name and city (also where the city is unknown)."""
+    own = T.domain(spark, sf_dir, "agents").select(
+        "agent_id", F.col("name").alias("agent_name"), F.expr("CASE WHEN agent_id % 2 = 0 THEN NULL ELSE 'Paris' END").alias("city"),
+        F.col("site").alias("agent_site"))
+    found = own.filter("agent_id % 3 = 0").select("agent_name", "city", F.expr("'https://cabinet.example/' || agent_id").alias("site"))
+    return A.fill_agent_sites(own, found).select("agent_id", "agent_site")

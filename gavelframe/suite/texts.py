@@ -130,26 +130,57 @@ def _addr_sql(p: str) -> str:
     return f"CASE WHEN NOT regexp_matches(lower({c}), {q(P.NOT_ADDRESS_LOW)}) AND length({c}) > 10 THEN {c} END"
 
 
+_PLACE = f"trim({rx(P.PLACE_IN_SENTENCE, 's')})"
+_ADDRESS = f"coalesce({', '.join(_addr_sql(p) for p in P.ADDRESSES)}, CASE WHEN NOT regexp_matches({_PLACE}, {q(P.NOT_PLACE)}) THEN {_PLACE} END)"
+
+
 @query("parse_address", TEXTS + f"""
-SELECT page_id, coalesce({', '.join(_addr_sql(p) for p in P.ADDRESSES)}) AS address FROM (SELECT page_id, {_CUT} AS s FROM n)""")
+SELECT page_id, {_ADDRESS} AS address FROM (SELECT page_id, {_CUT} AS s FROM n)""")
 def parse_address(spark, sf_dir):
     return notices(spark, sf_dir).select("page_id", FD.address("body").alias("address"))
 
 
-@query("parse_location", TEXTS + f"""
-SELECT page_id, coalesce({rx(P.postal_pattern(DEPARTMENTS), 'body')}, {rx(P.URL_CITY, 'url', 2)} || '000') AS postal_code,
-  left(coalesce({rx(P.postal_pattern(DEPARTMENTS), 'body')}, {rx(P.URL_CITY, 'url', 2)} || '000'), 2) AS department,
-  coalesce({rx(P.city_after_postal(DEPARTMENTS), 'body')}, {rx(P.CITY_AFTER_A, 'body')}) AS city FROM n""")
+def title_sql(x: str) -> str:
+    return f"array_to_string(list_transform(string_split({x}, ' '), lambda w: array_to_string(list_transform(string_split(w, '-'), lambda c: upper(c[1:1]) || c[2:]), '-')), ' ')"
+
+
+def _located_sql() -> str:
+    """Postal code and city of every notice: text, url, named city, numbered district."""
+    named = "CASE " + " ".join(f"WHEN regexp_matches(ls, {q(P.named_city(c))}) THEN {q(c)}" for c in K.SOUTHERN_CITIES) + " END"
+    codes = "CASE named " + " ".join(f"WHEN {q(c)} THEN {q(p)}" for c, p in K.SOUTHERN_CITIES.items()) + " END"
+    return f"""
+cuts AS (SELECT *, {_CUT} AS s, lower({_CUT}) AS ls FROM n),
+places AS (
+  SELECT *, coalesce({rx(P.postal_pattern(DEPARTMENTS), 's')}, {rx(P.URL_CITY, 'url', 2)} || '000') AS code,
+    coalesce({rx(P.city_after_postal(DEPARTMENTS), 's')}, {rx(P.CITY_AFTER_A, 's')},
+      {title_sql(f"replace({rx(P.URL_CITY, 'url', 1)}, '-', ' ')")}) AS place FROM cuts),
+filled AS (
+  SELECT page_id, url, body, t, s, ls, coalesce(place, {title_sql("replace(named, '-', ' ')")}) AS place, coalesce(code, {codes}) AS code
+  FROM (SELECT *, CASE WHEN place IS NULL THEN {named} END AS named FROM places)),
+numbered AS (SELECT *, CASE WHEN contains(lower(place), 'marseille') THEN {rx(P.DISTRICT_LOW, 'ls')} END AS d FROM filled),
+located AS (
+  SELECT page_id, url, body, t, s, CASE WHEN d IS NOT NULL AND (code IS NULL OR code = '13000') THEN '130' || lpad(d, 2, '0') ELSE code END AS postal_code,
+    CASE WHEN d IS NOT NULL THEN 'Marseille ' || d || 'ème' ELSE place END AS city FROM numbered)"""
+
+
+@query("parse_location", TEXTS + "," + _located_sql() + """
+SELECT page_id, postal_code, left(postal_code, 2) AS department, city FROM located""")
 def parse_location(spark, sf_dir):
-    postal = FD.postal_code("body", "url")
-    return notices(spark, sf_dir).select("page_id", postal.alias("postal_code"), KEY.department_of(postal).alias("department"),
-                                         FD.city("body").alias("city"))
+    place = FD.location("body", "url")
+    return notices(spark, sf_dir).select("page_id", place["postal_code"].alias("postal_code"), place["city"].alias("city")).withColumn(
+        "department", KEY.department_of("postal_code"))
+
+
+@query("parse_agent_address", TEXTS + f"""
+SELECT page_id, trim({rx(P.AGENT_ADDRESS, "body[length(s) + 1:]")}) AS agent_address FROM (SELECT page_id, body, {_CUT} AS s FROM n)""")
+def parse_agent_address(spark, sf_dir):
+    return notices(spark, sf_dir).select("page_id", FD.agent_address("body").alias("agent_address"))
 
 
 @query("parse_agent", TEXTS + f"""
 SELECT page_id, coalesce({', '.join(f"trim({rx(p, 'body')})" for p in P.AGENT_NAMES)}) AS agent_name,
   trim(regexp_replace(coalesce({', '.join(f"nullif(trim({rx(p, 'body')}), '')" for p in P.PHONES)}), '\\s+$', '')) AS phone,
-  {rx(P.EMAIL, 'body')} AS email, left(trim({rx(P.FIRM, 'body')}), 100) AS firm FROM n""")
+  {rx(P.EMAIL, 'body')} AS email, trim({rx(P.FIRM, 'body')}) AS firm FROM n""")
 def parse_agent(spark, sf_dir):
     return notices(spark, sf_dir).select("page_id", FD.agent_name("body").alias("agent_name"), FD.agent_phone("body").alias("phone"),
                                          FD.agent_email("body").alias("email"), FD.agent_firm("body").alias("firm"))
@@ -178,7 +209,7 @@ def parse_occupancy(spark, sf_dir):
 
 
 @query("parse_parcel", TEXTS + f"""
-SELECT page_id, coalesce('Section ' || {rx(P.PARCEL_SECTION, 'body', 1)} || ' n°' || {rx(P.PARCEL_SECTION, 'body', 2)}) AS parcel FROM n""")
+SELECT page_id, coalesce('Section ' || {rx(P.PARCEL_SECTION, 'body', 1)} || ' n°' || {rx(P.PARCEL_SECTION, 'body', 2)}, {', '.join(f"trim({rx(p, 'body')})" for p in P.PARCELS)}) AS parcel FROM n""")
 def parse_parcel(spark, sf_dir):
     return notices(spark, sf_dir).select("page_id", FD.parcel("body").alias("parcel"))
 
@@ -223,8 +254,12 @@ def source_id_from_url(spark, sf_dir):
 # a page around every notice: anchors, embedded files, images, scripts, cards
 _HTML = (
     "'<html><head><title>Vente ' || s_suppkey || '</title></head><body><nav><a href=\"/home\">Accueil</a></nav><main>'"
-    " || '<a href=\"/doc/cahier_' || s_suppkey || '.pdf\">Cahier des charges</a>'"
-    " || '<a href=\"https://x.example/pv_' || s_suppkey || '.pdf\"></a><a href=\"/doc/cahier_' || s_suppkey || '.pdf\">Cahier des charges</a>'"
+    " || CASE WHEN s_suppkey % 10 = 9 THEN '' ELSE '<a href=\"/doc/cahier_' || s_suppkey || '.pdf\">Cahier des charges</a>'"
+    " || '<a href=\"https://x.example/pv_' || s_suppkey || '.pdf\"></a><a href=\"/doc/cahier_' || s_suppkey || '.pdf\">Cahier des charges</a>' END"
+    " || CASE s_suppkey % 4 WHEN 0 THEN '<a href=\"mailto:me' || s_suppkey || '@a.example?subject=x\">mail</a><a class=\"site\" href=\"https://cab' || s_suppkey || '.example\">site</a>'"
+    " WHEN 1 THEN '<a href=\"https://avocat' || s_suppkey || '.example/\">x</a>' ELSE '' END"
+    " || CASE WHEN s_suppkey % 5 = 0 THEN '<img srcset=\"/s/1.jpg 320w, /s/2.jpg 640w\" src=\"/s/0.jpg\"><img data-src=\"/lazy.jpg\"><div data-photos=''[\"/l/a.jpg\",{\"url\":\"/l/b.jpg\"},{\"src\":\"/l/c.jpg\"}]''></div><script>var s=\"streetview?adresse_id=' || s_suppkey || '&x=1\";</script>' ELSE '' END"
+    " || CASE WHEN s_suppkey % 3 = 2 THEN '<script>{\"critere_occupation_bien\":\"Loué ' || s_suppkey || '\"}</script>' ELSE '' END"
     " || '<a href=\"/encheres/immobilier/maisons/paris-75/bien_' || s_suppkey || '\">Lot</a>'"
     " || '<img class=\"photo\" src=\"/p/' || s_suppkey || '.jpg\"><img src=\"/_next/image?url=https%3A%2F%2Fcdn.example%2F' || s_suppkey || '.png&amp;w=640\"><img src=\"/placeholder.png\"><img src=\"/p/' || s_suppkey || '.jpg\">'"
     " || CASE WHEN s_suppkey % 2 = 0 THEN '<script>{\"__typename\":\"LotDocument\",\"file\":\"a' || s_suppkey || '.pdf\",\"nom\":\"PV de description\"},{\"file\":\"b.pdf\",\"nom\":\"Diagnostics\"}; \"/static/lot/photo/' || s_suppkey || '.jpg\"</script>' ELSE '' END"
@@ -267,19 +302,45 @@ def property_links(spark, sf_dir):
 
 
 @query("parse_documents", PAGES + """
-SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'PV de description=https://site' || page_id || '.example/static/lot/document/a' || page_id || '.pdf=PV de description|Diagnostics=https://site' || page_id || '.example/static/lot/document/b.pdf=Diagnostics'
+SELECT page_id, CASE WHEN page_id % 10 = 9 THEN '' WHEN page_id % 2 = 0 THEN 'PV de description=https://site' || page_id || '.example/static/lot/document/a' || page_id || '.pdf=PV de description|Diagnostics=https://site' || page_id || '.example/static/lot/document/b.pdf=Diagnostics'
   ELSE 'Cahier des charges=https://site' || page_id || '.example/doc/cahier_' || page_id || '.pdf=Cahier des conditions de vente|Procès-verbal de description=https://x.example/pv_' || page_id || '.pdf=Procès-verbal de description' END AS documents,
-  CASE WHEN page_id % 2 = 0 THEN 'https://site' || page_id || '.example/static/lot/document/a' || page_id || '.pdf' ELSE 'https://x.example/pv_' || page_id || '.pdf' END AS report_url
+  CASE WHEN page_id % 10 = 9 THEN NULL WHEN page_id % 2 = 0 THEN 'https://site' || page_id || '.example/static/lot/document/a' || page_id || '.pdf' ELSE 'https://x.example/pv_' || page_id || '.pdf' END AS report_url,
+  CASE WHEN page_id % 10 = 9 THEN 'a_demander' ELSE 'a_telecharger' END AS report_status
 FROM p""")
 def parse_documents(spark, sf_dir):
     d = built_pages(spark, sf_dir).withColumn("documents", FD.pdf_documents("html", "url"))
     shown = F.transform("documents", lambda x: F.concat_ws("=", x["name"], x["url"], x["type"]))
-    return d.select("page_id", F.array_join(shown, "|").alias("documents"), FD.report_of().alias("report_url"))
+    return d.select("page_id", F.array_join(shown, "|").alias("documents"), FD.report_of().alias("report_url"),
+                    FD.report_status("documents", FD.report_of()).alias("report_status"))
+
+
+@query("classify_firm_documents", """
+SELECT c_custkey AS doc_id, CASE c_custkey % 5 WHEN 0 THEN 'cahier_charges' WHEN 1 THEN 'cahier_charges' WHEN 2 THEN 'proces_verbal' WHEN 3 THEN 'photos' ELSE 'document' END AS kind FROM customer""")
+def classify_firm_documents(spark, sf_dir):
+    d = T.read(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("doc_id"),
+        F.expr("CASE c_custkey % 5 WHEN 0 THEN 'Charges de vente' WHEN 2 THEN 'Proces verbal' WHEN 4 THEN 'Annexe' ELSE 'Voir' END").alias("title"),
+        F.expr("CASE c_custkey % 5 WHEN 1 THEN '/d/CAHIER.pdf' WHEN 3 THEN '/images/1' ELSE '/d/1' END").alias("url"))
+    return d.select("doc_id", FD.firm_document_class("title", "url").alias("kind"))
+
+
+@query("page_agent_contacts", PAGES + """
+SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'me' || page_id || '@a.example' ELSE 'x@y.example' END AS agent_email,
+  CASE page_id % 4 WHEN 0 THEN 'https://cab' || page_id || '.example' WHEN 1 THEN 'https://avocat' || page_id || '.example/' END AS agent_site,
+  CASE WHEN page_id % 3 = 2 THEN 'Loué ' || page_id END AS occupancy FROM p""")
+def page_agent_contacts(spark, sf_dir):
+    """What pages say beside their text: mail links, sites, embedded occupancy."""
+    return built_pages(spark, sf_dir).select(
+        "page_id", FD.agent_email(F.lit("écrire à x@y.example"), "html").alias("agent_email"), FD.agent_site("html").alias("agent_site"),
+        FD.occupancy(F.lit("Vente"), "html").alias("occupancy"))
 
 
 @query("parse_photos", PAGES + """
-SELECT page_id, 'https://site' || page_id || '.example/p/' || page_id || '.jpg|https://cdn.example/' || page_id || '.png'
-  || CASE WHEN page_id % 2 = 0 THEN '|https://site' || page_id || '.example/static/lot/photo/' || page_id || '.jpg' ELSE '' END AS photos FROM p""")
+SELECT page_id, CASE WHEN page_id % 5 = 0 THEN concat_ws('|', o || '/s/2.jpg', o || '/s/0.jpg', o || '/lazy.jpg', '') ELSE '' END
+  || o || '/p/' || page_id || '.jpg|https://cdn.example/' || page_id || '.png'
+  || CASE WHEN page_id % 2 = 0 THEN '|' || o || '/static/lot/photo/' || page_id || '.jpg' ELSE '' END
+  || CASE WHEN page_id % 5 = 0 THEN concat_ws('|', '', o || '/back/services/streetview?adresse_id=' || page_id || '&x=1', o || '/l/a.jpg', o || '/l/b.jpg', o || '/l/c.jpg') ELSE '' END AS photos
+FROM (SELECT page_id, 'https://site' || page_id || '.example' AS o FROM p)""")
 def parse_photos(spark, sf_dir):
     return built_pages(spark, sf_dir).select("page_id", F.array_join(FD.photos("html", "url"), "|").alias("photos"))
 
@@ -369,7 +430,7 @@ def report_summary(spark, sf_dir):
 
 
 @query("merge_document_list", PAGES + """
-SELECT page_id, 2 AS n, CASE WHEN page_id % 2 = 0 THEN 'PV de description' ELSE 'Cahier des charges' END AS first_name FROM p""")
+SELECT page_id, CASE WHEN page_id % 10 = 9 THEN 1 ELSE 2 END AS n, CASE WHEN page_id % 10 = 9 THEN 'PV Descriptif' WHEN page_id % 2 = 0 THEN 'PV de description' ELSE 'Cahier des charges' END AS first_name FROM p""")
 def merge_document_list(spark, sf_dir):
     d = built_pages(spark, sf_dir).withColumn("merged", FD.merge_document_list(FD.pdf_documents("html", "url"), F.lit("https://r.example/r.pdf")))
     return d.select("page_id", F.size("merged").alias("n"), F.col("merged")[0]["name"].alias("first_name"))

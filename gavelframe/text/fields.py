@@ -120,14 +120,18 @@ def property_section(text) -> Column:
 
 
 def address(text) -> Column:
-    """Street address of the property: not the agent's, no phone, day, month or time in it."""
+    """Street address of the property: not the agent's, no phone, day, month or time in it.
+
+    Without a street, the place named in the sentence that describes the property.
+    """
     section = property_section(text)
 
     def valid(hit):
         clean = F.trim(F.regexp_replace(hit, r"\s+", " "))
         return F.when(~F.lower(clean).rlike(P.NOT_ADDRESS_LOW) & (F.length(clean) > 10), clean)
 
-    return first_of(P.ADDRESSES, section, valid)
+    place = F.trim(matched(P.PLACE_IN_SENTENCE, section))
+    return F.coalesce(first_of(P.ADDRESSES, section, valid), F.when(~place.rlike(P.NOT_PLACE), place))
 
 
 def postal_code(text, url=None, departments=K.TARGET_DEPARTMENTS) -> Column:
@@ -147,9 +151,31 @@ def city(text, url=None, departments=K.TARGET_DEPARTMENTS) -> Column:
 
 
 def known_city_in(text, cities) -> Column:
-    """First listed city that the text names (a fixed short list)."""
+    """First listed city that the text names as a word (a fixed short list)."""
     t = low(text)
-    return F.coalesce(*[F.when(t.contains(c), F.lit(c)) for c in cities])
+    return F.coalesce(*[F.when(t.rlike(P.named_city(c)), F.lit(c)) for c in cities])
+
+
+def location(text, url=None, departments=K.TARGET_DEPARTMENTS, cities: dict | None = None) -> dict[str, Column]:
+    """City and postal code of the property, from the text before the agent's section.
+
+    A city of the given dictionary fills what text and url leave open. A numbered district replaces
+    the city, and its code a missing or whole-city one. Several words of a city end with their line.
+    """
+    cities = K.SOUTHERN_CITIES if cities is None else cities
+    section = property_section(text)
+    code, place = postal_code(section, url, departments), city(section, url, departments)
+    named = known_city_in(section, cities) if cities else F.lit(None).cast("string")
+    taken = F.when(place.isNull(), named)
+    place = F.coalesce(place, title_case(F.replace(taken, F.lit("-"), F.lit(" "))))
+    code = F.coalesce(code, lookup(taken, cities)) if cities else code
+    number = matched(P.DISTRICT_LOW, low(section))
+    district = F.when(F.lower(place).contains("marseille") & (F.length(number) <= 2), number)
+    whole = code.isNull() | (code == "13000")
+    return {
+        "postal_code": F.when(district.isNotNull() & whole, F.concat(F.lit("13"), F.lpad(district, 3, "0"))).otherwise(code),
+        "city": F.when(district.isNotNull(), F.concat(F.lit("Marseille "), district, F.lit("ème"))).otherwise(place),
+    }
 
 
 def agent_name(text) -> Column:
@@ -160,8 +186,19 @@ def agent_phone(text) -> Column:
     return F.trim(first_of(P.PHONES, text, lambda h: text_or_null(F.trim(h))))
 
 
-def agent_email(text) -> Column:
-    return matched(P.EMAIL, text)
+def agent_email(text, html=None) -> Column:
+    """Address of the page's first mail link, else the first in the text."""
+    own = matched(P.EMAIL, text)
+    return own if html is None else F.coalesce(matched(P.MAILTO, html), own)
+
+
+def agent_address(text) -> Column:
+    """Street, postal code and city named after the property's own section."""
+    return F.trim(matched(P.AGENT_ADDRESS, F.substr(col(text), F.length(property_section(text)) + 1)))
+
+
+def agent_site(html) -> Column:
+    return first_of(P.AGENT_SITES, html)
 
 
 def agent_firm(text) -> Column:
@@ -178,8 +215,8 @@ def court(text, courts: dict | None = None) -> Column:
     return F.coalesce(known, spelled)
 
 
-def occupancy(text) -> Column:
-    """Free or occupied, by the first pattern that occurs."""
+def occupancy(text, html=None) -> Column:
+    """Free or occupied, by the first pattern that occurs in the text, else as the page's scripts say."""
     t, out = low(text), None
     for pattern, value in P.OCCUPANCY_LOW:
         hit = t.rlike(pattern)
@@ -187,7 +224,7 @@ def occupancy(text) -> Column:
             said = F.trim(F.regexp_extract(t, pattern, 1))
             value = F.concat(F.upper(F.left(said, F.lit(1))), F.substr(said, F.lit(2)))
         out = F.when(hit, value) if out is None else out.when(hit, value)
-    return out
+    return out if html is None else F.coalesce(out, matched(P.OCCUPANCY_JSON, html))
 
 
 def occupancy_state(text) -> Column:
@@ -314,8 +351,16 @@ def report_of(documents="documents") -> Column:
     return F.try_element_at(hits, F.lit(1))["url"]
 
 
+def report_status(documents="documents", report_url="report_url", current=None) -> Column:
+    """To be downloaded where a report is linked, to be asked for where a page has no document at all."""
+    known = F.lit(None).cast("string") if current is None else col(current)
+    return (F.when(text_or_null(report_url).isNotNull(), "a_telecharger")
+             .when(F.coalesce(F.size(col(documents)), F.lit(0)) <= 0, "a_demander").otherwise(known))
+
+
 def photos(html, base=None, cap: int | None = None) -> Column:
-    """Photo urls: images (unwrapping resizer urls), then files named in scripts; no repeats."""
+    """Photo urls, no repeats: of each image the last of its set and its own or lazy source (resizer urls
+    unwrapped), files and street views named in scripts, lists kept in attributes."""
     h = col(html)
     origin = F.regexp_extract(col(base), r"^(https?://[^/?#]+)", 1) if base is not None else F.lit("")
 
@@ -324,9 +369,20 @@ def photos(html, base=None, cap: int | None = None) -> Column:
         unwrapped = F.when(src.contains("/_next/image") & (inner != ""), F.url_decode(inner)).otherwise(src)
         return normalize_url(unwrapped, base)
 
-    images = F.transform(F.filter(all_matches(P.IMAGE, h), lambda s: ~F.lower(s).contains("placeholder")), shown)
+    def sources(tag):
+        last = F.element_at(F.split(F.trim(F.element_at(F.split(F.regexp_extract(tag, P.IMAGE_SET, 1), r",\s+"), -1)), " "), 1)
+        return F.array(text_or_null(last), F.coalesce(*[text_or_null(F.regexp_extract(tag, p, 1)) for p in P.IMAGE_SOURCES]))
+
+    listed = F.flatten(F.transform(all_matches(P.PHOTO_LIST, h), lambda j: F.coalesce(
+        F.from_json(j, "array<string>"), F.array().cast("array<string>"))))
+    listed = F.transform(listed, lambda x: F.when(x.startswith("{"), F.coalesce(
+        F.get_json_object(x, "$.url"), F.get_json_object(x, "$.src"))).otherwise(x))
+    tags = F.array_compact(F.flatten(F.transform(all_matches(P.IMAGE_TAG, h), sources)))
+    images = F.transform(F.filter(tags, lambda s: ~F.lower(s).contains("placeholder")), shown)
     static = F.transform(all_matches(P.STATIC_PHOTO, h), lambda p: F.concat(origin, p))
-    found = F.array_distinct(F.concat(images, static))
+    street = F.transform(all_matches(P.STREET_VIEW, h), lambda p: F.concat(origin, F.lit(P.STREET_VIEW_PATH), p))
+    kept = F.transform(F.filter(listed, lambda x: x != ""), lambda x: normalize_url(x, base))
+    found = F.array_distinct(F.concat(images, static, street, kept))
     return found if cap is None else F.slice(found, 1, cap)
 
 

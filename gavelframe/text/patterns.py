@@ -47,6 +47,9 @@ NOT_ADDRESS_LOW = (
     r"tél|tel|fax|\d{2}[\s.]\d{2}[\s.]\d{2}[\s.]\d{2}|lundi|mardi|mercredi|jeudi|vendredi|samedi|dimanche"
     r"|janvier|février|mars|avril|mai|juin|juillet|août|septembre|octobre|novembre|décembre|\d{1,2}h\d{0,2}\s*à"
 )
+# place named in the sentence that describes the property
+PLACE_IN_SENTENCE = r"(?i)(?:Un|Une|Le|La)\s+(?:appartement|maison|local|terrain|parking)[^.]*?(?:à|situé|sis)\s+([^,\n.]{10,80})"
+NOT_PLACE = r"(?i)n°\d+|mise à prix|Bouches-du-Rhône|Var"
 URL_CITY = r"/([a-z\-]+)-(\d{2})/"
 CITY_AFTER_A = r"à\s+([A-ZÀ-Ü][a-zà-ü\-]+(?:\s+\d+[eè]me)?)"
 
@@ -61,6 +64,13 @@ PHONES = [
 ]
 EMAIL = r"([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,})"
 FIRM = r"((?:AARPI|SCP|SELARL|Cabinet)\s+[^,\n]+)"
+AGENT_ADDRESS = r"(?i)(\d+[,\s]+(?:rue|avenue|boulevard|cours|place)[^-\n]{5,80}[-\s]+\d{5}\s+[\wÀ-ÿ]+)"
+MAILTO = r"""href=["']mailto:([^"'?]+)"""
+AGENT_SITES = [
+    r"""<a\s[^>]*class=["'](?:site|website)["'][^>]*href=["']([^"']+)["']""",
+    r"""<a\s[^>]*href=["']([^"']+)["'][^>]*class=["'](?:site|website)["']""",
+    r"""<a\s[^>]*href=["'](https?://[^"']*avocat[^"']*)["']""",
+]
 COURT_LOW = r"tribunal\s+(?:judiciaire|de grande instance)\s+(?:de\s+)?([a-zà-ÿ\-]+)"
 
 OCCUPANCY_LOW = [
@@ -70,6 +80,7 @@ OCCUPANCY_LOW = [
     (r"bien\s+(libre|vacant)", "Libre"),
     (r"(locataire|bail|location)", "Occupé"),
 ]
+OCCUPANCY_JSON = r'"critere_occupation[^"]*"\s*:\s*"([^"]+)"'
 TENANT_LOW = r"(?:locataire|occupant)\s*:?\s*([^\n]+)"
 RENT_LOW = r"loyer\s+(?:mensuel)?\s*:?\s*([\d\s,.]+)\s*€"
 PARCEL_SECTION = r"[Ss]ection\s+([A-Z]{1,2})\s*n[°º]?\s*(\d+)"
@@ -101,7 +112,13 @@ LINK_HREF = r"""<a\s[^>]*href=["']([^"']+)["'][^>]*>[^<]*</a>"""
 PROPERTY_LINK = r"/encheres/immobilier/(?:appartements|maisons|immeubles|terrains|parkings|locaux-commerciaux|biens-exception)/.*_"
 JSON_FILE = r'"file"\s*:\s*"([^"]+\.pdf)"\s*,\s*"nom"\s*:\s*"[^"]+"'
 JSON_FILE_NAME = r'"file"\s*:\s*"[^"]+\.pdf"\s*,\s*"nom"\s*:\s*"([^"]+)"'
-IMAGE = r"""<img\s[^>]*src=["']([^"']+)["']"""
+IMAGE_TAG = r"(<img\s[^>]*>)"
+IMAGE_SOURCES = [r"""\ssrc=["']([^"']+)["']""", r"""\sdata-src=["']([^"']+)["']""", r"""\sdata-lazy=["']([^"']+)["']"""]
+IMAGE_SET = r"""\ssrcset=["']([^"']+)["']"""
+PHOTO_LIST = r"""data-(?:photos|images)='([^']+)'"""
+STREET_VIEW = r"""(streetview\?adresse_id=\d+[^"']*)"""
+STREET_VIEW_PATH = "/back/services/"
+REDIRECT = r"uddg=([^&]+)"
 STATIC_PHOTO = r"""(/static/lot/photo/[^"']+\.jpg)"""
 NEXT_IMAGE = r"url=([^&]+)"
 SOLD_PRICE_LOW = r"adjugé\s*(?:à)?\s*[:\s]*(\d[\d\s]*)\s*€"
@@ -118,4 +135,9 @@ def postal_pattern(departments) -> str:
 
 
 def city_after_postal(departments) -> str:
-    return r"\b(?:" + "|".join(departments) + r")\d{3}\s+([A-ZÀ-Ü][A-Za-zà-ü\-]+)"
+    return r"\b(?:" + "|".join(departments) + r")\d{3}\s+([A-ZÀ-Ü][A-Za-zà-ü\-]+(?:[ \t]+[A-ZÀ-Ü][A-Za-zà-ü\-]+)*)"
+
+
+def named_city(city: str) -> str:
+    """The city as a word of its own in lower-cased text."""
+    return rf"(?:^|[^a-zà-ÿ0-9]){city}(?:[^a-zà-ÿ0-9]|$)"
