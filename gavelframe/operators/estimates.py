@@ -11,13 +11,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gavelframe.functions import constants as K
-from gavelframe.functions.keys import age_in_days, department_of, estimate_cache_key, mid_year
+from gavelframe.functions.keys import age_in_days, department_of, estimate_cache_key, mid_year, thousands
 from gavelframe.functions.scoring import estimate_confidence
-from gavelframe.functions.values import half_even, has_number, lookup, number_text
+from gavelframe.functions.values import half_even, has_number, has_text, lookup, number_text
 from gavelframe.operators import comparables as C
 from gavelframe.operators.medians import grouped_stats
 
@@ -51,19 +51,20 @@ def newest_indicators(indicators: DataFrame) -> DataFrame:
     return indicators.groupBy("insee").agg(F.max_by(row, "year").alias("r")).select("insee", "r.*")
 
 
-def commune_lookup(subjects: DataFrame, indicators: DataFrame, insee_postal: dict | None = None) -> DataFrame:
+def commune_lookup(subjects: DataFrame, indicators: DataFrame, insee_postal: DataFrame | None = None) -> DataFrame:
     """Subjects with their commune's newest indicators, else those of the department's lowest code.
 
-    A postal code finds its commune through the code map, or as a code of the same spelling.
+    A postal code finds its commune through the code table (``insee, postal_code``), or as a code of the
+    same spelling. The table is joined, so a country's communes are no literal of the plan.
     """
     newest = newest_indicators(indicators)
     figures = F.struct("insee", "year", "price_m2", "n_sales")
-    mapped = lookup("insee", insee_postal or K.INSEE_POSTAL) if (insee_postal or K.INSEE_POSTAL) else F.lit(None).cast("string")
-    places = newest.withColumn("at", F.explode(F.array(
-        F.struct(mapped.alias("postal_code"), F.lit(0).alias("order")),
-        F.struct(F.col("insee").alias("postal_code"), F.lit(1).alias("order")))))
-    exact = places.filter(F.col("at.postal_code").isNotNull()).groupBy(F.col("at.postal_code").alias("postal_code")).agg(
-        F.min_by(figures, F.struct("at.order", "insee")).alias("own"))
+    places = newest.select("*", F.col("insee").alias("postal_code"), F.lit(1).alias("order"))
+    if insee_postal is None:
+        insee_postal = subjects.sparkSession.createDataFrame(list(K.INSEE_POSTAL.items()), "insee string, postal_code string")
+    codes = insee_postal.filter(has_text("postal_code")).select("insee", "postal_code").distinct()
+    places = places.unionByName(newest.join(codes, "insee").withColumn("order", F.lit(0)))
+    exact = places.groupBy("postal_code").agg(F.min_by(figures, F.struct("order", "insee")).alias("own"))
     fallback = newest.groupBy(department_of("insee").alias("_department")).agg(F.min_by(figures, "insee").alias("near"))
     return (subjects.withColumn("_department", department_of("postal_code"))
             .join(exact, "postal_code", "left").join(fallback, "_department", "left")
@@ -73,7 +74,7 @@ def commune_lookup(subjects: DataFrame, indicators: DataFrame, insee_postal: dic
                     F.col("_hit.price_m2").alias("commune_price_m2"), F.col("_hit.n_sales").alias("n_sales"), "geo_match"))
 
 
-def from_communes(indicators: DataFrame, as_of, insee_postal: dict | None = None) -> PriceSource:
+def from_communes(indicators: DataFrame, as_of, insee_postal: DataFrame | None = None) -> PriceSource:
     """Mean price of the commune's newest year."""
     def estimate(subjects: DataFrame) -> DataFrame:
         hit = commune_lookup(subjects, indicators, insee_postal).filter(has_number("commune_price_m2"))
@@ -119,17 +120,29 @@ def source_estimates(subjects: DataFrame, sources: Iterable[PriceSource]) -> Dat
     return rows.withColumn("confidence", estimate_confidence())
 
 
+def _whole(c) -> Column:
+    """A number without decimals, thousands set apart by commas, ties to even."""
+    return thousands(c, ",")
+
+
+def _source_notes(said: dict) -> Column:
+    return F.array(*[F.concat(F.lit(f"{name}: "), F.coalesce(said.get(s, F.lit(None)), F.lit(K.SOURCE_WITHOUT_DATA)))
+                     for s, name in K.SOURCE_NAMES.items()])
+
+
 def combine_estimates(estimates: DataFrame) -> DataFrame:
-    """One row per listing: weighted price, range, one column per source, agreement, reliability."""
+    """One row per listing: weighted price, range, one column per source, a note on each, agreement, reliability."""
     e = estimates.filter(has_number("price_m2"))
     price, weight = F.col("price_m2"), F.col("confidence")
+    said = F.concat(_whole(price), F.lit(" €/m² ("), F.col("n_points").cast("string"), F.lit(" données, confiance: "), number_text(weight), F.lit("%)"))
     out = e.groupBy("listing_key").agg(
         F.count(F.lit(1)).alias("n_sources"),
         F.sum(price * weight).alias("_pw"), F.sum(weight).alias("_w"), F.avg(price).alias("_mean"),
         F.min(price).alias("min_price_m2"), F.max(price).alias("max_price_m2"),
         F.stddev_pop(price).alias("_dev"), F.avg(weight).alias("_confidence"),
-        *[F.max(F.when(F.col("source_type") == s, price)).alias(f"{s}_price_m2") for s in ("dvf", "commune", "listings")],
-    )
+        *[F.max(F.when(F.col("source_type") == s, price)).alias(f"{s}_price_m2") for s in K.SOURCE_NAMES],
+        *[F.max(F.when(F.col("source_type") == s, said)).alias(f"_{s}") for s in K.SOURCE_NAMES],
+    ).withColumn("source_notes", _source_notes({s: F.col(f"_{s}") for s in K.SOURCE_NAMES})).drop(*[f"_{s}" for s in K.SOURCE_NAMES])
     agreement = (F.when(F.col("n_sources") < 2, 50.0)
                  .when(F.col("_mean") > 0, F.greatest(F.lit(0.0), 100 - F.col("_dev") / F.col("_mean") * 200)).otherwise(0.0))
     out = out.withColumns({
@@ -151,6 +164,7 @@ def recommend(subjects: DataFrame, combined: DataFrame) -> DataFrame:
         "reliability": F.coalesce("reliability", F.lit("insufficient")),
         "reliability_score": F.coalesce("reliability_score", F.lit(0.0)),
         "recommended_price_m2": half_even("combined_price_m2"),
+        "source_notes": F.coalesce("source_notes", _source_notes({})),
     })
     price, surface = F.col("recommended_price_m2"), F.col("surface_m2")
     value = F.when(has_number(price) & has_number(surface), price * surface)
@@ -158,18 +172,19 @@ def recommend(subjects: DataFrame, combined: DataFrame) -> DataFrame:
     agreed = number_text("agreement")
     note = (F.when(several & (F.col("agreement") >= 80), F.concat(F.lit("Sources en accord ("), agreed, F.lit("%)")))
              .when(several & (F.col("agreement") >= 50), F.concat(F.lit("Accord modéré entre sources ("), agreed, F.lit("%)"))))
-    apart = F.concat(F.lit("Désaccord entre sources ("), agreed, F.lit("%)"))
+    apart = F.concat(F.lit("Désaccord entre sources ("), agreed, F.lit("%) - plage: "), _whole("min_price_m2"),
+                     F.lit(" - "), _whole("max_price_m2"), F.lit(" €/m²"))
     warnings = F.array_compact(F.array(
-        F.when(F.col("n_sources") == 0, F.lit("Aucune source de données disponible")),
+        F.when(F.col("n_sources") == 0, F.lit(K.NO_SOURCE)),
         F.when(several & (F.col("agreement") < 50), apart),
-        F.when(F.col("reliability") == "low", F.lit("Fiabilité faible - peu de données ou sources en désaccord")),
-        F.when((F.col("reliability") == "insufficient"), F.lit("Données insuffisantes pour une estimation fiable")),
+        F.when(F.col("reliability") == "low", F.lit(K.LOW_RELIABILITY)),
+        F.when((F.col("reliability") == "insufficient"), F.lit(K.NO_RELIABILITY)),
     ))
     return s.withColumns({
         "recommended_total": half_even(value),
         "discount_vs_market": F.when(has_number("start_price") & (value != 0), (value - F.col("start_price")) / value * 100),
-        "note": note, "warnings": warnings,
-    })
+        "note": note, "notes": F.concat("source_notes", F.array_compact(F.array(note))), "warnings": warnings,
+    }).drop("source_notes")
 
 
 def source_details(estimates: DataFrame, samples: DataFrame | None = None, top: int = 5) -> DataFrame:

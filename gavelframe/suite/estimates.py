@@ -17,6 +17,10 @@ from gavelframe.suite.registry import query
 CODE_MAP = {"75011": "75001", "92110": "92190"}
 
 
+def code_table(spark):
+    return spark.createDataFrame(list(CODE_MAP.items()), "insee string, postal_code string")
+
+
 def indicators(spark, sf_dir):
     """Yearly commune figures: customers' orders by postal code and year."""
     a = T.domain(spark, sf_dir, "adjudications")
@@ -38,6 +42,10 @@ def ads(spark, sf_dir):
 _KEY = ("md5(coalesce(postal_code, 'None') || '_' || property_type || '_' || CASE WHEN surface_m2 <> 0 THEN"
         " CAST(CAST(floor(surface_m2 / 20) * 20 AS BIGINT) AS VARCHAR) ELSE 'any' END)")
 
+_SAID = ", ".join(
+    f"max(format('{{:,}}', CAST(round_even(price_m2, 0) AS BIGINT)) || ' €/m² (' || n_points || ' données, confiance: ' || CAST(round_even(confidence, 0) AS BIGINT) || '%)')"
+    f" FILTER (WHERE source_type = '{s}') AS {s}_said" for s in K.SOURCE_NAMES)
+
 SOURCES_SQL = comps_sql(DUE, tolerance="0.3", k=50, default=60.0, types=K.ESTIMATE_TYPE_MAP).replace(
     T.cte("transactions", "listings"), T.cte("transactions", "listings", "adjudications")) + f""",
 subjects AS (SELECT * FROM listings WHERE {DUE}),
@@ -68,13 +76,14 @@ hits AS (
 est0 AS (
   SELECT s.listing_key, 'dvf' AS source_type, CASE WHEN n_valid >= 3 THEN round_even(med, 0) END AS price_m2,
     CASE WHEN n_valid >= 3 AND surface_m2 <> 0 THEN round_even(med * surface_m2, 0) END AS total, n_valid AS n_points,
-    CASE WHEN n_valid >= 3 THEN coalesce({TODAY} - oldest, 730) ELSE 0 END AS age_days, CASE WHEN n_valid >= 3 THEN 'commune' ELSE '' END AS geo_match
+    CASE WHEN n_valid >= 3 THEN coalesce({TODAY} - oldest, 730) ELSE 0 END AS age_days, CASE WHEN n_valid >= 3 THEN 'commune' ELSE '' END AS geo_match,
+    'Médiane de ' || n_valid || ' transactions sur 24 mois' AS notes
   FROM tx_stats JOIN subjects s USING (listing_key)
   UNION ALL
   SELECT listing_key, 'commune', round_even(price_m2, 0), CASE WHEN surface_m2 <> 0 THEN round_even(price_m2 * surface_m2, 0) END, n_sales,
-    {TODAY} - make_date(year, 6, 30), geo_match FROM hits WHERE price_m2 <> 0
+    {TODAY} - make_date(year, 6, 30), geo_match, 'Moyenne commune ' || year || ' (' || n_sales || ' mutations)' FROM hits WHERE price_m2 <> 0
   UNION ALL
-  SELECT listing_key, 'listings', round_even(med * 0.9::DOUBLE, 0), NULL, n_ads, 1, 'commune' FROM (SELECT *, {_KEY} AS cache_key FROM subjects) JOIN ask USING (cache_key)),
+  SELECT listing_key, 'listings', round_even(med * 0.9::DOUBLE, 0), NULL, n_ads, 1, 'commune', 'Prix demandés -10% (' || n_ads || ' annonces)' FROM (SELECT *, {_KEY} AS cache_key FROM subjects) JOIN ask USING (cache_key)),
 est AS (
   SELECT *, (CASE WHEN n_points >= 20 THEN 40 WHEN n_points >= 10 THEN 30 WHEN n_points >= 5 THEN 20 WHEN n_points >= 3 THEN 10 ELSE 0 END
     + CASE WHEN age_days <= 180 THEN 30 WHEN age_days <= 365 THEN 20 WHEN age_days <= 730 THEN 10 ELSE 0 END
@@ -84,6 +93,7 @@ combined0 AS (
     min(price_m2) AS min_price_m2, max(price_m2) AS max_price_m2, avg(confidence) AS ac,
     max(price_m2) FILTER (WHERE source_type = 'dvf') AS dvf_price_m2, max(price_m2) FILTER (WHERE source_type = 'commune') AS commune_price_m2,
     max(price_m2) FILTER (WHERE source_type = 'listings') AS listings_price_m2,
+    {_SAID},
     CASE WHEN count(*) < 2 THEN 50 WHEN avg(price_m2) > 0 THEN greatest(0, 100 - stddev_pop(price_m2) / avg(price_m2) * 200) ELSE 0 END AS agreement
   FROM est WHERE price_m2 <> 0 GROUP BY listing_key),
 combined AS (
@@ -92,7 +102,7 @@ combined AS (
 
 def estimates(spark, sf_dir):
     sources = [E.from_transactions(T.transactions(spark, sf_dir), AS_OF),
-               E.from_communes(indicators(spark, sf_dir), AS_OF, CODE_MAP), E.from_ads(ads(spark, sf_dir))]
+               E.from_communes(indicators(spark, sf_dir), AS_OF, code_table(spark)), E.from_ads(ads(spark, sf_dir))]
     return E.source_estimates(due(spark, sf_dir), sources)
 
 
@@ -105,7 +115,7 @@ def source_estimates(spark, sf_dir):
 @query("commune_lookup", SOURCES_SQL + """
 SELECT listing_key, insee, year, price_m2 AS commune_price_m2, n_sales, geo_match FROM hits""")
 def commune_lookup(spark, sf_dir):
-    hits = E.commune_lookup(due(spark, sf_dir), indicators(spark, sf_dir), CODE_MAP)
+    hits = E.commune_lookup(due(spark, sf_dir), indicators(spark, sf_dir), code_table(spark))
     return hits.select("listing_key", "insee", "year", "commune_price_m2", "n_sales", "geo_match")
 
 
@@ -114,7 +124,7 @@ SELECT listing_key, n_sources, round_even(combined_price_m2 * 100, 0) / 100 AS c
 FROM combined""", headline=True)
 def combine_estimates(spark, sf_dir):
     c = E.combine_estimates(estimates(spark, sf_dir)).withColumn("combined_price_m2", half_even("combined_price_m2", 2))
-    return c.drop("agreement", "reliability_score", "reliability")
+    return c.drop("agreement", "reliability_score", "reliability", "source_notes")
 
 
 @query("reliability", SOURCES_SQL + """
@@ -135,20 +145,29 @@ SELECT s.listing_key, round_even(combined_price_m2, 0) AS recommended_price_m2,
   CASE WHEN n_sources >= 2 AND agreement >= 80 THEN 'Sources en accord (' || CAST(round_even(agreement, 0) AS BIGINT) || '%)'
     WHEN n_sources >= 2 AND agreement >= 50 THEN 'Accord modéré entre sources (' || CAST(round_even(agreement, 0) AS BIGINT) || '%)' END AS note,
   concat_ws(' | ', CASE WHEN n_sources IS NULL THEN 'Aucune source de données disponible' END,
-    CASE WHEN n_sources >= 2 AND agreement < 50 THEN 'Désaccord entre sources (' || CAST(round_even(agreement, 0) AS BIGINT) || '%)' END,
+    CASE WHEN n_sources >= 2 AND agreement < 50 THEN 'Désaccord entre sources (' || CAST(round_even(agreement, 0) AS BIGINT) || '%) - plage: '
+      || format('{:,}', CAST(round_even(min_price_m2, 0) AS BIGINT)) || ' - ' || format('{:,}', CAST(round_even(max_price_m2, 0) AS BIGINT)) || ' €/m²' END,
     CASE WHEN reliability_score > 0 AND reliability_score < 40 THEN 'Fiabilité faible - peu de données ou sources en désaccord' END,
-    CASE WHEN coalesce(reliability_score, 0) <= 0 THEN 'Données insuffisantes pour une estimation fiable' END) AS warnings
+    CASE WHEN coalesce(reliability_score, 0) <= 0 THEN 'Données insuffisantes pour une estimation fiable' END) AS warnings,
+  """ + " || ' | ' || ".join(f"'{name}: ' || coalesce({s}_said, 'Données insuffisantes')" for s, name in K.SOURCE_NAMES.items()) + """
+    || coalesce(CASE WHEN n_sources >= 2 AND agreement >= 80 THEN ' | Sources en accord (' || CAST(round_even(agreement, 0) AS BIGINT) || '%)'
+    WHEN n_sources >= 2 AND agreement >= 50 THEN ' | Accord modéré entre sources (' || CAST(round_even(agreement, 0) AS BIGINT) || '%)' END, '') AS notes
 FROM subjects s LEFT JOIN combined USING (listing_key)""", headline=True)
 def price_recommendation(spark, sf_dir):
-    r = detailed_analysis(due(spark, sf_dir), T.transactions(spark, sf_dir), indicators(spark, sf_dir), ads(spark, sf_dir), AS_OF, CODE_MAP)
+    r = detailed_analysis(due(spark, sf_dir), T.transactions(spark, sf_dir), indicators(spark, sf_dir), ads(spark, sf_dir), AS_OF, code_table(spark))
     return r.select("listing_key", "recommended_price_m2", "recommended_total", "discount_vs_market", "note",
-                    F.array_join("warnings", " | ").alias("warnings"))
+                    F.array_join("warnings", " | ").alias("warnings"), F.array_join("notes", " | ").alias("notes"))
+
+
+_NAMES = " ".join(f"WHEN '{s}' THEN '{name}'" for s, name in K.SOURCE_NAMES.items())
 
 
-@query("source_details")
+@query("source_details", SOURCES_SQL + f"""
+SELECT listing_key, source_type, CASE source_type {_NAMES} END AS name, price_m2, confidence, n_points, age_days, geo_match, notes FROM est WHERE price_m2 <> 0""")
 def source_details(spark, sf_dir):
-    """Nested detail per source (a map, so checked by its own tests)."""
-    return E.source_details(estimates(spark, sf_dir))
+    """The nested detail of every source, one row per entry of the map."""
+    d = E.source_details(estimates(spark, sf_dir)).select("listing_key", F.explode("sources").alias("source_type", "d"))
+    return d.select("listing_key", "source_type", "d.*")
 
 
 @query("closest_to_median", SOURCES_SQL + """

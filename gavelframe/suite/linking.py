@@ -119,7 +119,29 @@ def postal_city_fill(spark, sf_dir):
     return EN.fill_locations(T.domain(spark, sf_dir, "site_one")).select("seq", "city", "postal_code")
 
 
-@query("enrich_locations")
+_UNLIKE = sql_values([(_norm(c), _norm(e)) for c in dict.fromkeys(_C2) for e in dict.fromkeys(EN.CITY_OF_POSTAL.values())
+                      if _norm(c) != _norm(e) and SequenceMatcher(None, _norm(c), _norm(e)).ratio() < 0.6])
+
+
+@query("enrich_locations", T.cte("site_two") + f""",
+place AS (SELECT * FROM ({_DIM}) v(p, c)),
+code AS (SELECT * FROM ({sql_values(list(EN.POSTAL_OF_CITY.items()))}) v(n, q)),
+unlike AS (SELECT * FROM ({_UNLIKE}) v(has, wants)),
+named AS (
+  SELECT s.*, coalesce(city, '') = '' AND postal_code <> '' AND c IS NOT NULL AS by_code,
+    CASE WHEN coalesce(city, '') = '' AND postal_code <> '' THEN coalesce({_TITLE.format('c')}, city) ELSE city END AS new_city
+  FROM site_two s LEFT JOIN place ON p = postal_code),
+coded AS (
+  SELECT *, coalesce(postal_code, '') = '' AND new_city <> '' AND q IS NOT NULL AS by_city,
+    CASE WHEN coalesce(postal_code, '') = '' AND new_city <> '' THEN coalesce(q, postal_code) ELSE postal_code END AS new_code
+  FROM named LEFT JOIN code ON n = {norm_sql('new_city')}),
+judged AS (
+  SELECT coded.*, e.c AS expected, u.has IS NOT NULL AND new_city <> '' AND new_code <> '' AS wrong
+  FROM coded LEFT JOIN place e ON e.p = new_code LEFT JOIN unlike u ON u.has = {norm_sql('new_city')} AND u.wants = {norm_sql('e.c')})
+SELECT seq, CASE WHEN wrong THEN {_TITLE.format('expected')} ELSE new_city END AS city, new_code AS postal_code,
+  CASE WHEN new_code <> '' THEN left(new_code, 2) END AS department,
+  by_code::INT + by_city::INT + wrong::INT + (new_code <> '' AND new_code IS NOT NULL)::INT AS n_changes
+FROM judged""")
 def enrich_locations(spark, sf_dir):
     """Fill plus the similarity-based city correction."""
     return EN.enrich_locations(T.domain(spark, sf_dir, "site_two")).select("seq", "city", "postal_code", "department", F.size("changes").alias("n_changes"))

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gavelframe.functions import constants as K
 from gavelframe.functions.values import half_even
 from gavelframe.sinks import exports as X
 from gavelframe.sinks import tables as TB
 from gavelframe.sources import readers as RD
 from gavelframe.sources import testbed as T
 from gavelframe.streaming import jobs as J
+from gavelframe.suite import texts as TX
 from gavelframe.suite.analysis import DUE, DUE_VALUED, valued
 from gavelframe.suite.registry import query
 from gavelframe.text.fields import site_of
-from gavelframe.text.sources import parse_notices
+from gavelframe.text import patterns as P
+from gavelframe.text.sources import SITE_FAMILIES, parse_notices
 
 # raw all-text rows as the open-data files hold them, some of them damaged
 _RAW = {
@@ -170,12 +173,26 @@ def evolve_schema(spark, sf_dir):
     return RD.evolve(a.select("agent_id", "name"), a.select((F.col("agent_id") + 1000000).alias("agent_id"), F.col("phone").alias("city")))
 
 
-@query("parse_notices_by_source")
+def _types_by_site() -> str:
+    arms = {n: TX.class_sql(f, "autre") for n, f in (("site-a", K.PROPERTY_WORDS), ("site-b", SITE_FAMILIES["site_b"]), ("site-c", SITE_FAMILIES["site_c"]))}
+    return "CASE " + " ".join(f"WHEN contains(url, '{n}') THEN {sql}" for n, sql in arms.items()) + " END"
+
+
+@query("parse_notices_by_source", TX.TEXTS + f""", {TX.VISITS_SQL}, {TX.located_sql("contains(url, 'site-a')")}
+SELECT page_id, CASE WHEN contains(url, 'site-a') THEN 'site_a' WHEN contains(url, 'site-b') THEN 'site_b' ELSE 'site_c' END AS source, url,
+  CASE WHEN contains(url, 'site-a') THEN {TX.rx(P.SOURCE_IDS['site_a'], 'url')} WHEN contains(url, 'site-b') THEN {TX.rx(P.SOURCE_IDS['site_b'], 'url')}
+    ELSE coalesce({TX.rx(P.SOURCE_IDS['site_c'], 'url', 1)}, {TX.rx(P.SOURCE_IDS['site_c'], 'url', 2)}) END AS source_id,
+  {TX.ADDRESS_SQL} AS address, postal_code, left(postal_code, 2) AS department, city, {_types_by_site()} AS property_type, {TX.FEATURES_SQL},
+  {TX.rx(P.SALE_TIME, 'body', 1)} || 'h' || coalesce({TX.rx(P.SALE_TIME, 'body', 2)}, '00') AS sale_time, visits AS visit_times,
+  {TX.PRICE_SQL} AS start_price, {TX.OCCUPANCY_SQL} AS occupancy, {TX.PARCEL_SQL} AS parcel_ref, {TX.FIRM_SQL} AS agent_firm,
+  {TX.PHONE_SQL} AS agent_phone, {TX.rx(P.EMAIL, 'body')} AS agent_email
+FROM located JOIN seen USING (page_id)""")
 def parse_notices_by_source(spark, sf_dir):
     """Whole notices by each site's parser."""
     pages = T.domain(spark, sf_dir, "notice_texts").withColumn("source", site_of())
     n = parse_notices(pages)
-    return n.withColumn("visit_times", F.size("visit_times"))
+    shown = F.transform("visit_times", lambda v: F.date_format(v, "yyyy-MM-dd HH:mm"))
+    return n.withColumn("visit_times", F.array_join(shown, ","))
 
 
 # --- streams -----------------------------------------------------------------------------

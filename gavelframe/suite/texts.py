@@ -52,8 +52,10 @@ def notices(spark, sf_dir):
     return T.domain(spark, sf_dir, "notice_texts")
 
 
-@query("parse_price", TEXTS + f"""
-SELECT page_id, coalesce({', '.join(f'nullif({amount_sql(rx(p))}, 0)' for p in P.PRICES_LOW)}) AS price FROM n""", headline=True)
+PRICE_SQL = f"coalesce({', '.join(f'nullif({amount_sql(rx(p))}, 0)' for p in P.PRICES_LOW)})"
+
+
+@query("parse_price", TEXTS + f"SELECT page_id, {PRICE_SQL} AS price FROM n", headline=True)
 def parse_price(spark, sf_dir):
     return notices(spark, sf_dir).select("page_id", FD.price("body").alias("price"))
 
@@ -89,9 +91,13 @@ _SECTION = (f"list_filter(list_transform(regexp_extract_all(regexp_extract(t, {q
             f" lambda d: ({date_sql('d')})::TIMESTAMP + to_hours(14)), lambda x: x IS NOT NULL)")
 
 
-@query("parse_visits", TEXTS + f""", v AS (
-  SELECT page_id, {_visit_sql(P.VISITS_LOW[0])} AS a, {_visit_sql(P.VISITS_LOW[1])} AS b, {_SECTION} AS c FROM n)
-SELECT page_id, coalesce(array_to_string(list_transform(CASE WHEN len(a) > 0 THEN a WHEN len(b) > 0 THEN b ELSE c END, lambda x: strftime(x, '%Y-%m-%d %H:%M')), ','), '') AS visits FROM v""")
+VISITS_SQL = f"""v AS (
+  SELECT page_id, {_visit_sql(P.VISITS_LOW[0])} AS a, {_visit_sql(P.VISITS_LOW[1])} AS b, {_SECTION} AS c FROM n),
+seen AS (
+  SELECT page_id, coalesce(array_to_string(list_transform(CASE WHEN len(a) > 0 THEN a WHEN len(b) > 0 THEN b ELSE c END, lambda x: strftime(x, '%Y-%m-%d %H:%M')), ','), '') AS visits FROM v)"""
+
+
+@query("parse_visits", TEXTS + f", {VISITS_SQL} SELECT page_id, visits FROM seen")
 def parse_visits(spark, sf_dir):
     shown = F.transform(FD.visits("body"), lambda v: F.date_format(v, "yyyy-MM-dd HH:mm"))
     return notices(spark, sf_dir).select("page_id", F.array_join(shown, ",").alias("visits"))
@@ -131,11 +137,11 @@ def _addr_sql(p: str) -> str:
 
 
 _PLACE = f"trim({rx(P.PLACE_IN_SENTENCE, 's')})"
-_ADDRESS = f"coalesce({', '.join(_addr_sql(p) for p in P.ADDRESSES)}, CASE WHEN NOT regexp_matches({_PLACE}, {q(P.NOT_PLACE)}) THEN {_PLACE} END)"
+ADDRESS_SQL = f"coalesce({', '.join(_addr_sql(p) for p in P.ADDRESSES)}, CASE WHEN NOT regexp_matches({_PLACE}, {q(P.NOT_PLACE)}) THEN {_PLACE} END)"
 
 
 @query("parse_address", TEXTS + f"""
-SELECT page_id, {_ADDRESS} AS address FROM (SELECT page_id, {_CUT} AS s FROM n)""")
+SELECT page_id, {ADDRESS_SQL} AS address FROM (SELECT page_id, {_CUT} AS s FROM n)""")
 def parse_address(spark, sf_dir):
     return notices(spark, sf_dir).select("page_id", FD.address("body").alias("address"))
 
@@ -144,7 +150,7 @@ def title_sql(x: str) -> str:
     return f"array_to_string(list_transform(string_split({x}, ' '), lambda w: array_to_string(list_transform(string_split(w, '-'), lambda c: upper(c[1:1]) || c[2:]), '-')), ' ')"
 
 
-def _located_sql() -> str:
+def located_sql(dictionary: str = "true") -> str:
     """Postal code and city of every notice: text, url, named city, numbered district."""
     named = "CASE " + " ".join(f"WHEN regexp_matches(ls, {q(P.named_city(c))}) THEN {q(c)}" for c in K.SOUTHERN_CITIES) + " END"
     codes = "CASE named " + " ".join(f"WHEN {q(c)} THEN {q(p)}" for c, p in K.SOUTHERN_CITIES.items()) + " END"
@@ -156,14 +162,14 @@ places AS (
       {title_sql(f"replace({rx(P.URL_CITY, 'url', 1)}, '-', ' ')")}) AS place FROM cuts),
 filled AS (
   SELECT page_id, url, body, t, s, ls, coalesce(place, {title_sql("replace(named, '-', ' ')")}) AS place, coalesce(code, {codes}) AS code
-  FROM (SELECT *, CASE WHEN place IS NULL THEN {named} END AS named FROM places)),
+  FROM (SELECT *, CASE WHEN place IS NULL AND {dictionary} THEN {named} END AS named FROM places)),
 numbered AS (SELECT *, CASE WHEN contains(lower(place), 'marseille') THEN {rx(P.DISTRICT_LOW, 'ls')} END AS d FROM filled),
 located AS (
   SELECT page_id, url, body, t, s, CASE WHEN d IS NOT NULL AND (code IS NULL OR code = '13000') THEN '130' || lpad(d, 2, '0') ELSE code END AS postal_code,
     CASE WHEN d IS NOT NULL THEN 'Marseille ' || d || 'ème' ELSE place END AS city FROM numbered)"""
 
 
-@query("parse_location", TEXTS + "," + _located_sql() + """
+@query("parse_location", TEXTS + "," + located_sql() + """
 SELECT page_id, postal_code, left(postal_code, 2) AS department, city FROM located""")
 def parse_location(spark, sf_dir):
     place = FD.location("body", "url")
@@ -177,10 +183,13 @@ def parse_agent_address(spark, sf_dir):
     return notices(spark, sf_dir).select("page_id", FD.agent_address("body").alias("agent_address"))
 
 
+PHONE_SQL = f"trim(regexp_replace(coalesce({', '.join(f"nullif(trim({rx(p, 'body')}), '')" for p in P.PHONES)}), '\\s+$', ''))"
+FIRM_SQL = f"trim({rx(P.FIRM, 'body')})"
+
+
 @query("parse_agent", TEXTS + f"""
 SELECT page_id, coalesce({', '.join(f"trim({rx(p, 'body')})" for p in P.AGENT_NAMES)}) AS agent_name,
-  trim(regexp_replace(coalesce({', '.join(f"nullif(trim({rx(p, 'body')}), '')" for p in P.PHONES)}), '\\s+$', '')) AS phone,
-  {rx(P.EMAIL, 'body')} AS email, trim({rx(P.FIRM, 'body')}) AS firm FROM n""")
+  {PHONE_SQL} AS phone, {rx(P.EMAIL, 'body')} AS email, {FIRM_SQL} AS firm FROM n""")
 def parse_agent(spark, sf_dir):
     return notices(spark, sf_dir).select("page_id", FD.agent_name("body").alias("agent_name"), FD.agent_phone("body").alias("phone"),
                                          FD.agent_email("body").alias("email"), FD.agent_firm("body").alias("firm"))
@@ -197,9 +206,12 @@ def parse_court(spark, sf_dir):
 _SAID = "trim(" + rx(P.OCCUPANCY_LOW[0][0]) + ")"
 
 
+OCCUPANCY_SQL = (f"CASE WHEN regexp_matches(t, {q(P.OCCUPANCY_LOW[0][0])}) THEN upper({_SAID}[1:1]) || {_SAID}[2:] "
+                 + " ".join(f"WHEN regexp_matches(t, {q(p)}) THEN {q(v)}" for p, v in P.OCCUPANCY_LOW[1:]) + " END")
+
+
 @query("parse_occupancy", TEXTS + f"""
-SELECT page_id, CASE WHEN regexp_matches(t, {q(P.OCCUPANCY_LOW[0][0])}) THEN upper({_SAID}[1:1]) || {_SAID}[2:]
-  {' '.join(f"WHEN regexp_matches(t, {q(p)}) THEN {q(v)}" for p, v in P.OCCUPANCY_LOW[1:])} END AS occupancy,
+SELECT page_id, {OCCUPANCY_SQL} AS occupancy,
   state, CASE WHEN state = 'occupé' THEN trim({rx(P.TENANT_LOW)}) END AS tenant, CASE WHEN state = 'occupé' THEN {amount_sql(rx(P.RENT_LOW))} END AS rent
 FROM (SELECT *, CASE WHEN contains(t, 'libre') AND contains(t, 'occupation') THEN 'libre' WHEN contains(t, 'occupé') OR contains(t, 'loué') THEN 'occupé' END AS state FROM n)""")
 def parse_occupancy(spark, sf_dir):
@@ -208,8 +220,12 @@ def parse_occupancy(spark, sf_dir):
                                          FD.tenant(b).alias("tenant"), FD.rent(b).alias("rent"))
 
 
+PARCEL_SQL = (f"coalesce('Section ' || {rx(P.PARCEL_SECTION, 'body', 1)} || ' n°' || {rx(P.PARCEL_SECTION, 'body', 2)}, "
+              + ", ".join(f"trim({rx(p, 'body')})" for p in P.PARCELS) + ")")
+
+
 @query("parse_parcel", TEXTS + f"""
-SELECT page_id, coalesce('Section ' || {rx(P.PARCEL_SECTION, 'body', 1)} || ' n°' || {rx(P.PARCEL_SECTION, 'body', 2)}, {', '.join(f"trim({rx(p, 'body')})" for p in P.PARCELS)}) AS parcel FROM n""")
+SELECT page_id, {PARCEL_SQL} AS parcel FROM n""")
 def parse_parcel(spark, sf_dir):
     return notices(spark, sf_dir).select("page_id", FD.parcel("body").alias("parcel"))
 
@@ -422,11 +438,38 @@ def fill_from_report(spark, sf_dir):
     return f.select("listing_key", "postal_code", "surface_m2", "description", "report_status")
 
 
-@query("report_summary")
+FEATURES_SQL = f"""coalesce({', '.join(decimal_sql(rx(p)) for p in P.SURFACES_LOW)}) AS surface_m2, TRY_CAST({rx(P.ROOMS_LOW)} AS INT) AS rooms,
+  TRY_CAST({rx(P.BEDROOMS_LOW)} AS INT) AS bedrooms, TRY_CAST({rx(P.FLOOR_LOW)} AS INT) AS floor,
+  coalesce({', '.join(date_sql(rx(p)) for p in P.SALE_DATES_LOW)}) AS sale_date,
+  coalesce({', '.join(f"trim({rx(p, 'body')})" for p in P.AGENT_NAMES)}) AS agent_name,
+  coalesce(CASE {' '.join(f"WHEN contains(t, {q(v.lower())}) OR contains(t, {q(k.replace('-', ' '))}) THEN {q(v)}" for k, v in K.COURTS.items())} END,
+    'Tribunal Judiciaire de ' || {title_sql(rx(P.COURT_LOW))}) AS court"""
+_STATE = "CASE WHEN contains(t, 'libre') AND contains(t, 'occupation') THEN 'libre' WHEN contains(t, 'occupé') OR contains(t, 'loué') THEN 'occupé' END"
+
+
+@query("report_summary", TEXTS + f""", {VISITS_SQL},
+f AS (
+  SELECT page_id, {ADDRESS_SQL} AS address, {rx(P.postal_pattern(DEPARTMENTS), 'body')} AS postal_code,
+    coalesce({rx(P.city_after_postal(DEPARTMENTS), 'body')}, {rx(P.CITY_AFTER_A, 'body')}) AS city,
+    {class_sql(K.PROPERTY_WORDS, 'autre')} AS type, {FEATURES_SQL}, contains(t, 'copropriété') AS is_coownership, {_STATE} AS state,
+    {rx(P.LOT_LOW)} AS lot, {amount_sql(rx(P.CHARGES_LOW))} AS charges, TRY_CAST({rx(P.SHARES_LOW)} AS INT) AS shares,
+    trim({rx(P.TENANT_LOW)}) AS tenant, {amount_sql(rx(P.RENT_LOW))} AS rent,
+    {amount_sql(rx(P.START_PRICE_LOW))} AS start_price, {amount_sql(rx(P.FEES_LOW))} AS fees, {amount_sql(rx(P.DEBT_LOW))} AS debt,
+    {rx(P.CASE_NUMBER, 'body')} AS case_no, concat_ws(', ', {', '.join(_diag_sql(w) for w in K.DIAGNOSTICS)}) AS diagnostics
+  FROM (SELECT *, {_CUT} AS s FROM n))
+SELECT page_id, trim(concat_ws(' ', address, postal_code, city)) AS full_address, address, postal_code, city, type, surface_m2 AS surface, rooms, bedrooms, floor,
+  is_coownership, CASE WHEN is_coownership THEN lot END AS lot, CASE WHEN is_coownership THEN charges END AS charges, CASE WHEN is_coownership THEN shares END AS shares,
+  state AS status, CASE WHEN state = 'occupé' THEN tenant END AS tenant, CASE WHEN state = 'occupé' THEN rent END AS rent,
+  start_price, fees, debt, sale_date AS sale, visits, court, agent_name AS agent, case_no, diagnostics
+FROM f JOIN seen USING (page_id)""")
 def report_summary(spark, sf_dir):
-    """Nested summary of all report fields."""
-    fields = R.report_fields(notices(spark, sf_dir))
-    return fields.select("page_id", R.report_summary().alias("summary")).select("page_id", "summary.*")
+    """The nested summary of all report fields, laid flat."""
+    s = R.report_fields(notices(spark, sf_dir)).select("page_id", R.report_summary().alias("s"))
+    shown = F.transform("s.dates.visits", lambda v: F.date_format(v, "yyyy-MM-dd HH:mm"))
+    return s.select(
+        "page_id", F.col("s.address.full").alias("full_address"), "s.address.address", "s.address.postal_code", "s.address.city",
+        "s.property.*", "s.coownership.*", "s.occupancy.*", "s.finance.*", "s.dates.sale", F.array_join(shown, ",").alias("visits"),
+        "s.legal.*", F.array_join("s.diagnostics", ", ").alias("diagnostics"))
 
 
 @query("merge_document_list", PAGES + """

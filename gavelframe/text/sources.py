@@ -20,17 +20,17 @@ Parser = Callable[[Column, Column], dict[str, Column]]
 
 
 def notice_parser(*, source_id: str, departments=K.TARGET_DEPARTMENTS, families: dict | None = None,
-                  courts: dict | None = None) -> Parser:
+                  courts: dict | None = None, cities: dict | None = None) -> Parser:
     """Parser of a site that differs from the others by these parameters only."""
     def parse(text: Column, url: Column) -> dict[str, Column]:
         from gavelframe.functions.values import matched
         number = matched(source_id, url, 1)
         if source_id.count("(\\d+)") > 1:
             number = F.coalesce(number, matched(source_id, url, 2))
-        postal = T.postal_code(text, url, departments)
+        place = T.location(text, url, departments, cities or {})
         return {
-            "source_id": number, "address": T.address(text), "postal_code": postal, "department": department_of(postal),
-            "city": T.city(text, url, departments), "property_type": T.property_class(text, families),
+            "source_id": number, "address": T.address(text), "postal_code": place["postal_code"],
+            "department": department_of(place["postal_code"]), "city": place["city"], "property_type": T.property_class(text, families),
             "surface_m2": T.surface(text), "rooms": T.rooms(text), "bedrooms": T.bedrooms(text), "floor": T.floor(text),
             "sale_date": T.sale_date(text), "sale_time": T.sale_time(text), "visit_times": T.visits(text),
             "start_price": T.price(text), "court": T.court(text, courts), "occupancy": T.occupancy(text),
@@ -41,15 +41,19 @@ def notice_parser(*, source_id: str, departments=K.TARGET_DEPARTMENTS, families:
 
 
 # fixed values: what sets the known sites apart
-DEFAULT_PARSERS: dict[str, Parser] = {
-    "site_a": notice_parser(source_id=P.SOURCE_IDS["site_a"]),
-    "site_b": notice_parser(source_id=P.SOURCE_IDS["site_b"], families={
+SITE_FAMILIES = {
+    "site_b": {
         "appartement": ["appartement", "studio", "f1", "f2", "f3", "f4", "f5"], "maison": ["maison", "villa", "pavillon"],
-        "local_commercial": ["local", "commerce", "bureau"], "terrain": ["terrain", "parcelle"], "parking": ["parking", "garage", "box"]}),
-    "site_c": notice_parser(source_id=P.SOURCE_IDS["site_c"], families={
+        "local_commercial": ["local", "commerce", "bureau"], "terrain": ["terrain", "parcelle"], "parking": ["parking", "garage", "box"]},
+    "site_c": {
         "appartement": ["appartement", "studio", "duplex", "loft"], "maison": ["maison", "villa", "pavillon", "propriété"],
         "local_commercial": ["local", "commerce", "bureau", "boutique"], "terrain": ["terrain", "parcelle", "foncier"],
-        "parking": ["parking", "garage", "box", "stationnement"]}),
+        "parking": ["parking", "garage", "box", "stationnement"]},
+}
+DEFAULT_PARSERS: dict[str, Parser] = {
+    "site_a": notice_parser(source_id=P.SOURCE_IDS["site_a"], cities=K.SOUTHERN_CITIES),
+    "site_b": notice_parser(source_id=P.SOURCE_IDS["site_b"], families=SITE_FAMILIES["site_b"]),
+    "site_c": notice_parser(source_id=P.SOURCE_IDS["site_c"], families=SITE_FAMILIES["site_c"]),
 }
 
 
