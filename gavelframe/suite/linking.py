@@ -63,9 +63,100 @@ def match_score(spark, sf_dir):
     return L.match_scores(*feeds(spark, sf_dir))
 
 
-@query("one_to_one_match", headline=True)
+_KNOWN = ", ".join(f"'{c}'" for c in EN.POSTAL_OF_CITY)
+_DIM = sql_values([(p, KEY_CITY) for p, KEY_CITY in EN.CITY_OF_POSTAL.items()])
+_TITLE = "array_to_string(list_transform(string_split({0}, ' '), lambda w: array_to_string(list_transform(string_split(w, '-'), lambda x: upper(x[1:1]) || x[2:]), '-')), ' ')"
+_UNLIKE = sql_values([(_norm(c), _norm(e)) for c in dict.fromkeys(_C2) for e in dict.fromkeys(EN.CITY_OF_POSTAL.values())
+                      if _norm(c) != _norm(e) and SequenceMatcher(None, _norm(c), _norm(e)).ratio() < 0.6])
+
+
+def enriched_sql(source: str, out: str) -> str:
+    """CTE `out`: rows of `source` with locations filled, corrected and counted, as `enrich_locations` does."""
+    return f""",
+{out}_place AS (SELECT * FROM ({_DIM}) v(p, c)),
+{out}_code AS (SELECT * FROM ({sql_values(list(EN.POSTAL_OF_CITY.items()))}) v(n, q)),
+{out}_unlike AS (SELECT * FROM ({_UNLIKE}) v(has, wants)),
+{out}_named AS (
+  SELECT s.*, coalesce(city, '') = '' AND postal_code <> '' AND c IS NOT NULL AS by_code,
+    CASE WHEN coalesce(city, '') = '' AND postal_code <> '' THEN coalesce({_TITLE.format('c')}, city) ELSE city END AS new_city
+  FROM {source} s LEFT JOIN {out}_place ON p = postal_code),
+{out}_coded AS (
+  SELECT *, coalesce(postal_code, '') = '' AND new_city <> '' AND q IS NOT NULL AS by_city,
+    CASE WHEN coalesce(postal_code, '') = '' AND new_city <> '' THEN coalesce(q, postal_code) ELSE postal_code END AS new_code
+  FROM {out}_named LEFT JOIN {out}_code ON n = {norm_sql('new_city')}),
+{out}_judged AS (
+  SELECT k.*, e.c AS expected, u.has IS NOT NULL AND new_city <> '' AND new_code <> '' AS wrong
+  FROM {out}_coded k LEFT JOIN {out}_place e ON e.p = new_code LEFT JOIN {out}_unlike u ON u.has = {norm_sql('new_city')} AND u.wants = {norm_sql('e.c')}),
+{out} AS (
+  SELECT * EXCLUDE (city, postal_code, n, q), CASE WHEN wrong THEN {_TITLE.format('expected')} ELSE new_city END AS city, new_code AS postal_code,
+    CASE WHEN new_code <> '' THEN left(new_code, 2) END AS department,
+    coalesce(by_code, false)::INT + coalesce(by_city, false)::INT + coalesce(new_code <> '', false)::INT AS n_inferred
+  FROM {out}_judged)"""
+
+
+# the first feed in order, each row taking its best free partner
+WALK_SQL = LINK_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+cand AS (SELECT seq_1, seq_2, matched::DOUBLE / weight AS score FROM scored WHERE matched > 0 AND matched * 2 >= weight),
+options AS (
+  SELECT seq_1, list(seq_2 ORDER BY score DESC, seq_2) AS o, list(score ORDER BY score DESC, seq_2) AS s, row_number() OVER (ORDER BY seq_1) AS n
+  FROM cand GROUP BY seq_1),
+walk AS (
+  SELECT 0::BIGINT AS n, NULL::BIGINT AS seq_1, NULL::BIGINT AS seq_2, NULL::DOUBLE AS score, []::BIGINT[] AS taken
+  UNION ALL
+  SELECT n, seq_1, best, s[list_position(o, best)], CASE WHEN best IS NULL THEN taken ELSE list_append(taken, best) END
+  FROM (SELECT t.n, t.seq_1, t.o, t.s, w.taken, list_filter(t.o, lambda x: NOT list_contains(w.taken, x))[1] AS best
+        FROM walk w JOIN options t ON t.n = w.n + 1)),
+chosen AS (SELECT seq_1, seq_2, score FROM walk WHERE seq_2 IS NOT NULL)"""
+
+
+def _full(side: str, name: str) -> str:
+    blank = "0" if name in L.NUMERIC else "''"
+    return f"{side}.{name} IS NOT NULL" if name == "sale_date" else f"coalesce({side}.{name}, {blank}) <> {blank}"
+
+
+def _kept(name: str) -> str:
+    """Does the first feed's value stay where both have one?"""
+    if name in L.LONGER:
+        return f"length(a.{name}) > length(b.{name})"
+    if name == "postal_code":
+        return "regexp_matches(a.postal_code, '^\\d{5}$') OR NOT regexp_matches(b.postal_code, '^\\d{5}$')"
+    if name == "city":
+        ka, kb = (f"{norm_sql(f'{x}.city')} IN ({_KNOWN})" for x in "ab")
+        return f"CASE WHEN {ka} AND NOT {kb} THEN true WHEN {kb} AND NOT {ka} THEN false ELSE length(a.city) > length(b.city) END"
+    return "true"
+
+
+_FIELDS = ["address", "postal_code", "city", "property_type", "surface_m2", "rooms", "description", "start_price", "sale_date",
+           "court", "agent_name", "report_url"]
+
+
+def _merged_sql(pairs: str, out: str) -> str:
+    """CTE `out`: one row of best values per pair, with the numbers of equal and of differing fields."""
+    def value(n):
+        both = f"{_full('a', n)} AND {_full('b', n)}"
+        return f"CASE WHEN {both} THEN CASE WHEN {_kept(n)} THEN a.{n} ELSE b.{n} END WHEN {_full('a', n)} THEN a.{n} WHEN {_full('b', n)} THEN b.{n} END AS {n}"
+
+    def origin(n):
+        return f"CASE WHEN {_full('a', n)} AND ({_kept(n)} OR NOT ({_full('b', n)})) THEN 'site_a' WHEN {_full('b', n)} THEN 'site_b' END AS {n}_from"
+
+    def count(sign):
+        return " + ".join(f"coalesce({_full('a', n)} AND {_full('b', n)} AND a.{n} {sign} b.{n}, false)::INT" for n in _FIELDS)
+    return f""",
+{out} AS (
+  SELECT p.seq_1, p.seq_2, 'site_a+site_b' AS source, a.url, {', '.join(value(n) for n in _FIELDS)}, {', '.join(origin(n) for n in _FIELDS)},
+    {count('=')} AS n_equal, {count('<>')} AS n_picked
+  FROM {pairs} p JOIN site_one a ON a.seq = p.seq_1 JOIN site_two b ON b.seq = p.seq_2)"""
+
+
+_FILLED = " + ".join([*(f"coalesce({_full('m', n)}, false)::INT" for n in _FIELDS), "coalesce(m.department <> '', false)::INT"])
+VALID_SQL = (WALK_SQL + _merged_sql("chosen", "pairs") + enriched_sql("pairs", "m")
+             + ", rest_one AS (SELECT * FROM site_one WHERE seq NOT IN (SELECT seq_1 FROM chosen)), rest_two AS (SELECT * FROM site_two WHERE seq NOT IN (SELECT seq_2 FROM chosen))"
+             + enriched_sql("rest_one", "r1") + enriched_sql("rest_two", "r2"))
+
+
+@query("one_to_one_match", WALK_SQL + " SELECT seq_1, seq_2, score FROM chosen", headline=True)
 def one_to_one_match(spark, sf_dir):
-    """Greedy one-to-one choice (iterative, so checked against brute force in the tests)."""
+    """Greedy one-to-one choice."""
     return L.one_to_one(*feeds(spark, sf_dir))
 
 
@@ -75,40 +166,35 @@ def _pairs_by_seq(spark, sf_dir):
     return pairs, one, two
 
 
-_KNOWN = ", ".join(f"'{c}'" for c in EN.POSTAL_OF_CITY)
-
-
-@query("survivorship_merge", T.cte("site_one", "site_two") + f"""
-SELECT a.seq AS seq_1, b.seq AS seq_2, 'site_a+site_b' AS source, a.url,
-  CASE WHEN a.address IS NULL OR length(a.address) <= length(b.address) THEN b.address ELSE a.address END AS address,
-  coalesce(nullif(a.surface_m2, 0), nullif(b.surface_m2, 0)) AS surface_m2, coalesce(nullif(a.rooms, 0), nullif(b.rooms, 0)) AS rooms,
-  coalesce(nullif(a.start_price, 0), nullif(b.start_price, 0)) AS start_price, coalesce(a.sale_date, b.sale_date) AS sale_date,
-  coalesce(nullif(a.agent_name, ''), b.agent_name) AS agent_name,
-  CASE WHEN length(a.description) > length(b.description) THEN 'site_a' ELSE 'site_b' END AS description_from
-FROM site_one a JOIN site_two b ON a.seq = b.seq""")
+@query("survivorship_merge", T.cte("site_one", "site_two")
+       + ", same AS (SELECT a.seq AS seq_1, b.seq AS seq_2 FROM site_one a JOIN site_two b ON a.seq = b.seq)"
+       + _merged_sql("same", "pairs") + enriched_sql("pairs", "m") + f"""
+SELECT seq_1, seq_2, source, url, {', '.join(_FIELDS)}, department, {', '.join(f'{n}_from' for n in _FIELDS)},
+  n_picked + n_inferred + wrong::INT AS n_notes, n_equal::DOUBLE / ({_FILLED}) AS confidence FROM m""")
 def survivorship_merge(spark, sf_dir):
-    """Best value per field of rows of equal number in both feeds."""
+    """Best value per field of rows of equal number in both feeds, where it is from, and the notes on it."""
     m = L.merge_pairs(*_pairs_by_seq(spark, sf_dir))
-    return m.select("seq_1", "seq_2", "source", "url", "address", "surface_m2", "rooms", "start_price", "sale_date", "agent_name",
-                    F.col("field_sources")["description"].alias("description_from"))
+    return m.select("seq_1", "seq_2", "source", "url", *_FIELDS, "department", *[F.col("field_sources")[n].alias(f"{n}_from") for n in _FIELDS],
+                    F.size("notes").alias("n_notes"), "confidence")
 
 
-@query("cross_validate")
+@query("cross_validate", VALID_SQL + f"""
+SELECT 'merged' AS origin, seq_1, seq_2, source, url, city, postal_code, department, start_price, n_equal::DOUBLE / ({_FILLED}) AS confidence FROM m
+UNION ALL SELECT 'first', seq, NULL, source, url, city, postal_code, department, start_price, NULL FROM r1
+UNION ALL SELECT 'second', NULL, seq, source, url, city, postal_code, department, start_price, NULL FROM r2""")
 def cross_validate(spark, sf_dir):
     """Merged and unmatched listings of both feeds."""
     v = L.cross_validate(*feeds(spark, sf_dir))
     return v.select("origin", "seq_1", "seq_2", "source", "url", "city", "postal_code", "department", "start_price", "confidence")
 
 
-@query("match_counters")
+@query("match_counters", VALID_SQL + """
+SELECT (SELECT 2 * count(*) FROM m) + (SELECT count(*) FROM r1) + (SELECT count(*) FROM r2) AS total_processed,
+  (SELECT count(*) FROM m) AS matches_found, (SELECT coalesce(sum(n_picked + n_inferred), 0) FROM m) AS fields_improved""")
 def match_counters(spark, sf_dir):
     return L.match_counters(L.cross_validate(*feeds(spark, sf_dir)))
 
 
-_DIM = sql_values([(p, KEY_CITY) for p, KEY_CITY in EN.CITY_OF_POSTAL.items()])
-_TITLE = "array_to_string(list_transform(string_split({0}, ' '), lambda w: array_to_string(list_transform(string_split(w, '-'), lambda x: upper(x[1:1]) || x[2:]), '-')), ' ')"
-
-
 @query("postal_city_fill", T.cte("site_one") + f""",
 place AS (SELECT * FROM ({_DIM}) v(p, c)),
 code AS (SELECT * FROM ({sql_values(list(EN.POSTAL_OF_CITY.items()))}) v(n, q)),
@@ -119,29 +205,8 @@ def postal_city_fill(spark, sf_dir):
     return EN.fill_locations(T.domain(spark, sf_dir, "site_one")).select("seq", "city", "postal_code")
 
 
-_UNLIKE = sql_values([(_norm(c), _norm(e)) for c in dict.fromkeys(_C2) for e in dict.fromkeys(EN.CITY_OF_POSTAL.values())
-                      if _norm(c) != _norm(e) and SequenceMatcher(None, _norm(c), _norm(e)).ratio() < 0.6])
-
-
-@query("enrich_locations", T.cte("site_two") + f""",
-place AS (SELECT * FROM ({_DIM}) v(p, c)),
-code AS (SELECT * FROM ({sql_values(list(EN.POSTAL_OF_CITY.items()))}) v(n, q)),
-unlike AS (SELECT * FROM ({_UNLIKE}) v(has, wants)),
-named AS (
-  SELECT s.*, coalesce(city, '') = '' AND postal_code <> '' AND c IS NOT NULL AS by_code,
-    CASE WHEN coalesce(city, '') = '' AND postal_code <> '' THEN coalesce({_TITLE.format('c')}, city) ELSE city END AS new_city
-  FROM site_two s LEFT JOIN place ON p = postal_code),
-coded AS (
-  SELECT *, coalesce(postal_code, '') = '' AND new_city <> '' AND q IS NOT NULL AS by_city,
-    CASE WHEN coalesce(postal_code, '') = '' AND new_city <> '' THEN coalesce(q, postal_code) ELSE postal_code END AS new_code
-  FROM named LEFT JOIN code ON n = {norm_sql('new_city')}),
-judged AS (
-  SELECT coded.*, e.c AS expected, u.has IS NOT NULL AND new_city <> '' AND new_code <> '' AS wrong
-  FROM coded LEFT JOIN place e ON e.p = new_code LEFT JOIN unlike u ON u.has = {norm_sql('new_city')} AND u.wants = {norm_sql('e.c')})
-SELECT seq, CASE WHEN wrong THEN {_TITLE.format('expected')} ELSE new_city END AS city, new_code AS postal_code,
-  CASE WHEN new_code <> '' THEN left(new_code, 2) END AS department,
-  by_code::INT + by_city::INT + wrong::INT + (new_code <> '' AND new_code IS NOT NULL)::INT AS n_changes
-FROM judged""")
+@query("enrich_locations", T.cte("site_two") + enriched_sql("site_two", "e") + """
+SELECT seq, city, postal_code, department, n_inferred + wrong::INT AS n_changes FROM e""")
 def enrich_locations(spark, sf_dir):
     """Fill plus the similarity-based city correction."""
     return EN.enrich_locations(T.domain(spark, sf_dir, "site_two")).select("seq", "city", "postal_code", "department", F.size("changes").alias("n_changes"))
