@@ -19,12 +19,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gavelframe.functions import constants as K
 from gavelframe.functions.values import as_date, has_number, has_text, lookup, number_or_null
-from gavelframe.operators.topk import slices_for, top_k_per_key
+from gavelframe.operators.topk import top_k_per_key
 
 PROBE = ["postal_code", "type_word", "probe_surface"]
 _CELLS_PER_WINDOW = 8
@@ -57,7 +57,7 @@ def with_probe(listings: DataFrame, *, type_map=None, default_surface: float = 5
 
 def probe_comparables(listings: DataFrame, transactions: DataFrame, as_of, *,
                       tolerance: float = 0.25, months: int = 24, k: int = 20,
-                      type_map=None, default_surface: float = 50.0, salts: int | None = None) -> DataFrame:
+                      type_map=None, default_surface: float = 50.0, salts: int = 0) -> DataFrame:
     """The ``k`` most recent comparable sales of each distinct probe, ranked."""
     type_map = type_map or K.MARKET_TYPE_MAP
     words = list(dict.fromkeys([*type_map.values(), K.DEFAULT_LOCAL_TYPE]))
@@ -79,23 +79,15 @@ def probe_comparables(listings: DataFrame, transactions: DataFrame, as_of, *,
         F.when(has_number("surface_m2"), bucket(F.col("surface_m2"))).alias("cell"),
     )
     area = ["postal_code", "type_word"]
-    salts = slices_for(recent) if salts is None else salts
-    if salts:  # first round per slice of map tasks, see top_k_per_key
-        recent = top_k_per_key(recent.withColumn("_slice", F.pmod(F.spark_partition_id(), F.lit(salts))),
-                               area + ["cell", "surface_m2", "_slice"], _most_recent(), k).drop("rank", "_slice")
-    # hashing by bucket serves both rankings below with one shuffle
-    at_surface = Window.partitionBy(*area, "cell", "surface_m2").orderBy(*_most_recent())
-    in_cell = Window.partitionBy(*area, "cell").orderBy(*_most_recent())
+    # map tasks trim to k rows per key before either shuffle, so a hot bucket never crosses the network whole;
+    # both branches read one shuffle by surface (no filter may set them apart; sales without a surface fail `inside`)
+    by_surface = top_k_per_key(recent, area + ["cell", "surface_m2"], _most_recent(), k, salts=salts).drop("rank")
+    by_cell = top_k_per_key(by_surface, area + ["cell"], _most_recent(), k, salts=salts).drop("rank")
     heads = (
-        recent.repartition(*area, "cell")
-        .withColumn("_at_surface", F.row_number().over(at_surface)).filter(F.col("_at_surface") <= k)
-        .withColumn("_in_cell", F.row_number().over(in_cell))
+        by_surface.withColumn("grain", F.lit("surface"))
+        .unionByName(by_cell.withColumn("grain", F.when(F.col("cell").isNull(), "none").otherwise("cell")))
+        .withColumn("cell", F.coalesce("cell", F.lit(0)))
     )
-    no_surface = F.col("cell").isNull()
-    heads = heads.withColumn("grain", F.explode(F.array(
-        F.when(~no_surface, F.lit("surface")),
-        F.when(F.col("_in_cell") <= k, F.when(no_surface, F.lit("none")).otherwise(F.lit("cell"))),
-    ))).filter(F.col("grain").isNotNull()).withColumn("cell", F.coalesce("cell", F.lit(0))).drop("_at_surface", "_in_cell")
 
     probes = with_probe(listings, type_map=type_map, default_surface=default_surface).select(*PROBE).distinct()
     low = F.col("probe_surface") * F.lit(1 - tolerance)

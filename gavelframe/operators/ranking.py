@@ -45,7 +45,7 @@ def closest_to_median(rows: DataFrame, medians: DataFrame, keys: list[str], *, k
     """
     near = rows.join(medians, keys).withColumn(
         "distance", F.abs(F.rint(F.col(price)) - F.col("median_price_m2")))
-    return top_k_per_key(near, keys, [F.col("distance"), F.col(tie)], k, salts=None)
+    return top_k_per_key(near, keys, [F.col("distance"), F.col(tie)], k)
 
 
 def latest_year(indicators: DataFrame, key: str = "insee") -> DataFrame:

@@ -6,25 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def slices_for(df: DataFrame) -> int:
-    """Number of slices that keeps one key's last task small: grows with the width of shuffles,
-    none on a small one, where no key meets rows of many map tasks."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 64
-
-
 def top_k_per_key(df: DataFrame, keys: list[str], order: list, k: int, *,
-                  rank: str = "rank", salts: int | None = 0) -> DataFrame:
+                  rank: str = "rank", salts: int = 0) -> DataFrame:
     """The ``k`` first rows of every key by ``order``.
 
     Spark trims each map task to ``k`` rows per key before the shuffle
     (``WindowGroupLimit``). A key that holds a large share of all rows still meets
     in one task with ``k`` rows from every map task; with ``salts`` the rows pass a
     first round over (key, slice of map tasks), so the last task sees at most
-    ``salts * k`` rows of a key; ``None`` picks a number for the cluster's shuffle width. The answer does not depend on the slicing: the best
-    ``k`` of a set are among the best ``k`` of each of its parts.
+    ``salts * k`` rows of a key. The answer does not depend on the slicing: the best ``k`` of a
+    set are among the best ``k`` of each of its parts.
     """
-    if salts is None:
-        salts = slices_for(df)
     if salts:
         part = "_slice"
         df = df.withColumn(part, F.pmod(F.spark_partition_id(), F.lit(salts)))

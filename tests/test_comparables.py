@@ -133,3 +133,25 @@ def test_plan_has_group_limit_and_no_cross_product(spark):
     plan = QUERIES["comparables_market"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_sales_are_trimmed_before_they_are_shuffled(spark):
+    sales = spark.createDataFrame(
+        [("75011", "Appartement", f"t{i:05}", dt.date(2024, 1, 1 + i % 28), 20 + i / 997, 4000.0, 1.0, "a", "c") for i in range(3000)],
+        "postal_code string, local_type string, tx_key string, tx_date date, surface_m2 double, price_m2 double, price double, address string, commune string")
+    probes = spark.createDataFrame([("l", "75011", "appartement", 21.5)], "listing_key string, postal_code string, property_type string, surface_m2 double")
+    found = C.probe_comparables(probes, sales, "2024-06-01", k=7)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("\n")
+    by_surface = [line for line in plan if "WindowGroupLimit" in line or ("Exchange hash" in line and "cell" in line)]
+    assert any("Exchange" in a and "WindowGroupLimit" in b for a, b in zip(by_surface, by_surface[1:]))
+    want = sorted(sales.filter("surface_m2 between 21.5 * 0.75 and 21.5 * 1.25").collect(), key=lambda r: (-r.tx_date.toordinal(), r.tx_key))[:7]
+    assert [r.tx_key for r in found.orderBy("rank").collect()] == [r.tx_key for r in want]
+
+
+def test_communes_are_joined_not_listed(spark):
+    from gavelframe.operators import estimates as E
+    codes = spark.range(35000).selectExpr("lpad(cast(id + 1000 as string), 5, '0') AS insee", "lpad(cast(90000 - id as string), 5, '0') AS postal_code")
+    figures = spark.range(35000).selectExpr("lpad(cast(id + 1000 as string), 5, '0') AS insee", "2023 AS year", "cast(id as double) AS price_m2", "1L AS n_sales")
+    subjects = spark.createDataFrame([(1, "90000"), (2, "89999"), (3, None)], "listing_key long, postal_code string")
+    got = {r.listing_key: (r.insee, r.commune_price_m2) for r in E.commune_lookup(subjects, figures, codes).collect()}
+    assert got == {1: ("01000", 0.0), 2: ("01001", 1.0), 3: (None, None)}

@@ -93,3 +93,25 @@ def test_freshness_boundary(spark, minutes, fresh):
     at = dt.datetime(2024, 1, 2) - dt.timedelta(minutes=minutes)
     df = spark.createDataFrame([(at,)], "t timestamp")
     assert df.select(KEY.is_fresh("t", "2024-01-02 00:00:00").alias("f")).first().f is fresh
+
+
+def test_location_names_districts_and_listed_cities(spark):
+    def place(text, url=None):
+        rows = spark.createDataFrame([(text, url)], "t string, u string")
+        p = T.location("t", "u")
+        return tuple(rows.select(p["postal_code"], p["city"]).first())
+    assert place("Un studio à Marseille 4ème\nMaître X, 13006 Marseille") == ("13004", "Marseille 4ème")
+    assert place("Un studio sis commune de La Ciotat") == ("13600", "La Ciotat")
+    assert place("Un studio 92300 Levallois Perret\nMise à prix") == ("92300", "Levallois Perret")
+    assert place("Toulonnais") == (None, None)
+
+
+def test_photos_are_all_kept(spark):
+    html = "".join(f"<img src='/p{i}.jpg'>" for i in range(30)) + "<img data-lazy='/z.jpg' srcset='/a.jpg 1x, /b.jpg 2x'>"
+    got = one(spark, html, T.photos("t", F.lit("https://x.example/l")))
+    assert len(got) == 32 and got[-2:] == ["https://x.example/b.jpg", "https://x.example/z.jpg"]
+
+
+def test_long_values_stay_whole(spark):
+    assert len(one(spark, "x" * 20000, KEY.title_case("t"))) == 20000
+    assert len(one(spark, "Désignation : " + "mot " * 900, T.description("t"))) == 3599
