@@ -11,8 +11,6 @@ import __spark_entry__ as entry_points
 sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 from verify import rows_of  # noqa: E402
 
-SLOW = {"cross_validate", "match_counters", "one_to_one_match"}  # covered by test_linkage
-
 
 @pytest.fixture(scope="module")
 def con(sf_dir):
@@ -30,7 +28,7 @@ def test_every_sql_has_a_query():
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
 
 
-@pytest.mark.parametrize("name", [n for n in entry_points.queries() if n not in SLOW])
+@pytest.mark.parametrize("name", list(entry_points.queries()))
 def test_query(spark, sf_dir, con, name):
     df = entry_points.queries()[name](spark, sf_dir)
     got = rows_of(df.columns, df.collect())
