@@ -125,9 +125,48 @@ def upsert_table(new: DataFrame, base: str, keys: list[str], *, order: list[str]
     return write_next(out, base, version)
 
 
-def merge_table(new: DataFrame, base: str, keys: list[str], *, order: list[str], version: int | None = None) -> int:
-    """As `upsert_table`, but the newest by ``order`` wins wherever it comes from, so late rows change nothing."""
-    spark = new.sparkSession
-    versions = [v for v in _versions(spark, base) if version is None or v < version]
-    both = new if not versions else spark.read.parquet(f"{base}/version={versions[-1]}").unionByName(new, allowMissingColumns=True)
-    return write_next(latest_by_key(both, keys, order), base, version)
+# --- tables by key part: a batch rewrites only the parts its keys fall into ----------------------
+
+PARTS = 64
+
+
+def _part(keys: list[str], order: list[str], parts: int):
+    """Part of a row by its key; rows with a NULL in their key are spread by the order columns too."""
+    of_key, of_row = F.xxhash64(*keys), F.xxhash64(*keys, *order)
+    return F.pmod(F.when(_complete_key(keys), of_key).otherwise(of_row), F.lit(parts)).cast("int")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def read_parts(spark: SparkSession, base: str) -> DataFrame | None:
+    """The table that `merge_parts` keeps at ``base``, or None."""
+    if not _exists(spark, base):
+        return None
+    return spark.read.option("mergeSchema", True).option("basePath", base).parquet(base).drop("_part")
+
+
+def merge_parts(new: DataFrame, base: str, keys: list[str], *, order: list[str], batch: int, parts: int = PARTS) -> None:
+    """Merge ``new`` into the table at ``base``; per key the newest by ``order`` wins wherever it comes from.
+
+    Only the key parts that the batch touches are read and rewritten. They are first written whole
+    beside the table under the number of the batch, then put in place; a batch that is replayed after
+    it broke off in between puts the same parts in place again. Give a table the same ``parts`` always.
+    Rows with a NULL in their key all stay. An empty batch changes nothing.
+    """
+    spark, staged = new.sparkSession, f"{base}_staged"
+    if not (_exists(spark, f"{staged}/_SUCCESS") and _exists(spark, f"{staged}/_batch={batch}")):
+        told = new.withColumn("_part", _part(keys, order, parts))
+        touched = sorted(r[0] for r in told.select("_part").distinct().collect())  # at most `parts` numbers
+        if not touched:
+            return
+        if _exists(spark, base):
+            old = spark.read.option("mergeSchema", True).parquet(base).filter(F.col("_part").isin(touched))
+            told = old.unionByName(told, allowMissingColumns=True)
+        merged = latest_by_key(told, keys, order).hint("rebalance", "_part")
+        merged.withColumn("_batch", F.lit(batch)).write.mode("overwrite").partitionBy("_batch", "_part").parquet(staged)
+    ready = spark.read.parquet(f"{staged}/_batch={batch}")
+    (ready.hint("rebalance", "_part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("_part").parquet(base))

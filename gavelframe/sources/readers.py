@@ -76,17 +76,18 @@ def read_indicators(spark: SparkSession, paths, departments=K.TARGET_DEPARTMENTS
     return parse_indicators(spark.read.option("header", True).csv(paths), departments)
 
 
-def read_listing_cache(spark: SparkSession, paths) -> DataFrame:
+def read_listing_cache(spark: SparkSession, paths, *, lines: bool = False) -> DataFrame:
     """JSON objects keyed by cache key to one row per key.
 
-    Each file is one JSON object and so one record; spread a large cache over several files
-    or keep it as the Parquet table of ``upsert``.
+    A legacy file is one JSON object and so one record. With ``lines`` each line is an object of
+    its own, as `export_listing_cache` writes them, and files of any size are split over tasks.
     """
-    text = spark.read.text(paths, wholetext=True)
+    text = spark.read.text(paths, wholetext=not lines)
     entries = text.select(F.explode(F.from_json("value", f"map<string,{S.CACHE_ENTRY}>")).alias("cache_key", "e"))
     return entries.select(
         "cache_key", F.col("e.prix_m2").alias("price_m2"), F.col("e.prix_m2_raw").alias("raw_price_m2"),
-        F.col("e.nb_listings").alias("n_ads"), F.col("e.geographic_match").alias("geo_match"), F.col("e.sources").alias("sources"),
+        F.col("e.nb_listings").alias("n_ads"), F.col("e.geographic_match").alias("geo_match"),
+        F.col("e.source_url").alias("source_url"), F.col("e.sources").alias("sources"),
         F.col("e.notes").alias("notes"), F.col("e.comparables").alias("comparables"),
         F.try_to_timestamp("e.cached_at").alias("cached_at"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from gavelframe.sinks.tables import merge_table, read_current, write_next
+from gavelframe.sinks.tables import merge_parts, read_parts, write_next
 
 
 def file_stream(spark: SparkSession, folder: str, schema, *, files_per_batch: int | None = None, name_filter: str | None = None) -> DataFrame:
@@ -24,11 +24,11 @@ def stream_upsert(rows: DataFrame, base: str, checkpoint: str, *, key: str = "ur
     """Upsert a stream of listings into the table at ``base``, all data available now.
 
     Nothing is dropped before the upsert: late rows, rows of one time and repeats all reach it,
-    and the newest by (time, order) of table and batch together stays. Each batch writes the
-    snapshot of its own number, so a replayed batch is harmless.
+    and the newest by (time, order) of table and batch together stays. A batch rewrites only the
+    key parts it touches, and a replayed batch is harmless. `read_parts` reads the table.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
-        merge_table(batch, base, [key], order=[time, *order], version=batch_id)
+        merge_parts(batch, base, [key], order=[time, *order], batch=batch_id)
 
     return (rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
@@ -59,7 +59,7 @@ def stream_values(values: DataFrame, base: str, checkpoint: str, *, key: str = "
 
 def live_values(spark: SparkSession, base: str, now, hours: int, *, key: str = "cache_key", time: str = "cached_at") -> DataFrame:
     """The table's values that are younger than ``hours`` at ``now``; expired ones are hidden."""
-    return latest_fresh(read_current(spark, base), now, hours, key=key, time=time)
+    return latest_fresh(read_parts(spark, base), now, hours, key=key, time=time)
 
 
 def expired_values(values: DataFrame, ttl: str, delay: str, *, key: str = "cache_key", time: str = "cached_at") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gavelframe.functions import constants as K
 from gavelframe.functions.values import half_even
+from gavelframe.sinks import cache as CA
 from gavelframe.sinks import exports as X
 from gavelframe.sinks import tables as TB
 from gavelframe.sources import readers as RD
@@ -195,6 +196,32 @@ def parse_notices_by_source(spark, sf_dir):
     return n.withColumn("visit_times", F.array_join(shown, ","))
 
 
+@query("listing_cache", """
+WITH kept AS (SELECT user_id, max_by(value, (ts, event_id)) AS value, max(ts) AS ts, max_by(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id),
+ads AS (SELECT *, unnest(range(0, event_id % 3 + 1)) AS pos FROM kept)
+SELECT md5(user_id::VARCHAR) AS cache_key, value * 0.9::DOUBLE AS price_m2, value AS raw_price_m2, event_id % 3 + 1 AS n_ads, 'commune' AS geo_match,
+  'event ' || event_id AS notes, strftime(ts, '%Y-%m-%d %H:%M:%S') AS cached_at, pos, 'ad ' || event_id || '-' || pos AS title,
+  value * (pos + 1) AS price, (20 + event_id % 50)::DOUBLE AS surface_m2, 'https://ads.example/' || event_id || '/' || pos AS url, 'ads' AS source
+FROM ads""")
+def listing_cache(spark, sf_dir):
+    """Estimates cached in two batches, then written as JSON and read back with their comparables."""
+    folder = TB.shared_folder(spark, "cache")
+    ad = "struct('ad ' || event_id || '-' || i AS titre, value * (i + 1) AS prix, CAST(20 + event_id % 50 AS DOUBLE) AS surface, " \
+         "CAST(NULL AS DOUBLE) AS prix_m2, 'https://ads.example/' || event_id || '/' || i AS url, 'ads' AS source)"
+    entries = T.read(spark, sf_dir, "events").select(
+        F.expr("md5(CAST(user_id AS STRING))").alias("cache_key"), (F.col("value") * 0.9).alias("price_m2"), F.col("value").alias("raw_price_m2"),
+        F.expr("event_id % 3 + 1").alias("n_ads"), F.lit("commune").alias("geo_match"), F.lit(None).cast("string").alias("source_url"),
+        F.array(F.lit("ads")).alias("sources"), F.expr("'event ' || event_id").alias("notes"),
+        F.expr(f"transform(sequence(0L, event_id % 3), i -> {ad})").alias("comparables"), F.col("ts").cast("timestamp").alias("cached_at"), "event_id")
+    for n, part in enumerate(("event_id % 2 = 1", "event_id % 2 = 0")):
+        CA.write_listing_cache(entries.filter(part), f"{folder}/table", batch=n, order=["event_id"])
+    CA.export_listing_cache(TB.read_parts(spark, f"{folder}/table"), f"{folder}/json")
+    cache = RD.read_listing_cache(spark, f"{folder}/json", lines=True)
+    ads = RD.cache_comparables(cache).drop("price_m2")
+    return cache.select("cache_key", "price_m2", "raw_price_m2", "n_ads", "geo_match", "notes",
+                        F.date_format("cached_at", "yyyy-MM-dd HH:mm:ss").alias("cached_at")).join(ads, "cache_key")
+
+
 # --- streams -----------------------------------------------------------------------------
 
 def _event_stream(spark, sf_dir):
@@ -220,7 +247,7 @@ def stream_upsert(spark, sf_dir):
     folder = TB.shared_folder(spark, "stream")
     rows = _event_stream(spark, sf_dir).select("user_id", "event_id", "value", F.col("ts").alias("updated_at"))
     J.stream_upsert(rows, f"{folder}/table", f"{folder}/state", key="user_id", order=["event_id"]).awaitTermination()
-    return TB.read_current(spark, f"{folder}/table").select("user_id", "event_id", "value")
+    return TB.read_parts(spark, f"{folder}/table").select("user_id", "event_id", "value")
 
 
 @query("ttl_latest", """

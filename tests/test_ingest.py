@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gavelframe.functions.keys import title_case
 from gavelframe.operators.ranking import first_distinct
-from gavelframe.sinks.tables import insert_agents, read_current
+from gavelframe.sinks.tables import insert_agents, merge_parts, read_parts
 from gavelframe.streaming import jobs as J
 from gavelframe.text import fields as FD
 
@@ -34,7 +34,7 @@ def test_late_equal_and_repeated_rows_reach_the_table(spark, tmp_path):
     ]
     for source in _stream(spark, str(tmp_path), batches, schema):
         J.stream_upsert(source, f"{tmp_path}/table", f"{tmp_path}/state", order=["seq"]).awaitTermination()
-    got = {r.url: (r.updated_at, r.seq) for r in read_current(spark, f"{tmp_path}/table").collect()}
+    got = {r.url: (r.updated_at, r.seq) for r in read_parts(spark, f"{tmp_path}/table").collect()}
     assert got == {"a": (_day(150), 2), "b": (_day(1), 1), "c": (_day(150), 9), "late": (_day(0), 1)}
 
 
@@ -47,6 +47,24 @@ def test_live_values_are_read_and_expired_ones_hidden(spark, tmp_path):
     assert [(r.cache_key, r.value) for r in live.collect()] == [("y", 3.0)]
 
 
+def test_a_batch_rewrites_only_its_parts_and_may_be_replayed(spark, tmp_path):
+    base = f"{tmp_path}/table"
+    rows = spark.range(200).select(F.col("id").cast("string").alias("k"), F.lit(1).alias("v"))
+    merge_parts(rows, base, ["k"], order=["v"], batch=0, parts=16)
+    stamp = {p: p.stat().st_mtime_ns for p in (tmp_path / "table").rglob("*.parquet")}
+    one = spark.createDataFrame([("7", 2, "x"), (None, 3, "y"), (None, 3, "y")], "k string, v int, more string")
+    for _ in range(2):  # as after a break between staging and putting in place
+        merge_parts(one, base, ["k"], order=["v"], batch=1, parts=16)
+    got = read_parts(spark, base)
+    assert got.count() == 202 and [tuple(r) for r in got.filter("k = '7'").collect()] == [("7", 2, "x")]
+    assert got.filter("k is null").count() == 2
+    now = {p: p.stat().st_mtime_ns for p in (tmp_path / "table").rglob("*.parquet")}
+    kept = {p.parent for p, t in stamp.items() if now.get(p) == t}
+    assert len(kept) >= 14
+    merge_parts(one.filter("false"), base, ["k"], order=["v"], batch=2, parts=16)
+    assert read_parts(spark, base).count() == 202
+
+
 def test_agents_have_ids_of_their_own(spark):
     schema = "agent_id long, name string, firm string, phone string, email string"
     rows = [(None, "A", None, "1", "e"), (None, "A", None, "1", "e"), (None, "A", "", "1", "e"), (None, "A", None, "2", "e"), (None, None, "A", "1", "e")]
