@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gavelframe.sinks.tables import merge_parts
+from gavelframe.sinks.tables import PARTS, merge_parts
 from gavelframe.sources import schemas as S
 
 
-def write_listing_cache(entries: DataFrame, base: str, *, batch: int, order: list[str] = ()) -> None:
+def write_listing_cache(entries: DataFrame, base: str, *, batch: int, order: list[str] = (), parts: int = PARTS) -> None:
     """Keep the newest entry of each ``cache_key`` by (``cached_at``, order) as a table; `read_parts` reads it."""
-    merge_parts(entries, base, ["cache_key"], order=["cached_at", *order], batch=batch)
+    merge_parts(entries, base, ["cache_key"], order=["cached_at", *order], batch=batch, parts=parts)
 
 
 def export_listing_cache(entries: DataFrame, path: str) -> None:

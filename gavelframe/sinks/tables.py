@@ -127,7 +127,8 @@ def upsert_table(new: DataFrame, base: str, keys: list[str], *, order: list[str]
 
 # --- tables by key part: a batch rewrites only the parts its keys fall into ----------------------
 
-PARTS = 64
+#: For tables of some GB; give a larger table as many as make a part fit a few tasks.
+PARTS = 16
 
 
 def _part(keys: list[str], order: list[str], parts: int):

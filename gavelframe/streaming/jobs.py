@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from gavelframe.sinks.tables import merge_parts, read_parts, write_next
+from gavelframe.sinks.tables import PARTS, merge_parts, read_parts, write_next
 
 
 def file_stream(spark: SparkSession, folder: str, schema, *, files_per_batch: int | None = None, name_filter: str | None = None) -> DataFrame:
@@ -20,7 +20,7 @@ def file_stream(spark: SparkSession, folder: str, schema, *, files_per_batch: in
 
 
 def stream_upsert(rows: DataFrame, base: str, checkpoint: str, *, key: str = "url", time: str = "updated_at",
-                  order: list[str] = ()) -> StreamingQuery:
+                  order: list[str] = (), parts: int = PARTS) -> StreamingQuery:
     """Upsert a stream of listings into the table at ``base``, all data available now.
 
     Nothing is dropped before the upsert: late rows, rows of one time and repeats all reach it,
@@ -28,7 +28,7 @@ def stream_upsert(rows: DataFrame, base: str, checkpoint: str, *, key: str = "ur
     key parts it touches, and a replayed batch is harmless. `read_parts` reads the table.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
-        merge_parts(batch, base, [key], order=[time, *order], batch=batch_id)
+        merge_parts(batch, base, [key], order=[time, *order], batch=batch_id, parts=parts)
 
     return (rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
@@ -52,9 +52,9 @@ def stream_weekly_stats(visits: DataFrame, base: str, checkpoint: str) -> Stream
 
 
 def stream_values(values: DataFrame, base: str, checkpoint: str, *, key: str = "cache_key", time: str = "cached_at",
-                  order: list[str] = ()) -> StreamingQuery:
+                  order: list[str] = (), parts: int = PARTS) -> StreamingQuery:
     """Keep the newest value of each key as a table; `live_values` reads it."""
-    return stream_upsert(values, base, checkpoint, key=key, time=time, order=order)
+    return stream_upsert(values, base, checkpoint, key=key, time=time, order=order, parts=parts)
 
 
 def live_values(spark: SparkSession, base: str, now, hours: int, *, key: str = "cache_key", time: str = "cached_at") -> DataFrame:
