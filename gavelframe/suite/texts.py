@@ -295,9 +295,28 @@ def built_pages(spark, sf_dir):
         F.col("s_suppkey").alias("page_id"), F.expr(_PAGE_URL).alias("url"), F.expr(_HTML).alias("html"))
 
 
-@query("html_to_text", headline=True)
+def _plain(x: str) -> str:
+    """Character references as the pages use them; the last may have lost its semicolon."""
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("amp", "&")):
+        x = f"regexp_replace({x}, '&{name};?', '{char}', 'g')"
+    return x
+
+
+@query("html_to_text", rf"""
+WITH cut AS (
+  SELECT page_id, regexp_extract(html, '(?s)<article[^>]*>(.*)</article>', 1) AS body, trim({_plain("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}) AS title,
+    list_zip(regexp_extract_all(html, '(?s)<a [^>]*href="([^"]+)"[^>]*>(.*?)</a>', 1), regexp_extract_all(html, '(?s)<a [^>]*href="([^"]+)"[^>]*>(.*?)</a>', 2)) AS links FROM pages),
+nodes AS (
+  SELECT page_id, title, [struct_pack(u := {_plain("l[1]")}, t := {_plain("l[2]")}) FOR l IN links] AS links,
+    regexp_split_to_array(regexp_replace(body, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', '<x>', 'g'), '<[^>]*>') AS parts FROM cut),
+shown AS (
+  SELECT page_id, title, links, regexp_replace(regexp_replace(array_to_string(list_filter(
+    [regexp_replace({_plain("x")}, '^\s+|\s+$', '', 'g') FOR x IN parts], lambda x: x <> ''), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), ' {{2,}}', ' ', 'g') AS text,
+    [l.t || ': ' || l.u FOR l IN links IF contains(lower(l.u), '.pdf') OR regexp_matches(lower(l.t), 'cahier|pv|document|télécharger')] AS docs FROM nodes)
+SELECT page_id, title, text, len(links) AS n_links, concat_ws(chr(10), CASE WHEN title <> '' THEN 'TITRE: ' || title END, text,
+  CASE WHEN len(docs) > 0 THEN chr(10) || 'DOCUMENTS: ' || array_to_string(docs, ', ') END) AS digest FROM shown""", headline=True)
 def html_to_text(spark, sf_dir):
-    """Titles, texts and links of all stored pages (HTML parsing, so checked by its own tests)."""
+    """Titles, texts and links of all stored pages; the SQL holds for pages whose main text is one article without images."""
     parsed = H.page_digest(H.read_pages(T.read(spark, sf_dir, "pages")))
     return parsed.select("page_id", "title", "text", F.size("links").alias("n_links"), "digest")
 
