@@ -9,7 +9,7 @@ from gavelframe.llm.ngram_join import OP4_SQL, op4_ngram_join
 from gavelframe.llm.pii import op3_pii
 from gavelframe.llm.quality import OP10_SQL, op10_quality
 from gavelframe.llm.sharding import OP1_SQL, op1_sharding
-from gavelframe.llm.warc import op8_warc
+from gavelframe.llm.warc import OP8_SQL, op8_warc
 
 QUERIES = {
     "op1_sharding": op1_sharding,
@@ -23,5 +23,5 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_quality": op10_quality,
 }
-SQL = {"op1_sharding": OP1_SQL, "op2_mixing": OP2_SQL, "op4_ngram_join": OP4_SQL, "op9_line_dedup": OP9_SQL,
-       "op10_quality": OP10_SQL}
+SQL = {"op1_sharding": OP1_SQL, "op2_mixing": OP2_SQL, "op4_ngram_join": OP4_SQL, "op8_warc": OP8_SQL,
+       "op9_line_dedup": OP9_SQL, "op10_quality": OP10_SQL}
