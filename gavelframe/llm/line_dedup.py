@@ -10,8 +10,8 @@ is equal or near; the row names the earliest such occurrence.
 2. Near lines share their first or their last half, so four hashed halves per class tell which classes have
    anybody near at all. Only documents that hold the earliest occurrence of such a class are read again.
 3. Those lines emit all their variants with one word left out as hashed keys. Two lines of equal length are near
-   exactly if they share a variant at the same place (the first of a run of equal words), and a line is near to a
-   shorter one exactly if a variant equals it. So the earliest occurrence of each (variant, place) is
+   exactly if they share a variant at the same place, and a line is near to a shorter one exactly if a variant
+   equals it. Every place is kept, also within a run of equal words: the other line need not have that run. So the earliest occurrence of each (variant, place) is
    an aggregate; no pair within a group is listed.
 4. The words of each line and of the earliest line found for it are compared, and only true distances stay.
 
@@ -119,10 +119,6 @@ def variants(docs: DataFrame) -> DataFrame:
             line = whole_hash(sums, back, a, b)
             which = np.repeat(np.arange(len(a)), n)
             i = np.arange(int(n.sum())) + np.repeat(a - (np.cumsum(n) - n), n)
-            # leaving out any word of a run of equal ones gives the same line; the first stands for all
-            same = np.zeros(len(i), bool)
-            same[1:] = (words[i[1:]] == words[i[:-1]]) & (which[1:] == which[:-1])
-            which, i = which[~same], i[~same]
             kept = _stretch(sums, back, a[which], i) + (sums[b[which]] - sums[i + 1]) * back[a[which]] * _INV
             gone = splitmix(kept + (n[which] - 1).astype(_U) * _U(0x9E3779B97F4A7C15))
             yield pa.RecordBatch.from_arrays([

@@ -340,6 +340,35 @@ def test_line_dedup(odd, empty):
     assert line_dedup.duplicate_lines(empty).count() == 0
 
 
+def _plain(rows):
+    """(doc_id, line_no, first_doc_id, first_line_no, distance) by the rule read literally; rows are (doc_id, text)."""
+    occ = sorted(((d, k, WORD.findall(x)) for d, t in rows for k, x in enumerate(t.split("\n")) if WORD.search(x)), key=lambda x: x[:2])
+    first = {}
+    for d, k, w in occ:
+        first.setdefault(tuple(w), (d, k))
+    out = []
+    for d, k, w in occ:
+        near = [at for v, at in first.items() if at < first[tuple(w)] and min(len(v), len(w)) >= line_dedup.MIN_WORDS
+                and line_dedup._near(list(v), w)]
+        if near:
+            out.append((d, k, *min(near), 1))
+        elif (d, k) != first[tuple(w)]:
+            out.append((d, k, *first[tuple(w)], 0))
+    return out
+
+
+def test_line_dedup_within_runs_of_equal_words(spark):
+    rng = np.random.default_rng(21)
+    pairs = [("the old old man of the sea said so", "the old new man of the sea said so"), ("0 0 0 0 0 0 0 0 0", "0 0 0 0 7 0 0 0 0")]
+    texts = ["\n".join(x) for x in pairs]
+    texts += ["\n".join(" ".join(rng.choice(list("ab"), rng.integers(7, 12))) for _ in range(3)) for _ in range(60)]
+    texts += ["\n".join(" ".join(rng.choice(list("abc"), 9, p=[0.9, 0.05, 0.05])) for _ in range(3)) for _ in range(20)]
+    rows = list(enumerate(texts))
+    got = line_dedup.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = _plain(rows)
+    assert sorted(tuple(r) for r in got) == want and {(0, 1, 0, 0, 1), (1, 1, 1, 0, 1)} <= set(want)
+
+
 # 10 -----------------------------------------------------------------------------------------
 
 def _quality(text):
