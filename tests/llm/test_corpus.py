@@ -369,6 +369,24 @@ def test_line_dedup_within_runs_of_equal_words(spark):
     assert sorted(tuple(r) for r in got) == want and {(0, 1, 0, 0, 1), (1, 1, 1, 0, 1)} <= set(want)
 
 
+def test_line_dedup_with_null_and_repeated_ids(spark):
+    rng = np.random.default_rng(22)
+    line = lambda n: " ".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    lines = [line(10) for _ in range(40)]
+    other = lambda x: " ".join([*x.split(" ")[:4], "changed", *x.split(" ")[5:]])
+    rows = [(None, x + "\n" + line(9)) for x in lines] + [(7, other(x)) for x in lines[:20]] + [(None, other(x) + "\nno") for x in lines[20:]]
+    rows += [(5, lines[0] + "\n" + lines[1])] * 3 + [(5, line(12))]
+    got = line_dedup.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    ids = lambda x: (x is None, x or 0)
+    # ids 5 and 7 come first; the two rows of a null id that are near stand at line 0, one of them stays
+    want = [(5, 0, 5, 0, 0)] * 2 + [(5, 1, 5, 1, 0)] * 2 + [(7, 0, 5, 0, 1), (7, 0, 5, 1, 1)]
+    want += [(None, 0, 5, 0, 0), (None, 0, 5, 1, 0)] + [(None, 0, 7, 0, 1)] * 18 + [(None, 0, None, 0, 1)] * 20 + [(None, 1, None, 1, 0)] * 19
+    full = sorted(map(tuple, got), key=lambda r: (ids(r[0]), r[1], ids(r[2]), *r[3:]))
+    assert full == sorted(want, key=lambda r: (ids(r[0]), r[1], ids(r[2]), *r[3:]))
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, line_dedup.duplicate_lines(plain.repartition(2)).collect())) == Counter(map(tuple, got))
+
+
 # 10 -----------------------------------------------------------------------------------------
 
 def _quality(text):
