@@ -1,7 +1,7 @@
 """Main text of HTML pages by composite text density.
 
-A page becomes a tree without boilerplate: scripts, styles, forms, menus, headers, footers, side bars,
-notices, adverts and reader comments are left out with all they hold. For each node with C characters
+A page becomes a tree without the elements that are boilerplate by their name (scripts, styles, forms, menus,
+headers, footers, asides), which are left out with all they hold. For each node with C characters
 and T tags, of which LC and LT lie in links, the density is
 
     C / T * log(C / LC * T / LT) / log(e + C / (C - LC) * LC + LCb / Cb * C)
@@ -11,6 +11,11 @@ core; the smallest density on its way up to the body is the threshold. The text
 enclosing article, or, if there is none, the core together with the neighbours of its path that reach
 the threshold.
 
+A class, id or role with a word such as ad, comments or sidebar marks a node. Below a mark densities count a
+tenth, and a marked node whose tenth is under the threshold is left out; the rest is weighed again. A mark says
+nothing where an article or main lies below it, and a node that holds the core, counted with or
+without marks, is never left out.
+
 Each page is read on its own by one narrow Arrow stage; nothing is shuffled. A null or empty html and a
 page without text give "". Other columns of the input are left alone; repeated rows give repeated rows.
 """
@@ -45,7 +50,8 @@ CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl",
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
             "option": ("option",)}
 SCOPES = {"ul", "ol", "dl", "table", "article", "body", "div", "section", "main"}
-# Words in class, id and role that mark what is not the article.
+# Words in class, id and role that mark what is seldom the article, and what its densities count.
+LOWERED = 0.1
 MARKS = {"nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "header", "masthead", "banner", "footer", "contentinfo",
          "sidebar", "aside", "complementary", "notice", "cookie", "cookies", "consent", "gdpr", "popup", "modal", "ad", "ads", "advert",
          "adverts", "advertisement", "sponsor", "sponsored", "promo", "comment", "comments", "disqus", "replies", "share", "sharing",
@@ -53,18 +59,17 @@ MARKS = {"nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "he
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "chars", "tags", "link_chars", "link_tags", "density", "total", "skip", "linked")
+    __slots__ = ("tag", "parent", "kids", "chars", "tags", "link_chars", "link_tags", "density", "skip", "linked", "mark", "low")
 
-    def __init__(self, tag: str, parent: Node | None, skip: bool):
-        self.tag, self.parent, self.skip, self.kids = tag, parent, skip, []
+    def __init__(self, tag: str, parent: Node | None, skip: bool, mark: bool = False):
+        self.tag, self.parent, self.skip, self.mark, self.kids = tag, parent, skip, mark, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
-        self.density = self.total = 0.0
+        self.density = 0.0
+        self.low = False
         self.linked = tag == "a" or parent is not None and parent.linked
 
 
-def _boiler(tag: str, attrs: str) -> bool:
-    if tag in SKIPPED:
-        return True
+def _marked(tag: str, attrs: str) -> bool:
     if "=" not in attrs or tag in ("html", "body", "article", "main"):
         return False
     for m in _ATTR.finditer(attrs):
@@ -101,7 +106,7 @@ def parse(page: str) -> Node:
             here = _closed(here, ("p",))
         if tag in SIBLINGS:
             here = _closed(here, SIBLINGS[tag])
-        node = Node(tag, here, here.skip or _boiler(tag, m[3]))
+        node = Node(tag, here, here.skip or tag in SKIPPED, _marked(tag, m[3]))
         here.kids.append(node)
         if tag in RAW:
             low = page.lower() if low is None else low
@@ -127,7 +132,7 @@ def _closed(here: Node, tags: tuple[str, ...]) -> Node:
 
 
 def _ordered(root: Node) -> list[Node]:
-    """Parents before children, without boilerplate."""
+    """Parents before children, without what is left out."""
     out, todo = [], [root]
     while todo:
         node = todo.pop()
@@ -138,6 +143,9 @@ def _ordered(root: Node) -> list[Node]:
 
 def weigh(root: Node) -> list[Node]:
     nodes = _ordered(root)
+    for node in nodes:
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
+        node.density = 0.0
     for node in reversed(nodes):
         for k in node.kids:
             if isinstance(k, str):
@@ -156,20 +164,49 @@ def weigh(root: Node) -> list[Node]:
             c, t, lc, lt = node.chars, max(1, node.tags), max(1, node.link_chars), max(1, node.link_tags)
             base = math.log(math.e + c / max(1, c - node.link_chars) * node.link_chars + rate * c)
             node.density = c / t * max(0.0, math.log(c / lc * t / lt)) / base
-    for node in nodes:
-        node.total = sum(k.density for k in node.kids if not isinstance(k, str) and not k.skip)
     return nodes
 
 
+def _path(nodes: list[Node], marks: bool) -> list[Node]:
+    """The core and what encloses it, up to the body."""
+    weight = {id(x): LOWERED if marks and x.low else 1.0 for x in nodes}
+    totals = [sum(k.density * weight[id(k)] for k in x.kids if not isinstance(k, str) and not k.skip) for x in nodes]
+    path = [nodes[max(range(len(nodes)), key=totals.__getitem__)]]  # the first of equals
+    while path[-1].parent is not None and path[-1].tag != "body":
+        path.append(path[-1].parent)
+    return path
+
+
+def _unmarked(root: Node) -> tuple[list[Node], list[Node]]:
+    """The nodes that stay and the core's path, after marked nodes under the threshold were left out."""
+    nodes = weigh(root)
+    named = set()
+    for node in reversed(nodes):
+        if node.tag in ("article", "main") or id(node) in named:
+            named |= {id(node), id(node.parent)}
+    for node in nodes:
+        node.mark = node.mark and id(node) not in named
+        node.low = node.mark or node.parent is not None and node.parent.low
+    path = _path(nodes, True)
+    marked = [x for x in nodes if x.mark]
+    if marked:
+        held = set(map(id, path)) | set(map(id, _path(nodes, False)))
+        threshold = min(x.density for x in path)
+        out = [x for x in marked if id(x) not in held and x.density * LOWERED < threshold]
+        if out:
+            for x in out:
+                x.skip = True
+            nodes = weigh(root)
+            path = _path(nodes, True)
+    return nodes, path
+
+
 def content(root: Node) -> list[Node]:
     """The subtrees that hold the main text, in page order."""
-    nodes = weigh(root)
+    nodes, path = _unmarked(root)
     if not root.chars:
         return []
-    core = max(nodes, key=lambda x: x.total)  # the first of equals
-    path = [core]
-    while path[-1].parent is not None and path[-1].tag != "body":
-        path.append(path[-1].parent)
+    core = path[0]
     for node in reversed(path):
         if node.tag in ("article", "main"):
             return [node]
@@ -177,7 +214,8 @@ def content(root: Node) -> list[Node]:
     if len(path) > 1 and core.tag not in ("body", "#root"):
         on_path = set(map(id, path))
         chosen = {id(core)} | {id(k) for p in path[1:] for k in p.kids
-                               if not isinstance(k, str) and not k.skip and id(k) not in on_path and k.density >= threshold}
+                               if not isinstance(k, str) and not k.skip and id(k) not in on_path
+                               and k.density * (LOWERED if k.low else 1) >= threshold}
         return [x for x in nodes if id(x) in chosen]
     return [core]
 

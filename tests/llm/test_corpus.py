@@ -237,6 +237,23 @@ def test_html_text(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+PROSE = "".join("<p>" + f"some sentence number {i} of the real article, " * 4 + "</p>" for i in range(8))
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-comments", "social-studies", "search-result", "menu-recipe"])
+def test_html_text_keeps_the_article_within_a_marked_wrapper(name):
+    want = html_text.main_text(f"<body><div>{PROSE}</div></body>")
+    assert want.count("\n") == 7
+    ad = '<div class="ad">buy this now</div>'
+    for tag in ("div", "article", "main"):
+        assert html_text.main_text(f'<body>{ad}<div class="{name}"><{tag}>{PROSE}</{tag}></div></body>') == want
+    assert html_text.main_text(f'<body>{ad}<div class="{name}">{PROSE}</div></body>') == want
+    assert html_text.main_text(f'<body>{ad}<main><div id="{name}"><article>{PROSE}</article></div></main></body>') == want
+    comments = "<div class=comments>" + "<div><b>Jo</b> <a href=x>reply</a> I think so</div>" * 30 + "</div>"
+    assert html_text.main_text(f"<body><article>{PROSE}{comments}</article></body>") == want
+    assert html_text.main_text(f"<body><div>{PROSE}</div>{comments}</body>") == want
+
+
 # 6 ------------------------------------------------------------------------------------------
 
 def test_decontamination(spark, odd, empty):
