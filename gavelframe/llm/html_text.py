@@ -7,9 +7,9 @@ and T tags, of which LC and LT lie in links, the density is
     C / T * log(C / LC * T / LT) / log(e + C / (C - LC) * LC + LCb / Cb * C)
 
 (zero counts as one; b is the body). The node whose children's densities have the largest sum is the
-core; the smallest density on its way up to the body is the threshold. The text is the core's
-enclosing article, or, if there is none, the core together with the neighbours of its path that reach
-the threshold.
+core (inline children such as b are no blocks of their own and add nothing; of equal sums an article or main
+is taken); the smallest density on its way up to the body is the threshold. The text is the core together with the
+neighbours of its path that reach the threshold.
 
 A class, id or role with a word such as ad, comments or sidebar marks a node. Below a mark densities count a
 tenth, and a marked node whose tenth is under the threshold is left out; the rest is weighed again. A mark says
@@ -170,8 +170,9 @@ def weigh(root: Node) -> list[Node]:
 def _path(nodes: list[Node], marks: bool) -> list[Node]:
     """The core and what encloses it, up to the body."""
     weight = {id(x): LOWERED if marks and x.low else 1.0 for x in nodes}
-    totals = [sum(k.density * weight[id(k)] for k in x.kids if not isinstance(k, str) and not k.skip) for x in nodes]
-    path = [nodes[max(range(len(nodes)), key=totals.__getitem__)]]  # the first of equals
+    totals = [sum(k.density * weight[id(k)] for k in x.kids if not isinstance(k, str) and not k.skip and k.tag not in INLINE) for x in nodes]
+    # of equals an article or main, then the first
+    path = [nodes[max(range(len(nodes)), key=lambda i: (totals[i], nodes[i].tag in ("article", "main")))]]
     while path[-1].parent is not None and path[-1].tag != "body":
         path.append(path[-1].parent)
     return path
@@ -207,9 +208,6 @@ def content(root: Node) -> list[Node]:
     if not root.chars:
         return []
     core = path[0]
-    for node in reversed(path):
-        if node.tag in ("article", "main"):
-            return [node]
     threshold = min(x.density for x in path)
     if len(path) > 1 and core.tag not in ("body", "#root"):
         on_path = set(map(id, path))

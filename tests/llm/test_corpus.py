@@ -254,6 +254,17 @@ def test_html_text_keeps_the_article_within_a_marked_wrapper(name):
     assert html_text.main_text(f"<body><div>{PROSE}</div>{comments}</body>") == want
 
 
+def test_html_text_selects_by_density_not_by_tag():
+    part = lambda n: "".join(f"<p>{'a longer sentence of part ' + str(n) + ' ' + str(i):s} {'goes on and on ' * 9}</p>" for i in range(6))
+    words = lambda x: [" ".join(p.split()) for p in re.findall("<p>(.*?)</p>", x)]
+    siblings = "".join(f"<article>{part(n)}</article>" for n in range(3))
+    assert html_text.main_text(f"<body>{siblings}</body>").split("\n") == [w for n in range(3) for w in words(part(n))]
+    teasers = "<ul>" + "".join(f"<li><a href=/{i}>Other story {i}</a>" for i in range(40)) + "</ul><div class=x><a href=/t>Read</a> this <a href=/u>teaser</a></div>"
+    assert html_text.main_text(f"<body><main>{teasers}<div>{part(0)}</div>{teasers}</main></body>").split("\n") == words(part(0))
+    bold = f"<h1>A title</h1>{part(0)}<p><b>{'all of it bold ' * 60}</b></p>"
+    assert html_text.main_text(f"<body><article>{bold}</article></body>").startswith("A title\na longer sentence")
+
+
 # 6 ------------------------------------------------------------------------------------------
 
 def test_decontamination(spark, odd, empty):
