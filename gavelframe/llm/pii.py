@@ -1,15 +1,17 @@
 """Personal data: base patterns, then contextual extraction bootstrapped from what they found.
 
 One Arrow stage reads every whole text and finds the base entities (email, ip, card, phone) and the
-candidates: other tokens with at least four digits or an at sign. For both it notes lexical patterns: the two words
+candidates: other tokens, or digit groups joined by single blanks, with at least four digits or an at sign. For both it notes lexical patterns: the two words
 before, the word before and after, the two words after. Spark then scores the graph of patterns and
 instances: a pattern's confidence for a kind is the score of its distinct instances over their number
 plus one, an instance's score is one for seeds and else the chance that one of its patterns is right.
-After `rounds` rounds candidates in a pattern of at least `support` distinct seeds and `confidence` are accepted as
+Every round scores all patterns anew: a pattern counts once it has `support` distinct instances that are seeds or have reached
+`confidence` in the round before, so found identifiers bring in patterns that no seed stands in. After `rounds` rounds
+candidates in a pattern of such support and a confidence of at least `confidence` are accepted as
 that kind. Base spans always stay; a candidate never overlaps one.
 
-Edges are counted per (pattern, instance) with map-side combination before anything is joined, and
-only patterns with enough seeds and something unseen are joined at all.
+Edges are counted per (pattern, instance) with map-side combination before anything is joined; seeds are summed per pattern
+once, and a round joins only the candidates' edges.
 
 A null text is empty. Repeated rows get equal answers, each its own row. Ties between kinds go to the
 kind listed first. Other columns of the input are not looked at.
@@ -18,6 +20,7 @@ kind listed first. Other columns of the input are not looked at.
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,6 +37,9 @@ _CHAIN = re.compile(r"[0-9]++(?:[.\x20-][0-9]++)*+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: Digit groups joined by single blanks.
+_GROUP = r"\+?\(?[0-9]++(?:[./-][0-9]++)*+\)?"
+_GROUPS = re.compile(rf"(?<![^\x20\x09-\x0D.,;:!?\[{{<>\"']){_GROUP}(?:\x20{_GROUP})+(?=[.,;:!?)\]}}<>\"']*(?:[\x20\x09-\x0D]|\Z))")
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
 _EDGE = ".,;:!?()[]{}<>\"'"
 
@@ -113,23 +119,33 @@ def _context(text: str, start: int, end: int) -> list[str]:
     return [f"{k}\t{x}\t{y}" for k, x, y in (("before", b2, b1), ("around", b1, a1), ("after", a1, a2)) if x and y]
 
 
+def _free(taken: list[tuple[int, int]], start: int, end: int) -> bool:
+    k = bisect(taken, (start,))
+    return all(b <= start or a >= end for a, b in taken[max(0, k - 4): k + 1])
+
+
 def marks(text: str, base: list[tuple[int, int, int]]) -> list[tuple]:
     """Seeds and candidates with their patterns: (start, end, seed kind or None, instance, patterns)."""
     out = [(s, e, k, text[s:e].lower(), _context(text, s, e)) for s, k, e in base]
     taken = sorted((s, e) for s, _, e in base)
-    at, i = 0, 0
-    for m in re.finditer(r"[0-9]{4}|@|[0-9][^\x20\x09-\x0D]*[0-9]", text):
+    # groups with a base entity among them stand alone
+    chains = [x for x in (m.span() for m in _GROUPS.finditer(text)) if _free(taken, *x)]
+    at, c = 0, 0
+    for m in re.finditer(r"[0-9]{4}|@|[0-9][^\x20\x09-\x0D]*[0-9]|[0-9]", text):
         if m.start() < at:
             continue
-        s, e = _token(text, m.start(), m.end())
+        while c < len(chains) and chains[c][1] <= m.start():
+            c += 1
+        within = c < len(chains) and chains[c][0] <= m.start()
+        s, e = _token(text, *chains[c]) if within else _token(text, m.start(), m.end())
+        if s < at:  # the chain began within the token before
+            s, e = _token(text, m.start(), m.end())
         at = e
         while s < e and text[s] in _EDGE:
             s += 1
         while e > s and text[e - 1] in _EDGE:
             e -= 1
-        while i < len(taken) and taken[i][1] <= s:
-            i += 1
-        clear = all(b <= s or a >= e for a, b in taken[max(0, i - 1): i + 4])
+        clear = _free(taken, s, e)
         if clear and e > s and ("@" in text[s:e] or sum("0" <= c <= "9" for c in text[s:e]) >= 4):
             out.append((s, e, None, text[s:e].lower(), _context(text, s, e)))
     return out
@@ -158,27 +174,33 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 def accepted(found: DataFrame, support: int = 5, confidence: float = 0.8, rounds: int = 3) -> DataFrame:
     """(pattern, kind, confidence) of the patterns that may find unseen identifiers."""
-    edges = found.select(F.explode("marks").alias("m")).select(
+    edges = written(found.select(F.explode("marks").alias("m")).select(
         F.explode("m.patterns").alias("pattern"), "m.instance", "m.seed").groupBy("pattern", "instance").agg(
-        F.max("seed").alias("seed"))
-    seeded = [F.count(F.when(F.col("seed") == k, 1)) for k in range(len(KINDS))]
-    stats = edges.groupBy("pattern").agg(F.greatest(*seeded).alias("seeds"), F.count(F.lit(1)).alias("size"))
-    graph = written(edges.join(stats.where((F.col("seeds") >= support) & (F.col("size") > F.col("seeds"))), "pattern"), "pattern-graph")
-    kinds = F.explode(F.sequence(F.lit(0), F.lit(len(KINDS) - 1)))
-    nodes = graph.select("pattern", "instance", "seed", kinds.alias("kind")).withColumn(
-        "score", F.when(F.col("seed") == F.col("kind"), 1.0).otherwise(0.0))
-    known = nodes
+        F.max("seed").alias("seed")), "pattern-edges")
+    sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("size"), F.count(F.when(F.col("seed").isNull(), 1)).alias("unseen"))
+    # a pattern without candidates finds nothing, and one smaller than the support never counts
+    sizes = written(sizes.where((F.col("unseen") > 0) & (F.col("size") >= support)).drop("unseen"), "pattern-sizes")
+    known = edges.where("seed is not null").groupBy("pattern", F.col("seed").alias("kind")).agg(
+        F.count(F.lit(1)).cast("double").alias("score"), F.count(F.lit(1)).alias("found"))
+    seeds = written(known.join(sizes.select("pattern"), "pattern"), "pattern-seeds")
+    open_edges = written(edges.where("seed is null").select("pattern", "instance").join(sizes.select("pattern"), "pattern"), "open-edges")
+
+    def trusted(reached: DataFrame | None) -> DataFrame:
+        """(pattern, kind, confidence) of the patterns with support, from seeds and what was reached so far."""
+        sums = seeds
+        if reached is not None:
+            sums = sums.unionByName(open_edges.join(reached, "instance").groupBy("pattern", "kind").agg(
+                F.sum("score").alias("score"), F.count(F.when(F.col("score") >= confidence, 1)).alias("found")))
+        sums = sums.groupBy("pattern", "kind").agg(F.sum("score").alias("score"), F.sum("found").alias("found"))
+        return sums.where(F.col("found") >= support).join(sizes, "pattern").select(
+            "pattern", "kind", (F.col("score") / (F.col("size") + 1)).alias("confidence"))
+
+    reached = None
     for _ in range(rounds):
-        trust = known.groupBy("pattern", "kind").agg((F.sum("score") / (F.count(F.lit(1)) + 1)).alias("trust"))
-        doubt = F.exp(F.sum(F.log(F.greatest(F.lit(1e-12), 1 - F.col("trust")))))
-        scores = nodes.join(trust, ["pattern", "kind"]).groupBy("instance", "kind").agg((1 - doubt).alias("reached"))
-        known = written(nodes.join(scores, ["instance", "kind"]).withColumn(
-            "score", F.when(F.col("seed") == F.col("kind"), 1.0).when(F.col("seed").isNotNull(), 0.0).otherwise(F.col("reached"))
-        ).drop("reached"), "pattern-scores")
-    last = known.groupBy("pattern", "kind").agg(
-        (F.sum("score") / (F.count(F.lit(1)) + 1)).alias("confidence"),
-        F.count(F.when(F.col("seed") == F.col("kind"), 1)).alias("seeds"))
-    return last.where((F.col("confidence") >= confidence) & (F.col("seeds") >= support)).select("pattern", "kind", "confidence")
+        doubt = F.exp(F.sum(F.log(F.greatest(F.lit(1e-12), 1 - F.col("confidence")))))
+        reached = written(open_edges.join(trusted(reached), "pattern").groupBy("instance", "kind").agg(
+            (1 - doubt).alias("score")), "pattern-scores")
+    return trusted(reached).where(F.col("confidence") >= confidence)
 
 
 def _listed(spans: Column) -> Column:

@@ -150,6 +150,22 @@ def test_pii_finds_what_has_a_known_context(spark):
     assert got[101] == [] and all(got[i] == [] for i in range(12))
 
 
+def test_pii_second_hop_and_spaced_digits(spark):
+    rows = [(i, f"lorem ipsum please write to user{i}@mail.example.org for details ok") for i in range(60)]
+    # known context and a context without any seed share these
+    rows += [(100 + i, f"dolor sit please write to ref{i}0815x for details ok") for i in range(40)]
+    rows += [(200 + i, f"amet the quiet member ref{i}0815x lives here now") for i in range(40)]
+    rows += [(300, "amet the quiet member unseen4711y lives here now"), (301, "lorem ipsum please write to 020 7946 0958 for details ok"),
+             (302, "nothing of this kind 0815123 here"), (303, "tel (030) 1234 567, then a@b.de 12 3456 x 1.2.3.4 77 8899")]
+    text = dict(rows)
+    got = {r.doc_id: [(x.kind, text[r.doc_id][x.start:x.end]) for x in r.added]
+           for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string"), rounds=3).collect()}
+    assert got[300] == [(0, "unseen4711y")] and got[301] == [(0, "020 7946 0958")] and got[302] == []
+    assert all(got[100 + i] == got[200 + i] == [(0, f"ref{i}0815x")] for i in range(40))
+    marks = pii.marks(text[303], pii.base_spans(text[303]))
+    assert [m[3] for m in marks if m[2] is None] == ["030) 1234 567", "12 3456", "8899"]
+
+
 # 4 ------------------------------------------------------------------------------------------
 
 def _sets(text):
