@@ -100,3 +100,41 @@ def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return starts, np.diff(np.append(starts, len(keys)))
+
+
+_M2 = np.uint64(0xD6E8FEB86659FD93)
+_BACK = np.uint64(pow(int(_M2), -1, 1 << 64))
+
+
+def joined_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, keep: np.ndarray) -> pa.Array:
+    """Text of each row: its kept words joined by one space."""
+    s, e = starts[keep], ends[keep]
+    sizes = e - s + 1
+    heads = np.cumsum(sizes) - sizes
+    out = np.full(int(sizes.sum()), 32, np.uint8)
+    within = np.arange(len(out)) - np.repeat(heads, sizes)
+    real = within < np.repeat(sizes - 1, sizes)
+    out[real] = data[(np.repeat(s, sizes) + within)[real]]
+    upto = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(keep)])[at]]
+    raw = out.tobytes()
+    return pa.array([raw[a: b - 1] if b > a else b"" for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())], pa.binary()).cast(pa.string())
+
+
+class Stretches:
+    """Hashes of any stretches of a row of word hashes, equal exactly for equal word sequences (64 bits)."""
+
+    def __init__(self, words: np.ndarray):
+        n = len(words)
+        weight = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _M2)]))
+        self.back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _BACK)]))
+        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(words * weight[:n], dtype=np.uint64)])
+
+    def __call__(self, start: np.ndarray, length) -> np.ndarray:
+        moved = (self.sums[start + length] - self.sums[start]) * self.back[start]
+        return splitmix(moved + np.asarray(length).astype(np.uint64) * _M)
+
+
+def window_starts(off: np.ndarray, length: int) -> np.ndarray:
+    """Starts of all windows of `length` words that lie inside one row."""
+    sizes = np.maximum(np.diff(off) - length + 1, 0)
+    return np.arange(int(sizes.sum())) + np.repeat(off[:-1] - (np.cumsum(sizes) - sizes), sizes)
