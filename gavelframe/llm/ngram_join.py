@@ -8,7 +8,8 @@ A document's set holds the 64-bit hashes of its distinct 5-word shingles. Two se
    frequent token costs one entry a batch, not one a document. The bucket tells each batch which of its
    tokens occur elsewhere. Nobody can overlap a document in more than its shared tokens, so documents
    that share less than three quarters of their set are done: they are alone.
-2. Equal sets collapse to classes. The rest is shared out again, now with exact frequencies. All sets are
+2. Equal sets are one class. Every set has a token of its own, so a batch learns in the same exchange which of its sets an
+   earlier batch holds already and keeps none of theirs. What is left is shared out again, now with exact frequencies. All sets are
    kept in one global order, frequent tokens first; the last (rarest) tokens that any partner must
    touch are the class's prefix. Classes that touch a common prefix token form a candidate group.
 3. Each group is a prefix tree, so sets that begin alike share their path. A set walks the tree once,
@@ -17,7 +18,8 @@ A document's set holds the 64-bit hashes of its distinct 5-word shingles. Two se
    group that has become one component is finished.
 4. A group over `chunk_tokens` is dealt out to chunks. Chunks are joined inside, then the representatives
    of the components found, then every class outside the group's largest component against all chunks.
-   So each pair of classes of one group is either tested or already in one component.
+   So each pair of classes of one group is either tested or already in one component. Who meets whom is worked out on ids;
+   the sets join in last.
 
 Tokens are compared by at least 56 bits within a pair of documents and 64 bits make up the fingerprints
 twice, so a wrong link needs a collision inside one compared pair.
@@ -37,7 +39,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavelframe.llm.base import partitions, table, written
+from gavelframe.llm.base import deleted, partitions, table, written
+from gavelframe.llm.components import components, linked_by
 from gavelframe.llm.packs import hash_words, runs, slices, splitmix
 
 SHINGLE = 5
@@ -48,9 +51,11 @@ NO_ID = np.iinfo(np.int64).max
 _K = np.random.default_rng(5).integers(1, 1 << 63, 2 * SHINGLE, dtype=np.uint64) | np.uint64(1)
 _U = np.uint64
 
-POSTED = "grp long, batch long, ids binary, n binary, fp1 binary, fp2 binary, tok binary, doc binary, cnt binary"
-SHARED = "batch long, ids binary, n binary, fp1 binary, fp2 binary, tok binary, doc binary, df binary"
-SETS = "id long, n long, fp1 long, fp2 long, toks binary, dfs binary, prefix array<long>"
+POSTED = "grp long, batch long, ids binary, n binary, fp1 binary, fp2 binary, tok binary, doc binary, len binary, cnt binary"
+SHARED = "batch long, grp long, ids binary, n binary, fp1 binary, fp2 binary, tok binary, doc binary, len binary, df binary"
+SETS = "id long, n long, fp1 long, fp2 long, class long, size int, toks binary, dfs binary, prefix array<long>"
+FIRST = np.uint32(1 << 31)  # on a frequency: no earlier batch holds the token
+DOC_BITS = 14  # a slice has at most 2 ** 14 documents
 
 
 def shingle_sets(words: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,115 +93,149 @@ def _row(names: list[str], values: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names)
 
 
-_POSTED = ["grp", "batch", "ids", "n", "fp1", "fp2", "tok", "doc", "cnt"]
-_SHARED = ["batch", "ids", "n", "fp1", "fp2", "tok", "doc", "df"]
+_POSTED, _SHARED = ([x.split(" ")[0] for x in schema.split(", ")] for schema in (POSTED, SHARED))
+
+
+def _own_token(fp1: np.ndarray) -> np.ndarray:
+    """The token that stands for a whole set."""
+    return splitmix(fp1.view(_U) ^ _K[1])
+
+
+def _spread(values: np.ndarray, lengths: np.ndarray) -> tuple[bytes, bytes]:
+    return values.tobytes(), lengths.astype(np.uint32).tobytes()
 
 
 def post(batch: int, ids, n, fp1, fp2, toks, off, buckets: int, width: int) -> Iterator[pa.RecordBatch]:
     """Rows for the buckets of tokens, and one for the batch itself. Equal sets of a batch are posted once."""
     first: dict[tuple, int] = {}
-    own = np.array([first.setdefault((a, b), i) == i for i, (a, b) in enumerate(zip(fp1.tolist(), fp2.tolist()))], bool)
+    own = np.array([first.setdefault((a, b), i) == i for i, (a, b) in enumerate(zip(fp1.tolist(), fp2.tolist()))], bool) & (n > 0)
     sizes = np.diff(off)
-    doc = np.repeat(np.arange(len(ids)), sizes)
     pick = np.repeat(own, sizes)
-    toks, doc = toks[pick], doc[pick]
+    doc = np.concatenate([np.repeat(np.arange(len(ids)), sizes)[pick], np.flatnonzero(own)])
+    toks = np.concatenate([toks[pick], _own_token(fp1[own])])
     if width == 6:
         key = (((toks & _U(0xFFFF)) % _U(buckets)) << _U(48)) | (toks >> _U(16))
         order = np.argsort(key)
         toks = key[order]
-        bucket = toks >> _U(48)
     else:
-        bucket = splitmix(toks) % _U(buckets)
-        order = np.lexsort((toks, bucket))
-        toks, bucket = toks[order], bucket[order]
+        order = np.argsort(toks)
+        toks = toks[order]
     doc = doc[order].astype(np.uint16)
     starts, lengths = runs(toks)
     many = lengths > 1
     sent = np.where(many, MANY, doc[starts]).astype(np.uint16) if len(starts) else np.zeros(0, np.uint16)
-    cuts = np.searchsorted(bucket[starts], np.arange(buckets + 1, dtype=_U))
-    raw = toks[starts].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    count = lengths.astype(np.uint32)
+    tok = toks[starts]
+    bucket = tok >> _U(48) if width == 6 else splitmix(tok) % _U(buckets)
+    # tokens of one document stand together, so documents are sent as runs
+    order = np.lexsort((sent, bucket))
+    tok, sent, many, bucket, count = tok[order], sent[order], many[order], bucket[order], lengths[order].astype(np.uint32)
+    cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=_U))
+    raw = tok.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
     used = np.flatnonzero(np.diff(cuts))
     if len(used):
         parts = [(slice(cuts[b], cuts[b + 1])) for b in used]
+        spread = [_spread(sent[p][s], l) for p in parts for s, l in [runs(sent[p])]]
         empty = [None] * len(used)
         yield pa.RecordBatch.from_arrays(
             [pa.array(used, pa.int64()), pa.array([batch] * len(used), pa.int64()), *[pa.array(empty, pa.binary())] * 4,
-             pa.array([raw[p].tobytes() for p in parts], pa.binary()), pa.array([sent[p].tobytes() for p in parts], pa.binary()),
-             pa.array([count[p][many[p]].tobytes() for p in parts], pa.binary())], _POSTED)
-    inside = np.repeat(many, lengths)
+             pa.array([raw[p].tobytes() for p in parts], pa.binary()), pa.array([d for d, _ in spread], pa.binary()),
+             pa.array([l for _, l in spread], pa.binary()), pa.array([count[p][many[p]].tobytes() for p in parts], pa.binary())], _POSTED)
+    inside = np.repeat(lengths > 1, lengths)
     yield _row(_POSTED, [buckets + batch, batch, ids.tobytes(), n.tobytes(), fp1.tobytes(), fp2.tobytes(),
-                         toks[inside].tobytes(), doc[inside].tobytes(), None])
+                         toks[inside].tobytes(), doc[inside].tobytes(), None, None])
+
+
+def _tokens(raws: list[bytes], buckets: list[int], width: int) -> np.ndarray:
+    sizes = [len(r) // width for r in raws]
+    raw = np.zeros((sum(sizes), 8), np.uint8)
+    raw[:, :width] = np.frombuffer(b"".join(raws), np.uint8).reshape(-1, width)
+    tok = raw.view("<u8").ravel().astype(_U)
+    return tok | (np.repeat(np.array(buckets, _U), sizes) << _U(48)) if width == 6 else tok
 
 
-def _tell(width: int, buckets: int):
-    """Of one bucket: to each batch, which of its tokens occur at least twice, and how often."""
+def _docs(docs: list[bytes], lens: list[bytes]) -> np.ndarray:
+    return np.repeat(np.frombuffer(b"".join(docs), np.uint16), np.frombuffer(b"".join(lens), np.uint32))
+
+
+def _tell(width: int):
+    """Of one bucket: to each batch, which of its tokens occur at least twice, how often, and if it is the first to hold them."""
     def run(t: pa.Table) -> pa.Table:
         if t["ids"][0].is_valid:
-            return pa.table([*[t[c] for c in _SHARED[:-1]], pa.array([None] * len(t), pa.binary())], names=_SHARED)
+            return pa.table([*[t[c] for c in _SHARED[:1]], t["grp"], *[t[c] for c in _SHARED[2:8]],
+                             *[pa.array([None] * len(t), pa.binary())] * 2], names=_SHARED)
         bucket = t["grp"][0].as_py()
-        raws, docs = t["tok"].to_pylist(), t["doc"].to_pylist()
-        sizes = [len(d) // 2 for d in docs]
-        raw = np.zeros((sum(sizes), 8), np.uint8)
-        raw[:, :width] = np.frombuffer(b"".join(raws), np.uint8).reshape(-1, width)
-        tok = raw.view("<u8").ravel().astype(_U)
-        if width == 6:
-            tok |= _U(bucket) << _U(48)
-        doc = np.frombuffer(b"".join(docs), np.uint16)
-        row = np.repeat(np.arange(len(sizes)), sizes)
+        raws = t["tok"].to_pylist()
+        tok = _tokens(raws, [bucket] * len(raws), width)
+        doc = _docs(t["doc"].to_pylist(), t["len"].to_pylist())
+        row = np.repeat(np.arange(len(raws)), [len(r) // width for r in raws])
+        batch = np.asarray(t["batch"])
         count = np.ones(len(tok), np.int64)
         count[doc == MANY] = np.frombuffer(b"".join(t["cnt"].to_pylist()), np.uint32)
         order = np.argsort(tok, kind="stable")
         starts, lengths = runs(tok[order])
-        total = np.add.reduceat(count[order], starts) if len(starts) else starts
-        df = np.repeat(total, lengths)
-        keep = df > 1
-        order, df = order[keep], df[keep]
-        back = np.argsort(row[order], kind="stable")
-        order, df = order[back], df[back].astype(np.uint32)
-        heads, spans = runs(row[order])
-        batches = t["batch"].to_pylist()
-        parts = [slice(a, a + b) for a, b in zip(heads, spans)]
+        df, first = np.empty(len(tok), np.int64), np.empty(len(tok), bool)
+        df[order] = np.repeat(np.add.reduceat(count[order], starts), lengths)
+        first[order] = np.repeat(np.minimum.reduceat(batch[row[order]], starts), lengths) == batch[row[order]]
+        at = np.flatnonzero(df > 1)
+        told = df[at].astype(np.uint32) | np.where(first[at], FIRST, np.uint32(0))
+        heads, spans = runs(row[at])
+        parts = [at[a: a + b] for a, b in zip(heads, spans)]
+        spread = [_spread(doc[p][s], l) for p in parts for s, l in [runs(doc[p])]]
         none = pa.array([None] * len(parts), pa.binary())
+        raw = tok.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+        return pa.table([
+            pa.array(batch[row[at[heads]]] if len(heads) else [], pa.int64()), pa.array([bucket] * len(parts), pa.int64()), none, none, none, none,
+            pa.array([raw[p].tobytes() for p in parts], pa.binary()), pa.array([d for d, _ in spread], pa.binary()),
+            pa.array([l for _, l in spread], pa.binary()), pa.array([told[a: a + b].tobytes() for a, b in zip(heads, spans)], pa.binary())], names=_SHARED)
+    return run
+
+
+def _gather(width: int):
+    """Of one batch of documents: the sets, each held by one batch, of those that share enough to have a partner."""
+    def run(t: pa.Table) -> pa.Table:
+        own = t["ids"].is_valid().to_pylist().index(True)
+        batch = t["batch"][0].as_py()
+        ids, n, fp1, fp2 = (np.frombuffer(t[c][own].as_py(), np.int64) for c in ("ids", "n", "fp1", "fp2"))
+        local_tok, local_doc = np.frombuffer(t["tok"][own].as_py(), _U), np.frombuffer(t["doc"][own].as_py(), np.uint16)
+        cols = {c: [v for i, v in enumerate(t[c].to_pylist()) if i != own] for c in ("grp", "tok", "doc", "len", "df")}
+        tok = _tokens(cols["tok"], cols["grp"], width)
+        doc = _docs(cols["doc"], cols["len"])
+        df = np.frombuffer(b"".join(cols["df"]), np.uint32)
+        many = doc == MANY
+        many_tok, many_df = tok[many], df[many]
+        by = np.argsort(many_tok)
+        at = np.searchsorted(many_tok[by], local_tok)
+        local_df = many_df[by][at] if len(local_tok) else np.zeros(0, np.uint32)
+        tok, doc, df = (np.concatenate(x) for x in ((tok[~many], local_tok), (doc[~many], local_doc), (df[~many], local_df)))
+        mark = _own_token(fp1)
+        if width == 6:
+            mark = (((mark & _U(0xFFFF)) % _U(_bucket_count(t, own, batch))) << _U(48)) | (mark >> _U(16))
+        whole = tok == mark[doc]
+        copies = np.zeros(len(ids), bool)
+        copies[doc[whole]] = (df[whole] & FIRST) == 0
+        tok, doc, df = tok[~whole], doc[~whole], df[~whole] & ~FIRST
+        shared = np.bincount(doc, minlength=len(ids))
+        least = -(-3 * n // 4)
+        live = (shared >= least) & (n > 0) & ~copies
+        pick = live[doc]
+        tok, doc, df = tok[pick], doc[pick], df[pick]
+        order = np.lexsort((tok, -df.astype(np.int64), doc))
+        tok, df = tok[order], df[order]
+        upto = np.concatenate([[0], np.cumsum(np.where(live, shared, 0))])
+        cut = [(slice(a, b), slice(b - (s - o + 1), b)) if ok else None
+               for a, b, s, o, ok in zip(upto[:-1], upto[1:], shared, least, live)]
         return pa.table([
-            pa.array([batches[row[order[a]]] for a in heads], pa.int64()), none, none, none, none,
-            pa.array([tok[order[p]].tobytes() for p in parts], pa.binary()),
-            pa.array([doc[order[p]].tobytes() for p in parts], pa.binary()),
-            pa.array([df[p].tobytes() for p in parts], pa.binary())], names=_SHARED)
+            pa.array(ids), pa.array(n), pa.array(fp1), pa.array(fp2),
+            pa.array((batch << DOC_BITS) + np.arange(len(ids)), mask=~live), pa.array(shared.astype(np.int32)),
+            pa.array([c and tok[c[0]].tobytes() for c in cut], pa.binary()), pa.array([c and df[c[0]].tobytes() for c in cut], pa.binary()),
+            pa.array([None if c is None else tok[c[1]].view(np.int64) for c in cut], pa.list_(pa.int64()))],
+            names=["id", "n", "fp1", "fp2", "class", "size", "toks", "dfs", "prefix"])
     return run
 
 
-def _gather(t: pa.Table) -> pa.Table:
-    """Of one batch of documents: the sets of those that share enough to have a partner."""
-    own = [i for i, v in enumerate(t["ids"].is_valid().to_pylist()) if v][0]
-    ids, n, fp1, fp2 = (np.frombuffer(t[c][own].as_py(), np.int64) for c in ("ids", "n", "fp1", "fp2"))
-    local_tok, local_doc = np.frombuffer(t["tok"][own].as_py(), _U), np.frombuffer(t["doc"][own].as_py(), np.uint16)
-    rest = [i for i in range(len(t)) if i != own]
-    cols = {c: t[c].to_pylist() for c in ("tok", "doc", "df")}
-    tok = np.frombuffer(b"".join(cols["tok"][i] for i in rest), _U)
-    doc = np.frombuffer(b"".join(cols["doc"][i] for i in rest), np.uint16)
-    df = np.frombuffer(b"".join(cols["df"][i] for i in rest), np.uint32)
-    many = doc == MANY
-    many_tok, many_df = tok[many], df[many]
-    by = np.argsort(many_tok)
-    at = np.searchsorted(many_tok[by], local_tok)
-    local_df = many_df[by][at] if len(local_tok) else np.zeros(0, np.uint32)
-    tok, doc, df = (np.concatenate(x) for x in ((tok[~many], local_tok), (doc[~many], local_doc), (df[~many], local_df)))
-    shared = np.bincount(doc, minlength=len(ids))
-    least = -(-3 * n // 4)
-    live = (shared >= least) & (n > 0)
-    pick = live[doc]
-    tok, doc, df = tok[pick], doc[pick], df[pick]
-    order = np.lexsort((tok, -df.astype(np.int64), doc))
-    tok, df = tok[order], df[order]
-    upto = np.concatenate([[0], np.cumsum(np.where(live, shared, 0))])
-    cut = [(slice(a, b), slice(b - (s - o + 1), b)) if ok else None
-           for a, b, s, o, ok in zip(upto[:-1], upto[1:], shared, least, live)]
-    return pa.table([
-        pa.array(ids), pa.array(n), pa.array(fp1), pa.array(fp2),
-        pa.array([c and tok[c[0]].tobytes() for c in cut], pa.binary()), pa.array([c and df[c[0]].tobytes() for c in cut], pa.binary()),
-        pa.array([None if c is None else tok[c[1]].view(np.int64) for c in cut], pa.list_(pa.int64()))],
-        names=["id", "n", "fp1", "fp2", "toks", "dfs", "prefix"])
+def _bucket_count(t: pa.Table, own: int, batch: int) -> int:
+    """The number of buckets: a batch's own row has the group `buckets` + batch."""
+    return t["grp"][own].as_py() - batch
 
 
 def _share(rows: DataFrame, read, width: int) -> DataFrame:
@@ -210,8 +249,8 @@ def _share(rows: DataFrame, read, width: int) -> DataFrame:
                 yield from post(number, *read(part), buckets, width)
                 number += 1
 
-    return (rows.mapInArrow(run, POSTED).groupBy("grp").applyInArrow(_tell(width, buckets), SHARED)
-            .groupBy("batch").applyInArrow(_gather, SETS))
+    return (rows.mapInArrow(run, POSTED).groupBy("grp").applyInArrow(_tell(width), SHARED)
+            .groupBy("batch").applyInArrow(_gather(width), SETS))
 
 
 def _read_texts(batch: pa.RecordBatch):
@@ -228,33 +267,6 @@ def _read_classes(batch: pa.RecordBatch):
     return ids, np.asarray(batch.column(1)), ids, ids, np.frombuffer(b"".join(blobs), _U), off
 
 
-# --- components -----------------------------------------------------------------------------
-
-def components(edges: DataFrame) -> DataFrame:
-    """(id, label) of every node of the edges (a, b); label is the component's smallest node.
-
-    Large stars and small stars in turn, each round written to the shared folder, until nothing changes.
-    """
-    def mins(e: DataFrame) -> DataFrame:
-        return e.groupBy("a").agg(F.min("b").alias("m"))
-
-    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = None
-    while True:
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = both.join(mins(both), "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(
-            low.select("a", F.col("m").alias("b"))).distinct()
-        e = written(small, "edges")
-        state = e.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))"), F.expr("sum(cast(hash(a, b) as long))")).first()
-        if state == seen:
-            break
-        seen = state
-    return e.select(F.col("a").alias("id"), F.col("b").alias("label")).unionByName(
-        e.select(F.col("b").alias("id"), F.col("b").alias("label"))).distinct()
-
-
 # --- prefix trees ---------------------------------------------------------------------------
 
 class Trie:
@@ -374,16 +386,19 @@ def _unit(t: pa.Table) -> pa.Table:
     return pa.table([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
 
-def _chunked(sets: DataFrame, chunk_tokens: int, by: tuple[str, ...] = ("g",)) -> DataFrame:
-    """`sets` with the number of chunks of their group, and their own."""
-    sizes = sets.groupBy(*by).agg(F.ceil(F.sum(F.octet_length("toks") / 8) / chunk_tokens).cast("int").alias("chunks"))
-    return sets.join(sizes, list(by)).withColumn("chunk", F.expr("pmod(xxhash64(id), chunks)"))
+def _chunked(members: DataFrame, chunk_tokens: int) -> DataFrame:
+    """(g, id, size) with the number of chunks of their group, and their own."""
+    sizes = members.groupBy("g").agg(F.ceil(F.sum("size") / chunk_tokens).cast("int").alias("chunks"))
+    return members.join(sizes, "g").withColumn("chunk", F.expr("pmod(xxhash64(id), chunks)"))
+
 
+def tree_links(members: DataFrame, sets: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+    """Links (a, b) that span the components of the sets (id, n, toks, dfs); only members (g, id, size) of one group g can link."""
+    def units(plan: DataFrame, *by: str) -> DataFrame:
+        return sets.join(plan, "id").groupBy(*by).applyInArrow(_cross if "probe" in plan.columns else _unit, "a long, b long")
 
-def tree_links(sets: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
-    """Links (a, b) that span the components of (g, id, n, toks, dfs); only sets of one group g can link."""
-    dealt = written(_chunked(sets, chunk_tokens), "sets")
-    found = written(dealt.groupBy("g", "chunk").applyInArrow(_unit, "a long, b long"), "links")
+    dealt = written(_chunked(members, chunk_tokens), "members")
+    found = written(units(dealt.select("id", "g", "chunk"), "g", "chunk"), "links")
     wide = dealt.where("chunks > 1")
     if wide.isEmpty():
         return found
@@ -391,21 +406,19 @@ def tree_links(sets: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     def labelled(known: DataFrame) -> DataFrame:
         return wide.join(components(known), "id", "left").withColumn("label", F.coalesce("label", "id"))
 
-    heads = labelled(found).where("id = label").drop("chunks", "chunk", "label")
-    found = written(found.unionByName(
-        _chunked(heads, chunk_tokens).groupBy("g", "chunk").applyInArrow(_unit, "a long, b long")), "links")
-    now = written(labelled(found), "sets")
+    heads = written(_chunked(labelled(found).where("id = label").select("g", "id", "size"), chunk_tokens), "members")
+    found = written(found.unionByName(units(heads.select("id", "g", "chunk"), "g", "chunk")), "links")
+    now = written(labelled(found), "members")
     per = now.groupBy("g", "label").agg(F.count(F.lit(1)).alias("c"))
     largest = per.groupBy("g").agg(F.max_by("label", F.struct("c", "label")).alias("largest"))
-    strays = _chunked(now.join(largest, "g").where("label <> largest").drop("chunks", "chunk", "largest", "label"), chunk_tokens).select(
-        "g", "id", "n", "toks", "dfs", F.col("chunks").alias("parts"), F.col("chunk").alias("part"))
-    counts = strays.groupBy("g").agg(F.first("parts").alias("parts"))
-    whole = now.groupBy("g").agg(F.first("chunks").alias("chunks"))
-    cols = ["g", "part", "chunk", "id", "n", "toks", "dfs", "probe"]
+    strays = written(_chunked(now.join(largest, "g").where("label <> largest").select("g", "id", "size"), chunk_tokens)
+                     .withColumnsRenamed({"chunks": "parts", "chunk": "part"}), "members")
+    counts, whole = strays.groupBy("g").agg(F.first("parts").alias("parts")), now.groupBy("g").agg(F.first("chunks").alias("chunks"))
+    cols = ["id", "g", "part", "chunk", "probe"]
     probing = strays.join(whole, "g").withColumn("chunk", F.explode(F.expr("sequence(0L, chunks - 1L)"))).withColumn("probe", F.lit(1))
     probed = now.join(counts, "g").withColumn("part", F.explode(F.expr("sequence(0L, parts - 1L)"))).withColumn("probe", F.lit(0))
-    more = probing.select(cols).unionByName(probed.select(cols)).groupBy("g", "part", "chunk").applyInArrow(_cross, "a long, b long")
-    return found.unionByName(more)
+    plan = written(probing.select(cols).unionByName(probed.select(cols)), "members")
+    return found.unionByName(units(plan, "g", "part", "chunk"))
 
 
 def _cross(t: pa.Table) -> pa.Table:
@@ -421,20 +434,20 @@ def _cross(t: pa.Table) -> pa.Table:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """Of each row: its key, n_shingles, component_id and a `row` number in scan order of the written sets."""
     texts = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    sets = written(_share(texts, _read_texts, 6).drop("dfs", "prefix"), "shingles")
-    classes = written(
-        sets.where("n > 0").groupBy("fp1", "fp2").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("toks", True).alias("toks"))
-        .withColumn("id", F.monotonically_increasing_id()), "classes")
-    live = written(_share(classes.where("toks is not null").select("id", "n", "toks"), _read_classes, 8)
-                   .where("toks is not null").select("id", "n", "toks", "dfs", "prefix"), "live")
-    touched = live.select("id", F.explode("prefix").alias("tok"))
-    centers = touched.groupBy("tok").agg(F.min("id").alias("b"), F.max("id").alias("m")).where("b <> m").select("tok", "b")
-    groups = components(touched.join(centers, "tok").where("id <> b").select(F.col("id").alias("a"), "b"))
-    grouped = live.drop("prefix").join(groups.select("id", F.col("label").alias("g")), "id")
-    labels = components(tree_links(grouped.select("g", "id", "n", "toks", "dfs"), chunk_tokens))
-    named = classes.select("fp1", "fp2", "first_id", "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    sets, path = written(_share(texts, _read_texts, 6).drop("dfs", "prefix", "size"), "shingles", with_path=True)
+    # a class is named by the set that kept its tokens, if any
+    classes = written(sets.where("n > 0").groupBy("fp1", "fp2").agg(F.min("id").alias("first_id"), F.max("class").alias("id")), "classes")
+    rows = written(sets.select("id", "n", "fp1", "fp2"), "rows")
+    live = written(_share(sets.where("class is not null").select("class", "n", "toks"), _read_classes, 8)
+                   .where("toks is not null").select("id", "n", "size", "toks", "dfs", "prefix"), "live")
+    deleted(docs.sparkSession, path)
+    groups = components(linked_by(live.select("id", F.explode("prefix").alias("tok")), "tok", "id"))
+    members = live.select("id", "size").join(groups.select("id", F.col("label").alias("g")), "id").select("g", "id", "size")
+    labels = components(tree_links(members, live.select("id", "n", "toks", "dfs"), chunk_tokens))
+    named = classes.where("id is not null").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     names = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    found = sets.join(named.join(names, "label").select("fp1", "fp2", "component_id"), ["fp1", "fp2"], "left")
+    alone = classes.where("id is null").select("fp1", "fp2", F.col("first_id").alias("component_id"))
+    found = rows.join(named.join(names, "label").select("fp1", "fp2", "component_id").unionByName(alone), ["fp1", "fp2"], "left")
     null = F.lit(int(NO_ID))
     return found.select(
         F.nullif("id", null).alias(key), F.col("n").alias("n_shingles"),
