@@ -14,8 +14,9 @@ in a document with a smaller key; windows are judged on the input, not on what i
 A document whose words are all those of an earlier one is done at the first level. Hashes travel to
 buckets as packed arrays, one row for each batch of documents and bucket; a hash that several documents
 of a batch hold is sent once with the smallest key, so a passage that a third of all documents share is one
-entry a batch. The answer is one bit a hash, in the order of the question. Texts travel with their batch,
-once a level. Hashes have 64 bits beside the bucket number, which comes from an independent hash.
+entry a batch. The answer is one bit a hash, in the order of the question. Texts travel once, to where the
+answers for their batch arrive. Hashes have 64 bits beside the bucket number, which comes from an independent hash.
+The input is read twice and must read alike, as a table does; a batch whose answers do not fit it fails.
 
 Null and empty texts have no words and lose none. Null keys come after all others and are equal among
 themselves; rows that share a key are windows of one document, so none of them takes words from another, and repeated
@@ -41,8 +42,8 @@ NO_ID = np.iinfo(np.int64).max
 _U = np.uint64
 _K1, _K2 = _U(0xA24BAED4963EE407), _U(0x9FB21C651E98DF25)
 
-POSTED = "grp long, batch long, tok binary, own binary, many binary, ids binary, off binary, data binary, state binary"
-TOLD = "batch long, bucket long, smaller binary, other binary, ids binary, off binary, data binary, state binary"
+POSTED = "grp long, batch long, tok binary, own binary, many binary"
+TOLD = "batch long, bucket long, smaller binary, other binary, ids binary, off binary, data binary"
 FOUND = "key long, n_words long, removed array<struct<start: long, end: long>>, kept string"
 _POSTED, _TOLD = ([x.split(" ")[0] for x in s.split(", ")] for s in (POSTED, TOLD))
 _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
@@ -81,27 +82,20 @@ class Question:
         if not len(used):
             return None
         parts = [slice(a, a + n) for a, n in zip(used, sizes)]
-        none = pa.array([None] * len(parts), pa.binary())
         return pa.RecordBatch.from_arrays([
             pa.array(self.bucket[used]), pa.array([batch] * len(parts), pa.int64()), pa.array([self.tok[p].tobytes() for p in parts]),
-            pa.array([self.own[p].tobytes() for p in parts]), pa.array([np.packbits(self.many[p]).tobytes() for p in parts]),
-            none, none, none, none], _POSTED)
+            pa.array([self.own[p].tobytes() for p in parts]), pa.array([np.packbits(self.many[p]).tobytes() for p in parts])], _POSTED)
 
     def answers(self, told: pa.Table, column: str) -> np.ndarray:
         """Bits of all buckets, which come in any order, for each hash as given."""
         bits = {b: v for b, v in zip(told["bucket"].to_pylist(), told[column].to_pylist()) if b is not None}
         used, sizes = runs(self.bucket)
+        if {b: len(v) for b, v in bits.items()} != {b: (n + 7) // 8 for b, n in zip(self.bucket[used].tolist(), sizes.tolist())}:
+            raise ValueError("the documents did not read alike twice; write them to a table first")
         parts = [np.unpackbits(np.frombuffer(bits[b], np.uint8), count=n) for b, n in zip(self.bucket[used].tolist(), sizes.tolist())]
         return np.concatenate(parts).astype(bool)[self.place] if parts else np.zeros(0, bool)
 
 
-def _batch_row(batch: int, buckets: int, t: Texts, state: np.ndarray) -> pa.RecordBatch:
-    values = [t.ids.tobytes(), t.off.tobytes(), t.data.tobytes(), state.tobytes()]
-    return pa.RecordBatch.from_arrays([
-        pa.array([buckets + batch]), pa.array([batch]), *[pa.array([None], pa.binary())] * 3,
-        *[pa.array([v], pa.binary()) for v in values]], _POSTED)
-
-
 def representatives(t: Texts, length: int):
     """Starts of all windows of `length` words, and of the half-length window that stands for each."""
     half = length // 2
@@ -130,86 +124,74 @@ def second_question(t: Texts, at: np.ndarray, length: int, buckets: int) -> Ques
     return Question(t.hash(at, length), t.second(at, length), t.ids[np.searchsorted(t.at, at, "right") - 1], buckets)
 
 
-def _tell(buckets: int):
+def _tell(g: pa.Table) -> pa.Table:
     """Of one bucket, to each batch: is there a smaller key with this hash, and is there any other key?"""
-    def run(g: pa.Table) -> pa.Table:
-        if g["ids"][0].is_valid:
-            none = pa.array([None] * len(g))
-            return pa.table([g["batch"], none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.binary()),
-                             *[g[c] for c in ("ids", "off", "data", "state")]], names=_TOLD)
-        toks = [np.frombuffer(v, _U) for v in g["tok"].to_pylist()]
-        sizes = [len(x) for x in toks]
-        tok = np.concatenate(toks)
-        own = np.frombuffer(b"".join(g["own"].to_pylist()), np.int64)
-        many = np.concatenate([np.unpackbits(np.frombuffer(v, np.uint8), count=n) for v, n in zip(g["many"].to_pylist(), sizes)])
-        order = np.argsort(tok, kind="stable")
-        starts, lengths = runs(tok[order])
-        least, most = (np.repeat(f.reduceat(own[order], starts), lengths) for f in (np.minimum, np.maximum))
-        several = np.repeat(np.maximum.reduceat(many[order], starts), lengths)
-        smaller, other = np.empty(len(tok), bool), np.empty(len(tok), bool)
-        smaller[order] = least < own[order]
-        other[order] = (least < most) | (several > 0)
-        cuts = np.concatenate([[0], np.cumsum(sizes)])
-        parts = [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:])]
-        none = pa.array([None] * len(g), pa.binary())
-        return pa.table([g["batch"], g["grp"], pa.array([np.packbits(smaller[p]).tobytes() for p in parts]),
-                         pa.array([np.packbits(other[p]).tobytes() for p in parts]), none, none, none, none], names=_TOLD)
-    return run
+    toks = [np.frombuffer(v, _U) for v in g["tok"].to_pylist()]
+    sizes = [len(x) for x in toks]
+    tok = np.concatenate(toks)
+    own = np.frombuffer(b"".join(g["own"].to_pylist()), np.int64)
+    many = np.concatenate([np.unpackbits(np.frombuffer(v, np.uint8), count=n) for v, n in zip(g["many"].to_pylist(), sizes)])
+    order = np.argsort(tok, kind="stable")
+    starts, lengths = runs(tok[order])
+    least, most = (np.repeat(f.reduceat(own[order], starts), lengths) for f in (np.minimum, np.maximum))
+    several = np.repeat(np.maximum.reduceat(many[order], starts), lengths)
+    smaller, other = np.empty(len(tok), bool), np.empty(len(tok), bool)
+    smaller[order] = least < own[order]
+    other[order] = (least < most) | (several > 0)
+    cuts = np.concatenate([[0], np.cumsum(sizes)])
+    parts = [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:])]
+    none = pa.array([None] * len(g), pa.binary())
+    return pa.table([g["batch"], g["grp"], pa.array([np.packbits(smaller[p]).tobytes() for p in parts]),
+                     pa.array([np.packbits(other[p]).tobytes() for p in parts]), none, none, none], names=_TOLD)
+
+
+def _opened(told: pa.Table) -> Texts:
+    own = told["ids"].is_valid().to_pylist().index(True)
+    ids, off, data = (told[c][own].as_py() for c in ("ids", "off", "data"))
+    return Texts(np.frombuffer(ids, np.int64), np.frombuffer(data, np.uint8), np.frombuffer(off, np.int64))
 
 
-def _opened(told: pa.Table) -> tuple[Texts, np.ndarray]:
-    own = told["ids"].is_valid().to_pylist().index(True)
-    ids, off, data, state = (told[c][own].as_py() for c in ("ids", "off", "data", "state"))
-    t = Texts(np.frombuffer(ids, np.int64), np.frombuffer(data, np.uint8), np.frombuffer(off, np.int64))
-    return t, np.frombuffer(state, np.int64)
+def _survivors(told: pa.Table, length: int, buckets: int):
+    """The texts, which of them copy an earlier document, and the question of the windows that survive the first level."""
+    t = _opened(told)
+    at, stands, anchors, whole, q = first_question(t, length, buckets)
+    smaller, other = q.answers(told, "smaller"), q.answers(told, "other")
+    # a copy within the batch is not the batch's smallest key of its hash
+    copy = np.zeros(len(t.ids), bool)
+    mine = np.arange(len(whole)) + len(anchors)
+    copy[whole] = smaller[mine] | (q.own[q.place[mine]] < t.ids[whole])
+    windows = at[other[: len(anchors)][np.searchsorted(anchors, stands)] & ~copy[np.searchsorted(t.at, at, "right") - 1]]
+    row = np.searchsorted(t.at, windows, "right") - 1
+    return t, copy, windows, row, Question(t.hash(windows, length), t.second(windows, length), t.ids[row], buckets)
 
 
 def _extend(length: int, buckets: int):
-    """A batch after the first level: survivors are asked for at full length. Copies of earlier documents leave their text."""
+    """What survives the first level, asked for at full length."""
     def run(told: pa.Table) -> pa.Table:
-        t, _ = _opened(told)
-        at, stands, anchors, whole, q = first_question(t, length, buckets)
-        smaller, other = q.answers(told, "smaller"), q.answers(told, "other")
-        # a copy within the batch is not the batch's smallest key of its hash
-        copy = np.zeros(len(t.ids), bool)
-        mine = np.arange(len(whole)) + len(anchors)
-        copy[whole] = smaller[mine] | (q.own[q.place[mine]] < t.ids[whole])
-        live = other[: len(anchors)][np.searchsorted(anchors, stands)] & ~copy[np.searchsorted(t.at, at, "right") - 1]
-        gone = np.where(copy, np.diff(t.at), 0)
-        sizes = np.diff(t.off)
-        data = t.data[np.repeat(~copy, sizes)]
-        off = np.concatenate([[0], np.cumsum(np.where(copy, 0, sizes))])
-        slim = Texts(t.ids, data, off)
-        # word positions move as the copies' words leave
-        kept = np.cumsum(np.repeat(~copy, np.diff(t.at))) - 1
-        windows = kept[at[live]]
-        batch = told["batch"][0].as_py()
-        rows = second_question(slim, windows, length, buckets).rows(batch)
-        own = _batch_row(batch, buckets, slim, np.concatenate([gone, windows]))
-        return pa.Table.from_batches([own] if rows is None else [rows, own])
+        rows = _survivors(told, length, buckets)[-1].rows(told["batch"][0].as_py())
+        return pa.table([[]] * len(_POSTED), pa.schema([(n, pa.int64() if i < 2 else pa.binary()) for i, n in enumerate(_POSTED)])) if rows is None \
+            else pa.Table.from_batches([rows])
     return run
 
 
 def _finish(length: int, buckets: int):
-    def run(told: pa.Table) -> pa.Table:
-        t, state = _opened(told)
-        gone, windows = state[: len(t.ids)], state[len(t.ids):]
-        q = second_question(t, windows, length, buckets)
-        hit = windows[q.answers(told, "smaller") | (q.own[q.place] < t.ids[np.searchsorted(t.at, windows, "right") - 1])]
+    def run(told: pa.Table, answers: pa.Table) -> pa.Table:
+        t, copy, windows, row, q = _survivors(told, length, buckets)
+        hit = windows[q.answers(answers, "smaller") | (q.own[q.place] < t.ids[row])]
         edge = np.zeros(len(t.starts) + 1, np.int64)
         np.add.at(edge, hit, 1)
         np.add.at(edge, hit + length, -1)
-        dropped = np.cumsum(edge)[:-1] > 0
+        dropped = (np.cumsum(edge)[:-1] > 0) | np.repeat(copy, np.diff(t.at))
         # spans are the maximal dropped stretches of each row
         row = np.repeat(np.arange(len(t.ids)), np.diff(t.at))
         new = np.concatenate([[True], (row[1:] != row[:-1]) | (dropped[1:] != dropped[:-1])]) if len(row) else np.zeros(0, bool)
         begin = np.flatnonzero(new)
         end = np.append(begin[1:], len(row)) if len(row) else begin
-        spans: list[list] = [[{"start": 0, "end": g}] if g else [] for g in gone.tolist()]
+        spans: list[list] = [[] for _ in t.ids]
         for a, b in zip(begin[dropped[begin]].tolist(), end[dropped[begin]].tolist()):
             spans[row[a]].append({"start": a - int(t.at[row[a]]), "end": b - int(t.at[row[a]])})
         return pa.table([
-            pa.array(t.ids), pa.array(np.diff(t.at) + gone), pa.array(spans, pa.list_(_SPAN)),
+            pa.array(t.ids), pa.array(np.diff(t.at)), pa.array(spans, pa.list_(_SPAN)),
             joined_words(t.data, t.starts, t.ends, t.at, ~dropped)], names=["key", "n_words", "removed", "kept"])
     return run
 
@@ -220,24 +202,34 @@ def without_repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "
         raise ValueError("a window has two words at least")
     buckets = min(65536, 16 * partitions(docs.sparkSession))
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def numbered(batches: Iterator[pa.RecordBatch]):
         number = TaskContext.get().partitionId() << 24
         for whole in batches:
             for part in slices(whole, 1, SLICE_BYTES, SLICE_DOCS):
                 data, off = text_bytes(part.column(1))
-                t = Texts(np.asarray(part.column(0)), data, off.astype(np.int64))
-                rows = first_question(t, length, buckets)[-1].rows(number)
-                if rows is not None:
-                    yield rows
-                yield _batch_row(number, buckets, t, np.zeros(0, np.int64))
+                yield number, np.asarray(part.column(0)), data, off.astype(np.int64)
                 number += 1
 
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, ids, data, off in numbered(batches):
+            rows = first_question(Texts(ids, data, off), length, buckets)[-1].rows(number)
+            if rows is not None:
+                yield rows
+
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, ids, data, off in numbered(batches):
+            none = pa.array([None], pa.binary())
+            yield pa.RecordBatch.from_arrays([
+                pa.array([number]), pa.array([None], pa.int64()), none, none,
+                *[pa.array([x.tobytes()], pa.binary()) for x in (ids, off, data)]], _TOLD)
+
     rows = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(int(NO_ID))).alias("key"), F.col(f"`{text}`").alias("text"))
-    tell = _tell(buckets)
-    level = rows.mapInArrow(post, POSTED).groupBy("grp").applyInArrow(tell, TOLD)
-    level = level.groupBy("batch").applyInArrow(_extend(length, buckets), POSTED)
-    level = level.groupBy("grp").applyInArrow(tell, TOLD)
-    found = level.groupBy("batch").applyInArrow(_finish(length, buckets), FOUND)
+    first = rows.mapInArrow(post, POSTED).groupBy("grp").applyInArrow(_tell, TOLD)
+    # the texts stand first in the union, so that their tasks have the numbers they had when they asked
+    met = rows.mapInArrow(carry, TOLD).unionByName(first).repartition(partitions(docs.sparkSession), "batch")
+    second = met.groupBy("batch").applyInArrow(_extend(length, buckets), POSTED).groupBy("grp").applyInArrow(_tell, TOLD)
+    # the texts lie where the batch is: both uses of `met` read the same exchange
+    found = met.groupBy("batch").cogroup(second.groupBy("batch")).applyInArrow(_finish(length, buckets), FOUND)
     return found.withColumn("key", F.nullif("key", F.lit(int(NO_ID)))).withColumnRenamed("key", key)
 
 
@@ -248,7 +240,8 @@ def op11_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP11_SQL = rf"""
-WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents),
 windows AS (
   SELECT doc_id, p, array_to_string(w[p:p + {LENGTH - 1}], ' ') AS s
   FROM (SELECT doc_id, w, unnest(range(1, len(w) - {LENGTH - 2})) AS p FROM docs WHERE len(w) >= {LENGTH})),
