@@ -98,7 +98,7 @@ def linked_by(rows: DataFrame, key: str, node: str) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(id, label) of every node of the edges (a, b) between different nodes; label is the component's smallest node."""
     spark = edges.sparkSession
-    now, path = written(edges.select("a", "b").where("a <> b").mapInArrow(spanned, EDGES), "edges", with_path=True)
+    now, path = written(edges.select("a", "b").where("a <> b"), "edges", with_path=True)
     state = None
     while True:
         before, (size, *seen) = state, now.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))"), F.expr("sum(cast(hash(a, b) as long))")).first()

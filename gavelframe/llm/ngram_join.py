@@ -45,7 +45,7 @@ from gavelframe.llm.packs import hash_words, runs, slices, splitmix
 
 SHINGLE = 5
 MANY = 0xFFFF
-SLICE_DOCS, SLICE_BYTES = 10_000, 8 << 20
+SLICE_DOCS, SLICE_BYTES = 10_000, 4 << 20
 CHUNK_TOKENS = 400_000
 NO_ID = np.iinfo(np.int64).max
 _K = np.random.default_rng(5).integers(1, 1 << 63, 2 * SHINGLE, dtype=np.uint64) | np.uint64(1)
@@ -418,7 +418,7 @@ def tree_links(members: DataFrame, sets: DataFrame, chunk_tokens: int = CHUNK_TO
     probing = strays.join(whole, "g").withColumn("chunk", F.explode(F.expr("sequence(0L, chunks - 1L)"))).withColumn("probe", F.lit(1))
     probed = now.join(counts, "g").withColumn("part", F.explode(F.expr("sequence(0L, parts - 1L)"))).withColumn("probe", F.lit(0))
     plan = written(probing.select(cols).unionByName(probed.select(cols)), "members")
-    return found.unionByName(units(plan, "g", "part", "chunk"))
+    return found.unionByName(written(units(plan, "g", "part", "chunk"), "links"))
 
 
 def _cross(t: pa.Table) -> pa.Table:
