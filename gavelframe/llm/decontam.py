@@ -9,24 +9,26 @@ Passages are windows of twice the longest item, half overlapping, over whole tex
 whole Arrow batches: the block maxima of the passage's distinct essential terms are summed, and a
 (passage, block) that stays below 1 with all optional weight added is skipped without looking at its
 items (block-max pruning); then the same with the items' own weights. What is left is scored in full,
-and accepted when the word n-grams of question and answer (the item's first two thirds of words and
-the rest) are found in the passage.
+and accepted when half of the word n-grams of the question and half of those of the answer (the item's first two
+thirds of words and the rest) are found in the passage.
 
-The benchmark is indexed in parts of at most `ITEMS` items and `BYTES` bytes of text; only such a part is
-ever broadcast. A null text has no passages, a null or empty item matches nothing. Repeated rows are
-reported each. Other columns of the input are left alone.
+Items of equal text are one. The benchmark is indexed in parts of about `ITEMS` items and `BYTES` bytes of text; only such a part is
+ever broadcast. Document frequencies, item count, mean length and the window length are those of the whole
+benchmark, counted by Spark, so the parts change no answer. A null text has no passages, a null or empty item
+matches nothing. Repeated rows are reported each. Other columns of the input are left alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavelframe.llm.base import table
+from gavelframe.llm.base import table, word_count, written
 from gavelframe.llm.packs import hash_words, runs, slices, splitmix
 
 ITEMS, BYTES = 20_000, 16 << 20
@@ -35,7 +37,7 @@ OPTIONAL = 0.45
 SHARE = 0.6
 K1, B = 1.2, 0.75
 GRAM = 3
-PART, TOTAL = 0.5, 0.6
+PART = 0.5
 _C = np.random.default_rng(31).integers(1, 1 << 63, GRAM, dtype=np.uint64) | np.uint64(1)
 MATCH = ["item_id", "score", "question_overlap", "answer_overlap"]
 
@@ -50,25 +52,44 @@ def _grams(words: np.ndarray) -> np.ndarray:
     return np.unique(splitmix(total + np.uint64(n)))
 
 
+class Counts(NamedTuple):
+    """Of the whole benchmark: items, their mean and greatest number of words; df of the sorted `terms` of a part."""
+    items: int
+    mean: float
+    longest: int
+    terms: np.ndarray
+    df: np.ndarray
+
+
+def counts_of(texts: list[str]) -> Counts:
+    words, off = hash_words(pa.array(texts, pa.string()))
+    lengths = np.diff(off)
+    lengths = lengths[lengths > 0]
+    each = [np.unique(words[a:b]) for a, b in zip(off[:-1], off[1:])]
+    terms, df = np.unique(np.concatenate([np.zeros(0, np.uint64), *each]), return_counts=True)
+    return Counts(len(lengths), float(lengths.mean()) if len(lengths) else 0.0, int(lengths.max(initial=0)), terms, df)
+
+
 class Index:
     """Arrays of one part of the benchmark."""
 
-    def __init__(self, items: list[tuple[int, str]], share: float = SHARE):
-        items = [(i, t) for i, t in items if t and t.split()]
-        self.ids = [i for i, _ in items]
+    def __init__(self, items: list[tuple[int, str]], counts: Counts, share: float = SHARE):
         words, off = hash_words(pa.array([t for _, t in items], pa.string()))
         lengths = np.diff(off)
+        items, lengths = [x for x, n in zip(items, lengths) if n], lengths[lengths > 0]
+        off = np.concatenate([[0], np.cumsum(lengths)])
+        self.ids = [i for i, _ in items]
         self.words = [words[a:b] for a, b in zip(off[:-1], off[1:])]
-        self.longest = int(lengths.max()) if len(items) else 0
+        self.longest = counts.longest if len(items) else 0
         if not items:
             return
         item = np.repeat(np.arange(len(items)), lengths)
         self.terms, term = np.unique(words, return_inverse=True)
         pair, tf = np.unique(item * len(self.terms) + term, return_counts=True)
         item, term = pair // len(self.terms), pair % len(self.terms)
-        df = np.bincount(term, minlength=len(self.terms))
-        idf = np.log1p((len(items) - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * lengths[item] / lengths.mean())
+        df = counts.df[np.searchsorted(counts.terms, self.terms)]
+        idf = np.log1p((counts.items - df + 0.5) / (df + 0.5))
+        norm = K1 * (1 - B + B * lengths[item] / counts.mean)
         weight = idf[term] * tf * (K1 + 1) / (tf + norm)
         weight /= share * np.bincount(item, weight, len(items))[item]
         # the lightest terms of each item are optional
@@ -89,7 +110,6 @@ class Index:
         self.seen[(self.terms & np.uint64(0xFFFFF)).astype(np.int64)] = True
         self.question = [_grams(w[: -(-2 * len(w) // 3)]) for w in self.words]
         self.answer = [_grams(w[-(-2 * len(w) // 3):]) for w in self.words]
-        self.whole = [_grams(w) for w in self.words]
 
     def _largest(self, block, term, weight):
         order = np.lexsort((-weight, term, block))
@@ -155,27 +175,48 @@ class Index:
             score = float(weight[np.isin(self.terms[own], terms)].sum())
             if score < 1:
                 continue
-            q, a, t = (float(np.isin(x, grams).mean()) if len(x) else 1.0 for x in (self.question[i], self.answer[i], self.whole[i]))
-            if min(q, a) >= PART or t >= TOTAL:
+            q, a = (float(np.isin(x, grams).mean()) if len(x) else 1.0 for x in (self.question[i], self.answer[i]))
+            if min(q, a) >= PART:
                 best[r, i] = max(best.get((r, i), (0.0, 0.0, 0.0)), (score, q, a))
         return [(r, self.ids[i], *v) for (r, i), v in sorted(best.items())]
 
 
-def indexes(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> Iterator[Index]:
-    """One index after the other, each over a part of the benchmark of bounded size."""
-    items = benchmark.select(F.col(f"`{key}`").alias("i"), F.col(f"`{text}`").alias("t")).where("t is not null")
-    count, size = items.agg(F.count(F.lit(1)), F.sum(F.octet_length("t"))).first()
-    parts = max(-(-count // ITEMS), -(-(size or 0) // BYTES), 1)
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, term) for every distinct term of every item."""
+    for batch in batches:
+        words, off = hash_words(batch.column(1))
+        item = np.repeat(np.arange(batch.num_rows), np.diff(off))
+        order = np.lexsort((words, item))
+        item, words = item[order], words[order]
+        new = np.concatenate([[True], (item[1:] != item[:-1]) | (words[1:] != words[:-1])])[: len(item)]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(item[new])), pa.array(words[new].view(np.int64))], ["part", "term"])
+
+
+def indexes(benchmark: DataFrame, key: str = "item_id", text: str = "text", most_items: int = ITEMS, most_bytes: int = BYTES) -> Iterator[Index]:
+    """One index after the other, each over a part of the benchmark of bounded size; equal items are one, the smallest."""
+    items = written(benchmark.select(F.col(f"`{key}`").cast("long").alias("i"), F.col(f"`{text}`").alias("t")).where("t is not null")
+                    .groupBy("t").agg(F.min("i").alias("i")).select("i", "t", word_count(F.col("t")).alias("n")).where("n > 0"), "items")
+    count, size, mean, longest = items.agg(F.count(F.lit(1)), F.sum(F.octet_length("t")), F.avg("n"), F.max("n")).first()
+    if not count:
+        return
+    parts = max(-(-count // most_items), -(-size // most_bytes))
+    items = items.withColumn("part", F.pmod(F.xxhash64("t"), F.lit(parts)).cast("int"))
+    terms = written(items.select("part", "t").mapInArrow(_terms, "part int, term long"), "item-terms")
+    df = written(terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "item-df")
     for part in range(parts):
-        mine = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part)
-        yield Index([(r.i, r.t) for r in mine.orderBy("i", "t").collect()])
+        mine = terms.where(F.col("part") == part).select("term").distinct().join(df, "term").toArrow()  # bounded by the part's text
+        term, n = np.asarray(mine["term"]).view(np.uint64), np.asarray(mine["df"])
+        order = np.argsort(term)
+        own = items.where(F.col("part") == part).orderBy("i", "t").collect()
+        yield Index([(r.i, r.t) for r in own], Counts(count, mean, longest, term[order], n[order]))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **limits) -> DataFrame:
     """(key, item_id, score, question_overlap, answer_overlap) of every document and item above the threshold."""
     kind = docs.schema[key].dataType.simpleString()
-    rows, out = docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("text")), None
-    for index in indexes(benchmark):
+    schema = f"`{key}` {kind}, item_id long, score double, question_overlap double, answer_overlap double"
+    rows, out = docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("text")), docs.sparkSession.createDataFrame([], schema)
+    for index in indexes(benchmark, **limits):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -187,9 +228,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
                         [batch.column(0).take(pa.array(r)), pa.array(i, pa.int64()), *(pa.array(x, pa.float64()) for x in (s, q, a))],
                         [key, *MATCH])
 
-        got = rows.mapInArrow(run, f"`{key}` {kind}, item_id long, score double, question_overlap double, answer_overlap double")
-        out = got if out is None else out.unionByName(got)
-    return out
+        out = out.unionByName(rows.mapInArrow(run, schema))
+    # items of equal text are all reported
+    texts = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
+    same = texts.join(texts.groupBy("text").agg(F.min("item_id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1"), "text")
+    others = out.withColumnRenamed("item_id", "first").join(same.where("not item_id <=> first").select("first", "item_id"), "first")
+    return out.unionByName(others.select(*out.columns))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:

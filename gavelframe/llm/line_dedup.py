@@ -28,10 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavelframe.llm.base import table, written
+from gavelframe.llm.base import WORD, table, written
 from gavelframe.llm.packs import find_words, hash_ranges, slices, splitmix, text_bytes
 
 MIN_WORDS = 8
@@ -136,19 +136,13 @@ def variants(docs: DataFrame) -> DataFrame:
     return docs.select("numbers", "text").mapInArrow(run, VARIANTS)
 
 
-def _near(x: list[str], y: list[str]) -> bool:
-    """One word replaced, inserted or left out."""
-    if len(x) > len(y):
-        x, y = y, x
-    if x == y or len(y) - len(x) > 1:
-        return False
-    i = next((k for k, (a, b) in enumerate(zip(x, y)) if a != b), len(x))
-    return x[i + 1:] == y[i + 1:] if len(x) == len(y) else x[i:] == y[i + 1:]
-
-
-def _one_edit(x: str, y: str) -> bool:
-    split = lambda t: [w for w in t.translate(dict.fromkeys(range(9, 14), " ")).split(" ") if w]
-    return _near(split(x), split(y))
+def _one_edit(x: str, y: str) -> Column:
+    """One word replaced, inserted or left out: but for one word, the lines share their start and their end."""
+    def shared(a: str, b: str) -> str:
+        return f"(coalesce(nullif(array_position(zip_with({a}, {b}, (u, v) -> u <=> v), false), 0), size({a}) + 1) - 1)"
+    longer = f"greatest(size({x}), size({y}))"
+    return F.expr(f"{x} <> {y} and abs(size({x}) - size({y})) <= 1 and "
+                  f"{shared(x, y)} + {shared(f'reverse({x})', f'reverse({y})')} >= {longer} - 1")
 
 
 def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -183,10 +177,10 @@ def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", mi
 
     # compare the words of what is claimed
     texts_of = again.select(F.explode("numbers").alias("k"), "text").select(
-        "k.rank", F.element_at(F.split("text", "\n", -1), F.col("k.line_no") + 1).alias("words"))
+        "k.rank", F.regexp_extract_all(F.element_at(F.split("text", "\n", -1), F.col("k.line_no") + 1), F.lit(WORD), F.lit(0)).alias("words"))
     texts_of = texts_of.groupBy("rank").agg(F.first("words").alias("words"))
     mine = best.join(texts_of.select("rank", F.col("words").alias("x")), "rank")
-    proved = mine.join(texts_of.select(F.col("rank").alias("near"), F.col("words").alias("y")), "near").where(F.udf(_one_edit, "boolean")("x", "y"))
+    proved = mine.join(texts_of.select(F.col("rank").alias("near"), F.col("words").alias("y")), "near").where(_one_edit("x", "y"))
     proved = proved.join(live.select("line", "rank"), "rank").join(live.select(F.col("rank").alias("near"), F.col("first").alias("at")), "near")
 
     info = classes.select("line", "first", "c").join(proved.select("line", F.col("at").alias("near")), "line", "left").where("c > 1 or near is not null")

@@ -172,8 +172,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, FOUND.format(kind=kind))
 
 
-def accepted(found: DataFrame, support: int = 5, confidence: float = 0.8, rounds: int = 3) -> DataFrame:
-    """(pattern, kind, confidence) of the patterns that may find unseen identifiers."""
+def accepted(found: DataFrame, support: int = 5, confidence: float = 0.8, rounds: int | None = None) -> DataFrame:
+    """(pattern, kind, confidence) of the patterns that may find unseen identifiers, after as many rounds as bring in new ones."""
     edges = written(found.select(F.explode("marks").alias("m")).select(
         F.explode("m.patterns").alias("pattern"), "m.instance", "m.seed").groupBy("pattern", "instance").agg(
         F.max("seed").alias("seed")), "pattern-edges")
@@ -195,12 +195,19 @@ def accepted(found: DataFrame, support: int = 5, confidence: float = 0.8, rounds
         return sums.where(F.col("found") >= support).join(sizes, "pattern").select(
             "pattern", "kind", (F.col("score") / (F.col("size") + 1)).alias("confidence"))
 
-    reached = None
-    for _ in range(rounds):
+    reached, seen, number = None, None, 0
+    while True:
+        trust = written(trusted(reached), "patterns")
+        good = trust.where(F.col("confidence") >= confidence)
+        names = good.select("pattern", "kind")
+        fresh = names if seen is None else names.join(seen, ["pattern", "kind"], "left_anti")
+        if number == rounds or fresh.isEmpty() and number:
+            return good
+        seen = names if seen is None else seen.unionByName(fresh)
+        number += 1
         doubt = F.exp(F.sum(F.log(F.greatest(F.lit(1e-12), 1 - F.col("confidence")))))
-        reached = written(open_edges.join(trusted(reached), "pattern").groupBy("instance", "kind").agg(
+        reached = written(open_edges.join(trust, "pattern").groupBy("instance", "kind").agg(
             (1 - doubt).alias("score")), "pattern-scores")
-    return trusted(reached).where(F.col("confidence") >= confidence)
 
 
 def _listed(spans: Column) -> Column:

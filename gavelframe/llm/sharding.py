@@ -1,7 +1,7 @@
 """Sharding: a keyed Feistel permutation of global row numbers gives every row its shard and slot.
 
-Rows are numbered 0..n-1 in the order (bucket of the mixed key, key, tie columns). Buckets are
-counted with map-side combination, the running sum over the at most `buckets` counts is the only
+Rows are numbered 0..n-1 in the order (bucket of the mixed key and tie columns, key, tie columns), so rows that share
+a key are spread by what else they hold. Buckets are counted with map-side combination, the running sum over the at most `buckets` counts is the only
 thing that is broadcast, and rows are numbered inside their bucket. The number is then permuted:
 it is split into two digits of bases a = ceil(sqrt n) and b = ceil(n / a), alternating rounds add
 a keyed hash of one digit to the other, and numbers that land in [n, a*b) walk on through the
@@ -9,7 +9,8 @@ permutation until they fall below n (cycle walking). shard = y mod k and slot =
 sizes differ by at most one row, slots have no gaps, and a row's place can be computed from its
 number alone.
 
-Nulls: a null key counts as -1. Repeated rows are numbered one after another. Empty input gives no
+Nulls: a null key counts as -1. Repeated rows, equal in key and tie columns, are numbered one after another in one bucket;
+give the tie columns that tell rows of one key apart. Empty input gives no
 rows. Columns of the input called like an output column are replaced.
 """
 
@@ -48,10 +49,18 @@ def permutation(x: str, n: str, a: str, b: str, seed: int) -> Column:
     return F.expr(f"CASE WHEN {first} < {n} THEN {first} ELSE {walk.format(y0=first)} END")
 
 
+def spread(key: str, ties: list[str]) -> str:
+    """SQL text: one number of [0, 1073741789) from a bigint key and bigint tie values."""
+    more = "".join(f" + {folded(t)} * {31 + 6 * i}" for i, t in enumerate(ties))
+    return f"(({folded(key)}{more}) % 1073741789)"
+
+
 def shard(df: DataFrame, shards: int = 8, key: str = "doc_id", ties: tuple[str, ...] = (), seed: int = 1) -> DataFrame:
     """`df` with `shard` int and `slot` long."""
     kept = [c for c in df.columns if c not in ("shard", "slot")]
-    bucket = F.expr(f"cast({mixed(folded(f'`{key}`'), seed)} % {BUCKETS} as int)")
+    whole_number = ("tinyint", "smallint", "int", "bigint")
+    values = [f"`{t}`" if df.schema[t].dataType.simpleString() in whole_number else f"xxhash64(`{t}`)" for t in ties]
+    bucket = F.expr(f"cast({mixed(spread(f'`{key}`', values), seed)} % {BUCKETS} as int)")
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), bucket.alias("bucket"))
     counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     upto = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -99,7 +108,7 @@ summed AS (
       lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1])), 4294967295::BIGINT) AS text_crc32
   FROM hexed, crc_table),
 numbered AS (
-  SELECT *, row_number() OVER (ORDER BY {mixed(folded("doc_id"), 1)} % {BUCKETS},
+  SELECT *, row_number() OVER (ORDER BY {mixed(spread("doc_id", ["size", "text_crc32"]), 1)} % {BUCKETS},
     doc_id NULLS FIRST, size, text_crc32) - 1 AS x FROM summed),
 total AS (SELECT n, a, ceil(n / a)::BIGINT AS b FROM (SELECT count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS a FROM documents)),
 walk(x, y) AS (

@@ -298,7 +298,7 @@ def test_pruning_loses_no_passage():
     rng = np.random.default_rng(4)
     vocab = [f"v{int(x)}" for x in rng.zipf(1.3, 4000) % 700]
     items = [(i, " ".join(rng.choice(vocab, rng.integers(5, 60)))) for i in range(120)]
-    index = decontam.Index(items)
+    index = decontam.Index(items, decontam.counts_of([t for _, t in items]))
     docs = [" ".join([*rng.choice(vocab, 200), *items[i][1].split()[: (i % 7) * 10 + 3], *rng.choice(vocab, 100)]) for i in range(60)]
     import pyarrow as pa
     words, off = decontam.hash_words(pa.array(docs))
@@ -311,12 +311,51 @@ def test_pruning_loses_no_passage():
             grams = decontam._grams(passage)
             for i, (terms, weight) in enumerate(index.full):
                 if weight[np.isin(index.terms[terms], passage)].sum() >= 1:
-                    q, b, t = (np.isin(x, grams).mean() if len(x) else 1 for x in (index.question[i], index.answer[i], index.whole[i]))
-                    if min(q, b) >= decontam.PART or t >= decontam.TOTAL:
+                    q, b = (np.isin(x, grams).mean() if len(x) else 1 for x in (index.question[i], index.answer[i]))
+                    if min(q, b) >= decontam.PART:
                         want.add((r, index.ids[i]))
     assert got == want and len(want) > 20
 
 
+def _bm25(docs, items, step):
+    """Every passage against every item, BM25 over the whole benchmark, by plain counting."""
+    texts = {}
+    for i, t in items:
+        texts.setdefault(" ".join(WORD.findall(t.lower())), (t, []))[1].append(i)
+    bags = [(WORD.findall(t.lower()), ids) for t, ids in texts.values()]
+    mean, df = np.mean([len(w) for w, _ in bags]), Counter(x for w, _ in bags for x in set(w))
+    idf = {x: np.log1p((len(bags) - n + 0.5) / (n + 0.5)) for x, n in df.items()}
+    grams = lambda w: {tuple(w[i:i + min(3, len(w))]) for i in range(len(w) - min(3, len(w)) + 1)} if w else set()
+    found = set()
+    for key, text in docs:
+        words = WORD.findall((text or "").lower())
+        for a in range(0, len(words), step):
+            passage = words[a:a + 2 * step]
+            held, g = set(passage), grams(passage)
+            for w, ids in bags:
+                weight = {x: idf[x] * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(w) / mean)) for x, c in Counter(w).items()}
+                cut = -(-2 * len(w) // 3)
+                if sum(v for x, v in weight.items() if x in held) >= 0.6 * sum(weight.values()) - 1e-9 and all(
+                        len(part & g) >= 0.5 * len(part) for part in (grams(w[:cut]), grams(w[cut:]))):
+                    found |= {(key, i) for i in ids}
+    return found
+
+
+@pytest.mark.parametrize("limits", [{}, {"most_items": 3}, {"most_bytes": 600}])
+def test_decontamination_is_bm25_over_the_whole_benchmark(spark, limits):
+    rng = np.random.default_rng(14)
+    vocab = [f"v{int(x)}" for x in rng.zipf(1.3, 3000) % 300]
+    items = [(i, " ".join(rng.choice(vocab, rng.integers(4, 30)))) for i in range(30)]
+    items += [(100, items[3][1]), (101, items[3][1])]
+    docs = []
+    for d in range(60):
+        part = items[d % 30][1].split(" ")
+        docs.append((d, " ".join([*rng.choice(vocab, 60), *part[: len(part) - d % 4 * 3], *rng.choice(vocab, 30)])))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.matches(df, bench, **limits).collect()}
+    assert got == _bm25(docs, items, max(len(t.split()) for _, t in items)) and len(got) > 8
+
+
 # 7 ------------------------------------------------------------------------------------------
 
 def test_language_id(spark, odd, empty, sf_dir):
@@ -365,7 +404,7 @@ def _dropped(pairs):
     out = []
     for i, (d, k, w) in enumerate(occ):
         for e, m, v in occ[:i]:
-            if v == w or min(len(v), len(w)) >= line_dedup.MIN_WORDS and line_dedup._near(w, v):
+            if v == w or min(len(v), len(w)) >= line_dedup.MIN_WORDS and _near(w, v):
                 equal = next(((a, b) for a, b, u in occ[:i] if u == w), None)
                 out.append((d, k, e, m))
                 assert v == w or equal is None or (e, m) <= equal
@@ -384,6 +423,16 @@ def test_line_dedup(odd, empty):
     assert line_dedup.duplicate_lines(empty).count() == 0
 
 
+def _near(x, y):
+    """One word replaced, inserted or left out."""
+    if len(x) > len(y):
+        x, y = y, x
+    if x == y or len(y) - len(x) > 1:
+        return False
+    i = next((k for k, (a, b) in enumerate(zip(x, y)) if a != b), len(x))
+    return list(x[i + 1:]) == list(y[i + 1:]) if len(x) == len(y) else list(x[i:]) == list(y[i + 1:])
+
+
 def _plain(rows):
     """(doc_id, line_no, first_doc_id, first_line_no, distance) by the rule read literally; rows are (doc_id, text)."""
     occ = sorted(((d, k, WORD.findall(x)) for d, t in rows for k, x in enumerate(t.split("\n")) if WORD.search(x)), key=lambda x: x[:2])
@@ -393,7 +442,7 @@ def _plain(rows):
     out = []
     for d, k, w in occ:
         near = [at for v, at in first.items() if at < first[tuple(w)] and min(len(v), len(w)) >= line_dedup.MIN_WORDS
-                and line_dedup._near(list(v), w)]
+                and _near(list(v), w)]
         if near:
             out.append((d, k, *min(near), 1))
         elif (d, k) != first[tuple(w)]:
