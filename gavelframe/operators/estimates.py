@@ -19,6 +19,7 @@ from gavelframe.functions.keys import age_in_days, department_of, estimate_cache
 from gavelframe.functions.scoring import estimate_confidence
 from gavelframe.functions.values import half_even, has_number, has_text, lookup, number_text
 from gavelframe.operators import comparables as C
+from gavelframe.operators.groups import stored
 from gavelframe.operators.medians import grouped_stats
 
 ESTIMATE_COLUMNS = ["listing_key", "source_type", "price_m2", "total", "n_points", "age_days", "geo_match", "notes"]
@@ -115,7 +116,8 @@ def from_ads(ads: DataFrame) -> PriceSource:
 
 
 def source_estimates(subjects: DataFrame, sources: Iterable[PriceSource]) -> DataFrame:
-    """Estimates of every source with their confidence."""
+    """Estimates of every source with their confidence. All sources read one stored table of the subjects' four columns."""
+    subjects = stored(subjects.select("listing_key", "postal_code", "property_type", "surface_m2"))
     rows = reduce(DataFrame.unionByName, [s(subjects).select(*ESTIMATE_COLUMNS) for s in sources])
     return rows.withColumn("confidence", estimate_confidence())
 

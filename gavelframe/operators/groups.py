@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,18 +11,12 @@ from pyspark.sql import functions as F
 SLICE_ROWS = 1_000_000
 
 
-def positions(df: DataFrame, keys: list[str], order: str, out: str, *, lead: list[str] = (), whole: bool = False,
-              slice_rows: int = SLICE_ROWS) -> DataFrame:
+def positions(df: DataFrame, keys: list[str], order: str, out: str, *, lead: list[str] = (), slice_rows: int = SLICE_ROWS) -> DataFrame:
     """1-based position of every row in its group by ``(lead descending, order)``.
 
-    ``order`` is a non-negative integer. Groups are cut into slices of the order's range;
-    rows are ranked per slice and slices are offset by the running count, so a huge group
-    is ranked by many tasks. ``whole`` ranks each group in one go, for callers that have
-    counted their rows.
+    ``order`` is an integer. Groups are cut into slices of the order's range; rows are ranked per slice and
+    slices are offset by the running count, so a huge group is ranked by many tasks.
     """
-    if whole:
-        w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in lead], F.col(order))
-        return df.withColumn(out, F.row_number().over(w))
     cut = df.withColumn("_cut", F.floor(F.col(order) / slice_rows))
     parts = [*keys, *lead, "_cut"]
     within = Window.partitionBy(*parts).orderBy(order)
@@ -33,9 +29,20 @@ def positions(df: DataFrame, keys: list[str], order: str, out: str, *, lead: lis
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the session names; where none is named, one below the warehouse, which is shared."""
+    """Use the folder the session names; a local session without one gets a folder below its warehouse."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written below the checkpoint folder and read again: lineage ends, and its size is known to the planner."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

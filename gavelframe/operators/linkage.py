@@ -15,7 +15,7 @@ Pairs are formed between classes; rows come in again only when partners are chos
 from __future__ import annotations
 
 import math
-from itertools import combinations
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,39 +24,8 @@ from gavelframe.functions import constants as K
 from gavelframe.functions.similarity import similar_values
 from gavelframe.functions.values import has_items, has_number, has_text
 from gavelframe.operators.enrich import enrich_locations, known_city
-from gavelframe.operators.groups import SLICE_ROWS, ensure_checkpoint_dir, positions
-
-FIELDS = list(K.MATCH_WEIGHTS)  # date, court, price, city, type, surface
-COLUMNS = {"date": "sale_date", "court": "court", "price": "start_price", "city": "city",
-           "type": "property_type", "surface": "surface_m2"}
-COURT_SIMILARITY, CITY_SIMILARITY = 0.7, 0.8
-PRICE_TOLERANCE, SURFACE_TOLERANCE = 0.10, 0.05
-_WEIGHT = {1 << i: K.MATCH_WEIGHTS[f] for i, f in enumerate(FIELDS)}
-
-
-def _weight(mask: int) -> int:
-    return sum(w for bit, w in _WEIGHT.items() if mask & bit)
-
-
-def minimal_sets(present: int) -> list[int]:
-    """Smallest field sets within ``present`` that carry half of its weight."""
-    bits = [b for b in _WEIGHT if present & b]
-    enough = [sum(c) for n in range(1, len(bits) + 1) for c in combinations(bits, n)
-              if 2 * _weight(sum(c)) >= _weight(present)]
-    return [s for s in enough if not any(o != s and o & s == o for o in enough)]
-
-
-def _present(field: str) -> Column:
-    c = F.col(COLUMNS[field])
-    if field == "date":
-        return c.isNotNull()
-    return has_number(c) if field in ("price", "surface") else has_text(c)
-
-
-def _signed(rows: DataFrame) -> DataFrame:
-    """Rows with the compared values (empty ones as NULL) and the mask of present fields."""
-    mask = sum((F.when(_present(f), F.lit(1 << i)).otherwise(F.lit(0)) for i, f in enumerate(FIELDS)), F.lit(0))
-    return rows.select("seq", mask.alias("mask"), *[F.when(_present(f), F.col(COLUMNS[f])).alias(f) for f in FIELDS])
+from gavelframe.operators.groups import SLICE_ROWS, positions, stored
+from gavelframe.operators.match_fields import BIT, FIELDS, SIMILAR, TOLERANCE, close, masks, minimal_sets, signed, weight_of
 
 
 def _bucket(c: Column, tolerance: float) -> Column:
@@ -65,12 +34,12 @@ def _bucket(c: Column, tolerance: float) -> Column:
     return F.when(c < 0, -steps - (1 << 40)).otherwise(steps)
 
 
-def _classes(signed: DataFrame, own: str, other: str, other_masks: list[int]) -> DataFrame:
+def _classes(rows: DataFrame, own: str, other: str, other_masks: list[int]) -> DataFrame:
     """Signature rows once per mask of the other side, cut down to the jointly present fields."""
-    sig = signed.select("mask", *FIELDS).distinct()
+    sig = rows.select("mask", *FIELDS).distinct()
     faced = sig.withColumn("_other", F.explode(F.array(*[F.lit(m) for m in other_masks]))).withColumn(
         "joint", F.col("mask").bitwiseAND(F.col("_other"))).filter(F.col("joint") != 0)
-    cut = {f"joint_{f}": F.when(F.col("joint").bitwiseAND(F.lit(1 << i)) != 0, F.col(f)) for i, f in enumerate(FIELDS)}
+    cut = {f"joint_{f}": F.when(F.col("joint").bitwiseAND(F.lit(bit)) != 0, F.col(f)) for f, bit in BIT.items()}
     return faced.withColumns(cut).select(
         F.col("mask").alias(own), F.col("_other").alias(other), "joint", *FIELDS, *cut)
 
@@ -82,7 +51,7 @@ def _class_id(own: str, other: str) -> Column:
 
 
 def _wanted(field: str) -> Column:
-    return F.col("field_set").bitwiseAND(F.lit(1 << FIELDS.index(field))) != 0
+    return F.col("field_set").bitwiseAND(F.lit(BIT[field])) != 0
 
 
 def _key(values: dict[str, Column]) -> Column:
@@ -101,51 +70,59 @@ def _spread(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
 
 
-def _close(a: Column, b: Column, tolerance: float) -> Column:
-    return F.abs(a - b) / ((a + b) / 2) < tolerance
+class Scores(NamedTuple):
+    """``pairs`` of classes (class_1, class_2, matched, weight), the rows of the classes (class_n, seq_n), and
+    what first-feed rows have in common: equal values (sig, seq_1), which lie in one class per mask (sig, class_1)."""
+    pairs: DataFrame
+    rows_1: DataFrame
+    rows_2: DataFrame
+    equal_1: DataFrame
+    classes_1: DataFrame
+
+    def unfold(self) -> DataFrame:
+        """Row pairs ``seq_1, seq_2, matched, weight``: as many as really match, copies and all."""
+        return self.rows_1.join(self.pairs, "class_1").join(self.rows_2, "class_2").select("seq_1", "seq_2", "matched", "weight")
 
 
-def scored_classes(one: DataFrame, two: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(class pairs with ``matched`` and ``weight``, classes of each side).
+def match_classes(one: DataFrame, two: DataFrame) -> Scores:
+    """All that scores at least one half, as pairs of classes beside the classes' rows.
 
-    Class rows carry the signature columns, so a signature finds its classes by equality.
+    Each pair of rows lies in exactly one pair of classes, that of their two masks.
     """
-    s1, s2 = _signed(one), _signed(two)
     spark = one.sparkSession
-    # the masks that occur: at most 64 integers per side
-    seen = s1.select(F.lit(1).alias("side"), "mask").unionByName(s2.select(F.lit(2).alias("side"), "mask")).distinct().collect()
-    masks1, masks2 = (sorted(r.mask for r in seen if r.side == n) for n in (1, 2))
+    s1, s2 = signed(one), signed(two)
+    masks1, masks2 = masks(s1), masks(s2)
 
-    like = similar_values(s1, s2, {"court": COURT_SIMILARITY, "city": CITY_SIMILARITY}).groupBy("field", "value_2").agg(
-        F.collect_set("value_1").alias("like"))
-    courts = like.filter("field = 'court'").select(F.col("value_2").alias("court_2"), F.col("like").alias("court_like"))
-    cities = like.filter("field = 'city'").select(F.col("value_2").alias("city_2"), F.col("like").alias("city_like"))
+    # names as a table of edges: joined to the keys and to the pairs, never gathered per name
+    like = stored(similar_values(s1, s2, SIMILAR))
+    names = {f: like.filter(F.col("field") == f).select(F.col("value_1").alias(f"{f}_1"), F.col("value_2").alias(f"{f}_2")) for f in SIMILAR}
 
     sides1 = _classes(s1, "m1", "m2", masks2).withColumn("class_1", _class_id("m1", "m2"))
     sides2 = _classes(s2, "m2", "m1", masks1).withColumn("class_2", _class_id("m2", "m1"))
     joints = [f"joint_{f}" for f in FIELDS]
     c1 = sides1.select("class_1", "m1", "m2", "joint", *joints).distinct()
     c2 = sides2.select("class_2", "m1", "m2", "joint", *joints).distinct()
-    c2 = (c2.join(courts, F.col("joint_court") == F.col("court_2"), "left")
-            .join(cities, F.col("joint_city") == F.col("city_2"), "left").drop("court_2", "city_2"))
 
     # at most 63 masks with their few minimal sets: a fixed small table
-    sets = spark.createDataFrame(
-        [(p, s) for p in range(1, 1 << len(FIELDS)) for s in minimal_sets(p)], "joint int, field_set int")
+    sets = spark.createDataFrame([(p, s) for p in range(1, 1 << len(FIELDS)) for s in minimal_sets(p)], "joint int, field_set int")
     j = {f: F.col(f"joint_{f}") for f in FIELDS}
-    price, surface = _bucket(j["price"], PRICE_TOLERANCE), _bucket(j["surface"], SURFACE_TOLERANCE)
+    price, surface = _bucket(j["price"], TOLERANCE["price"]), _bucket(j["surface"], TOLERANCE["surface"])
     k1 = _spread(c1, "class_1").join(F.broadcast(sets), "joint").withColumn(
         "key", _key({**j, "price": price, "surface": surface}))
     k2 = _spread(c2, "class_2").join(F.broadcast(sets), "joint")
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))
     k2 = _one_per(k2, "price", "_dp", around, F.lit(0))
     k2 = _one_per(k2, "surface", "_ds", around, F.lit(0))
-    k2 = _one_per(k2, "court", "_court", F.col("court_like"), F.lit(""))
-    k2 = _one_per(k2, "city", "_city", F.col("city_like"), F.lit(""))
+    for f, edges in names.items():
+        # field sets without the name keep a text of their own, so that no join key is frequent
+        own = F.when(_wanted(f), F.concat(F.lit("="), j[f])).otherwise(F.concat(F.lit("#"), F.pmod(F.xxhash64("class_2"), F.lit(64)).cast("string")))
+        empty = spark.range(64).select(F.concat(F.lit("#"), F.col("id").cast("string")).alias("_k"), F.lit("").alias(f"_{f}"))
+        met = edges.select(F.concat(F.lit("="), F.col(f"{f}_2")).alias("_k"), F.col(f"{f}_1").alias(f"_{f}")).unionByName(empty)
+        k2 = k2.withColumn("_k", own).join(met, "_k").drop("_k")
     k2 = k2.withColumn("key", _key({
         **j, "price": price + F.col("_dp"), "surface": surface + F.col("_ds"), "court": F.col("_court"), "city": F.col("_city")}))
     left = k1.select("key", "class_1", "joint", *[F.col(n).alias(f"a_{n[6:]}") for n in joints])
-    right = k2.select("key", "class_2", "court_like", "city_like", *[F.col(n).alias(f"b_{n[6:]}") for n in joints])
+    right = k2.select("key", "class_2", *[F.col(n).alias(f"b_{n[6:]}") for n in joints])
 
     def a(f):
         return F.col(f"a_{f}")
@@ -153,19 +130,24 @@ def scored_classes(one: DataFrame, two: DataFrame) -> tuple[DataFrame, DataFrame
     def b(f):
         return F.col(f"b_{f}")
 
+    met = left.join(right, "key")
+    for f, edges in names.items():
+        found = edges.select(F.col(f"{f}_1").alias(f"a_{f}"), F.col(f"{f}_2").alias(f"b_{f}"), F.lit(True).alias(f"{f}_like"))
+        met = met.join(found, [f"a_{f}", f"b_{f}"], "left")
     agree = {
-        "date": a("date") == b("date"), "type": a("type") == b("type"),
-        "court": F.array_contains("court_like", a("court")), "city": F.array_contains("city_like", a("city")),
-        "price": _close(a("price"), b("price"), PRICE_TOLERANCE),
-        "surface": _close(a("surface"), b("surface"), SURFACE_TOLERANCE),
+        "date": a("date") == b("date"), "type": a("type") == b("type"), "court": F.col("court_like"), "city": F.col("city_like"),
+        **{f: close(a(f), b(f), t) for f, t in TOLERANCE.items()},
     }
     matched = sum((F.when(agree[f], K.MATCH_WEIGHTS[f]).otherwise(0) for f in FIELDS), F.lit(0))
-    weight = sum((F.when(F.col("joint").bitwiseAND(F.lit(1 << i)) != 0, K.MATCH_WEIGHTS[f]).otherwise(0)
-                  for i, f in enumerate(FIELDS)), F.lit(0))
-    pairs = (left.join(right, "key").withColumns({"matched": matched, "weight": weight})
+    pairs = (met.withColumns({"matched": matched, "weight": weight_of(F.col("joint"))})
              .filter(F.col("matched") * 2 >= F.col("weight"))
              .select("class_1", "class_2", "matched", "weight").distinct())
-    return pairs, sides1.withColumn("sig", _sig_id("m1")), sides2.withColumn("sig", _sig_id("m2"))
+
+    def rows(signatures, sides, n):
+        of = sides.select(_sig_id(f"m{n}").alias("sig"), f"class_{n}").distinct()
+        return signatures.select(F.col("seq").alias(f"seq_{n}"), _sig_id("mask").alias("sig")).join(of, "sig").select(f"class_{n}", f"seq_{n}")
+    equal_1 = s1.select(_sig_id("mask").alias("sig"), F.col("seq").alias("seq_1"))
+    return Scores(pairs, rows(s1, sides1, 1), rows(s2, sides2, 2), equal_1, sides1.select(_sig_id("m1").alias("sig"), "class_1").distinct())
 
 
 def _sig_id(mask: str) -> Column:
@@ -174,23 +156,12 @@ def _sig_id(mask: str) -> Column:
     return F.concat_ws("|", mask, *[F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in parts])
 
 
-def _rows_with_sig(rows: DataFrame) -> DataFrame:
-    return _signed(rows).select("seq", _sig_id("mask").alias("sig"))
-
-
 def match_scores(one: DataFrame, two: DataFrame) -> DataFrame:
-    """Row pairs scoring at least one half: ``seq_1, seq_2, matched, weight``.
-
-    For reports over modest feeds; ``one_to_one`` works on classes and never lists all pairs
-    of a group of copies.
-    """
-    pairs, c1, c2 = scored_classes(one, two)
-    r1 = _rows_with_sig(one).withColumnRenamed("seq", "seq_1").join(c1.select("sig", "class_1"), "sig").drop("sig")
-    r2 = _rows_with_sig(two).withColumnRenamed("seq", "seq_2").join(c2.select("sig", "class_2"), "sig").drop("sig")
-    return r1.join(pairs, "class_1").join(r2, "class_2").select("seq_1", "seq_2", "matched", "weight")
+    """Row pairs scoring at least one half, for reports over modest feeds; `match_classes` has them folded."""
+    return match_classes(one, two).unfold()
 
 
-def one_to_one(one: DataFrame, two: DataFrame) -> DataFrame:
+def one_to_one(one: DataFrame, two: DataFrame, *, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Partners as if each first-feed row, in order of ``seq``, took its best free second-feed row.
 
     Ties go to the lowest second ``seq``. Rounds of proposals reach the same result in
@@ -199,24 +170,15 @@ def one_to_one(one: DataFrame, two: DataFrame) -> DataFrame:
     earlier candidates are certain to be kept from the m-th row by its own copies, so a
     group of copies is placed in one round rather than one row per round.
 
-    Returns ``seq_1, seq_2, score``. Each round is checkpointed to the shared folder; the
+    Returns ``seq_1, seq_2, score``. Each round is written to the shared folder; the
     loop ends when no unplaced row has a candidate left.
     """
     spark = one.sparkSession
-    ensure_checkpoint_dir(spark)
-    pairs, c1, c2 = scored_classes(one, two)
-    edges = c1.select("sig", "class_1").distinct().join(pairs, "class_1").select(
-        "sig", "class_2", (F.col("matched") / F.col("weight")).alias("score")).checkpoint()
-    # signature of row seq_1, classes of row seq_2
-    free_rows = _rows_with_sig(one).withColumnRenamed("seq", "seq_1").join(
-        edges.select("sig").distinct(), "sig", "left_semi").checkpoint()
-    members = _rows_with_sig(two).withColumnRenamed("seq", "seq_2").join(
-        c2.select("sig", "class_2").distinct(), "sig").select("class_2", "seq_2").join(
-        edges.select("class_2").distinct(), "class_2", "left_semi").checkpoint()
-
-    # with few enough rows on both sides no group can exceed what one task ranks
-    sizes = free_rows.agg(F.count(F.lit(1)).alias("n")).unionByName(members.agg(F.countDistinct("seq_2").alias("n")))
-    few = sizes.agg(F.max("n")).first()[0] <= SLICE_ROWS
+    scores = match_classes(one, two)
+    edges = stored(scores.classes_1.join(scores.pairs, "class_1").select(
+        "sig", "class_2", (F.col("matched") / F.col("weight")).alias("score")))
+    free_rows = stored(scores.equal_1.join(edges.select("sig").distinct(), "sig", "left_semi"))
+    members = stored(scores.rows_2.join(edges.select("class_2").distinct(), "class_2", "left_semi"))
 
     held = spark.createDataFrame([], "seq_2 long, seq_1 long, score double, fresh boolean")
     while True:
@@ -226,14 +188,14 @@ def one_to_one(one: DataFrame, two: DataFrame) -> DataFrame:
         states = members.join(held.select("seq_2", F.col("seq_1").alias("holder")), "seq_2", "left")
         open_members = edges.join(waiting, "sig").join(states, "class_2").filter(
             F.col("holder").isNull() | (F.col("holder") > F.col("first")))
-        near = positions(open_members.select("sig", "class_2", "score", "seq_2", "n"), ["sig", "class_2"], "seq_2", "_at", whole=few)
+        near = positions(open_members.select("sig", "class_2", "score", "seq_2", "n"), ["sig", "class_2"], "seq_2", "_at", slice_rows=slice_rows)
         near = near.filter(F.col("_at") <= F.col("n")).groupBy("sig", "seq_2", "n").agg(F.max("score").alias("score"))
-        offered = positions(near, ["sig"], "seq_2", "place", lead=["score"], whole=few).filter(F.col("place") <= F.col("n"))
-        asking = positions(unplaced, ["sig"], "seq_1", "place", whole=few)
+        offered = positions(near, ["sig"], "seq_2", "place", lead=["score"], slice_rows=slice_rows).filter(F.col("place") <= F.col("n"))
+        asking = positions(unplaced, ["sig"], "seq_1", "place", slice_rows=slice_rows)
         proposals = asking.join(offered.select("sig", "place", "seq_2", "score"), ["sig", "place"]).select(
             "seq_2", "seq_1", "score", F.lit(True).alias("fresh"))
-        held = held.withColumn("fresh", F.lit(False)).unionByName(proposals).groupBy("seq_2").agg(
-            F.min_by(F.struct("seq_1", "score", "fresh"), "seq_1").alias("k")).select("seq_2", "k.*").checkpoint()
+        held = stored(held.withColumn("fresh", F.lit(False)).unionByName(proposals).groupBy("seq_2").agg(
+            F.min_by(F.struct("seq_1", "score", "fresh"), "seq_1").alias("k")).select("seq_2", "k.*"))
         # the lowest unplaced row with a candidate is always accepted, so no news means no proposals
         if held.filter("fresh").isEmpty():
             return held.select("seq_1", "seq_2", "score")

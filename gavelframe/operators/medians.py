@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gavelframe.operators.groups import stored
+
 DEFAULT_CELL = 25.0
 
 
@@ -31,8 +33,9 @@ def grouped_stats(df: DataFrame, keys: list[str], value: str, *, sums: dict | No
     """
     sums, firsts = sums or {}, firsts or {}
     extra = {f"_s_{n}": c for n, c in sums.items()} | {f"_f_{n}": c for n, c in firsts.items()}
-    rows = df.filter(F.col(value).isNotNull()).withColumns({**extra, "_cell": _cells(df, value, cell_width)}).select(
-        *keys, F.col(value).alias("_v"), "_cell", *extra)
+    # the input is read once; counting and ranking read its few columns from the shared folder
+    rows = stored(df.filter(F.col(value).isNotNull()).withColumns({**extra, "_cell": _cells(df, value, cell_width)}).select(
+        *keys, F.col(value).alias("_v"), "_cell", *extra))
 
     per_cell = rows.groupBy(*keys, "_cell").agg(
         F.count(F.lit(1)).alias("_n"), F.sum("_v").alias("_sum"), F.min("_v").alias("_low"), F.max("_v").alias("_high"),

@@ -49,12 +49,13 @@ def closest_to_median(rows: DataFrame, medians: DataFrame, keys: list[str], *, k
 
 
 def latest_year(indicators: DataFrame, key: str = "insee") -> DataFrame:
-    """The newest year's row of each commune and its five newest years as a list."""
+    """The newest year's row of each commune and its five newest years as a list; of repeated years the greatest row counts."""
     others = [c for c in indicators.columns if c not in (key, "year")]
-    row = F.struct("year", *others)
-    return indicators.groupBy(key).agg(
-        F.max_by(row, "year").alias("newest"),
-        F.slice(F.sort_array(F.collect_set(row), asc=False), 1, 5).alias("recent"),
+    # one row a year first: a commune's list is as long as its years, however often they repeat
+    yearly = indicators.groupBy(key, "year").agg(F.max(F.struct("year", *others)).alias("row"))
+    return yearly.groupBy(key).agg(
+        F.max_by("row", "year").alias("newest"),
+        F.slice(F.sort_array(F.collect_list("row"), asc=False), 1, 5).alias("recent"),
     ).select(key, "newest.*", "recent")
 
 

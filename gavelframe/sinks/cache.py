@@ -9,8 +9,11 @@ from gavelframe.sinks.tables import PARTS, merge_parts
 from gavelframe.sources import schemas as S
 
 
-def write_listing_cache(entries: DataFrame, base: str, *, batch: int, order: list[str] = (), parts: int = PARTS) -> None:
-    """Keep the newest entry of each ``cache_key`` by (``cached_at``, order) as a table; `read_parts` reads it."""
+def write_listing_cache(entries: DataFrame, base: str, *, batch: str | None = None, order: list[str] = (), parts: int = PARTS) -> None:
+    """Keep the newest entry of each ``cache_key`` by (``cached_at``, order) as a table; `read_parts` reads it.
+
+    ``batch`` names a batch that may be replayed (`merge_parts`).
+    """
     merge_parts(entries, base, ["cache_key"], order=["cached_at", *order], batch=batch, parts=parts)
 
 

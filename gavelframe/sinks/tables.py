@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gavelframe.functions.values import half_even
-from gavelframe.operators.groups import ensure_checkpoint_dir
+from gavelframe.operators.groups import ensure_checkpoint_dir, stored
 
 
 def _complete_key(keys):
@@ -21,12 +21,13 @@ def _complete_key(keys):
 def latest_by_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Newest row of every key by ``order``; rows with a NULL in their key all stay.
 
-    A combinable aggregate, so a key with very many versions is reduced before the shuffle.
+    One combinable aggregate over one reading of the rows: a key with very many versions is reduced before
+    the shuffle, and a row with a NULL in its key is a group of its own by a number.
     """
     others = [c for c in rows.columns if c not in keys]
-    newest = (rows.filter(_complete_key(keys)).groupBy(*keys)
-              .agg(F.max_by(F.struct(*others), F.struct(*order)).alias("_row")).select(*keys, "_row.*"))
-    return newest.unionByName(rows.filter(~_complete_key(keys)))
+    alone = F.when(~_complete_key(keys), F.monotonically_increasing_id())
+    return (rows.withColumn("_alone", alone).groupBy(*keys, "_alone")
+            .agg(F.max_by(F.struct(*others), F.struct(*order)).alias("_row")).select(*keys, "_row.*"))
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], *, order: list[str] = (), batch_time=None) -> DataFrame:
@@ -127,47 +128,105 @@ def upsert_table(new: DataFrame, base: str, keys: list[str], *, order: list[str]
 
 # --- tables by key part: a batch rewrites only the parts its keys fall into ----------------------
 
-#: For tables of some GB; give a larger table as many as make a part fit a few tasks.
-PARTS = 16
+PARTS, PART_BYTES = 16, 256 << 20
 
 
-def _part(keys: list[str], order: list[str], parts: int):
-    """Part of a row by its key; rows with a NULL in their key are spread by the order columns too."""
-    of_key, of_row = F.xxhash64(*keys), F.xxhash64(*keys, *order)
-    return F.pmod(F.when(_complete_key(keys), of_key).otherwise(of_row), F.lit(parts)).cast("int")
+def _at(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    fs, where = _at(spark, path)
+    return fs.exists(where)
+
+
+def _labels(spark: SparkSession, base: str, *, sweep: bool = False) -> dict[str, int]:
+    """Bytes of each part of the table. A part whose halves are there counts no more and is swept by the next merge."""
+    if not _exists(spark, base):
+        return {}
+    fs, root = _at(spark, base)
+    found = {x.getPath().getName().removeprefix("_part="): x.getPath() for x in fs.listStatus(root) if x.getPath().getName().startswith("_part=")}
+    old = _halved(found) & set(found)
+    for n in old if sweep else ():
+        fs.delete(found[n], True)
+    return {n: fs.getContentSummary(p).getLength() for n, p in found.items() if n not in old}
+
+
+def _part(keys: list[str], order: list[str], split: set[str], parts: int):
+    """Label of a row's part: its number at first, then the next bit of its hash for every time the part was halved.
+
+    Rows with a NULL in their key are spread by the order columns too.
+    """
+    h = F.when(_complete_key(keys), F.xxhash64(*keys)).otherwise(F.xxhash64(*keys, *order))
+    label = F.concat(F.lit("p"), F.pmod(h, F.lit(parts)).cast("string"), F.lit("."))
+    for depth in range(max((len(x) - x.index(".") for x in split), default=0)):
+        here = sorted(x for x in split if len(x) - x.index(".") - 1 == depth)
+        bit = F.shiftright(F.xxhash64(h), depth).bitwiseAND(F.lit(1)).cast("string")
+        label = F.when(label.isin(here), F.concat(label, bit)).otherwise(label)
+    return label
+
+
+def _halved(labels) -> set[str]:
+    """All parts that were halved on the way to these: the label "p3.01" comes from "p3." and "p3.0"."""
+    return {x[:n] for x in labels for n in range(x.index(".") + 1, len(x))}
 
 
 def read_parts(spark: SparkSession, base: str) -> DataFrame | None:
     """The table that `merge_parts` keeps at ``base``, or None."""
-    if not _exists(spark, base):
+    labels = _labels(spark, base)
+    if not labels:
         return None
-    return spark.read.option("mergeSchema", True).option("basePath", base).parquet(base).drop("_part")
+    return spark.read.option("mergeSchema", True).option("basePath", base).parquet(*[f"{base}/_part={x}" for x in sorted(labels)]).drop("_part")
 
 
-def merge_parts(new: DataFrame, base: str, keys: list[str], *, order: list[str], batch: int, parts: int = PARTS) -> None:
+def read_key(spark: SparkSession, base: str, keys: dict, *, parts: int = PARTS) -> DataFrame | None:
+    """The rows of one key, from the one part that can hold it; None where that part is not there."""
+    labels = _labels(spark, base)
+    found = spark.range(1).select(*[F.lit(v).alias(k) for k, v in keys.items()]).select(_part(list(keys), [], _halved(labels), parts)).first()[0]
+    if found not in labels:
+        return None
+    part = spark.read.option("mergeSchema", True).parquet(f"{base}/_part={found}")
+    for k, v in keys.items():
+        part = part.filter(F.col(k) == F.lit(v))
+    return part
+
+
+def merge_parts(new: DataFrame, base: str, keys: list[str], *, order: list[str], batch: str | None = None,
+                parts: int = PARTS, part_bytes: int = PART_BYTES) -> None:
     """Merge ``new`` into the table at ``base``; per key the newest by ``order`` wins wherever it comes from.
 
-    Only the key parts that the batch touches are read and rewritten. They are first written whole
-    beside the table under the number of the batch, then put in place; a batch that is replayed after
-    it broke off in between puts the same parts in place again. Give a table the same ``parts`` always.
-    Rows with a NULL in their key all stay. An empty batch changes nothing.
+    Only the key parts that the batch touches are read and rewritten; a touched part over ``part_bytes`` is halved on the way, so a
+    part stays as large as a few tasks take, however the table grows. The parts are written whole beside the table, then put in place.
+    ``batch`` names a batch and its writer, as in "id of the query-number": the same rows under the same name are a replay and
+    change nothing, or finish what broke off; other rows under that name are a batch of their own. Without a name every call
+    counts. Rows with a NULL in their key all stay. An empty batch changes nothing. Give a table the same ``parts`` always, and
+    one writer at a time; readers see whole parts, but maybe of two batches while one is put in place.
     """
-    spark, staged = new.sparkSession, f"{base}_staged"
-    if not (_exists(spark, f"{staged}/_SUCCESS") and _exists(spark, f"{staged}/_batch={batch}")):
-        told = new.withColumn("_part", _part(keys, order, parts))
-        touched = sorted(r[0] for r in told.select("_part").distinct().collect())  # at most `parts` numbers
-        if not touched:
-            return
-        if _exists(spark, base):
-            old = spark.read.option("mergeSchema", True).parquet(base).filter(F.col("_part").isin(touched))
+    spark = new.sparkSession
+    held = stored(new)  # the batch is read once, whatever it is made of
+    rows, print_ = held.agg(F.count(F.lit(1)), F.expr(f"bit_xor(xxhash64({', '.join(f'`{c}`' for c in held.columns)}))")).first()
+    if not rows:
+        return
+    name = f"{batch or uuid.uuid4().hex}-{rows}-{print_}".replace("/", "_")
+    done, staged = f"{base}_batches/{name}", f"{base}_staged/{name}"
+    if _exists(spark, done):
+        return
+    if not _exists(spark, f"{staged}/_SUCCESS"):
+        labels = _labels(spark, base, sweep=True)
+        split = _halved(labels)
+        told = held.withColumn("_part", _part(keys, order, split, parts))
+        touched = sorted(r[0] for r in told.select("_part").distinct().collect())  # at most as many as the table has parts
+        there = [x for x in touched if x in labels]
+        if there:
+            old = spark.read.option("mergeSchema", True).option("basePath", base).parquet(*[f"{base}/_part={x}" for x in there])
             told = old.unionByName(told, allowMissingColumns=True)
-        merged = latest_by_key(told, keys, order).hint("rebalance", "_part")
-        merged.withColumn("_batch", F.lit(batch)).write.mode("overwrite").partitionBy("_batch", "_part").parquet(staged)
-    ready = spark.read.parquet(f"{staged}/_batch={batch}")
+        big = {x for x in there if labels[x] > part_bytes}
+        merged = latest_by_key(told, keys, order).withColumn("_part", _part(keys, order, split | big, parts)).hint("rebalance", "_part")
+        merged.write.mode("overwrite").partitionBy("_part").parquet(staged)
+    ready = spark.read.parquet(staged)
     (ready.hint("rebalance", "_part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("_part").parquet(base))
+    fs, mark = _at(spark, done)
+    fs.mkdirs(mark)
+    fs.delete(_at(spark, staged)[1], True)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import datetime as dt
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-from gavelframe.sinks.tables import PARTS, merge_parts, read_parts, write_next
+from gavelframe.sinks.tables import PARTS, merge_parts, read_key, read_parts, write_next
 
 
 def file_stream(spark: SparkSession, folder: str, schema, *, files_per_batch: int | None = None, name_filter: str | None = None) -> DataFrame:
@@ -25,10 +29,12 @@ def stream_upsert(rows: DataFrame, base: str, checkpoint: str, *, key: str = "ur
 
     Nothing is dropped before the upsert: late rows, rows of one time and repeats all reach it,
     and the newest by (time, order) of table and batch together stays. A batch rewrites only the
-    key parts it touches, and a replayed batch is harmless. `read_parts` reads the table.
+    key parts it touches, and a replayed batch is harmless: it is named by the id of the query, which the
+    checkpoint keeps, so a new checkpoint on an old table goes on with it. `read_parts` reads the table.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
-        merge_parts(batch, base, [key], order=[time, *order], batch=batch_id, parts=parts)
+        query = batch.sparkSession.read.json(f"{checkpoint}/metadata").first()["id"]
+        merge_parts(batch, base, [key], order=[time, *order], batch=f"{query}-{batch_id}", parts=parts)
 
     return (rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
@@ -62,15 +68,78 @@ def live_values(spark: SparkSession, base: str, now, hours: int, *, key: str = "
     return latest_fresh(read_parts(spark, base), now, hours, key=key, time=time)
 
 
+def live_value(spark: SparkSession, base: str, value: str, now, hours: int, *, key: str = "cache_key", time: str = "cached_at",
+               parts: int = PARTS) -> DataFrame | None:
+    """The value of one key, if it is younger than ``hours`` at ``now``: only the part that can hold it is read."""
+    found = read_key(spark, base, {key: value}, parts=parts)
+    return None if found is None else latest_fresh(found, now, hours, key=key, time=time)
+
+
+class _Sessions(StatefulProcessor):
+    """Open sessions of a key: rows less than ``ttl`` apart are one, and its newest value expires ``ttl`` after it."""
+
+    def __init__(self, ttl_ms: int, key: str, time: str, others: list[str], state: T.StructType):
+        self.ttl, self.key, self.time, self.others, self.state = ttl_ms, key, time, others, state
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("open", T.StructType([T.StructField("last", T.LongType())]), self.state)
+
+    def handleInputRows(self, key, rows, timerValues):
+        known = {k[0]: v for k, v in self.open.iterator()}
+        before = set(known)
+        for row in rows:
+            at = _millis(row[self.time])
+            value = (at, row[self.time], *(row[c] for c in self.others))
+            near = [end for end, v in known.items() if v[0] - self.ttl < at < end + self.ttl]
+            met = [known.pop(end) for end in near]
+            end = max([at, *near])
+            if end in near:  # the newest row of one time stays, the later of equal ones
+                newest = met[near.index(end)]
+                value = value if end == at and tuple(map(repr, value[2:])) >= tuple(map(repr, newest[2:])) else newest
+            known[end] = (min([at, *(v[0] for v in met)]), *value[1:])
+        for end in before - set(known):
+            self.open.removeKey((end,))
+            self.handle.deleteTimer(end + self.ttl)
+        for end, v in known.items():
+            self.open.updateValue((end,), tuple(v))
+            if end not in before:
+                self.handle.registerTimer(end + self.ttl)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        end = (due - self.ttl,)
+        if self.open.containsKey(end):
+            v = self.open.getValue(end)
+            self.open.removeKey(end)
+            yield Row(**{self.key: key[0], self.time: v[1], **dict(zip(self.others, v[2:])), "expires_at": v[1] + dt.timedelta(milliseconds=self.ttl)})
+
+    def close(self) -> None:
+        pass
+
+
+def _millis(at: dt.datetime) -> int:
+    return int(at.replace(microsecond=0).timestamp()) * 1000 + at.microsecond // 1000
+
+
 def expired_values(values: DataFrame, ttl: str, delay: str, *, key: str = "cache_key", time: str = "cached_at") -> DataFrame:
-    """Values that have expired: the newest of each ttl-wide session of a key, once ``ttl`` behind the watermark.
+    """Values that have expired: the newest of each run of a key's rows less than ``ttl`` apart, once ``ttl`` behind the watermark.
 
-    ``delay`` is how far rows may come out of order across batches; later ones are dropped.
+    Keyed state with timers: a key holds its open runs only, one row each, in the state store (RocksDB, set for the
+    session here), so a key with very many rows holds no more than one without. ``delay`` is how far rows may come
+    out of order across batches; later ones are dropped. Times count in milliseconds.
     """
+    spark = values.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     others = [c for c in values.columns if c not in (key, time)]
-    return (values.withWatermark(time, delay).groupBy(key, F.session_window(time, ttl).alias("s"))
-            .agg(F.max_by(F.struct(time, *others), time).alias("v"))
-            .select(key, "v.*", F.col("s.end").alias("expires_at")))
+    fields = {f.name: f for f in values.schema.fields}
+    millis = int(spark.sql(f"SELECT cast(INTERVAL {ttl} AS INTERVAL DAY TO SECOND) AS t").first()["t"].total_seconds() * 1000)
+    plain = lambda n: T.StructField(n, fields[n].dataType, True)
+    state = T.StructType([T.StructField("first", T.LongType()), plain(time), *[plain(c) for c in others]])
+    out = T.StructType([plain(key), plain(time), *[plain(c) for c in others], T.StructField("expires_at", T.TimestampType())])
+    return (values.withWatermark(time, delay).groupBy(key)
+            .transformWithState(_Sessions(millis, key, time, others, state), out, "Append", "EventTime"))
 
 
 def latest_fresh(values: DataFrame, now, hours: int, *, key: str = "cache_key", time: str = "cached_at") -> DataFrame:

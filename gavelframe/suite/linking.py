@@ -33,8 +33,8 @@ _C1 = T._CITIES
 _C2 = [c.replace("-", " ").lower() for c in T._CITIES]
 _COURTS = list(K.COURTS.values())
 LINK_SQL = T.cte("site_one", "site_two") + f""",
-city_like AS (SELECT * FROM ({sql_values(_like(_C1, _C2, L.CITY_SIMILARITY))}) v(c1, c2)),
-court_like AS (SELECT * FROM ({sql_values(_like(_COURTS, _COURTS, L.COURT_SIMILARITY))}) v(t1, t2)),
+city_like AS (SELECT * FROM ({sql_values(_like(_C1, _C2, L.SIMILAR["city"]))}) v(c1, c2)),
+court_like AS (SELECT * FROM ({sql_values(_like(_COURTS, _COURTS, L.SIMILAR["court"]))}) v(t1, t2)),
 scored AS (
   SELECT a.seq AS seq_1, b.seq AS seq_2,
     CASE WHEN a.sale_date = b.sale_date THEN 30 ELSE 0 END
@@ -219,10 +219,10 @@ def normalize_text(spark, sf_dir):
 
 @query("similar_cities", T.cte("site_one", "site_two") + f"""
 SELECT DISTINCT a.city AS value_1, b.city AS value_2 FROM site_one a JOIN site_two b
-  ON (a.city, b.city) IN (SELECT (c1, c2) FROM ({sql_values(_like(_C1, _C2, L.CITY_SIMILARITY))}) v(c1, c2))""")
+  ON (a.city, b.city) IN (SELECT (c1, c2) FROM ({sql_values(_like(_C1, _C2, L.SIMILAR["city"]))}) v(c1, c2))""")
 def similar_cities(spark, sf_dir):
     one, two = feeds(spark, sf_dir)
-    return similar_values(one, two, {"city": L.CITY_SIMILARITY}).drop("field")
+    return similar_values(one, two, {"city": L.SIMILAR["city"]}).drop("field")
 
 
 @query("district_postal", T.cte("agents") + """

@@ -99,6 +99,18 @@ def upsert_listings(spark, sf_dir):
     return TB.upsert(stored, rows.filter(~earlier), ["url"], order=["listing_key"])
 
 
+@query("upsert_listing_parts", T.cte("listings") + """
+SELECT url, max(listing_key) AS listing_key, max_by({'p': start_price}, listing_key).p AS start_price FROM listings GROUP BY url""")
+def upsert_listing_parts(spark, sf_dir):
+    """The same upsert into a table by key part, whose parts are halved as they grow; the second batch comes twice."""
+    base = f"{TB.shared_folder(spark, 'upsert')}/table"
+    rows = T.listings(spark, sf_dir).select("url", "listing_key", "start_price")
+    earlier = F.col("listing_key") < F.concat(F.element_at(F.split("listing_key", "-"), 1), F.lit("-4"))
+    for name, part in (("load-0", earlier), ("load-1", ~earlier), ("load-1", ~earlier)):
+        TB.merge_parts(rows.filter(part), base, ["url"], order=["listing_key"], batch=name, parts=4, part_bytes=1 << 16)
+    return TB.read_parts(spark, base).select("url", "listing_key", "start_price")
+
+
 @query("upsert_batch", T.cte("agents") + """
 SELECT agent_id, CASE WHEN agent_id % 3 = 0 THEN 'renamed ' || name ELSE name END AS name, agent_id % 3 = 0 AS is_new FROM agents
 UNION ALL SELECT agent_id + 1000000, name, true FROM agents WHERE agent_id % 3 = 0""")
@@ -214,7 +226,7 @@ def listing_cache(spark, sf_dir):
         F.array(F.lit("ads")).alias("sources"), F.expr("'event ' || event_id").alias("notes"),
         F.expr(f"transform(sequence(0L, event_id % 3), i -> {ad})").alias("comparables"), F.col("ts").cast("timestamp").alias("cached_at"), "event_id")
     for n, part in enumerate(("event_id % 2 = 1", "event_id % 2 = 0")):
-        CA.write_listing_cache(entries.filter(part), f"{folder}/table", batch=n, order=["event_id"])
+        CA.write_listing_cache(entries.filter(part), f"{folder}/table", batch=f"load-{n}", order=["event_id"])
     CA.export_listing_cache(TB.read_parts(spark, f"{folder}/table"), f"{folder}/json")
     cache = RD.read_listing_cache(spark, f"{folder}/json", lines=True)
     ads = RD.cache_comparables(cache).drop("price_m2")

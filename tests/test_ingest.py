@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gavelframe.functions.keys import title_case
 from gavelframe.operators.ranking import first_distinct
-from gavelframe.sinks.tables import insert_agents, merge_parts, read_parts
+from gavelframe.sinks.tables import insert_agents, merge_parts, read_key, read_parts
 from gavelframe.streaming import jobs as J
 from gavelframe.text import fields as FD
 
@@ -50,21 +50,65 @@ def test_live_values_are_read_and_expired_ones_hidden(spark, tmp_path):
 def test_a_batch_rewrites_only_its_parts_and_may_be_replayed(spark, tmp_path):
     base = f"{tmp_path}/table"
     rows = spark.range(200).select(F.col("id").cast("string").alias("k"), F.lit(1).alias("v"))
-    merge_parts(rows, base, ["k"], order=["v"], batch=0, parts=16)
+    merge_parts(rows, base, ["k"], order=["v"], batch="a-0", parts=16)
     stamp = {p: p.stat().st_mtime_ns for p in (tmp_path / "table").rglob("*.parquet")}
     one = spark.createDataFrame([("7", 2, "x"), (None, 3, "y"), (None, 3, "y")], "k string, v int, more string")
     for _ in range(2):  # as after a break between staging and putting in place
-        merge_parts(one, base, ["k"], order=["v"], batch=1, parts=16)
+        merge_parts(one, base, ["k"], order=["v"], batch="a-1", parts=16)
     got = read_parts(spark, base)
     assert got.count() == 202 and [tuple(r) for r in got.filter("k = '7'").collect()] == [("7", 2, "x")]
     assert got.filter("k is null").count() == 2
     now = {p: p.stat().st_mtime_ns for p in (tmp_path / "table").rglob("*.parquet")}
     kept = {p.parent for p, t in stamp.items() if now.get(p) == t}
     assert len(kept) >= 14
-    merge_parts(one.filter("false"), base, ["k"], order=["v"], batch=2, parts=16)
+    merge_parts(one.filter("false"), base, ["k"], order=["v"], batch="a-2", parts=16)
     assert read_parts(spark, base).count() == 202
 
 
+def test_one_batch_number_may_stand_for_different_rows(spark, tmp_path):
+    base = f"{tmp_path}/table"
+    rows = lambda *k: spark.createDataFrame([(x, 1) for x in k], "k string, v int")
+    merge_parts(rows("a"), base, ["k"], order=["v"], batch="0")
+    merge_parts(rows("b", None), base, ["k"], order=["v"], batch="0")
+    merge_parts(rows("b", None), base, ["k"], order=["v"], batch="0")  # a replay
+    merge_parts(rows("c"), base, ["k"], order=["v"])
+    merge_parts(rows("d"), base, ["k"], order=["v"])
+    assert sorted(str(r.k) for r in read_parts(spark, base).collect()) == ["None", "a", "b", "c", "d"]
+    assert not list((tmp_path / "table_staged").iterdir())
+
+
+def test_a_new_checkpoint_goes_on_with_an_old_table(spark, tmp_path):
+    schema = "url string, updated_at timestamp, seq int"
+    for i in range(2):
+        spark.createDataFrame([(f"u{i}", _day(i), 1)], schema).write.parquet(f"{tmp_path}/feed{i}")
+        source = J.file_stream(spark, f"{tmp_path}/feed{i}", spark.read.parquet(f"{tmp_path}/feed{i}").schema)
+        J.stream_upsert(source, f"{tmp_path}/table", f"{tmp_path}/state{i}").awaitTermination()
+    assert {r.url for r in read_parts(spark, f"{tmp_path}/table").collect()} == {"u0", "u1"}
+
+
+def test_parts_are_halved_as_the_table_grows(spark, tmp_path):
+    base = f"{tmp_path}/table"
+    sizes = []
+    for i in range(4):
+        rows = spark.range(3000).selectExpr(f"concat('k', id + {2000 * i}) as k", f"{i} as v", "sha2(string(id), 256) as text")
+        merge_parts(rows, base, ["k"], order=["v"], parts=2, part_bytes=40_000)
+        sizes.append(max(sum(f.stat().st_size for f in p.glob("*.parquet")) for p in (tmp_path / "table").glob("_part=*")))
+    got = {r.k: r.v for r in read_parts(spark, base).collect()}
+    assert got == {f"k{n}": max(i for i in range(4) if 2000 * i <= n < 2000 * i + 3000) for n in range(9000)}
+    labels = {p.name for p in (tmp_path / "table").glob("_part=*")}
+    assert any("." in x and not x.endswith(".") for x in labels) and max(sizes) < 3 * min(sizes)
+    for k in ("k0", "k4999", "k8999"):
+        assert [r.v for r in read_key(spark, base, {"k": k}, parts=2).collect()] == [got[k]]
+    assert read_key(spark, base, {"k": "none"}, parts=2).count() == 0
+
+
+def test_one_live_value(spark, tmp_path):
+    rows = spark.createDataFrame([("x", _day(3), 1.0), ("y", _day(9), 2.0)], "cache_key string, cached_at timestamp, value double")
+    merge_parts(rows, f"{tmp_path}/table", ["cache_key"], order=["cached_at"])
+    ask = lambda k: J.live_value(spark, f"{tmp_path}/table", k, "2024-01-10 12:00:00", 24)
+    assert [r.value for r in ask("y").collect()] == [2.0] and ask("x").collect() == []
+
+
 def test_agents_have_ids_of_their_own(spark):
     schema = "agent_id long, name string, firm string, phone string, email string"
     rows = [(None, "A", None, "1", "e"), (None, "A", None, "1", "e"), (None, "A", "", "1", "e"), (None, "A", None, "2", "e"), (None, None, "A", "1", "e")]
@@ -94,3 +138,20 @@ def test_many_documents_and_photos_stay(spark):
 def test_written_date_comes_before_the_numeric_one(spark):
     from gavelframe.text import patterns as P
     assert [i for i, p in enumerate(P.SALE_DATES_LOW) if "/" in p] == [2, 3]
+
+
+def test_expired_values_over_restarts(spark, tmp_path):
+    """Out-of-order rows within the delay, over three restarts: the newest value of every quiet run, each once."""
+    schema = "cache_key string, cached_at timestamp, value double"
+    batches = [
+        [("x", _day(1, 0), 1.0), ("x", _day(1, 2), 2.0), ("y", _day(1, 1), 5.0)],
+        [("x", _day(1, 1), 9.0), ("y", _day(2, 0), 6.0), ("x", _day(1, 20), 3.0)],  # the first is late, but within the delay
+        [("x", _day(2, 4), 4.0), ("z", _day(4, 0), 7.0), ("x", _day(2, 4), 4.0)],
+    ]
+    for source in _stream(spark, str(tmp_path), batches, schema):
+        q = (J.expired_values(source, "6 hours", "2 days").writeStream.outputMode("append").format("parquet").option("path", f"{tmp_path}/out")
+             .option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start())
+        q.awaitTermination()
+    got = sorted((r.cache_key, r.cached_at, r.value, r.expires_at) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    # the watermark ends at day 2: what expires until then has expired
+    assert got == [("x", _day(1, 2), 2.0, _day(1, 8)), ("y", _day(1, 1), 5.0, _day(1, 7))]

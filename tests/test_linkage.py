@@ -8,6 +8,7 @@ import pytest
 from gavelframe.functions.similarity import similar_values
 from gavelframe.operators import enrich as EN
 from gavelframe.operators import linkage as L
+from gavelframe.operators import match_fields as MF
 
 FEED = ("seq long, source string, url string, sale_date date, court string, start_price double, city string, "
         "property_type string, surface_m2 double, postal_code string")
@@ -78,7 +79,7 @@ def test_minimal_sets_are_sufficient_and_minimal():
         for matched in range(64):
             if matched & ~present:
                 continue
-            passes = matched and 2 * L._weight(matched) >= L._weight(present)
+            passes = matched and 2 * MF.weight(matched) >= MF.weight(present)
             assert bool(passes) == any(s & matched == s for s in sets)
 
 
@@ -93,12 +94,37 @@ def test_scores_equal_full_product(spark, seed):
     assert got == want
 
 
-@pytest.mark.parametrize("seed,n,m,copies", [(1, 12, 12, 0.3), (2, 20, 9, 0.7), (3, 15, 25, 0.0)])
-def test_partners_equal_sequential_choice(spark, seed, n, m, copies):
+@pytest.mark.parametrize("seed,n,m,copies,slice_rows", [(1, 12, 12, 0.3, 10**6), (2, 20, 9, 0.7, 3), (3, 15, 25, 0.0, 3)])
+def test_partners_equal_sequential_choice(spark, seed, n, m, copies, slice_rows):
     r = random.Random(seed)
     one, two = feed(r, n, "a", copies), feed(r, m, "b", copies)
-    got = {x.seq_1: x.seq_2 for x in L.one_to_one(spark.createDataFrame(one, FEED), spark.createDataFrame(two, FEED)).collect()}
-    assert got == greedy(one, two)
+    found = L.one_to_one(spark.createDataFrame(one, FEED), spark.createDataFrame(two, FEED), slice_rows=slice_rows).collect()
+    assert {x.seq_1: x.seq_2 for x in found} == greedy(one, two)
+    for x in found:
+        m, w = score(one[x.seq_1], two[x.seq_2])
+        assert abs(x.score - m / w) < 1e-12
+
+
+def test_many_names_near_one_name(spark):
+    """Similar names are a table of edges: hundreds of names near one name are joined, not gathered."""
+    names = [f"Saint-Denis-sur-Seine {a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    row = lambda i, c: (i, "a", f"u{i}", dt.date(2024, 1, 1), None, None, c, "maison", None, None)
+    one = [row(i, c) for i, c in enumerate(names)]
+    two = [row(0, "Saint-Denis-sur-Seine"), row(1, "Marseille")]
+    scores = L.match_classes(spark.createDataFrame(one, FEED), spark.createDataFrame(two, FEED))
+    got = {(x.seq_1, x.seq_2): x.matched for x in scores.unfold().collect()}
+    assert got == {(i, j): 40 + (15 if j == 0 else 0) for i in range(len(names)) for j in (0, 1)}
+
+
+def test_scores_grow_with_classes_not_with_copies(spark):
+    r = random.Random(11)
+    one, two = feed(r, 8, "a", 0.0), feed(r, 9, "b", 0.0)
+    again = lambda rows, n: [(i * len(rows) + k, *x[1:]) for i in range(n) for k, x in enumerate(rows)]
+    sizes = []
+    for n in (1, 6):
+        s = L.match_classes(spark.createDataFrame(again(one, n), FEED), spark.createDataFrame(again(two, n), FEED))
+        sizes.append((s.pairs.count(), s.unfold().count()))
+    assert sizes[0][0] == sizes[1][0] and sizes[1][1] == 36 * sizes[0][1]
 
 
 def test_similar_values_equals_brute_force(spark):
