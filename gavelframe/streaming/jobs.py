@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-from gavelframe.sinks.tables import PARTS, merge_parts, read_key, read_parts, write_next
+from gavelframe.sinks.tables import PARTS, merge_parts, read_key, read_parts
 
 
 def file_stream(spark: SparkSession, folder: str, schema, *, files_per_batch: int | None = None, name_filter: str | None = None) -> DataFrame:
@@ -41,7 +41,10 @@ def stream_upsert(rows: DataFrame, base: str, checkpoint: str, *, key: str = "ur
 
 
 def weekly_counts(visits: DataFrame, delay: str = "30 days") -> DataFrame:
-    """Visits and mean amount per Monday-based week (epoch day 0 is a Thursday, so weeks start 4 days on)."""
+    """Visits and mean amount per Monday-based week (epoch day 0 is a Thursday, so weeks start 4 days on).
+
+    On a stream a week's state is kept until ``delay`` behind its end; later rows are dropped.
+    """
     week = F.window("visit_at", "7 days", startTime="4 days")
     return (visits.withWatermark("visit_at", delay).groupBy(week.alias("w"))
             .agg(F.count(F.lit(1)).alias("n_visits"), F.avg("amount").alias("mean_amount"))
@@ -49,11 +52,15 @@ def weekly_counts(visits: DataFrame, delay: str = "30 days") -> DataFrame:
 
 
 def stream_weekly_stats(visits: DataFrame, base: str, checkpoint: str) -> StreamingQuery:
-    """Keep the weekly counts as a table: one row per week, rewritten per batch."""
+    """Keep the weekly counts as a table, one row per week: a batch rewrites the weeks it changes.
+
+    Counts only grow, so the row of most visits is the newest. `read_parts` reads the table.
+    """
     def keep(batch: DataFrame, batch_id: int) -> None:
-        write_next(batch, base, batch_id)
+        query = batch.sparkSession.read.json(f"{checkpoint}/metadata").first()["id"]
+        merge_parts(batch, base, ["week"], order=["n_visits"], batch=f"{query}-{batch_id}", parts=1)
 
-    return (weekly_counts(visits).writeStream.outputMode("complete").foreachBatch(keep)
+    return (weekly_counts(visits).writeStream.outputMode("update").foreachBatch(keep)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 

@@ -249,7 +249,7 @@ def stream_weekly_stats(spark, sf_dir):
     folder = TB.shared_folder(spark, "weekly")
     visits = _event_stream(spark, sf_dir).select(F.col("ts").alias("visit_at"), F.col("value").alias("amount"))
     J.stream_weekly_stats(visits, f"{folder}/table", f"{folder}/state").awaitTermination()
-    return TB.read_current(spark, f"{folder}/table").withColumn("mean_amount", half_even("mean_amount", 2))
+    return TB.read_parts(spark, f"{folder}/table").withColumn("mean_amount", half_even("mean_amount", 2))
 
 
 @query("stream_upsert", """

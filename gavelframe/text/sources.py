@@ -1,7 +1,9 @@
 """Per-site notice parsers: a table of parameters, picked by the ``source`` column.
 
 A parser is any callable ``(text Column, url Column) -> {listing column: Column}``; new
-sites are added by putting one more entry into the mapping given to ``parse_notices``.
+sites are added by putting one more entry into the mapping given to ``parse_notices``. A parser may say in
+``same`` by which parameters a column differs: sites that agree on them share one expression, so the
+projection holds what differs between sites once a difference, not once a site.
 """
 
 from __future__ import annotations
@@ -37,6 +39,9 @@ def notice_parser(*, source_id: str, departments=K.TARGET_DEPARTMENTS, families:
             "parcel_ref": T.parcel(text), "agent_name": T.agent_name(text), "agent_firm": T.agent_firm(text),
             "agent_phone": T.agent_phone(text), "agent_email": T.agent_email(text),
         }
+    place = ("place", tuple(departments), repr(sorted((cities or {}).items())))
+    parse.same = {"source_id": source_id, "postal_code": place, "department": place, "city": place,
+                  "property_type": repr(families), "court": repr(courts)}
     return parse
 
 
@@ -64,11 +69,15 @@ def parse_notices(pages: DataFrame, parsers: dict[str, Parser] | None = None, *,
     columns = list(dict.fromkeys(c for m in made.values() for c in m))
 
     def chosen(column: str) -> Column:
-        out = None
+        alike: dict = {}
         for name, m in made.items():
             if column in m:
-                hit = F.col("source") == name
-                out = F.when(hit, m[column]) if out is None else out.when(hit, m[column])
+                same = getattr(parsers[name], "same", None)
+                alike.setdefault(name if same is None else (same.get(column),), []).append(name)
+        out = None
+        for names in alike.values():
+            hit = F.col("source").isin(names)
+            out = F.when(hit, made[names[0]][column]) if out is None else out.when(hit, made[names[0]][column])
         return out
 
     keys = [c for c in ("page_id", "source", "url") if c in pages.columns]

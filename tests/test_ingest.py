@@ -155,3 +155,12 @@ def test_expired_values_over_restarts(spark, tmp_path):
     got = sorted((r.cache_key, r.cached_at, r.value, r.expires_at) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     # the watermark ends at day 2: what expires until then has expired
     assert got == [("x", _day(1, 2), 2.0, _day(1, 8)), ("y", _day(1, 1), 5.0, _day(1, 7))]
+
+
+def test_weekly_counts_change_only_their_weeks(spark, tmp_path):
+    schema = "visit_at timestamp, amount double"
+    batches = [[(_day(0), 1.0), (_day(8), 2.0)], [(_day(1), 3.0)], [(_day(9), 4.0), (_day(15), 6.0)]]
+    for source in _stream(spark, str(tmp_path), batches, schema):
+        J.stream_weekly_stats(source, f"{tmp_path}/table", f"{tmp_path}/state").awaitTermination()
+    got = sorted(tuple(r) for r in read_parts(spark, f"{tmp_path}/table").select("week", "n_visits", "mean_amount").collect())
+    assert got == [(_day(0).date(), 2, 2.0), (_day(7).date(), 2, 3.0), (_day(14).date(), 1, 6.0)]
