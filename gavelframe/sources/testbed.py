@@ -6,8 +6,8 @@ the same text feeds the Spark queries and the SQL they are checked against
 
 ========================  ==============================================================
 transactions              lineitem with its part and supplier: one sale per line
-listings                  the lines shipped from 30 days before to 90 days after AS_OF
-adjudications             orders in status F with their customer
+listings                  all lines as listings, one per line
+adjudications             all orders with their customer
 agents                    suppliers
 site_one, site_two        two listing feeds for record linkage, from supplier, customer
 visits                    events as visit rows (January 2024)
