@@ -110,6 +110,21 @@ def test_mixing(odd, empty, broadcast):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_comes_near_its_targets_without_ids(spark):
+    """A third of the rows have no id, as many share one, half of these are alike in all else."""
+    rows = [(None, f"{'w ' * 9}x{i if i % 2 else 0}", "a") for i in range(600)] + [(7, f"{'w ' * 9}y{i}", "b") for i in range(600)]
+    rows += [(i, "w " * (1 + i % 30), "c") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5).cache()
+    out = mixing.with_copies(df, mixing.word_count(F.col("text"))).select("row.source", "size", "target", "copies").collect()
+    for source in "abc":
+        mine = [r for r in out if r.source == source]
+        taken, target = sum(r.size * r.copies for r in mine), mine[0].target
+        # as independent draws: three and a half times their spread at most
+        assert abs(taken - target) < 3.5 * sum(r.size ** 2 / 4 for r in mine) ** 0.5, (source, taken, target)
+    assert sorted(map(tuple, out)) == sorted(map(tuple, mixing.with_copies(df, mixing.word_count(F.col("text"))).select(
+        "row.source", "size", "target", "copies").collect()))
+
+
 # 3 ------------------------------------------------------------------------------------------
 
 BASE = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -373,6 +388,37 @@ def test_language_id(spark, odd, empty, sf_dir):
     assert {r.lang_pred for r in langid.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def _buckets(text):
+    """Buckets of the 1-, 2- and 3-grams at every position, in plain integers."""
+    m, c = 0xFFFFFFFF, [ord(x) for x in text.lower()] + [10, 10]
+    for a, b, d in zip(c, c[1:], c[2:]):
+        yield (a * 2654435761 & m) >> 16
+        yield (((a * 2246822519 + b & m) * 3266489917 & m) + 77 & m) >> 16
+        yield (((a * 668265263 + b & m) * 374761393 & m) + d & m) * 2654435769 % 2**32 >> 16
+
+
+def test_language_id_is_naive_bayes(spark):
+    rng = np.random.default_rng(17)
+    vocab = {x: ["".join(rng.choice(list(letters), rng.integers(2, 8))) for _ in range(30)] for x, letters in (("aa", "abcdeé"), ("bb", "defghi"), ("cc", "ñxyzab"))}
+    text = lambda x, n: " ".join(rng.choice(vocab[x], n))
+    rows = [(i, text(x, int(rng.integers(1, 30))), x) for i, x in enumerate(list(vocab) * 20)] + [(100, None, "aa"), (101, "", "bb"), (102, "\U0001F600 12", "cc")]
+    langs, weights = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    counts = {x: Counter() for x in vocab}
+    for _, t, x in rows:
+        counts[x].update(_buckets(t or ""))
+    total = {x: sum(c.values()) + 0.1 * (1 << 16) for x, c in counts.items()}
+    asked = [(i, t) for i, t in enumerate([text("aa", 3), text("bb", 40), "abc xyz def", "ñ", text("cc", 400), "??", None])]
+    got = {r.doc_id: r for r in langid.predict(spark.createDataFrame(asked, "doc_id long, text string"), langs, weights).collect()}
+    assert langs == sorted(vocab)
+    for i, t in asked:
+        sums = {x: sum(np.log((counts[x][b] + 0.1) / total[x]) for b in _buckets(t or "")) for x in langs}
+        best = max(langs, key=lambda x: sums[x])
+        if not any(c.isalpha() for c in t or ""):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+        else:
+            assert got[i].lang_pred == best and abs(got[i].score - 1 / sum(np.exp(v - sums[best]) for v in sums.values())) < 1e-3
+
+
 # 8 ------------------------------------------------------------------------------------------
 
 def test_warc_round_trip(spark, tmp_path):
