@@ -156,10 +156,26 @@ def known_city_in(text, cities) -> Column:
     return F.coalesce(*[F.when(t.rlike(P.named_city(c)), F.lit(c)) for c in cities])
 
 
+def url_region_city(url, cities: dict) -> dict[str, Column]:
+    """City and code of a url that names its southern region or a district; only listed cities and Marseille count."""
+    by_region = matched(P.URL_REGION_CITY, url, 1)
+    slug = F.lower(F.coalesce(by_region, matched(P.URL_DISTRICT_CITY, url, 1)))
+    number = F.when(by_region.isNotNull(), matched(P.URL_REGION_CITY, url, 2)).otherwise(matched(P.URL_DISTRICT_CITY, url, 2))
+    name = F.replace(slug, F.lit("-"), F.lit(" "))
+    code = F.coalesce(lookup(name, cities), lookup(F.replace(name, F.lit(" "), F.lit("-")), cities))
+    other = code.isNull() & name.contains("marseille")
+    return {
+        "postal_code": F.when(other, F.concat(F.lit("130"), F.lpad(number, 2, "0"))).otherwise(code),
+        "city": F.when(other, F.concat(F.lit("Marseille"), F.coalesce(F.concat(F.lit(" "), number, F.lit("ème")), F.lit(""))))
+                 .when(code.isNotNull(), title_case(name)),
+    }
+
+
 def location(text, url=None, departments=K.TARGET_DEPARTMENTS, cities: dict | None = None) -> dict[str, Column]:
     """City and postal code of the property, from the text before the agent's section.
 
-    A city of the given dictionary fills what text and url leave open. A numbered district replaces
+    A listed city in a url of its region goes before the text's. A city of the given dictionary fills what text and url leave
+    open. A numbered district replaces
     the city, and its code a missing or whole-city one. Several words of a city end with their line.
     """
     cities = K.SOUTHERN_CITIES if cities is None else cities
@@ -169,6 +185,9 @@ def location(text, url=None, departments=K.TARGET_DEPARTMENTS, cities: dict | No
     taken = F.when(place.isNull(), named)
     place = F.coalesce(place, title_case(F.replace(taken, F.lit("-"), F.lit(" "))))
     code = F.coalesce(code, lookup(taken, cities)) if cities else code
+    if url is not None and cities:
+        of_url = url_region_city(url, cities)
+        code, place = F.coalesce(of_url["postal_code"], code), F.coalesce(of_url["city"], place)
     number = matched(P.DISTRICT_LOW, low(section))
     district = F.when(F.lower(place).contains("marseille") & (F.length(number) <= 2), number)
     whole = code.isNull() | (code == "13000")

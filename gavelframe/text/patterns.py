@@ -51,6 +51,8 @@ NOT_ADDRESS_LOW = (
 PLACE_IN_SENTENCE = r"(?i)(?:Un|Une|Le|La)\s+(?:appartement|maison|local|terrain|parking)[^.]*?(?:à|situé|sis)\s+([^,\n.]{10,80})"
 NOT_PLACE = r"(?i)n°\d+|mise à prix|Bouches-du-Rhône|Var"
 URL_CITY = r"/([a-z\-]+)-(\d{2})/"
+URL_REGION_CITY = r"(?i)/([a-z\-]+?)(?:-(\d+)(?:eme|er)?)?/(?:var|bouches-du-rhone)/"
+URL_DISTRICT_CITY = r"(?i)/(marseille|aix|toulon)[^/]*-(\d+)(?:eme|er)?/"
 CITY_AFTER_A = r"à\s+([A-ZÀ-Ü][a-zà-ü\-]+(?:\s+\d+[eè]me)?)"
 
 AGENT_NAMES = [

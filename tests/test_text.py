@@ -115,3 +115,12 @@ def test_photos_are_all_kept(spark):
 def test_long_values_stay_whole(spark):
     assert len(one(spark, "x" * 20000, KEY.title_case("t"))) == 20000
     assert len(one(spark, "Désignation : " + "mot " * 900, T.description("t"))) == 3599
+
+
+def test_city_from_a_url_of_its_region(spark):
+    rows = [("/annonce/toulon/var/vente.html", "Toulon", "83000"), ("/vente/aix-en-provence/bouches-du-rhone/1", "Aix En Provence", "13100"),
+            ("/marseille-14eme/bouches-du-rhone/", "Marseille", "13000"), ("/vieux-marseille-2eme/bouches-du-rhone/", "Marseille 2ème", "13002"),
+            ("/paris-75/1", "Paris", "75000"), ("/nowhere/var/", None, None), ("/toulon-centre-3eme/x", "Toulon", "83000"), (None, None, None)]
+    got = spark.createDataFrame([(i, "Une maison", u) for i, (u, _, _) in enumerate(rows)], "i int, t string, u string").select(
+        "i", *[c.alias(n) for n, c in T.location(F.col("t"), F.col("u"), ["13", "83", "75"]).items()]).orderBy("i").collect()
+    assert [(r.city, r.postal_code) for r in got] == [(c, p) for _, c, p in rows]
