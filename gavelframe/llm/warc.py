@@ -15,7 +15,8 @@ speculative attempts are never listed, so readers, who start from the manifest,
 
 A null html is an empty payload, a null url is left out. Pages without an id come last, those whose
 payload has an identified page revisit it. Rows that repeat id and payload: the first is written as
-its kind, the others revisit the response. No rows give an empty archive.
+its kind, the others revisit the response. No rows give an empty archive. Page ids of any integer type count as long;
+other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -187,7 +188,7 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = 64 * MIB, min_bytes:
         if out is not None:
             yield close()
 
-    rows = layout(pages.select("page_id", "url", "html"), min_bytes)
+    rows = layout(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), min_bytes)
     ordered = rows.repartition(partitions(spark), "shard").sortWithinPartitions(
         "shard", F.col("page_id").asc_nulls_last(), "kind", "digest", "url")
     files = written(ordered.select("shard", "page_id", "digest", "kind", "url", "html", "first").mapInArrow(run, MANIFEST), "warc-files")

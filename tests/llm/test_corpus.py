@@ -443,6 +443,15 @@ def test_warc_round_trip(spark, tmp_path):
     assert {r.record_type for r in warc.read(spark, f"file://{tmp_path}/large").collect()} == {"response"}
 
 
+def test_warc_with_other_columns_and_integer_ids(spark, tmp_path):
+    rows = [(1, "u1", "<p>a", "x"), (2, "u2", "<p>a", "y"), (3, None, None, None), (None, "u4", "<p>a", "z"), (3, "u5", "", "z")]
+    extra = ["digest", "kind", "first", "span", "shard", "n", "c"]
+    pages = spark.createDataFrame([(*r[:3], *[r[3]] * 7) for r in rows], "page_id int, url string, html string, " + ", ".join(f"{c} string" for c in extra))
+    warc.write(pages, f"file://{tmp_path}/odd")
+    got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read(spark, f"file://{tmp_path}/odd").collect()), key=repr)
+    assert got == sorted([(1, 4, "response", None), (2, 4, "revisit", 1), (None, 4, "revisit", 1), (3, 0, "response", None), (3, 0, "revisit", 3)], key=repr)
+
+
 # 9 ------------------------------------------------------------------------------------------
 
 def _dropped(pairs):
