@@ -71,10 +71,14 @@ def insert_agents(old: DataFrame, new: DataFrame) -> DataFrame:
     return insert_ignore(old, told.filter(_complete_key(["name", "firm"])).unionByName(loose), ["name", "firm"])
 
 
+def priced_adjudications(rows: DataFrame) -> DataFrame:
+    """Adjudications with their price per m²."""
+    return rows.withColumn("price_m2", F.when(F.col("surface_m2") > 0, half_even(F.col("hammer_price") / F.col("surface_m2"))))
+
+
 def insert_adjudications(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Adjudications unique by source, code, date, price; price per m² derived."""
-    priced = new.withColumn("price_m2", F.when(F.col("surface_m2") > 0, half_even(F.col("hammer_price") / F.col("surface_m2"))))
-    return insert_ignore(old, priced, ["source", "postal_code", "sale_date", "hammer_price"])
+    """New adjudications unique by source, code, date, price; price per m² derived. Rows of ``old`` stay as they are."""
+    return insert_ignore(old, priced_adjudications(new), ["source", "postal_code", "sale_date", "hammer_price"])
 
 
 # --- versions: a table is a folder of complete snapshots; readers take the newest -----------
