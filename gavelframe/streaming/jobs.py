@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -83,49 +84,73 @@ def live_value(spark: SparkSession, base: str, value: str, now, hours: int, *, k
 
 
 class _Sessions(StatefulProcessor):
-    """Open sessions of a key: rows less than ``ttl`` apart are one, and its newest value expires ``ttl`` after it."""
+    """Open sessions of a key: rows less than ``ttl`` apart are one, and its newest value expires ``ttl`` after it.
 
-    def __init__(self, ttl_ms: int, key: str, time: str, others: list[str], state: T.StructType):
-        self.ttl, self.key, self.time, self.others, self.state = ttl_ms, key, time, others, state
+    The sessions of a key, (end, first, time, others) by end, are one state value with one timer, that of the first to
+    expire: a batch or an expiry costs a key a few calls to the store, however many sessions it has. Sessions lie ``ttl``
+    apart, so their number is bounded by the time they span.
+    """
+
+    def __init__(self, ttl_ms: int, key: str, time: str, others: list[str], run: T.StructType):
+        self.ttl, self.key, self.time, self.others, self.run = ttl_ms, key, time, others, run
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", T.StructType([T.StructField("last", T.LongType())]), self.state)
+        self.open = handle.getValueState("open", T.StructType([T.StructField("runs", T.ArrayType(self.run))]))
+
+    def _runs(self) -> list[tuple]:
+        held = self.open.get()
+        return [tuple(r) for r in held[0]] if held is not None else []
+
+    def _keep(self, runs: list[tuple], timer: int | None) -> None:
+        """Store the runs; ``timer`` is the one that stands now."""
+        if runs:
+            self.open.update((runs,))
+        else:
+            self.open.clear()
+        due = runs[0][0] + self.ttl if runs else None
+        if due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
 
     def handleInputRows(self, key, rows, timerValues):
-        known = {k[0]: v for k, v in self.open.iterator()}
-        before = set(known)
+        runs = self._runs()
+        timer = runs[0][0] + self.ttl if runs else None
+        ends = [r[0] for r in runs]
         for row in rows:
             at = _millis(row[self.time])
-            value = (at, row[self.time], *(row[c] for c in self.others))
-            near = [end for end, v in known.items() if v[0] - self.ttl < at < end + self.ttl]
-            met = [known.pop(end) for end in near]
-            end = max([at, *near])
-            if end in near:  # the newest row of one time stays, the later of equal ones
-                newest = met[near.index(end)]
-                value = value if end == at and tuple(map(repr, value[2:])) >= tuple(map(repr, newest[2:])) else newest
-            known[end] = (min([at, *(v[0] for v in met)]), *value[1:])
-        for end in before - set(known):
-            self.open.removeKey((end,))
-            self.handle.deleteTimer(end + self.ttl)
-        for end, v in known.items():
-            self.open.updateValue((end,), tuple(v))
-            if end not in before:
-                self.handle.registerTimer(end + self.ttl)
+            new = (at, at, row[self.time], *(row[c] for c in self.others))
+            i = j = bisect_right(ends, at - self.ttl)
+            while j < len(runs) and runs[j][1] - self.ttl < at:
+                j += 1
+            met = runs[i:j]
+            first = min([at, *(r[1] for r in met)])
+            newest = max([*met, new], key=_newness)
+            runs[i:j] = [(newest[0], first, *newest[2:])]
+            ends[i:j] = [newest[0]]
+        self._keep(runs, timer)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        end = (due - self.ttl,)
-        if self.open.containsKey(end):
-            v = self.open.getValue(end)
-            self.open.removeKey(end)
-            yield Row(**{self.key: key[0], self.time: v[1], **dict(zip(self.others, v[2:])), "expires_at": v[1] + dt.timedelta(milliseconds=self.ttl)})
+        runs = self._runs()
+        due = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        n = bisect_right([r[0] for r in runs], due - self.ttl)
+        if n:
+            self._keep(runs[n:], None)
+        for _, _, at, *others in runs[:n]:
+            yield Row(**{self.key: key[0], self.time: at, **dict(zip(self.others, others)), "expires_at": at + dt.timedelta(milliseconds=self.ttl)})
 
     def close(self) -> None:
         pass
 
 
+def _newness(run: tuple) -> tuple:
+    """Order of rows by time; of rows of one time by their texts."""
+    return run[0], run[2], tuple(map(repr, run[3:]))
+
+
 def _millis(at: dt.datetime) -> int:
     return int(at.replace(microsecond=0).timestamp()) * 1000 + at.microsecond // 1000
 
@@ -133,8 +158,8 @@ def _millis(at: dt.datetime) -> int:
 def expired_values(values: DataFrame, ttl: str, delay: str, *, key: str = "cache_key", time: str = "cached_at") -> DataFrame:
     """Values that have expired: the newest of each run of a key's rows less than ``ttl`` apart, once ``ttl`` behind the watermark.
 
-    Keyed state with timers: a key holds its open runs only, one row each, in the state store (RocksDB, set for the
-    session here), so a key with very many rows holds no more than one without. ``delay`` is how far rows may come
+    Keyed state with timers: a key holds its open runs only, one entry each, in the state store (RocksDB, set for the
+    session here), so a key with very many rows holds no more than its runs. ``delay`` is how far rows may come
     out of order across batches; later ones are dropped. Times count in milliseconds.
     """
     spark = values.sparkSession
@@ -143,7 +168,7 @@ def expired_values(values: DataFrame, ttl: str, delay: str, *, key: str = "cache
     fields = {f.name: f for f in values.schema.fields}
     millis = int(spark.sql(f"SELECT cast(INTERVAL {ttl} AS INTERVAL DAY TO SECOND) AS t").first()["t"].total_seconds() * 1000)
     plain = lambda n: T.StructField(n, fields[n].dataType, True)
-    state = T.StructType([T.StructField("first", T.LongType()), plain(time), *[plain(c) for c in others]])
+    state = T.StructType([T.StructField("_end", T.LongType()), T.StructField("_first", T.LongType()), plain(time), *[plain(c) for c in others]])
     out = T.StructType([plain(key), plain(time), *[plain(c) for c in others], T.StructField("expires_at", T.TimestampType())])
     return (values.withWatermark(time, delay).groupBy(key)
             .transformWithState(_Sessions(millis, key, time, others, state), out, "Append", "EventTime"))

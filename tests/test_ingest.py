@@ -3,6 +3,7 @@
 import datetime as dt
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gavelframe.functions.keys import title_case
 from gavelframe.operators.ranking import first_distinct
@@ -164,3 +165,38 @@ def test_weekly_counts_change_only_their_weeks(spark, tmp_path):
         J.stream_weekly_stats(source, f"{tmp_path}/table", f"{tmp_path}/state").awaitTermination()
     got = sorted(tuple(r) for r in read_parts(spark, f"{tmp_path}/table").select("week", "n_visits", "mean_amount").collect())
     assert got == [(_day(0).date(), 2, 2.0), (_day(7).date(), 2, 3.0), (_day(14).date(), 1, 6.0)]
+
+
+def test_expired_values_take_one_state_value_and_timer_a_key(spark):
+    """The calls a key costs do not grow with its rows and sessions (before: several a session)."""
+    calls = []
+
+    class Store:
+        held = None
+        def get(self): calls.append("get"); return self.held  # noqa: E704
+        def update(self, v): calls.append("update"); self.held = v  # noqa: E704
+        def clear(self): calls.append("clear"); self.held = None  # noqa: E704
+
+    class Handle:
+        timers = set()
+        def getValueState(self, name, schema): return Store()  # noqa: E704, N802
+        def registerTimer(self, at): calls.append("register"); self.timers.add(at)  # noqa: E704, N802
+        def deleteTimer(self, at): calls.append("delete"); self.timers.discard(at)  # noqa: E704, N802
+
+    class At:
+        def __init__(self, ms): self.ms = ms  # noqa: E704
+        def getCurrentWatermarkInMs(self): return self.ms  # noqa: E704, N802
+        getExpiryTimeInMs = getCurrentWatermarkInMs  # noqa: N815
+
+    ttl = 6 * 3600 * 1000
+    s = J._Sessions(ttl, "k", "t", ["v"], T.StructType([]))
+    s.init(Handle())
+    rows = [{"t": _day(n, h), "v": float(n + h)} for n in range(50) for h in (3, 0, 8)]  # two runs a day: hours 0 and 3, hour 8 is 5 on
+    rows += [{"t": _day(n, 16), "v": 1.0} for n in range(50)]
+    list(s.handleInputRows(("x",), iter(rows[::-1]), At(0)))
+    assert len(calls) == 3 and len(s.handle.timers) == 1
+    first = s.handle.timers.pop()
+    watermark = J._millis(_day(30))
+    out = list(s.handleExpiredTimer(("x",), At(watermark), At(first)))
+    assert len(calls) == 6 and len(s.handle.timers) == 1
+    assert sorted((r.t, r.v) for r in out) == sorted([(_day(n, 8), float(n + 8)) for n in range(30)] + [(_day(n, 16), 1.0) for n in range(30)])
