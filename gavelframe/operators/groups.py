@@ -28,6 +28,14 @@ def positions(df: DataFrame, keys: list[str], order: str, out: str, *, lead: lis
     return ranked.join(offsets, parts).withColumn(out, F.col("_off") + F.col("_in")).drop("_cut", "_off", "_in")
 
 
+def spread(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows dealt over the configured number of partitions, before work that is dear per row.
+
+    A number of its own keeps a small file, which one task scans, or a coalesced shuffle from leaving all to one task.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder the session names; a local session without one gets a folder below its warehouse."""
     context = spark.sparkContext

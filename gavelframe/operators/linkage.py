@@ -24,7 +24,7 @@ from gavelframe.functions import constants as K
 from gavelframe.functions.similarity import similar_values
 from gavelframe.functions.values import has_items, has_number, has_text
 from gavelframe.operators.enrich import enrich_locations, known_city
-from gavelframe.operators.groups import SLICE_ROWS, positions, stored
+from gavelframe.operators.groups import SLICE_ROWS, positions, spread, stored
 from gavelframe.operators.match_fields import BIT, FIELDS, SIMILAR, TOLERANCE, close, masks, minimal_sets, signed, weight_of
 
 
@@ -65,11 +65,6 @@ def _one_per(rows: DataFrame, field: str, out: str, choices: Column, otherwise:
     return rows.withColumn(out, F.explode(F.when(_wanted(field), choices).otherwise(F.array(otherwise))))
 
 
-def _spread(rows: DataFrame, *columns: str) -> DataFrame:
-    """Explicit partition count: the expansion that follows must not run in one coalesced task."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
-
-
 class Scores(NamedTuple):
     """``pairs`` of classes (class_1, class_2, matched, weight), the rows of the classes (class_n, seq_n), and
     what first-feed rows have in common: equal values (sig, seq_1), which lie in one class per mask (sig, class_1)."""
@@ -107,9 +102,9 @@ def match_classes(one: DataFrame, two: DataFrame) -> Scores:
     sets = spark.createDataFrame([(p, s) for p in range(1, 1 << len(FIELDS)) for s in minimal_sets(p)], "joint int, field_set int")
     j = {f: F.col(f"joint_{f}") for f in FIELDS}
     price, surface = _bucket(j["price"], TOLERANCE["price"]), _bucket(j["surface"], TOLERANCE["surface"])
-    k1 = _spread(c1, "class_1").join(F.broadcast(sets), "joint").withColumn(
+    k1 = spread(c1, "class_1").join(F.broadcast(sets), "joint").withColumn(
         "key", _key({**j, "price": price, "surface": surface}))
-    k2 = _spread(c2, "class_2").join(F.broadcast(sets), "joint")
+    k2 = spread(c2, "class_2").join(F.broadcast(sets), "joint")
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))
     k2 = _one_per(k2, "price", "_dp", around, F.lit(0))
     k2 = _one_per(k2, "surface", "_ds", around, F.lit(0))

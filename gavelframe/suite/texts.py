@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gavelframe.functions import constants as K
 from gavelframe.functions import keys as KEY
+from gavelframe.operators.groups import spread
 from gavelframe.sources import testbed as T
 from gavelframe.suite.registry import query
 from gavelframe.text import cards as C
@@ -49,7 +50,7 @@ TEXTS = T.cte("notice_texts") + ", n AS (SELECT page_id, url, body, lower(body)
 
 
 def notices(spark, sf_dir):
-    return T.domain(spark, sf_dir, "notice_texts")
+    return spread(T.domain(spark, sf_dir, "notice_texts"), "page_id")
 
 
 PRICE_SQL = f"coalesce({', '.join(f'nullif({amount_sql(rx(p))}, 0)' for p in P.PRICES_LOW)})"

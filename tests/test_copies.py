@@ -46,3 +46,9 @@ def test_equal_keys_of_one_batch_count_once(spark):
     none = TB.priced_adjudications(new).filter("false")
     assert TB.insert_adjudications(none, new).count() == 3
     assert TB.insert_adjudications(TB.priced_adjudications(new), new).count() == 6
+
+
+@pytest.mark.parametrize("name", ["parse_notices_by_source", "report_summary"])
+def test_notices_of_one_small_file_are_parsed_by_many_tasks(spark, sf_dir, name):
+    df = entry_points.queries()[name](spark, sf_dir)
+    assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
