@@ -7,9 +7,10 @@ field sets of P that reach it, and these sets are the blocking keys: equality of
 masks, field set, field values) with neighbouring buckets for prices and surfaces and
 similar names for courts and cities. No pair is missed and no cross product is formed.
 
-Rows are first collapsed to classes: what a row can match in rows of another mask depends
-only on its jointly present values, so copies and poorly filled rows share one class.
-Pairs are formed between classes; rows come in again only when partners are chosen.
+A row of the first feed has a key for every mask it may face and every minimal set of the joint fields; a row of the second
+has one for every such set of its own mask. A pair meets once under each minimal set that all agrees on and counts under the
+lowest, so nothing as large as the pairs is ever shuffled. Equal rows (mask and compared values) are one class where pairs
+of classes will do.
 """
 
 from __future__ import annotations
@@ -34,30 +35,13 @@ def _bucket(c: Column, tolerance: float) -> Column:
     return F.when(c < 0, -steps - (1 << 40)).otherwise(steps)
 
 
-def _classes(rows: DataFrame, own: str, other: str, other_masks: list[int]) -> DataFrame:
-    """Signature rows once per mask of the other side, cut down to the jointly present fields."""
-    sig = rows.select("mask", *FIELDS).distinct()
-    faced = sig.withColumn("_other", F.explode(F.array(*[F.lit(m) for m in other_masks]))).withColumn(
-        "joint", F.col("mask").bitwiseAND(F.col("_other"))).filter(F.col("joint") != 0)
-    cut = {f"joint_{f}": F.when(F.col("joint").bitwiseAND(F.lit(bit)) != 0, F.col(f)) for f, bit in BIT.items()}
-    return faced.withColumns(cut).select(
-        F.col("mask").alias(own), F.col("_other").alias(other), "joint", *FIELDS, *cut)
-
-
-def _class_id(own: str, other: str) -> Column:
-    """Text id of a class; lengths keep different value lists apart."""
-    parts = [F.coalesce(F.col(f"joint_{f}").cast("string"), F.lit("")) for f in FIELDS]
-    return F.concat_ws("|", own, other, *[F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in parts])
-
-
 def _wanted(field: str) -> Column:
     return F.col("field_set").bitwiseAND(F.lit(BIT[field])) != 0
 
 
-def _key(values: dict[str, Column]) -> Column:
-    """Key text of a row for its field set; fields outside the set stay empty."""
-    parts = [F.coalesce(F.when(_wanted(f), values[f].cast("string")), F.lit("")) for f in FIELDS]
-    return F.concat_ws("|", "m1", "m2", "field_set", *parts)
+def _key(mask: Column, values: dict[str, Column]) -> Column:
+    """Key of a row for the second feed's mask and its field set; what meets by a like hash only is sorted out by its values."""
+    return F.xxhash64(mask, "field_set", *[F.when(_wanted(f), values[f]) for f in FIELDS])
 
 
 def _one_per(rows: DataFrame, field: str, out: str, choices: Column, otherwise: Column) -> DataFrame:
@@ -66,83 +50,89 @@ def _one_per(rows: DataFrame, field: str, out: str, choices: Column, otherwise:
 
 
 class Scores(NamedTuple):
-    """``pairs`` of classes (class_1, class_2, matched, weight), the rows of the classes (class_n, seq_n), and
-    what first-feed rows have in common: equal values (sig, seq_1), which lie in one class per mask (sig, class_1)."""
+    """``pairs`` of classes (class_1, class_2, matched, weight) and the rows of the classes (class_n, seq_n)."""
     pairs: DataFrame
     rows_1: DataFrame
     rows_2: DataFrame
-    equal_1: DataFrame
-    classes_1: DataFrame
 
     def unfold(self) -> DataFrame:
         """Row pairs ``seq_1, seq_2, matched, weight``: as many as really match, copies and all."""
         return self.rows_1.join(self.pairs, "class_1").join(self.rows_2, "class_2").select("seq_1", "seq_2", "matched", "weight")
 
 
-def match_classes(one: DataFrame, two: DataFrame) -> Scores:
-    """All that scores at least one half, as pairs of classes beside the classes' rows.
+def _folded(signatures: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """Classes of equal rows, named by their lowest ``seq``, and their rows (class_n, seq_n)."""
+    told = signatures.withColumn("sig", _sig_id("mask"))
+    classes = told.groupBy("sig", "mask", *FIELDS).agg(F.min("seq").alias("id"))
+    rows = told.select("sig", "seq").join(classes.select("sig", "id"), "sig")
+    return classes.drop("sig"), rows.select(F.col("id").alias(f"class_{n}"), F.col("seq").alias(f"seq_{n}"))
+
+
+def _lowest_set(joint: Column, alike: Column) -> Column:
+    """The lowest minimal set of the joint fields within the matching ones, 0 where they do not reach half.
 
-    Each pair of rows lies in exactly one pair of classes, that of their two masks.
+    A table of all 64 x 64 cases as one literal, a printable byte each.
     """
-    spark = one.sparkSession
-    s1, s2 = signed(one), signed(two)
-    masks1, masks2 = masks(s1), masks(s2)
+    n = 1 << len(FIELDS)
+    sets = [sorted(minimal_sets(p)) if p else [] for p in range(n)]
+    table = bytes(33 + next((s for s in sets[p] if s & m == s), 0) for p in range(n) for m in range(n))
+    return F.ascii(F.substring(F.lit(table), joint * F.lit(n) + alike + F.lit(1), F.lit(1)).cast("string")) - F.lit(33)
 
-    # names as a table of edges: joined to the keys and to the pairs, never gathered per name
-    like = stored(similar_values(s1, s2, SIMILAR))
-    names = {f: like.filter(F.col("field") == f).select(F.col("value_1").alias(f"{f}_1"), F.col("value_2").alias(f"{f}_2")) for f in SIMILAR}
 
-    sides1 = _classes(s1, "m1", "m2", masks2).withColumn("class_1", _class_id("m1", "m2"))
-    sides2 = _classes(s2, "m2", "m1", masks1).withColumn("class_2", _class_id("m2", "m1"))
-    joints = [f"joint_{f}" for f in FIELDS]
-    c1 = sides1.select("class_1", "m1", "m2", "joint", *joints).distinct()
-    c2 = sides2.select("class_2", "m1", "m2", "joint", *joints).distinct()
-
-    # at most 63 masks with their few minimal sets: a fixed small table
-    sets = spark.createDataFrame([(p, s) for p in range(1, 1 << len(FIELDS)) for s in minimal_sets(p)], "joint int, field_set int")
-    j = {f: F.col(f"joint_{f}") for f in FIELDS}
-    price, surface = _bucket(j["price"], TOLERANCE["price"]), _bucket(j["surface"], TOLERANCE["surface"])
-    k1 = spread(c1, "class_1").join(F.broadcast(sets), "joint").withColumn(
-        "key", _key({**j, "price": price, "surface": surface}))
-    k2 = spread(c2, "class_2").join(F.broadcast(sets), "joint")
+def _pairs(one: DataFrame, two: DataFrame, masks1: list[int], masks2: list[int], names: dict[str, DataFrame]) -> DataFrame:
+    """``id_1, id_2, matched, weight`` of all rows (id, mask, fields) of two sides that score at least one half, each pair once."""
+    spark = one.sparkSession
+    # at most 64 x 64 masks with their few minimal sets: fixed small tables
+    faced = [(m, o, s) for m in masks1 for o in masks2 for s in minimal_sets(m & o) if m & o]
+    asked = spark.createDataFrame(faced, "mask int, _other int, field_set int")
+    own = spark.createDataFrame(sorted({(o, s) for _, o, s in faced}), "mask int, field_set int")
+    v = {f: F.col(f) for f in FIELDS}
+    price, surface = _bucket(v["price"], TOLERANCE["price"]), _bucket(v["surface"], TOLERANCE["surface"])
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    k2 = _one_per(k2, "price", "_dp", around, F.lit(0))
-    k2 = _one_per(k2, "surface", "_ds", around, F.lit(0))
+
+    left = spread(one, "id").join(F.broadcast(asked), "mask")
+    left = _one_per(left, "price", "_dp", around, F.lit(0))
+    left = _one_per(left, "surface", "_ds", around, F.lit(0))
     for f, edges in names.items():
         # field sets without the name keep a text of their own, so that no join key is frequent
-        own = F.when(_wanted(f), F.concat(F.lit("="), j[f])).otherwise(F.concat(F.lit("#"), F.pmod(F.xxhash64("class_2"), F.lit(64)).cast("string")))
+        asks = F.when(_wanted(f), F.concat(F.lit("="), v[f])).otherwise(F.concat(F.lit("#"), F.pmod(F.xxhash64("id"), F.lit(64)).cast("string")))
         empty = spark.range(64).select(F.concat(F.lit("#"), F.col("id").cast("string")).alias("_k"), F.lit("").alias(f"_{f}"))
-        met = edges.select(F.concat(F.lit("="), F.col(f"{f}_2")).alias("_k"), F.col(f"{f}_1").alias(f"_{f}")).unionByName(empty)
-        k2 = k2.withColumn("_k", own).join(met, "_k").drop("_k")
-    k2 = k2.withColumn("key", _key({
-        **j, "price": price + F.col("_dp"), "surface": surface + F.col("_ds"), "court": F.col("_court"), "city": F.col("_city")}))
-    left = k1.select("key", "class_1", "joint", *[F.col(n).alias(f"a_{n[6:]}") for n in joints])
-    right = k2.select("key", "class_2", *[F.col(n).alias(f"b_{n[6:]}") for n in joints])
-
-    def a(f):
-        return F.col(f"a_{f}")
-
-    def b(f):
-        return F.col(f"b_{f}")
+        near = edges.select(F.concat(F.lit("="), F.col(f"{f}_1")).alias("_k"), F.col(f"{f}_2").alias(f"_{f}")).unionByName(empty)
+        left = left.withColumn("_k", asks).join(near, "_k").drop("_k")
+    left = left.select(
+        _key(F.col("_other"), {**v, "price": price + F.col("_dp"), "surface": surface + F.col("_ds"), "court": F.col("_court"), "city": F.col("_city")}).alias("key"),
+        "field_set", F.col("id").alias("id_1"), F.col("mask").alias("m1"), *[F.col(f).alias(f"a_{f}") for f in FIELDS])
+    right = spread(two, "id").join(F.broadcast(own), "mask").select(
+        _key(F.col("mask"), {**v, "price": price, "surface": surface}).alias("key"),
+        F.col("id").alias("id_2"), F.col("mask").alias("m2"), *[F.col(f).alias(f"b_{f}") for f in FIELDS])
 
     met = left.join(right, "key")
     for f, edges in names.items():
         found = edges.select(F.col(f"{f}_1").alias(f"a_{f}"), F.col(f"{f}_2").alias(f"b_{f}"), F.lit(True).alias(f"{f}_like"))
         met = met.join(found, [f"a_{f}", f"b_{f}"], "left")
-    agree = {
-        "date": a("date") == b("date"), "type": a("type") == b("type"), "court": F.col("court_like"), "city": F.col("city_like"),
-        **{f: close(a(f), b(f), t) for f, t in TOLERANCE.items()},
-    }
-    matched = sum((F.when(agree[f], K.MATCH_WEIGHTS[f]).otherwise(0) for f in FIELDS), F.lit(0))
-    pairs = (met.withColumns({"matched": matched, "weight": weight_of(F.col("joint"))})
-             .filter(F.col("matched") * 2 >= F.col("weight"))
-             .select("class_1", "class_2", "matched", "weight").distinct())
-
-    def rows(signatures, sides, n):
-        of = sides.select(_sig_id(f"m{n}").alias("sig"), f"class_{n}").distinct()
-        return signatures.select(F.col("seq").alias(f"seq_{n}"), _sig_id("mask").alias("sig")).join(of, "sig").select(f"class_{n}", f"seq_{n}")
-    equal_1 = s1.select(_sig_id("mask").alias("sig"), F.col("seq").alias("seq_1"))
-    return Scores(pairs, rows(s1, sides1, 1), rows(s2, sides2, 2), equal_1, sides1.select(_sig_id("m1").alias("sig"), "class_1").distinct())
+    agree = {f: F.col(f"a_{f}") == F.col(f"b_{f}") for f in ("date", "type")}
+    agree |= {f: F.col(f"{f}_like") for f in names}
+    agree |= {f: close(F.col(f"a_{f}"), F.col(f"b_{f}"), t) for f, t in TOLERANCE.items()}
+    alike = sum((F.when(agree[f], F.lit(bit)).otherwise(0) for f, bit in BIT.items()), F.lit(0))
+    met = met.withColumn("joint", F.col("m1").bitwiseAND(F.col("m2"))).withColumn("alike", alike)
+    lowest = _lowest_set(F.col("joint"), F.col("alike"))
+    return met.filter(F.col("field_set") == lowest).select("id_1", "id_2", weight_of(F.col("alike")).alias("matched"), weight_of(F.col("joint")).alias("weight"))
+
+
+def _compared(one: DataFrame, two: DataFrame) -> tuple[DataFrame, DataFrame, list[int], list[int], dict[str, DataFrame]]:
+    s1, s2 = signed(one), signed(two)
+    # names as a table of edges: joined to the keys and to the pairs, never gathered per name
+    like = stored(similar_values(s1, s2, SIMILAR))
+    names = {f: like.filter(F.col("field") == f).select(F.col("value_1").alias(f"{f}_1"), F.col("value_2").alias(f"{f}_2")) for f in SIMILAR}
+    return s1, s2, masks(s1), masks(s2), names
+
+
+def match_classes(one: DataFrame, two: DataFrame) -> Scores:
+    """All that scores at least one half, as pairs of classes beside the classes' rows; each pair of rows lies in exactly one."""
+    s1, s2, masks1, masks2, names = _compared(one, two)
+    (c1, rows_1), (c2, rows_2) = _folded(s1, 1), _folded(s2, 2)
+    pairs = _pairs(c1, c2, masks1, masks2, names).withColumnsRenamed({"id_1": "class_1", "id_2": "class_2"})
+    return Scores(pairs, rows_1, rows_2)
 
 
 def _sig_id(mask: str) -> Column:
@@ -152,8 +142,13 @@ def _sig_id(mask: str) -> Column:
 
 
 def match_scores(one: DataFrame, two: DataFrame) -> DataFrame:
-    """Row pairs scoring at least one half, for reports over modest feeds; `match_classes` has them folded."""
-    return match_classes(one, two).unfold()
+    """Row pairs scoring at least one half, as reports list them; `match_classes` has them folded.
+
+    Rows are compared as they are: the pairs come out of the join on the keys and are not shuffled again.
+    """
+    s1, s2, masks1, masks2, names = _compared(one, two)
+    rows = [s.withColumnRenamed("seq", "id") for s in (s1, s2)]
+    return _pairs(*rows, masks1, masks2, names).withColumnsRenamed({"id_1": "seq_1", "id_2": "seq_2"})
 
 
 def one_to_one(one: DataFrame, two: DataFrame, *, slice_rows: int = SLICE_ROWS) -> DataFrame:
@@ -170,9 +165,9 @@ def one_to_one(one: DataFrame, two: DataFrame, *, slice_rows: int = SLICE_ROWS)
     """
     spark = one.sparkSession
     scores = match_classes(one, two)
-    edges = stored(scores.classes_1.join(scores.pairs, "class_1").select(
-        "sig", "class_2", (F.col("matched") / F.col("weight")).alias("score")))
-    free_rows = stored(scores.equal_1.join(edges.select("sig").distinct(), "sig", "left_semi"))
+    edges = stored(scores.pairs.select(
+        F.col("class_1").alias("sig"), "class_2", (F.col("matched") / F.col("weight")).alias("score")))
+    free_rows = stored(scores.rows_1.withColumnRenamed("class_1", "sig").join(edges.select("sig").distinct(), "sig", "left_semi"))
     members = stored(scores.rows_2.join(edges.select("class_2").distinct(), "class_2", "left_semi"))
 
     held = spark.createDataFrame([], "seq_2 long, seq_1 long, score double, fresh boolean")

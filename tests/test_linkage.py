@@ -169,3 +169,11 @@ def test_cross_validation_keeps_every_row(spark):
     assert by.get("merged", 0) == pairs and by.get("first", 0) == 10 - pairs and by.get("second", 0) == 14 - pairs
     c = L.match_counters(v).first()
     assert (c.total_processed, c.matches_found) == (24, pairs)
+
+
+def test_scores_shuffle_rows_not_pairs(spark):
+    """Above the join that forms the pairs there is no exchange, whatever their number."""
+    r = random.Random(3)
+    df = L.match_scores(spark.createDataFrame(feed(r, 8, "a"), FEED), spark.createDataFrame(feed(r, 8, "b"), FEED))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Distinct" not in plan
