@@ -196,12 +196,25 @@ def read_key(spark: SparkSession, base: str, keys: dict, *, parts: int = PARTS)
     return part
 
 
+def _put_in_place(spark: SparkSession, staged: str, base: str) -> None:
+    """Move the staged parts over those of the table. A part once moved is no longer staged, so a call that broke off may be repeated."""
+    fs, root = _at(spark, base)
+    fs.mkdirs(root)
+    for status in fs.listStatus(_at(spark, staged)[1]):
+        if status.getPath().getName().startswith("_part="):
+            _, place = _at(spark, f"{base}/{status.getPath().getName()}")
+            if fs.exists(place):
+                fs.delete(place, True)
+            if not fs.rename(status.getPath(), place):
+                raise OSError(f"{place.toString()} could not be put in place")
+
+
 def merge_parts(new: DataFrame, base: str, keys: list[str], *, order: list[str], batch: str | None = None,
                 parts: int = PARTS, part_bytes: int = PART_BYTES) -> None:
     """Merge ``new`` into the table at ``base``; per key the newest by ``order`` wins wherever it comes from.
 
     Only the key parts that the batch touches are read and rewritten; a touched part over ``part_bytes`` is halved on the way, so a
-    part stays as large as a few tasks take, however the table grows. The parts are written whole beside the table, then put in place.
+    part stays as large as a few tasks take, however the table grows. The parts are written whole beside the table, then moved into place.
     ``batch`` names a batch and its writer, as in "id of the query-number": the same rows under the same name are a replay and
     change nothing, or finish what broke off; other rows under that name are a batch of their own. Without a name every call
     counts. Rows with a NULL in their key all stay. An empty batch changes nothing. Give a table the same ``parts`` always, and
@@ -228,9 +241,7 @@ def merge_parts(new: DataFrame, base: str, keys: list[str], *, order: list[str],
         big = {x for x in there if labels[x] > part_bytes}
         merged = latest_by_key(told, keys, order).withColumn("_part", _part(keys, order, split | big, parts)).hint("rebalance", "_part")
         merged.write.mode("overwrite").partitionBy("_part").parquet(staged)
-    ready = spark.read.parquet(staged)
-    (ready.hint("rebalance", "_part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("_part").parquet(base))
+    _put_in_place(spark, staged, base)
     fs, mark = _at(spark, done)
     fs.mkdirs(mark)
     fs.delete(_at(spark, staged)[1], True)
