@@ -196,6 +196,20 @@ def read_key(spark: SparkSession, base: str, keys: dict, *, parts: int = PARTS)
     return part
 
 
+def _named(spark: SparkSession, folder: str, start: str) -> bool:
+    """Does the folder hold a name that starts so?"""
+    if not _exists(spark, folder):
+        return False
+    fs, where = _at(spark, folder)
+    return any(x.getPath().getName().startswith(start.replace("/", "_")) for x in fs.listStatus(where))
+
+
+def _batch_name(rows: DataFrame, batch: str | None) -> str | None:
+    """Name of a batch by its given name, or one of its own, and its rows; None for an empty one."""
+    n, print_ = rows.agg(F.count(F.lit(1)), F.expr(f"bit_xor(xxhash64({', '.join(f'`{c}`' for c in rows.columns)}))")).first()
+    return f"{batch or uuid.uuid4().hex}-{n}-{print_}".replace("/", "_") if n else None
+
+
 def _put_in_place(spark: SparkSession, staged: str, base: str) -> None:
     """Move the staged parts over those of the table. A part once moved is no longer staged, so a call that broke off may be repeated."""
     fs, root = _at(spark, base)
@@ -221,11 +235,12 @@ def merge_parts(new: DataFrame, base: str, keys: list[str], *, order: list[str],
     one writer at a time; readers see whole parts, but maybe of two batches while one is put in place.
     """
     spark = new.sparkSession
+    if batch and _named(spark, f"{base}_batches", f"{batch}-") and _exists(spark, f"{base}_batches/{_batch_name(new, batch)}"):
+        return  # a replay is known before anything is written
     held = stored(new)  # the batch is read once, whatever it is made of
-    rows, print_ = held.agg(F.count(F.lit(1)), F.expr(f"bit_xor(xxhash64({', '.join(f'`{c}`' for c in held.columns)}))")).first()
-    if not rows:
+    name = _batch_name(held, batch)
+    if name is None:
         return
-    name = f"{batch or uuid.uuid4().hex}-{rows}-{print_}".replace("/", "_")
     done, staged = f"{base}_batches/{name}", f"{base}_staged/{name}"
     if _exists(spark, done):
         return

@@ -226,3 +226,13 @@ def test_parts_are_written_once_and_a_broken_move_is_finished(spark, tmp_path, m
     merge_parts(rows, base, ["k"], order=["v"], batch="a-0", parts=4)
     assert read_parts(spark, base).count() == 200
     assert staged == {p.name for p in (tmp_path / "table").rglob("*.parquet")}
+
+
+def test_a_replay_writes_nothing(spark, tmp_path, monkeypatch):
+    from gavelframe.sinks import tables as TB
+    base = f"{tmp_path}/table"
+    rows = spark.range(20).select(F.col("id").cast("string").alias("k"), F.lit(1).alias("v"))
+    merge_parts(rows, base, ["k"], order=["v"], batch="a-0", parts=2)
+    monkeypatch.setattr(TB, "stored", lambda df: 1 / 0)
+    merge_parts(rows, base, ["k"], order=["v"], batch="a-0", parts=2)
+    assert read_parts(spark, base).count() == 20
