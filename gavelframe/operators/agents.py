@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gavelframe.functions import constants as K
 from gavelframe.functions.values import has_number, has_text, text_or_null
+from gavelframe.operators.groups import spread, stored
 from gavelframe.text import patterns as P
 
 
@@ -136,24 +137,46 @@ def agent_match_counters(notices: DataFrame, matches: DataFrame, enriched: DataF
     return placed.unionByName(added).agg(*[F.sum(c).alias(c) for c in ("matched", "new", "report_added")])
 
 
-def _held_terms(documents: DataFrame, terms: DataFrame) -> DataFrame:
-    """(page_id, pos, kind, term): the asked terms each document's title or url contains.
+KEY_LETTERS = 5
 
-    ``terms``: page_id, kind, term; a "date" counts in the url only. A term is found by its
-    first three letters (fewer if shorter): every position of a text is one row, so the work
-    is linear in the texts, and the whole term is compared at that position.
+
+def _asked_by_rarest(wants: DataFrame) -> DataFrame:
+    """The distinct wants of each page with the word a document is looked up by, the other word and the lookup's first letters.
+
+    Of a pair the word that fewer pairs of the page ask for, so that "rue" leads to few of them.
+    """
+    asked = wants.select("page_id", "kind", "first", "second").distinct()
+    words = asked.withColumn("word", F.explode(F.array_distinct(F.array("first", "second")))).groupBy("page_id", "kind", "word").agg(
+        F.count(F.lit(1)).alias("n"))
+    counts = [words.select("page_id", "kind", F.col("word").alias(w), F.col("n").alias(f"n_{w}")) for w in ("first", "second")]
+    both = asked.join(counts[0], ["page_id", "kind", "first"]).join(counts[1], ["page_id", "kind", "second"])
+    rarer = (F.col("n_first") < F.col("n_second")) | (
+        (F.col("n_first") == F.col("n_second")) & (F.length("first") > F.length("second")))
+    return both.select("page_id", "kind", "first", "second", F.when(rarer, F.col("first")).otherwise(F.col("second")).alias("key"),
+                       F.when(rarer, F.col("second")).otherwise(F.col("first")).alias("other")).withColumn(
+        "piece", F.left("key", F.lit(KEY_LETTERS)))
+
+
+def _lowest_holding(documents: DataFrame, asked: DataFrame) -> DataFrame:
+    """(page_id, kind, first, second, pos): the first document of the page that holds each asked pair, or the date in its url.
+
+    The pieces of a text, as long as some lookup, are met with the asked lookups; both words are then tested on the text
+    itself. Nothing of a document but its lowest position is gathered, and that before the shuffle.
     """
-    texts = documents.select("page_id", "pos", F.explode(F.array(
-        F.struct(F.lit("title").alias("part"), F.lower(F.coalesce("title", F.lit(""))).alias("text")),
-        F.struct(F.lit("url").alias("part"), F.lower("url").alias("text")))).alias("t")).select("page_id", "pos", "t.*")
-    starts = texts.filter(F.length("text") > 0).withColumn("at", F.explode(F.sequence(F.lit(1), F.length("text"))))
-    grams = starts.withColumn("size", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).withColumn(
-        "gram", F.substring(F.col("text"), F.col("at"), F.col("size"))).filter(F.length("gram") == F.col("size"))
-    asked = terms.withColumn("size", F.least(F.length("term"), F.lit(3))).withColumn("gram", F.left("term", F.lit(3)))
-    met = grams.join(asked, ["page_id", "size", "gram"])
-    same = F.substring(F.col("text"), F.col("at"), F.length("term")) == F.col("term")
-    return met.filter(same & ((F.col("kind") == "word") | (F.col("part") == "url"))).select(
-        "page_id", "pos", "kind", "term").distinct()
+    sizes = asked.agg(F.collect_set(F.length("piece")).alias("sizes"))  # one row of at most KEY_LETTERS numbers
+    texts = spread(documents.select("page_id", "pos", F.lower(F.coalesce("title", F.lit(""))).alias("title"),
+                                    F.lower(F.coalesce("url", F.lit(""))).alias("url")), "page_id", "pos")
+    # a piece across title and url is refused by the test on the whole word
+    starts = texts.withColumn("text", F.concat_ws("\n", "title", "url")).crossJoin(F.broadcast(sizes)).withColumn(
+        "at", F.explode(F.sequence(F.lit(1), F.length("text"))))
+    pieces = starts.withColumn("size", F.explode("sizes")).withColumn(
+        "piece", F.substring(F.col("text"), F.col("at"), F.col("size"))).drop("text", "sizes", "at", "size")
+    met = pieces.join(asked, ["page_id", "piece"])
+
+    def held(word):
+        return F.contains("url", word) | ((F.col("kind") == "word") & F.contains("title", word))
+
+    return met.filter(held(F.col("key")) & held(F.col("other"))).groupBy("page_id", "kind", "first", "second").agg(F.min("pos").alias("pos"))
 
 
 def match_documents(documents: DataFrame, targets: DataFrame) -> DataFrame:
@@ -164,7 +187,8 @@ def match_documents(documents: DataFrame, targets: DataFrame) -> DataFrame:
 
     Only the first document counts, so documents are reduced to the lowest position of each
     (page, word pair) and (page, date); a page with very many documents and targets never
-    pairs them.
+    pairs them. What targets ask for is stored first, so its size is known: where it is small,
+    documents meet it in one pass without a shuffle of their pieces.
     """
     words = F.filter(F.split(F.lower("address"), r"\s+"), lambda w: w != "")
     t = targets.select("target_id", "page_id", F.array_sort(words).alias("_words"), F.replace("date_text", F.lit("/"), F.lit("-")).alias("_date"))
@@ -172,23 +196,14 @@ def match_documents(documents: DataFrame, targets: DataFrame) -> DataFrame:
         F.sequence(F.lit(1), F.size("_words") - 1),
         lambda i: F.transform(F.slice(F.col("_words"), i + 1, F.size("_words")), lambda b: F.struct(
             F.element_at("_words", i).alias("first"), b.alias("second"))))
-    pairs = t.filter(F.size("_words") > 1).select("target_id", "page_id", F.explode(F.array_distinct(F.flatten(pair))).alias("p")).select(
-        "target_id", "page_id", "p.first", "p.second")
-    dates = t.filter(has_text("_date")).select("target_id", "page_id", F.col("_date").alias("term"))
-    terms = (t.select("page_id", F.lit("word").alias("kind"), F.explode("_words").alias("term"))
-             .unionByName(dates.select("page_id", F.lit("date").alias("kind"), "term")).distinct())
-    held = _held_terms(documents, terms)
-
-    asked = pairs.select("page_id", "first", "second").distinct()
-    h = held.filter(F.col("kind") == "word").select("page_id", "pos", "term")
-    # the words a document holds, paired with each other and kept where some target asks for the pair
-    together = h.withColumnRenamed("term", "first").join(h.withColumnRenamed("term", "second"), ["page_id", "pos"]).filter(
-        F.col("first") <= F.col("second"))
-    lowest = together.join(asked, ["page_id", "first", "second"]).groupBy("page_id", "first", "second").agg(F.min("pos").alias("pos"))
-    on_date = held.filter(F.col("kind") == "date").groupBy("page_id", "term").agg(F.min("pos").alias("pos"))
-    hits = pairs.join(lowest, ["page_id", "first", "second"]).select("target_id", "page_id", "pos").unionByName(
-        dates.join(on_date, ["page_id", "term"]).select("target_id", "page_id", "pos"))
-    best = hits.groupBy("target_id", "page_id").agg(F.min("pos").alias("pos"))
+    pairs = t.filter(F.size("_words") > 1).select(
+        "target_id", "page_id", F.lit("word").alias("kind"), F.explode(F.array_distinct(F.flatten(pair))).alias("p")).select(
+        "target_id", "page_id", "kind", "p.first", "p.second")
+    dates = t.filter(has_text("_date")).select(
+        "target_id", "page_id", F.lit("date").alias("kind"), F.col("_date").alias("first"), F.col("_date").alias("second"))
+    wants = pairs.unionByName(dates)
+    lowest = _lowest_holding(documents, stored(_asked_by_rarest(wants)))
+    best = wants.join(lowest, ["page_id", "kind", "first", "second"]).groupBy("target_id", "page_id").agg(F.min("pos").alias("pos"))
     return best.join(documents.select("page_id", "pos", "url"), ["page_id", "pos"]).select("target_id", "pos", "url")
 
 
