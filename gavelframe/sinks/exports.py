@@ -68,8 +68,13 @@ def export_opportunities(listings: DataFrame, path: str, min_score: float = 50)
     write_csv(export_rows(opportunities(listings, min_score)), path)
 
 
-def export_by_city(listings: DataFrame, path: str) -> None:
-    """One folder of CSV files per city; the rebalance keeps a large city on several writers."""
-    slugged = export_rows(listings).withColumn("city_slug", city_slug("ville"))
-    (slugged.hint("rebalance", "city_slug").write.mode("overwrite").option("header", True)
-     .partitionBy("city_slug").csv(path))
+def export_by_city(listings: DataFrame, path: str, compression: str = "gzip") -> None:
+    """One folder of CSV files per city; the rebalance keeps a large city on several writers.
+
+    Typed rows are dealt out and formatted by the writer, as the formatted text is wider. Files are compressed, which Spark
+    and other readers undo by their name; ``compression="none"`` leaves plain text.
+    """
+    city = city_slug("city") if "city" in listings.columns else F.lit("")
+    dealt = listings.withColumn("_slug", city).hint("rebalance", "_slug")
+    (export_rows(dealt).withColumn("city_slug", city_slug("ville")).write.mode("overwrite").option("header", True)
+     .option("compression", compression).partitionBy("city_slug").csv(path))
