@@ -11,15 +11,16 @@ from pyspark.sql import functions as F
 SLICE_ROWS = 1_000_000
 
 
-def positions(df: DataFrame, keys: list[str], order: str, out: str, *, lead: list[str] = (), slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """1-based position of every row in its group by ``(lead descending, order)``.
+def positions(df: DataFrame, keys: list[str], order: str, out: str, *, lead: list[str] = (), tie: list[str] = (),
+              slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """1-based position of every row in its group by ``(lead descending, order, tie)``.
 
     ``order`` is an integer. Groups are cut into slices of the order's range; rows are ranked per slice and
     slices are offset by the running count, so a huge group is ranked by many tasks.
     """
     cut = df.withColumn("_cut", F.floor(F.col(order) / slice_rows))
     parts = [*keys, *lead, "_cut"]
-    within = Window.partitionBy(*parts).orderBy(order)
+    within = Window.partitionBy(*parts).orderBy(order, *tie)
     sizes = cut.groupBy(*parts).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in lead], F.col("_cut")).rowsBetween(
         Window.unboundedPreceding, -1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,7 @@ COLUMNS = {"date": "sale_date", "court": "court", "price": "start_price", "city"
 BIT = {f: 1 << i for i, f in enumerate(FIELDS)}
 SIMILAR = {"court": 0.7, "city": 0.8}
 TOLERANCE = {"price": 0.10, "surface": 0.05}
+HALF = Fraction(1, 2)
 
 
 def weight(mask: int) -> int:
@@ -26,15 +28,15 @@ def weight_of(mask: Column) -> Column:
     return sum((F.when(mask.bitwiseAND(F.lit(bit)) != 0, K.MATCH_WEIGHTS[f]).otherwise(0) for f, bit in BIT.items()), F.lit(0))
 
 
-def sufficient_sets(present: int) -> list[int]:
-    """Field sets within ``present`` that carry half of its weight."""
+def sufficient_sets(present: int, share: Fraction = HALF) -> list[int]:
+    """Field sets within ``present`` that carry a share of its weight."""
     bits = [b for b in BIT.values() if present & b]
-    return [sum(c) for n in range(1, len(bits) + 1) for c in combinations(bits, n) if 2 * weight(sum(c)) >= weight(present)]
+    return [sum(c) for n in range(1, len(bits) + 1) for c in combinations(bits, n) if weight(sum(c)) >= share * weight(present)]
 
 
-def minimal_sets(present: int) -> list[int]:
+def minimal_sets(present: int, share: Fraction = HALF) -> list[int]:
     """The smallest of them."""
-    enough = sufficient_sets(present)
+    enough = sufficient_sets(present, share)
     return [s for s in enough if not any(o != s and o & s == o for o in enough)]
 
 

@@ -105,6 +105,38 @@ def test_partners_equal_sequential_choice(spark, seed, n, m, copies, slice_rows)
         assert abs(x.score - m / w) < 1e-12
 
 
+@pytest.mark.parametrize("seed,n,m,copies,ahead,task_rows", [(4, 22, 18, 0.6, 2, 12)])
+def test_partners_from_short_lists_in_many_tasks(spark, seed, n, m, copies, ahead, task_rows):
+    """Lists that are used up are followed by the next ones, and tasks that choose the same candidates choose anew."""
+    r = random.Random(seed)
+    one, two = feed(r, n, "a", copies), feed(r, m, "b", copies)
+    found = L.one_to_one(spark.createDataFrame(one, FEED), spark.createDataFrame(two, FEED), ahead=ahead, task_rows=task_rows).collect()
+    assert {x.seq_1: x.seq_2 for x in found} == greedy(one, two)
+
+
+def test_partners_without_a_list_of_all_pairs(spark, monkeypatch):
+    """Every row is near every other one; what is stored grows with the rows, not with their pairs."""
+    n, sizes, stored = 80, [], L.stored
+
+    def counted(df):
+        sizes.append((out := stored(df)).count())
+        return out
+    monkeypatch.setattr(L, "stored", counted)
+    row = lambda i, s: (i, s, f"{s}{i}", dt.date(2024, 1, 1), None, 100000.0 + i, None, "maison", None, None)
+    one, two = [row(i, "a") for i in range(n)], [row(i, "b") for i in range(n)]
+    found = L.one_to_one(spark.createDataFrame(one, FEED), spark.createDataFrame(two, FEED)).collect()
+    assert {x.seq_1: x.seq_2 for x in found} == {i: i for i in range(n)}
+    assert max(sizes) < n * n * 3 // 4
+
+
+def test_partners_of_rows_without_number_or_that_come_twice(spark):
+    row = lambda i, s, c: (i, s, "u", dt.date(2024, 1, 1), None, None, c, "maison", None, None)
+    one = [row(1, "a", "Paris"), row(1, "a", "Paris"), row(None, "a", "Paris"), row(2, "a", "Paris")]
+    two = [row(5, "b", "Paris"), row(5, "b", "Paris"), row(None, "b", "Paris"), row(6, "b", "Paris"), row(7, "b", "Montreuil")]
+    found = L.one_to_one(spark.createDataFrame(one, FEED), spark.createDataFrame(two, FEED)).collect()
+    assert sorted((x.seq_1, x.seq_2) for x in found) == [(1, 5), (1, 6), (2, 7)]
+
+
 def test_many_names_near_one_name(spark):
     """Similar names are a table of edges: hundreds of names near one name are joined, not gathered."""
     names = [f"Saint-Denis-sur-Seine {a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
